@@ -10,5 +10,6 @@ QUERIES, ORACLES = collect(
         "codelore.llm.decontaminate",
         "codelore.llm.simhash",
         "codelore.llm.token_counts",
+        "codelore.llm.topk",
     ]
 )
