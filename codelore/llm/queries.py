@@ -7,6 +7,7 @@ from codelore.plans.registry import collect
 QUERIES, ORACLES = collect(
     [
         "codelore.llm.byte_bpe",
+        "codelore.llm.chat",
         "codelore.llm.decontaminate",
         "codelore.llm.simhash",
         "codelore.llm.token_counts",
