@@ -9,6 +9,7 @@ QUERIES, ORACLES = collect(
         "codelore.llm.byte_bpe",
         "codelore.llm.chat",
         "codelore.llm.decontaminate",
+        "codelore.llm.language_id",
         "codelore.llm.simhash",
         "codelore.llm.token_counts",
         "codelore.llm.topk",
