@@ -6,6 +6,7 @@ from codelore.plans.registry import collect
 
 QUERIES, ORACLES = collect(
     [
+        "codelore.llm.toxicity",
         "codelore.llm.byte_bpe",
         "codelore.llm.chat",
         "codelore.llm.decontaminate",
