@@ -11,6 +11,7 @@ QUERIES, ORACLES = collect(
         "codelore.llm.chat",
         "codelore.llm.decontaminate",
         "codelore.llm.language_id",
+        "codelore.llm.licenses",
         "codelore.llm.pii",
         "codelore.llm.simhash",
         "codelore.llm.token_counts",
