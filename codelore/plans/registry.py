@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: list[str] = []
+MODULES: list[str] = [
+    "codelore.plans.relational",
+]
 
 
 def collect(modules: list[str]) -> tuple[dict, dict]:
