@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,7 +35,7 @@ from codelore.llm.common import batch, fresh, table
 
 #: (category, condition on the label columns), in the order of the chain.
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
-MAX_LABELLED = 6000
+MAX_LABELLED = 4000
 FOLDS = 5
 #: Documents in which a feature must appear, its least |z|, and features kept by a category.
 LEAST_DOCUMENTS, LEAST_Z, MOST_FEATURES = 3, 2.5, 4000
@@ -84,26 +83,47 @@ def chain_probabilities(chain: list[Link], text: str | None) -> list[float]:
     return out
 
 
+_BEGINNING = 0x5BD1E995
+
+
+def _ids(words: set[str], beginnings: set[str]) -> np.ndarray:
+    """64-bit ids of a text's features; they hold within this process only."""
+    return np.fromiter((*map(hash, words), *(hash(b) ^ _BEGINNING for b in beginnings)), dtype=np.int64, count=len(words) + len(beginnings))
+
+
 class _Rows:
-    """Sparse presence features of the training rows, as row and column indices."""
-
-    def __init__(self, found: list[tuple]):
-        counts: Counter = Counter()
-        for words, beginnings, _ in found:
-            counts.update(("w", x) for x in words)
-            counts.update(("b", x) for x in beginnings)
-        self.names = [x for x, n in counts.items() if n >= LEAST_DOCUMENTS]
-        index = {x: i for i, x in enumerate(self.names)}
-        del counts
-        rows, columns = [], []
-        for r, (words, beginnings, _) in enumerate(found):
-            at = [i for x in words if (i := index.get(("w", x))) is not None]
-            at += [i for x in beginnings if (i := index.get(("b", x))) is not None]
-            rows.append(np.full(len(at), r, dtype=np.int32))
-            columns.append(np.array(at, dtype=np.int32))
-        self.row = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-        self.column = np.concatenate(columns) if columns else np.zeros(0, np.int32)
-        self.shape = np.array([s for _, _, s in found]).reshape(len(found), _SHAPE)
+    """Sparse presence features of the training rows, as row and column indices.
+
+    Features are held as ids; their texts are looked up again only for those that a model keeps.
+    """
+
+    def __init__(self, texts: list[str | None]):
+        self.texts = texts
+        held, self.shape = [], np.zeros((len(texts), _SHAPE))
+        for r, text in enumerate(texts):
+            words, beginnings, self.shape[r] = features(text)
+            held.append(_ids(words, beginnings))
+        sizes = [len(x) for x in held]
+        every = np.concatenate(held) if held else np.zeros(0, np.int64)
+        del held
+        ids, counts = np.unique(every, return_counts=True)
+        self.names = ids[counts >= LEAST_DOCUMENTS]
+        del ids, counts
+        column = np.searchsorted(self.names, every).astype(np.int32)
+        known = column < len(self.names)
+        known[known] = self.names[column[known]] == every[known]
+        self.column = column[known]
+        self.row = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)[known]
+
+    def weights(self, chosen: np.ndarray, weights: np.ndarray) -> tuple[dict[str, float], dict[str, float]]:
+        """The weights of the chosen columns by word and by beginning."""
+        wanted = dict(zip(self.names[chosen].tolist(), weights.tolist(), strict=True))
+        by_word, by_beginning = {}, {}
+        for text in self.texts:
+            words, beginnings, _ = features(text)
+            by_word.update({w: x for w in words if (x := wanted.get(hash(w))) is not None})
+            by_beginning.update({b: x for b in beginnings if (x := wanted.get(hash(b) ^ _BEGINNING)) is not None})
+        return by_word, by_beginning
 
 
 @dataclass
@@ -186,8 +206,7 @@ def _without_near_copies(texts: list[str | None]) -> list[int]:
 def fit_chain(texts: list[str | None], labels: dict[str, list[bool]], folds: int = FOLDS) -> list[Link]:
     """Fit the categories of ``labels`` in their order."""
     keep = _without_near_copies(texts)
-    found = [features(texts[i]) for i in keep]
-    data = _Rows(found)
+    data = _Rows([texts[i] for i in keep])
     fold = np.arange(len(keep)) % folds
     before = np.zeros((len(keep), 0))
     chain = []
@@ -201,9 +220,7 @@ def fit_chain(texts: list[str | None], labels: dict[str, list[bool]], folds: int
                 out_of_fold[fold == k] = _sigmoid(model.scores(data, dense))[fold == k]
         model = _fit(data, dense, y, np.ones(len(y), dtype=bool))
         link = Link(name, shape=model.dense[:_SHAPE], earlier=model.dense[_SHAPE:], intercept=model.intercept, threshold=best_threshold(out_of_fold, y))
-        for i, w in zip(model.chosen.tolist(), model.weights.tolist(), strict=True):
-            kind, text = data.names[i]
-            (link.words if kind == "w" else link.beginnings)[text] = w
+        link.words, link.beginnings = data.weights(model.chosen, model.weights)
         chain.append(link)
         before = np.concatenate([before, out_of_fold[:, None]], axis=1)
     return chain
