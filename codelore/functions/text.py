@@ -1,0 +1,125 @@
+"""Text functions as native column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, functions as F
+
+#: Words that carry no meaning in a question, and words that every source file has.
+STOPWORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "by", "does", "for", "from", "how", "in", "into", "is", "it", "of", "on", "or",
+    "that", "the", "this", "to", "was", "what", "when", "where", "which", "who", "why", "with", "app", "code", "file", "repo",
+)
+MASK = "[REDACTED]"
+
+
+def content_hash(text: Column) -> Column:
+    """The first 32 hex digits of the SHA-256 of the text with all line ends as LF."""
+    return F.substring(F.sha2(F.regexp_replace(text, "\r\n?", "\n"), 256), 1, 32)
+
+
+def line_count(text: Column) -> Column:
+    return (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+
+
+def identifier_tokens(text: Column) -> Column:
+    """Lower-cased pieces of identifiers, split at non-alphanumerics and camel-case borders.
+
+    An identifier of several pieces is followed by its joined form.
+    """
+    runs = F.filter(F.split(text, "[^A-Za-z0-9]+"), lambda r: r != "")
+    pieces = lambda r: F.split(r, "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
+    expand = lambda r: F.when(F.size(pieces(r)) > 1, F.concat(F.transform(pieces(r), F.lower), F.array(F.lower(r)))).otherwise(F.array(F.lower(r)))
+    return F.flatten(F.transform(runs, expand))
+
+
+def search_tokens(text: Column) -> Column:
+    """Identifier tokens without single characters and stopwords."""
+    stop = F.array(*[F.lit(w) for w in STOPWORDS])
+    return F.filter(identifier_tokens(text), lambda t: (F.char_length(t) > 1) & ~F.array_contains(stop, t))
+
+
+def path_tokens(path: Column) -> Column:
+    return search_tokens(F.regexp_replace(path, "[.][^./]*$", ""))
+
+
+def chunk_terms(path: Column, symbol: Column, body: Column) -> Column:
+    """The terms of a chunk: path tokens three times, symbol tokens four times, body once."""
+    return F.concat(F.flatten(F.array_repeat(path_tokens(path), 3)), F.flatten(F.array_repeat(search_tokens(symbol), 4)), search_tokens(body))
+
+
+def overlap_ratio(query: Column, candidate: Column) -> Column:
+    """The share of distinct query terms that the candidate has; 0 if either is empty."""
+    wanted = F.array_distinct(query)
+    return F.when((F.size(wanted) == 0) | (F.size(candidate) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(wanted, candidate)) / F.size(wanted))
+
+
+def relevance(distance: Column) -> Column:
+    """A score from a distance: 1 / (1 + d), and 0 for a missing or negative one."""
+    return F.when(distance.isNull() | (distance < 0), F.lit(0.0)).otherwise(1 / (1 + distance))
+
+
+def strip_reasoning(text: Column) -> Column:
+    """The text without reasoning blocks; an unterminated one cuts the rest."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, "(?is)<think>.*?</think>", ""), "(?is)<think>.*", ""))
+
+
+def truncated(text: Column, most: int) -> Column:
+    flat = F.replace(text, F.lit("\n"), F.lit(" "))
+    return F.when(F.char_length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("…"))).otherwise(flat)
+
+
+#: (label, pattern) of credentials, in the order in which they are masked.
+SECRETS = (
+    ("private-key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    ("cloud-access-key", "AKIA[0-9A-Z]{16}"),
+    ("code-host-token", "gh[pousr]_[A-Za-z0-9]{36,}"),
+    ("model-key", "sk-[A-Za-z0-9_-]{20,}"),
+    ("chat-token", "xox[baprs]-[A-Za-z0-9-]{10,}"),
+    ("web-key", "AIza[0-9A-Za-z_-]{35}"),
+    ("signed-token", "eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{5,}"),
+    ("url-credentials", "://[^/:@ ]+:[^/@ ]+@"),
+)
+#: A quoted value of eight characters or more that is given to a secret-like name.
+ASSIGNED = (
+    "(?i)((?:[a-z0-9_]*(?:secret|passwd|password|api_key|apikey|access_key|auth_token|private_key|client_secret)[a-z0-9_]*)[ ]*[:=][ ]*)"
+    "([\"'])(?!(?:changeme|example|placeholder|your[^\"']*|xxx+|[$][{][^\"']*|%[(][^\"']*|<[^\"']*)\\2)[^\"']{8,}\\2"
+)
+
+
+def redact(text: Column) -> Column:
+    """The text with credentials masked."""
+    for label, pattern in SECRETS:
+        text = F.regexp_replace(text, pattern, f"://{MASK}@" if label == "url-credentials" else MASK)
+    return F.regexp_replace(text, ASSIGNED, f"$1$2{MASK}$2")
+
+
+def redaction_labels(text: Column) -> Column:
+    """The sorted distinct labels of the credentials in the text."""
+    found = [F.when(text.rlike(pattern), F.lit(label)) for label, pattern in SECRETS]
+    masked = text
+    for _, pattern in SECRETS:
+        masked = F.regexp_replace(masked, pattern, MASK)
+    return F.array_sort(F.array_compact(F.array(*found, F.when(masked.rlike(ASSIGNED), F.lit("assigned-secret")))))
+
+
+#: Families of mentions in a question, in the order of preference.
+MENTIONS = (
+    "`([^`]+)`",
+    "([A-Za-z0-9_./-]+[.](?:py|js|ts|tsx|java|go|rs|cpp|cs|kt|html|css|sql))",
+    "([A-Za-z_][A-Za-z0-9_]*(?:[.][A-Za-z_][A-Za-z0-9_]*)+)",
+    "([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+)",
+    "([a-z]+(?:_[a-z0-9]+)+)",
+    "([A-Za-z_][A-Za-z0-9_]*)[(][)]",
+)
+
+
+def mentions(text: Column) -> Column:
+    """Names mentioned in a question, by family, without repeats."""
+    return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in MENTIONS])))
+
+
+def concepts(text: Column) -> Column:
+    """Lower-cased words that follow 'about', 'handle(s|d)' or 'how does'."""
+    families = ("(?:about|handles?|handled) ([a-z]{4,})", "how does ([a-z]{4,})")
+    found = F.flatten(F.array(*[F.regexp_extract_all(F.lower(text), F.lit(p), F.lit(1)) for p in families]))
+    return F.array_distinct(F.filter(found, lambda c: ~c.isin("this", "that", "these", "with")))
