@@ -7,6 +7,7 @@ from importlib import import_module
 MODULES: list[str] = [
     "codelore.plans.relational",
     "codelore.plans.textual",
+    "codelore.plans.code",
 ]
 
 
