@@ -9,6 +9,8 @@ STOPWORDS = (
     "a", "an", "and", "are", "as", "at", "be", "by", "does", "for", "from", "how", "in", "into", "is", "it", "of", "on", "or",
     "that", "the", "this", "to", "was", "what", "when", "where", "which", "who", "why", "with", "app", "code", "file", "repo",
 )
+#: Where a camel-case identifier is split.
+BORDER = "[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"
 MASK = "[REDACTED]"
 
 
@@ -28,14 +30,14 @@ def identifier_tokens(text: Column) -> Column:
     """
     runs = F.filter(F.split(text, "[^A-Za-z0-9]+"), lambda r: r != "")
     pieces = lambda r: F.split(r, "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
-    expand = lambda r: F.when(F.size(pieces(r)) > 1, F.concat(F.transform(pieces(r), F.lower), F.array(F.lower(r)))).otherwise(F.array(F.lower(r)))
-    return F.flatten(F.transform(runs, expand))
+    expand = lambda r: F.when(r.rlike(BORDER), F.concat(F.transform(pieces(r), F.lower), F.array(F.lower(r)))).otherwise(F.array(F.lower(r)))
+    # Text without any camel-case border needs no second look at each identifier.
+    return F.when(text.rlike(BORDER), F.flatten(F.transform(runs, expand))).otherwise(F.transform(runs, F.lower))
 
 
 def search_tokens(text: Column) -> Column:
     """Identifier tokens without single characters and stopwords."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(identifier_tokens(text), lambda t: (F.char_length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(identifier_tokens(text), lambda t: (F.char_length(t) > 1) & ~t.isin(*STOPWORDS))
 
 
 def path_tokens(path: Column) -> Column:
