@@ -14,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it is read from fewer files than there are cores.
+
+    Work on texts is bound by the processor, and one small file is one task.  A table of many
+    files is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def query_of(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     """A query from SQL text that names its tables as ``{table}``."""
     used = sorted(set(re.findall(r"\{(\w+)\}", sql)))

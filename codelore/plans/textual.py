@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codelore.functions import paths, text as T
 from codelore.operators import chunking, graph, retrieval
-from codelore.plans.shared import Registry, table
+from codelore.plans.shared import Registry, spread, table
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -22,16 +22,20 @@ def _duck_tokens(column: str, stop: bool = True) -> str:
     return f"list_filter({every}, lambda t: len(t) > 1 and t not in ({STOP}))" if stop else every
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
 # --- tokens and hashes ------------------------------------------------------------------------
 @R.frame("tokenize_identifier", f"select doc_id, len(t)::bigint as n_tokens, md5(array_to_string(t, ' ')) as digest from (select doc_id, {_duck_tokens('text', False)} as t from {{documents}})")
 def tokenize_identifier(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", T.identifier_tokens(F.col("text")).alias("t"))
+    rows = _documents(spark, d).select("doc_id", T.identifier_tokens(F.col("text")).alias("t"))
     return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
 @R.frame("tokenize_stop", f"select doc_id, len(t)::bigint as n_tokens, md5(array_to_string(t, ' ')) as digest from (select doc_id, {_duck_tokens('text')} as t from {{documents}})")
 def tokenize_stop(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", T.search_tokens(F.col("text")).alias("t"))
+    rows = _documents(spark, d).select("doc_id", T.search_tokens(F.col("text")).alias("t"))
     return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
@@ -63,7 +67,7 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
 def term_overlap(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "benchmark")
     one = items.agg(F.min_by("text", "item_id").alias("question")).select(T.search_tokens(F.col("question")).alias("q"))
-    docs = table(spark, d, "documents").select("doc_id", T.search_tokens(F.col("text")).alias("t"))
+    docs = _documents(spark, d).select("doc_id", T.search_tokens(F.col("text")).alias("t"))
     return docs.crossJoin(F.broadcast(one)).select("doc_id", F.round(T.overlap_ratio(F.col("q"), F.col("t")), 6).alias("overlap"))  # one row
 
 
@@ -148,7 +152,7 @@ def redact_patterns(spark: SparkSession, d: str) -> DataFrame:
 
 @R.frame("redact_documents")
 def redact_documents(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", T.redaction_labels(F.col("text")).alias("labels"))
+    rows = _documents(spark, d).select("doc_id", T.redaction_labels(F.col("text")).alias("labels"))
     return rows.where(F.size("labels") > 0).select("doc_id", F.array_join("labels", ",").alias("labels"))
 
 
@@ -223,7 +227,7 @@ DUCK_BM25 = f"""with d as (select doc_id, {_duck_tokens('text')} as t from {{doc
 
 
 def _bm25(spark: SparkSession, d: str, k: int | None) -> DataFrame:
-    return retrieval.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), T.search_tokens, k=k)
+    return retrieval.bm25(_documents(spark, d), table(spark, d, "benchmark"), T.search_tokens, k=k)
 
 
 @R.frame("bm25_topk", DUCK_BM25 + " select query, doc_id, score, rank from (select *, cast(row_number() over (partition by query order by score desc, doc_id) as integer) as rank from scored) where rank <= 5")
@@ -233,7 +237,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @R.frame("bm25_stats", f"with d as (select doc_id, {_duck_tokens('text')} as t from {{documents}}) select term, count(*) as df, sum(tf)::bigint as tf from (select doc_id, term, count(*) as tf from (select doc_id, unnest(t) as term from d) group by all) group by term")
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
-    counts = retrieval.term_counts(table(spark, d, "documents"), "doc_id", T.search_tokens(F.col("text")))
+    counts = retrieval.term_counts(_documents(spark, d), "doc_id", T.search_tokens(F.col("text")))
     return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
@@ -302,7 +306,7 @@ _CHANNELS = f"""dense as (select vec_id as doc_id, round(1 / (1 + distance), 6)
 def _fused(spark: SparkSession, d: str) -> DataFrame:
     dense = _distances(spark, d).select(F.col("vec_id").alias("doc_id"), F.round(T.relevance(F.col("distance")), 6).alias("vector_score")).orderBy(F.desc("vector_score"), "doc_id").limit(25)
     first = table(spark, d, "benchmark").agg(F.min_by(F.struct("item_id", "text"), "item_id").alias("x")).select("x.*")
-    sparse = retrieval.bm25(table(spark, d, "documents"), first, T.search_tokens, k=25).select("doc_id", F.col("score").alias("keyword_score"))
+    sparse = retrieval.bm25(_documents(spark, d), first, T.search_tokens, k=25).select("doc_id", F.col("score").alias("keyword_score"))
     return retrieval.fuse(dense, sparse, ["doc_id"])
 
 
@@ -357,7 +361,7 @@ _NL = "(length({0}) - length(replace({0}, chr(10), '')))"
     select doc_id, row_number() over (partition by doc_id order by pos) - 1 as chunk_index, start_line::bigint as start_line, (start_line + {_NL.format('piece')})::bigint as end_line, md5(content) as digest from k where length(content) >= 24""",
 )
 def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.character_windows(table(spark, d, "documents")).select("doc_id", "chunk_index", "start_line", "end_line", F.md5("content").alias("digest"))
+    return chunking.character_windows(_documents(spark, d)).select("doc_id", "chunk_index", "start_line", "end_line", F.md5("content").alias("digest"))
 
 
 # --- graph walks ------------------------------------------------------------------------------
