@@ -74,3 +74,13 @@ def fresh(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def hash_pool(df: DataFrame, key: str, most: int) -> DataFrame:
+    """The rows of ``df`` with the smallest hashes of ``key``: about twice ``most`` of them.
+
+    A sample of ``most`` rows is then picked from the pool, whose size does not grow with the
+    table.  A table of up to ``most`` rows passes whole.
+    """
+    share = min(1.0, 2 * most / max(1, df.count()))
+    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 40)) < F.lit(round(share * (1 << 40))))

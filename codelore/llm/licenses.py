@@ -31,7 +31,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codelore.llm.common import fresh, materialise, table
+from codelore.llm.common import fresh, hash_pool, materialise, table
 
 CONFIDENT, SIMILAR = 0.6, 0.6
 MAX_PLAIN_DOCUMENTS = 400
@@ -218,7 +218,7 @@ def _constant(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_PLAIN_DOCUMENTS) -> Model:
     """A model whose ordinary paragraphs come from the documents of the smallest hashes."""
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    chosen = rows.select("id").orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(most).distinct()
+    chosen = hash_pool(rows.select("id"), "id", most).orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(most).distinct()
     sample = rows.join(F.broadcast(chosen), "id", "left_semi").select(F.slice(F.split("text", "\n"), 1, 20).alias("lines")).orderBy(F.xxhash64("lines")).limit(most)
     return Model([line for (lines,) in sample.toLocalIterator() for line in lines])
 

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codelore.llm.common import batch, fresh, table
+from codelore.llm.common import batch, fresh, hash_pool, table
 
 #: (category, condition on the label columns), in the order of the chain.
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
@@ -230,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, id_col: str =
     """Fit the chain on at most ``most`` labelled documents."""
     wanted = [F.coalesce(F.max(F.expr(condition)), F.lit(False)).alias(f"_y{i}") for i, (_, condition) in enumerate(categories)]
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(*wanted)
-    sample = known.orderBy(F.xxhash64("_id", F.lit("sample")), "_id").limit(most)
+    sample = hash_pool(known, "_id", most).orderBy(F.xxhash64("_id", F.lit("sample")), "_id").limit(most)
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
     texts, ys = [], []
     for _, text, *y in rows.select("_doc", "_text", *[f"_y{i}" for i in range(len(categories))]).orderBy(F.xxhash64("_doc"), F.xxhash64("_text")).toLocalIterator():
