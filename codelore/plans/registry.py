@@ -8,6 +8,7 @@ MODULES: list[str] = [
     "codelore.plans.relational",
     "codelore.plans.textual",
     "codelore.plans.code",
+    "codelore.plans.agent",
 ]
 
 
