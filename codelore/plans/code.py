@@ -89,7 +89,12 @@ def sliding_events(spark: SparkSession, d: str) -> DataFrame:
     return events.windowed_counts(table(spark, d, "events"), "1 day", "12 hours").select("event_type", F.unix_micros("start").alias("start"), "n")
 
 
-@R.frame("session_events")
+@R.frame(
+    "session_events",
+    """with e as (select user_id, epoch_us(ts) as t, lag(epoch_us(ts)) over (partition by user_id order by ts) as before from {events}),
+    s as (select user_id, t, sum(case when before is null or t - before >= 21600000000 then 1 else 0 end) over (partition by user_id order by t rows unbounded preceding) as session from e)
+    select user_id, min(t) as start, max(t) + 21600000000 as "end", count(*) as n from s group by user_id, session""",
+)
 def session_events(spark: SparkSession, d: str) -> DataFrame:
     return events.session_counts(table(spark, d, "events"), "6 hours").select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
 

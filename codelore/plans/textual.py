@@ -85,6 +85,7 @@ def _literal(spark: SparkSession, names: str, rows: list[tuple]) -> DataFrame:
 
 
 def _path_query(name: str, expression, duck: str) -> None:
+    """A path function over the literal paths; ``duck`` is its DuckDB form."""
     @R.frame(name, f"select path, {duck} as value from {_values('path', [(p,) for p in PATHS])}")
     def run(spark: SparkSession, d: str) -> DataFrame:
         return _literal(spark, "path", [(p,) for p in PATHS]).select("path", expression(F.col("path")).alias("value"))
