@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 #: Words that carry no meaning in a question, and words that every source file has.
-STOPWORDS = (
-    "a", "an", "and", "are", "as", "at", "be", "by", "does", "for", "from", "how", "in", "into", "is", "it", "of", "on", "or",
-    "that", "the", "this", "to", "was", "what", "when", "where", "which", "who", "why", "with", "app", "code", "file", "repo",
-)
+STOPWORDS = tuple(
+    "a an and app are as at be by code does file for from how in into is it of on or repo that the this to was what when where which who why with".split()
+)
 #: Where a camel-case identifier is split.
 BORDER = "[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"
 MASK = "[REDACTED]"
@@ -29,7 +28,7 @@ def identifier_tokens(text: Column) -> Column:
     An identifier of several pieces is followed by its joined form.
     """
     runs = F.filter(F.split(text, "[^A-Za-z0-9]+"), lambda r: r != "")
-    pieces = lambda r: F.split(r, "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
+    pieces = lambda r: F.split(r, "(?<=[0-9a-z])(?=[A-Z])|(?=[A-Z][a-z])(?<=[A-Z])")
     expand = lambda r: F.when(r.rlike(BORDER), F.concat(F.transform(pieces(r), F.lower), F.array(F.lower(r)))).otherwise(F.array(F.lower(r)))
     # Text without any camel-case border needs no second look at each identifier.
     return F.when(text.rlike(BORDER), F.flatten(F.transform(runs, expand))).otherwise(F.transform(runs, F.lower))
@@ -72,7 +71,7 @@ def truncated(text: Column, most: int) -> Column:
 
 #: (label, pattern) of credentials, in the order in which they are masked.
 SECRETS = (
-    ("private-key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    ("private-key", "-{5}BEGIN [A-Z ]*PRIVATE KEY-{5}"),
     ("cloud-access-key", "AKIA[0-9A-Z]{16}"),
     ("code-host-token", "gh[pousr]_[A-Za-z0-9]{36,}"),
     ("model-key", "sk-[A-Za-z0-9_-]{20,}"),
@@ -108,10 +107,10 @@ def redaction_labels(text: Column) -> Column:
 MENTIONS = (
     "`([^`]+)`",
     "([A-Za-z0-9_./-]+[.](?:py|js|ts|tsx|java|go|rs|cpp|cs|kt|html|css|sql))",
-    "([A-Za-z_][A-Za-z0-9_]*(?:[.][A-Za-z_][A-Za-z0-9_]*)+)",
+    "([_A-Za-z][0-9A-Z_a-z]*(?:[.][_A-Za-z][0-9A-Z_a-z]*)+)",
     "([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+)",
     "([a-z]+(?:_[a-z0-9]+)+)",
-    "([A-Za-z_][A-Za-z0-9_]*)[(][)]",
+    "([_A-Za-z][0-9A-Z_a-z]*)[(][)]",
 )
 
 

@@ -27,6 +27,17 @@ def character_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return kept.select(F.col("id").alias(id_col), (by_file - 1).cast("long").alias("chunk_index"), "start_line", (F.col("start_line") + newlines(F.col("piece"))).alias("end_line"), "content")
 
 
+_FUNCTIONS = ast.FunctionDef | ast.AsyncFunctionDef
+
+
+def parse(source: str) -> ast.Module | None:
+    """The syntax tree of a file; None if the parser does not take it."""
+    try:
+        return ast.parse(source)
+    except (RecursionError, SyntaxError, ValueError):
+        return None
+
+
 def _span(node: ast.AST, lines: list[str]) -> tuple[int, int]:
     first = min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))])
     while first > 1 and lines[first - 2].lstrip().startswith("#"):
@@ -40,9 +51,7 @@ def syntax_units(source: str, most: int = SIZE) -> list[tuple[str, str, int, int
     Functions and classes are units; statements between them are grouped as ``module``.  A class
     of more than ``most`` characters is split into its header, its methods, and what follows.
     """
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
+    if (tree := parse(source)) is None:
         return None
     lines, units, loose = source.split("\n"), [], []
 
@@ -51,28 +60,28 @@ def syntax_units(source: str, most: int = SIZE) -> list[tuple[str, str, int, int
             units.append(("module", "", loose[0].lineno, loose[-1].end_lineno))
             loose.clear()
 
-    for node in tree.body:
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+    for item in tree.body:
+        if isinstance(item, _FUNCTIONS):
             close()
-            units.append(("function", node.name, *_span(node, lines)))
-        elif isinstance(node, ast.ClassDef):
+            units.append(("function", item.name, *_span(item, lines)))
+        elif isinstance(item, ast.ClassDef):
             close()
-            start, end = _span(node, lines)
-            methods = [n for n in node.body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
+            start, end = _span(item, lines)
+            methods = [n for n in item.body if isinstance(n, _FUNCTIONS)]
             if not methods or sum(len(x) + 1 for x in lines[start - 1 : end]) <= most:
-                units.append(("class", node.name, start, end))
+                units.append(("class", item.name, start, end))
                 continue
             at = start
             for method in methods:
                 first, last = _span(method, lines)
                 if first > at:
-                    units.append(("class", node.name, at, first - 1))
-                units.append(("method", f"{node.name}.{method.name}", first, last))
+                    units.append(("class", item.name, at, first - 1))
+                units.append(("method", ".".join((item.name, method.name)), first, last))
                 at = last + 1
             if at <= end:
-                units.append(("class", node.name, at, end))
+                units.append(("class", item.name, at, end))
         else:
-            loose.append(node)
+            loose.append(item)
     close()
     return sorted(units, key=lambda u: u[2])
 

@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from codelore.operators.chunking import parse
+
 MOST_CALLS = 40
 
 
@@ -21,9 +23,12 @@ def _chain(node: ast.AST) -> list[str] | None:
     while isinstance(node, ast.Attribute):
         names.append(node.attr)
         node = node.value
-    if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id == "super":
-        return ["super()", *reversed(names)]
-    return [node.id, *reversed(names)] if isinstance(node, ast.Name) else None
+    match node:
+        case ast.Name(id=first):
+            return [first, *reversed(names)]
+        case ast.Call(func=ast.Name(id="super")):
+            return ["super()", *reversed(names)]
+    return None
 
 
 def _calls(body: list[ast.stmt]) -> list[tuple[str, int]]:
@@ -47,9 +52,8 @@ def _locals(function: ast.AST) -> dict[str, str]:
 
 def analyse_source(source: str) -> tuple[list[dict], list[dict], bool]:
     """(symbols, imports, failed) of one file; nested definitions belong to the outer one."""
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
+    tree = parse(source)
+    if tree is None:
         return [], [], True
     symbols, imports = [], []
 
@@ -235,7 +239,9 @@ class Repository:
             cls = self.resolve_chain(path, symbol["locals"][chain[0]].split("."))
             return (self._member(cls, chain[1:]) if cls and self.symbols[cls]["kind"] == "class" else None), "local-instance"
         at = self.resolve_chain(path, chain)
-        return at, "constructor" if at and self.symbols[at]["kind"] == "class" else "name" if len(chain) == 1 else "attribute"
+        if at and self.symbols[at]["kind"] == "class":
+            return at, "constructor"
+        return at, "attribute" if chain[1:] else "name"
 
 
 def resolve(analysed: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ QUERIES, ORACLES = R.queries, R.oracles
 
 PATH = "concat(source, '/', cast(doc_id as string), '.', lang)"
 
-# --- scans and predicates ---------------------------------------------------------------------
+# scans and predicates
 R.sql("scan_filter", "select doc_id, n_chars from {documents} where lang = 'en' and n_chars between 24 and 2000")
 R.sql("filter_eq_in", "select doc_id, lang, source from {documents} where lang = 'en' and source in ('src1', 'src2', 'src3')")
 R.sql("filter_twin", "select doc_id, lang, source from {documents} where coalesce(lang, '') = 'fr' and coalesce(source, '') in ('src4', 'src5')")
@@ -42,7 +42,7 @@ SKIP = """case when text is null or trim(text) = '' then 'blank' when n_chars >
 R.sql("file_skip_reason", f"select doc_id, {SKIP} as skip_reason from {{documents}}")
 R.sql("skip_histogram", f"select coalesce(r, 'kept') as reason, count(*) as files from (select {SKIP} as r from {{documents}}) group by coalesce(r, 'kept')")
 
-# --- incremental index ------------------------------------------------------------------------
+# incremental index
 def _versions(name: str, text: str) -> None:
     """Stored and current versions of one corpus: a language is missing on either side, one edited."""
 
@@ -78,7 +78,7 @@ R.sql(
 )
 R.sql("bulk_commit_filter", "select l_orderkey, count(*) as files from (select l_orderkey, count(*) over (partition by l_orderkey) as n from {lineitem}) where n <= 6 group by l_orderkey")
 
-# --- joins ------------------------------------------------------------------------------------
+# joins
 for key, part in (("join_inner_topk", 7), ("path_history", 42)):
     R.sql(
         key,
@@ -126,7 +126,7 @@ R.sql(
     where l.l_orderkey = (select min(o_orderkey) from {orders}) group by l.l_partkey, p.p_partkey is not null""",
 )
 
-# --- aggregations -----------------------------------------------------------------------------
+# aggregations
 R.sql(
     "counts_by_kind",
     """select kind, count(*) as n from (
@@ -205,7 +205,7 @@ R.sql(
 R.sql("namespace_ambiguity", "select p_name, count(distinct p_brand) as brands, count(distinct p_brand) > 1 as ambiguous from {part} group by p_name")
 R.sql("community_sizes", "select label, count(*) as size, min(vec_id) as hub from {embeddings} group by label")
 
-# --- windows ----------------------------------------------------------------------------------
+# windows
 R.sql(
     "fanout_cap",
     """with e as (select distinct l.l_suppkey, l.l_partkey, p.p_retailprice from {lineitem} l join {part} p on l.l_partkey = p.p_partkey)
@@ -219,7 +219,7 @@ R.sql(
 )
 R.sql("chunk_index", "select doc_id, cast(row_number() over (partition by source order by doc_id) - 1 as bigint) as chunk_index from {documents}")
 
-# --- ordered results --------------------------------------------------------------------------
+# ordered results
 R.sql("children", "select n_regionkey as parent, n_nationkey as id, n_name as name, cast(row_number() over (partition by n_regionkey order by n_name) as bigint) as pos from {nation}")
 R.sql(
     "expand_topk",

@@ -26,7 +26,7 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
-# --- tokens and hashes ------------------------------------------------------------------------
+# tokens and hashes
 @R.frame("tokenize_identifier", f"select doc_id, len(t)::bigint as n_tokens, md5(array_to_string(t, ' ')) as digest from (select doc_id, {_duck_tokens('text', False)} as t from {{documents}})")
 def tokenize_identifier(spark: SparkSession, d: str) -> DataFrame:
     rows = _documents(spark, d).select("doc_id", T.identifier_tokens(F.col("text")).alias("t"))
@@ -71,7 +71,7 @@ def term_overlap(spark: SparkSession, d: str) -> DataFrame:
     return docs.crossJoin(F.broadcast(one)).select("doc_id", F.round(T.overlap_ratio(F.col("q"), F.col("t")), 6).alias("overlap"))  # one row
 
 
-# --- literal tables ---------------------------------------------------------------------------
+# literal tables
 PATHS = ["main.py", "src/core/app.py", "src/x.py", "tests/test_a.py", "docs/guide.md", "lib/a/b/c.go", "examples/run.py", "scripts/build.sh", "a/b/c.tsx", "test_top.py", "pkg/api/routes.ts", "src//double/y.py", "tools/cli.py", "a/wsgi.py", "deep/er/Server.JS", "noext"]
 
 
@@ -220,11 +220,11 @@ def name_status(spark: SparkSession, d: str) -> DataFrame:
     return parse_name_status(_literal(spark, "line", [(x,) for x in STATUS]), "line")
 
 
-# --- retrieval --------------------------------------------------------------------------------
+# retrieval
 DUCK_BM25 = f"""with d as (select doc_id, {_duck_tokens('text')} as t from {{documents}}), q as (select item_id as query, unnest({_duck_tokens('text')}) as term from {{benchmark}}),
   s as (select count(*) as n, avg(len(t)) as mean from d), p as (select doc_id, len(t) as length, term, count(*) as tf from (select doc_id, t, unnest(t) as term from d) group by all),
   f as (select term, count(*) as df from p group by term),
-  scored as (select query, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5::double / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 6) as score from q join f using (term) join p using (term), s group by query, doc_id)"""
+  scored as (select query, doc_id, round(sum(ln((n + 1.0) / (df + 0.5)) * tf * 2.5::double / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 6) as score from q join f using (term) join p using (term), s group by query, doc_id)"""
 
 
 def _bm25(spark: SparkSession, d: str, k: int | None) -> DataFrame:
@@ -350,7 +350,7 @@ def context_rank(spark: SparkSession, d: str) -> DataFrame:
     return boosted.select("doc_id", F.round(F.col("score") * factor, 6).alias("context_score")).orderBy(F.desc("context_score"), "doc_id").limit(8)
 
 
-# --- chunks -----------------------------------------------------------------------------------
+# chunks
 _STRIP = "regexp_replace(regexp_replace({}, '^[ \\t\\n\\r\\v\\f]+', ''), '[ \\t\\n\\r\\v\\f]+$', '')"
 _NL = "(length({0}) - length(replace({0}, chr(10), '')))"
 
@@ -365,7 +365,7 @@ def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
     return chunking.character_windows(_documents(spark, d)).select("doc_id", "chunk_index", "start_line", "end_line", F.md5("content").alias("digest"))
 
 
-# --- graph walks ------------------------------------------------------------------------------
+# graph walks
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem")
     return lines.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target")).distinct()

@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from codelore.functions import paths
 from codelore.functions.text import content_hash
 
-PRUNED = (
-    ".git", ".hg", ".svn", ".idea", ".vscode", "node_modules", "__pycache__", ".venv", "venv", "env", "dist", "build", "target", "out",
-    ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", "vendor", "coverage", ".next", ".cache", "bin", "obj", "site-packages", ".gradle", ".eggs", "htmlcov",
-)
+PRUNED = tuple(
+    ".cache .eggs .git .gradle .hg .idea .mypy_cache .next .pytest_cache .ruff_cache .svn .tox .venv .vscode __pycache__ bin build coverage "
+    "dist env htmlcov node_modules obj out site-packages target vendor venv".split()
+)
 MOST_BYTES = 1_000_000
 IGNORED_NAMES = ("package-lock.json", "yarn.lock", "poetry.lock", "pnpm-lock.yaml", "cargo.lock", "license", "changelog.md", "readme.md")
-GENERATED = (".min.js", ".min.css", ".map", ".lock", "_pb2.py", ".g.cs")
+GENERATED = tuple("_pb2.py .g.cs .lock .map .min.css .min.js".split())
 IGNORED_EXTENSIONS = ("png", "jpg", "gif", "pdf", "zip", "gz", "parquet", "csv", "ico", "woff", "woff2", "so", "dll", "exe", "pyc")
 
 

@@ -72,7 +72,7 @@ class _Reader(DataSourceReader):
 
     def read(self, partition):
         out = subprocess.run(
-            ["git", "-C", self.path, "log", f"-{self.limit}", "--no-renames", "--name-status", "--format=%x00%H%x1f%an%x1f%at%x1f%P%x1f%s"],
+            ["git", "-C", self.path, "log", f"-{self.limit}", "--no-renames", "--name-status", "--format=%x00" + "%x1f".join(("%H", "%an", "%at", "%P", "%s"))],
             capture_output=True, check=True,
         ).stdout.decode("utf-8", "replace")
         for record in out.split(RECORD)[1:]:

@@ -48,7 +48,7 @@ def test_opaque_base_blocks_lookup():
 
 
 def test_units_cover_and_split():
-    source = "import os\nX = 1\n\n# about f\n@deco\ndef f():\n    pass\n\nclass C:\n    a = 1\n" + "".join(f"    def m{i}(self):\n        return '{'x' * 60}'\n" for i in range(40))
+    source = "import os\nX = 1\n\n# about f\n@deco\ndef f():\n    pass\n\nclass C:\n    a = 1\n" + "".join("    def m%d(self):\n        return '%s'\n" % (i, "x" * 60) for i in range(40))
     units = chunking.syntax_units(source)
     assert units[0] == ("module", "", 1, 2) and units[1] == ("function", "f", 4, 7)
     assert [u[1] for u in units if u[0] == "method"] == [f"C.m{i}" for i in range(40)]

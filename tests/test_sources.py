@@ -1,3 +1,5 @@
+import os
+
 from pyspark.sql import functions as F
 
 from codelore.operators import chunking, graph
@@ -10,7 +12,7 @@ def test_scan_and_classify(spark, tmp_path):
     skipped = {"yarn.lock": ("x", "ignored_filename"), "a.min.js": ("x", "generated"), "p.png": ("x", "ignored_extension"), "notes.txt": ("x", "unsupported_extension"), "blank.py": (" \n", "blank"), "nul.py": ("a\x00b", "binary_content")}
     for name, text in [*kept.items(), *((n, t) for n, (t, _) in skipped.items()), ("node_modules/x.py", "1"), ("Build/y.py", "1")]:
         path = tmp_path / name
-        path.parent.mkdir(parents=True, exist_ok=True)
+        os.makedirs(path.parent, exist_ok=True)
         path.write_bytes(text.encode())
     found = files.scan(spark, str(tmp_path), "demo")
     assert {r.path: r.skip_reason for r in found.select("path", "skip_reason").collect()} == {**{k: None for k in kept}, **{k: r for k, (_, r) in skipped.items()}}
