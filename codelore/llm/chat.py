@@ -22,8 +22,8 @@ ignored.
 
 from __future__ import annotations
 
+import dataclasses
 import re
-from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -32,7 +32,7 @@ from codelore.llm.common import table
 BUCKET = 64
 
 
-@dataclass(frozen=True)
+@dataclasses.dataclass(frozen=True)
 class Template:
     """Marks, control strings and the role machine of a chat format."""
 
@@ -46,7 +46,7 @@ class Template:
     trained: tuple[str, ...] = ("assistant",)
     states: tuple[str, ...] = ("start", "told", "asked", "answered")
     #: (state, role) to state; what is missing rejects.
-    transitions: dict = field(
+    transitions: dict = dataclasses.field(
         default_factory=lambda: {
             ("start", "system"): "told",
             ("start", "user"): "asked",
