@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from codelore.functions.text import relevance
 
 K1, B = 1.5, 0.75
+#: Queries of a vector search that are sent to all tasks at once.
+QUERY_BLOCK = 1024
 #: Weights of the linear reranker: vector, keyword, symbol, path, chunk type, path prior.
 WEIGHTS = {"vector": 1.0, "keyword": 0.9, "symbol": 0.6, "path": 0.45, "type": 0.35, "prior": 0.5}
 TYPE_PRIORS = {"method": 1.0, "function": 1.0, "class": 0.95, "block": 0.7, "module": 0.55}
@@ -36,10 +38,11 @@ def bm25(docs: DataFrame, queries: DataFrame, tokens, id_col: str = "doc_id", te
     postings = (
         sized.select(id_col, F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
         .join(terms, "term", "left_semi")
-        .groupBy(id_col, "term")
-        .agg(F.count("*").alias("tf"), F.max("length").alias("length"))
+        .groupBy(id_col, "length", "term")
+        .agg(F.count("*").alias("tf"))
     )
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
+    # Reading the same columns as the scores below do lets both share one shuffle of the postings.
+    frequency = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences")).where("occurrences > 0")
     weighed = asked.join(frequency, "term").crossJoin(F.broadcast(stats))  # one row of totals
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = K1 * (1 - B + B * F.col("length") / F.col("mean"))
@@ -63,13 +66,23 @@ def cosine_similarity(a: Column, b: Column) -> Column:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, measure, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", ascending: bool = True) -> DataFrame:
-    """(query, id, value) of the ``k`` best vectors for each of a few stated queries.
+    """(query, id, value) of the ``k`` best vectors for each stated query.
 
-    ``queries`` has (query, q); every query is compared with all vectors.  The per-query limit is
-    applied inside each partition first, so little is shuffled.
+    ``queries`` has (query, q); every query is compared with all vectors.  Queries are counted and
+    sent to the vectors in blocks of about ``QUERY_BLOCK``, so a broadcast has a bounded size.  The
+    per-query limit is applied inside each partition first, so little is shuffled.
     """
-    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(F.broadcast(queries), F.col("id") != F.col("query"))
-    scored = pairs.select("query", "id", F.round(measure(F.col("v"), F.col("q")), 6).alias("value"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    narrow = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+
+    def compared(block: int) -> DataFrame:
+        part = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block)
+        pairs = narrow.join(F.broadcast(part), F.col("id") != F.col("query"))
+        return pairs.select("query", "id", F.round(measure(F.col("v"), F.col("q")), 6).alias("value"))
+
+    scored = compared(0)
+    for block in range(1, blocks):
+        scored = scored.unionByName(compared(block))
     best = W.partitionBy("query").orderBy(F.col("value").asc() if ascending else F.col("value").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
