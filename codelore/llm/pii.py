@@ -197,8 +197,8 @@ def _terms_by_text(df: DataFrame, text_col: str, **method) -> DataFrame:
     return materialise(each.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("term", "action"))).alias("terms")))
 
 
-def find_spans(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, **method) -> DataFrame:
-    """``keep`` columns and ``spans``: array of (kind, start, end, action), by kind, then start."""
+def _with_terms(df: DataFrame, keep: tuple[str, ...], text_col: str, broadcast_bytes: int, **method) -> DataFrame:
+    """``keep`` columns, the text, and the disclosing terms of the text, in this order."""
     terms = _terms_by_text(df, text_col, **method)
     size = terms.agg(F.sum(F.length(F.to_json("terms")) + 80)).first()[0] or 0
     key, body, found = fresh(df, "_key"), fresh(df, "_body"), fresh(df, "_terms")
@@ -207,7 +207,12 @@ def find_spans(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str
     by_key = terms.select(F.col("key").alias(key), F.col("terms").alias(found))
     if size <= broadcast_bytes:
         by_key = F.broadcast(by_key)
-    rows = rows.join(by_key, key, "left").select(*keep, body, found)
+    return rows.join(by_key, key, "left").select(*keep, body, found)
+
+
+def find_spans(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, **method) -> DataFrame:
+    """``keep`` columns and ``spans``: array of (kind, start, end, action), by kind, then start."""
+    rows = _with_terms(df, keep, text_col, broadcast_bytes, **method)
     fields = rows.schema.fields[: len(keep)]
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("action", pa.string())])
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["spans array<struct<kind:string,start:long,end:long,action:string>>"])
@@ -248,23 +253,32 @@ def sanitised(text: str, spans: list[dict]) -> str:
     return "".join(out) + text[at:]
 
 
-def sanitise(df: DataFrame, text_col: str = "text", **method) -> DataFrame:
-    """``df`` with sanitised texts; all rows and columns stay, and null texts stay null."""
+def sanitise(df: DataFrame, text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, **method) -> DataFrame:
+    """``df`` with sanitised texts; all rows and columns stay, and null texts stay null.
+
+    Spans are found and applied in one pass, so a task has one Python worker and one copy of
+    each text.
+    """
     names = [fresh(df, f"_c{i}") for i in range(len(df.columns))]
     renamed = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names, strict=True)])
     text = names[df.columns.index(text_col)]
-    found = find_spans(renamed, tuple(names), text, **method)
-    at = len(names)
-    index = names.index(text)
+    others = tuple(n for n in names if n != text)
+    rows = _with_terms(renamed, others, text, broadcast_bytes, **method)
+    fields = rows.schema.fields[: len(others)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            clean = [t.as_py() if not s.as_py() else sanitised(t.as_py(), s.as_py()) for t, s in zip(b.column(index), b.column(at), strict=True)]
-            columns = [b.column(i) if i != index else pa.array(clean, pa.string()) for i in range(at)]
-            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([b.schema.field(i) if i != index else pa.field(text, pa.string()) for i in range(at)]))
-
-    schema = ", ".join(f"`{f.name}` {'string' if f.name == text else f.dataType.simpleString()}" for f in renamed.schema.fields)
-    return found.mapInArrow(run, schema).select(*[F.col(n).alias(c) for c, n in zip(df.columns, names, strict=True)])
+            n = b.num_columns - 2
+            clean = []
+            for t, d in zip(b.column(n), b.column(n + 1), strict=True):
+                whole = t.as_py()
+                spans = all_spans(whole, d.as_py())
+                clean.append(sanitised(whole, spans) if spans else whole)
+            out = pa.schema([b.schema.field(i) for i in range(n)] + [(text, pa.string())])
+            yield batch(out, [b.column(i) for i in range(n)] + [clean])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{text}` string"])
+    return rows.mapInArrow(run, schema).select(*[F.col(n).alias(c) for c, n in zip(df.columns, names, strict=True)])
 
 
 def _joined(spans):
