@@ -254,12 +254,13 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     _, labelled = groups(df, id_col, text_col, shingle, block)
     # One representative per component: the fingerprint of its smallest id (smallest on a tie).
     chosen = labelled.where(F.col("first").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("fp").alias("fp"), F.first("component_id").alias("component_id"))
-    fp, rep = fresh(df, "_fp"), fresh(df, "_representative")
-    marked = fingerprints(df, text_col, tuple(df.columns), fp, shingle)
-    stay = chosen.select(F.col("fp").alias(rep), F.col("component_id").alias(f"{rep}id"))
-    kept = marked.join(stay, (F.col(fp) == F.col(rep)) & F.col(id_col).eqNullSafe(F.col(f"{rep}id")), "left_semi")
+    fp, key = fresh(df, "_fp"), fresh(df, "_key")
+    # The id as text, so that a null id has a key too and texts are dealt once, for join and window.
+    marked = fingerprints(df, text_col, tuple(df.columns), fp, shingle).withColumn(key, F.to_json(F.struct(F.col(id_col).alias("id"))))
+    stay = chosen.select(F.col("fp").alias(fp), F.to_json(F.struct(F.col("component_id").alias("id"))).alias(key))
+    kept = marked.join(stay, [fp, key], "left_semi")
     number = fresh(df, "_number")
-    one = W.partitionBy(fp, id_col).orderBy(F.lit(0))
+    one = W.partitionBy(fp, key).orderBy(F.lit(0))
     return kept.withColumn(number, F.row_number().over(one)).where(F.col(number) == 1).select(*df.columns)
 
 
