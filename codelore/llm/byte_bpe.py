@@ -154,14 +154,11 @@ def encode(
         return [ids] + [[ranks.decode(x) for x in ids]] * decoded
 
     short = _mapped(rows.where(F.char_length(body) <= chunk), body, outputs, encoded)
-    long = _encode_long(rows.where(F.char_length(body) > chunk), body, keep, sent, pattern, chunk, overlap)
-    if decoded:
-        long = long.select(*keep, F.struct("ids").alias("_x")).select(*keep, F.col("_x.ids").alias("ids"), F.col("_x.ids").alias("_ids"))
-        long = _mapped(long, "_ids", outputs[1:], lambda values: [[_table(sent.value, pattern).decode(v.as_py()) for v in values]])
+    long = _encode_long(rows.where(F.char_length(body) > chunk), body, keep, sent, pattern, chunk, overlap, decoded)
     return short.unionByName(long)
 
 
-def _encode_long(rows: DataFrame, body: str, keep: tuple[str, ...], sent, pattern: str, chunk: int, overlap: int) -> DataFrame:
+def _encode_long(rows: DataFrame, body: str, keep: tuple[str, ...], sent, pattern: str, chunk: int, overlap: int, decoded: bool) -> DataFrame:
     """Texts of several chunks; each step's rows are chunks or pieces, spread over all tasks."""
     numbered = rows.select(F.monotonically_increasing_id().alias("_row"), F.struct(*keep).alias("_keep"), body)
     kept_type = numbered.schema["_keep"].dataType.simpleString()
@@ -202,8 +199,14 @@ def _encode_long(rows: DataFrame, body: str, keep: tuple[str, ...], sent, patter
     )
     encoded = _mapped(pieces, "body", [("ids", "binary", pa.binary())], lambda values: [[_table(sent.value, pattern).encode(v.as_py()) for v in values]])
     gathered = encoded.groupBy("_row", "_keep").agg(F.sort_array(F.collect_list(F.struct("piece", "ids"))).alias("pieces"))
-    joined = _mapped(gathered.select("_row", "_keep", F.col("pieces.ids").alias("parts")), "parts", [("ids", "binary", pa.binary())], lambda values: [[b"".join(v.as_py()) for v in values]])
-    return joined.select("_keep.*", "ids")
+
+    def whole(values: pa.Array) -> list:
+        ids = [b"".join(v.as_py()) for v in values]
+        return [ids] + [[_table(sent.value, pattern).decode(x) for x in ids]] * decoded
+
+    outputs = [("ids", "binary", pa.binary())] + [("decoded", "binary", pa.binary())] * decoded
+    joined = _mapped(gathered.select("_row", "_keep", F.col("pieces.ids").alias("parts")), "parts", outputs, whole)
+    return joined.select("_keep.*", *[name for name, _, _ in outputs])
 
 
 def decode(
