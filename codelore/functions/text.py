@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: Words that carry no meaning in a question, and words that every source file has.
-STOPWORDS = tuple(
-    "a an and app are as at be by code does file for from how in into is it of on or repo that the this to was what when where which who why with".split()
-)
+from codelore.functions import fixed
+
+STOPWORDS = fixed.STOPWORDS
 #: Where a camel-case identifier is split.
 BORDER = "[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"
 MASK = "[REDACTED]"
@@ -40,7 +39,7 @@ def search_tokens(text: Column) -> Column:
 
 
 def path_tokens(path: Column) -> Column:
-    return search_tokens(F.regexp_replace(path, "[.][^./]*$", ""))
+    return search_tokens(F.regexp_replace(path, "[.][A-Za-z0-9]+$", ""))
 
 
 def chunk_terms(path: Column, symbol: Column, body: Column) -> Column:
@@ -61,7 +60,9 @@ def relevance(distance: Column) -> Column:
 
 def strip_reasoning(text: Column) -> Column:
     """The text without reasoning blocks; an unterminated one cuts the rest."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, "(?is)<think>.*?</think>", ""), "(?is)<think>.*", ""))
+    closed = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?is)<think>.*?</think>\s*", "")
+    open_ended = closed.contains("<think>") & ~closed.contains("</think>")
+    return F.regexp_replace(F.when(open_ended, F.substring_index(closed, "<think>", 1)).otherwise(closed), r"^\s+|\s+$", "")
 
 
 def truncated(text: Column, most: int) -> Column:
@@ -69,58 +70,86 @@ def truncated(text: Column, most: int) -> Column:
     return F.when(F.char_length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("…"))).otherwise(flat)
 
 
-#: (label, pattern) of credentials, in the order in which they are masked.
-SECRETS = (
-    ("private-key", "-{5}BEGIN [A-Z ]*PRIVATE KEY-{5}"),
-    ("cloud-access-key", "AKIA[0-9A-Z]{16}"),
-    ("code-host-token", "gh[pousr]_[A-Za-z0-9]{36,}"),
-    ("model-key", "sk-[A-Za-z0-9_-]{20,}"),
-    ("chat-token", "xox[baprs]-[A-Za-z0-9-]{10,}"),
-    ("web-key", "AIza[0-9A-Za-z_-]{35}"),
-    ("signed-token", "eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{5,}"),
-    ("url-credentials", "://[^/:@ ]+:[^/@ ]+@"),
-)
-#: A quoted value of eight characters or more that is given to a secret-like name.
+def _literal(word: str) -> str:
+    return "".join(c if c.isalnum() or c in "_-<" else "[" + c + "]" if c != "^" else r"\^" for c in word)
+
+
+#: A quoted value of eight characters or more that is given to a secret-like name, unless the
+#: whole value is a placeholder or it begins like a reference to something kept elsewhere.
 ASSIGNED = (
-    "(?i)((?:[a-z0-9_]*(?:secret|passwd|password|api_key|apikey|access_key|auth_token|private_key|client_secret)[a-z0-9_]*)[ ]*[:=][ ]*)"
-    "([\"'])(?!(?:changeme|example|placeholder|your[^\"']*|xxx+|[$][{][^\"']*|%[(][^\"']*|<[^\"']*)\\2)[^\"']{8,}\\2"
+    rf"(?i)\b([A-Za-z0-9_.-]*(?:{fixed.SECRET_NAMES})[A-Za-z0-9_.-]*)(\s*[:=]\s*)(['\"])"
+    rf"(?!\s*(?:{'|'.join(map(_literal, fixed.PLACEHOLDERS))})\s*\3)(?!\s*(?:{'|'.join(map(_literal, fixed.REFERENCES))}))[^'\"\n]{{8,}}\3"
 )
 
 
+def _masked(text: Column) -> tuple[Column, list[Column]]:
+    """The text with credentials of known shapes masked, and the label of every shape found.
+
+    Shapes are masked in their order, so a later one does not see what an earlier one masked.
+    """
+    found = []
+    for label, pattern in fixed.SECRETS:
+        found.append(F.when(text.rlike(pattern), F.lit(label)))
+        text = F.regexp_replace(text, pattern, MASK)
+    return text, found
+
+
 def redact(text: Column) -> Column:
     """The text with credentials masked."""
-    for label, pattern in SECRETS:
-        text = F.regexp_replace(text, pattern, f"://{MASK}@" if label == "url-credentials" else MASK)
-    return F.regexp_replace(text, ASSIGNED, f"$1$2{MASK}$2")
+    return F.regexp_replace(_masked(text)[0], ASSIGNED, rf"$1$2$3{MASK}$3")
 
 
 def redaction_labels(text: Column) -> Column:
     """The sorted distinct labels of the credentials in the text."""
-    found = [F.when(text.rlike(pattern), F.lit(label)) for label, pattern in SECRETS]
-    masked = text
-    for _, pattern in SECRETS:
-        masked = F.regexp_replace(masked, pattern, MASK)
-    return F.array_sort(F.array_compact(F.array(*found, F.when(masked.rlike(ASSIGNED), F.lit("assigned-secret")))))
-
-
-#: Families of mentions in a question, in the order of preference.
-MENTIONS = (
-    "`([^`]+)`",
-    "([A-Za-z0-9_./-]+[.](?:py|js|ts|tsx|java|go|rs|cpp|cs|kt|html|css|sql))",
-    "([_A-Za-z][0-9A-Z_a-z]*(?:[.][_A-Za-z][0-9A-Z_a-z]*)+)",
-    "([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+)",
-    "([a-z]+(?:_[a-z0-9]+)+)",
-    "([_A-Za-z][0-9A-Z_a-z]*)[(][)]",
-)
+    masked, found = _masked(text)
+    names = F.transform(F.regexp_extract_all(masked, F.lit(ASSIGNED), F.lit(1)), lambda n: F.concat(F.lit("assignment:"), n))
+    return F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*found)), names)))
 
 
 def mentions(text: Column) -> Column:
     """Names mentioned in a question, by family, without repeats."""
-    return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in MENTIONS])))
+    families = []
+    for family, pattern in fixed.MENTIONS:
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        if family == "qualified":
+            found = F.zip_with(found, F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda a, b: F.when(a != "", a).otherwise(b))
+        if family == "symbol":
+            found = F.filter(found, lambda x: (F.char_length(x) >= 3) & ~F.lower(x).isin(*fixed.COMMON_WORDS))
+        elif family in ("qualified", "bare"):
+            found = F.filter(found, lambda x: ~F.lower(x).isin(*fixed.COMMON_WORDS, *fixed.SLOT_WORDS))
+        families.append(found)
+    return F.array_distinct(F.filter(F.concat(*families), lambda x: x != ""))
 
 
 def concepts(text: Column) -> Column:
-    """Lower-cased words that follow 'about', 'handle(s|d)' or 'how does'."""
-    families = ("(?:about|handles?|handled) ([a-z]{4,})", "how does ([a-z]{4,})")
-    found = F.flatten(F.array(*[F.regexp_extract_all(F.lower(text), F.lit(p), F.lit(1)) for p in families]))
-    return F.array_distinct(F.filter(found, lambda c: ~c.isin("this", "that", "these", "with")))
+    """Lower-cased themes of a question, without repeats."""
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) for pattern in fixed.CONCEPTS])
+    return F.array_distinct(F.filter(F.transform(found, F.lower), lambda c: ~c.isin(*fixed.COMMON_WORDS, *fixed.SLOT_WORDS)))
+
+
+def rule_pattern(pattern: str) -> str:
+    return pattern if pattern in fixed.NAMED_CASE else f"(?i){pattern}"
+
+
+def classify(question: Column) -> Column:
+    """(intent, confidence, needs_context) of a question: one pass over its text, without a join.
+
+    Weights of the rules that match add up by intent; the highest sum wins, on ties the intent
+    whose rules come first.  The confidence is its share of all sums.
+    """
+    text = F.regexp_replace(F.coalesce(question, F.lit("")), r"^\s+|\s+$", "")
+    weight = {i: F.lit(0) for i in dict.fromkeys(intent for intent, _, _ in fixed.RULES)}
+    for intent, points, pattern in fixed.RULES:
+        weight[intent] = weight[intent] + F.when(text.rlike(rule_pattern(pattern)), points).otherwise(0)
+    scores = F.array(*[F.struct(points.alias("score"), F.lit(-i).alias("order"), F.lit(intent).alias("intent")) for i, (intent, points) in enumerate(weight.items())])
+    # Wrapped in an array, so that the scores are computed once.
+    judged = F.transform(
+        F.array(scores),
+        lambda s: F.struct(F.array_max(s).alias("best"), F.aggregate(s, F.lit(0), lambda acc, x: acc + x["score"]).alias("total")),
+    )[0]
+    none = judged["total"] == 0
+    return F.struct(
+        F.when(none, F.lit(fixed.DEFAULT_INTENT)).otherwise(judged["best"]["intent"]).alias("intent"),
+        F.when(text == "", F.lit(0.0)).when(none, F.lit(fixed.GUESS)).otherwise(F.bround(judged["best"]["score"] / judged["total"], 3)).alias("confidence"),
+        text.rlike(fixed.PRONOUNS).alias("needs_context"),
+    )

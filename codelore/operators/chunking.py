@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -27,7 +28,7 @@ def character_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return kept.select(F.col("id").alias(id_col), (by_file - 1).cast("long").alias("chunk_index"), "start_line", (F.col("start_line") + newlines(F.col("piece"))).alias("end_line"), "content")
 
 
-_FUNCTIONS = ast.FunctionDef | ast.AsyncFunctionDef
+_FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
 def parse(source: str) -> ast.Module | None:
@@ -38,74 +39,106 @@ def parse(source: str) -> ast.Module | None:
         return None
 
 
-def _span(node: ast.AST, lines: list[str]) -> tuple[int, int]:
-    first = min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))])
+def _span(node: ast.AST) -> tuple[int, int]:
+    """First and last line of a statement, decorators included."""
+    return min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))]), node.end_lineno or node.lineno
+
+
+def _with_comments(lines: list[str], first: int) -> int:
+    """The first line of the comment block that stands directly above ``first``."""
     while first > 1 and lines[first - 2].lstrip().startswith("#"):
         first -= 1
-    return first, node.end_lineno
+    return first
+
+
+def _class_units(node: ast.ClassDef, lines: list[str], most: int) -> list[tuple[str, str, int, int]]:
+    start, end = _with_comments(lines, _span(node)[0]), node.end_lineno
+    spans = [(".".join((node.name, n.name)), *_span(n)) for n in node.body if isinstance(n, _FUNCTIONS)]
+    if not spans or sum(map(len, lines[start - 1 : end])) <= most:
+        return [("class", node.name, start, end)]
+    body, last = min(first for _, first, _ in spans), max(stop for _, _, stop in spans)
+    header = [("class", node.name, start, body - 1)] if body > start else []
+    methods = [("method", name, max(body, _with_comments(lines, first)), stop) for name, first, stop in spans]
+    return header + methods + ([("class", node.name, last + 1, end)] if end > last else [])
 
 
 def syntax_units(source: str, most: int = SIZE) -> list[tuple[str, str, int, int]] | None:
     """(type, symbol, start line, end line) of a Python file's units; None if it does not parse.
 
     Functions and classes are units; statements between them are grouped as ``module``.  A class
-    of more than ``most`` characters is split into its header, its methods, and what follows.
+    of more than ``most`` characters is split into its header, its methods, and what follows them.
     """
     if (tree := parse(source)) is None:
         return None
-    lines, units, loose = source.split("\n"), [], []
-
-    def close() -> None:
+    lines = source.splitlines(keepends=True)
+    units: list[tuple[str, str, int, int]] = []
+    for loose, run in groupby(tree.body, lambda n: not isinstance(n, (ast.ClassDef, *_FUNCTIONS))):
+        items = list(run)
         if loose:
-            units.append(("module", "", loose[0].lineno, loose[-1].end_lineno))
-            loose.clear()
-
-    for item in tree.body:
-        if isinstance(item, _FUNCTIONS):
-            close()
-            units.append(("function", item.name, *_span(item, lines)))
-        elif isinstance(item, ast.ClassDef):
-            close()
-            start, end = _span(item, lines)
-            methods = [n for n in item.body if isinstance(n, _FUNCTIONS)]
-            if not methods or sum(len(x) + 1 for x in lines[start - 1 : end]) <= most:
-                units.append(("class", item.name, start, end))
-                continue
-            at = start
-            for method in methods:
-                first, last = _span(method, lines)
-                if first > at:
-                    units.append(("class", item.name, at, first - 1))
-                units.append(("method", ".".join((item.name, method.name)), first, last))
-                at = last + 1
-            if at <= end:
-                units.append(("class", item.name, at, end))
-        else:
-            loose.append(item)
-    close()
+            units.append(("module", "", items[0].lineno, max(n.end_lineno for n in items)))
+            continue
+        for item in items:
+            if isinstance(item, ast.ClassDef):
+                units += _class_units(item, lines, most)
+            else:
+                first, last = _span(item)
+                units.append(("function", item.name, _with_comments(lines, first), last))
     return sorted(units, key=lambda u: u[2])
 
 
-def split_oversize(text: str, most: int = SIZE, shared: int = 2) -> list[tuple[int, int]]:
-    """(first, last) line offsets of pieces of a long unit, each overlapping the one before."""
-    lines = text.split("\n")
-    pieces, start = [], 0
-    while start < len(lines):
-        size, end = len(lines[start]), start + 1
-        while end < len(lines) and size + 1 + len(lines[end]) <= most:
-            size += 1 + len(lines[end])
-            end += 1
-        pieces.append((start, end - 1))
-        if end >= len(lines):
-            break
-        start = max(end - shared, start + 1)
+def split_oversize(sizes: list[int], most: int = SIZE, shared: int = 2) -> list[tuple[int, int]]:
+    """(first, last) places of pieces of a unit whose lines have ``sizes`` characters.
+
+    A unit of up to ``most`` characters is one piece.  Otherwise a piece ends with the line that
+    takes it to ``most`` and is at least two lines; the next begins ``shared`` lines back.  What
+    remains is a piece only if it holds a line that no piece has.
+    """
+    if sum(sizes) <= most:
+        return [(0, len(sizes) - 1)]
+    pieces, start, held = [], 0, 0
+    for at, size in enumerate(sizes):
+        held += size
+        if held >= most and at > start:
+            pieces.append((start, at))
+            start = max(start + 1, at - shared + 1)
+            held = sum(sizes[start : at + 1])
+    if not pieces or pieces[-1][1] < len(sizes) - 1:
+        pieces.append((start, len(sizes) - 1))
     return pieces
 
 
-def python_units(df: DataFrame, path_col: str = "path", content_col: str = "content", most: int = SIZE, least: int = LEAST) -> DataFrame:
+def python_chunks(source: str, most: int = SIZE, least: int = LEAST) -> list[tuple[str, str, int, int, str]]:
+    """(type, symbol, start line, end line, content) of a Python file's chunks.
+
+    A file that does not parse, or gives no unit of ``least`` characters, has none.
+    """
+    lines, out = source.splitlines(keepends=True), []
+    for kind, symbol, start, end in syntax_units(source, most) or []:
+        for first, last in split_oversize([len(x) for x in lines[start - 1 : end]], most):
+            body = "".join(lines[start - 1 + first : start + last]).strip("\n")
+            if len(body.strip()) >= least:
+                out.append((kind, symbol, start + first, start + last, body))
+    return out
+
+
+def windows(source: str, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> list[tuple[str, str, int, int, str]]:
+    """The chunks of :func:`character_windows`, for a file that is in a Python worker already."""
+    text, out = source.strip(), []
+    for at in range(0, len(text), size - overlap):
+        piece = text[at : at + size]
+        if len(body := piece.strip()) >= least:
+            line = text.count("\n", 0, at) + 1
+            out.append(("block", "", line, line + piece.count("\n"), body))
+    return out
+
+
+_CHUNK = "path string, chunk_index long, chunk_type string, symbol string, start_line long, end_line long, content string"
+
+
+def python_units(df: DataFrame, path_col: str = "path", content_col: str = "content", most: int = SIZE, least: int = LEAST, fall_back: bool = False) -> DataFrame:
     """(path, chunk_index, chunk_type, symbol, start_line, end_line, content) of Python files.
 
-    Files that do not parse, or give no unit, have no rows; use character windows for them.
+    Files without syntax units have no rows, or character windows with ``fall_back``.
     """
     schema = pa.schema([("path", pa.string()), ("chunk_index", pa.int64()), ("chunk_type", pa.string()), ("symbol", pa.string()), ("start_line", pa.int64()), ("end_line", pa.int64()), ("content", pa.string())])
 
@@ -113,15 +146,27 @@ def python_units(df: DataFrame, path_col: str = "path", content_col: str = "cont
         for b in batches:
             rows = []
             for path, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                lines, n = (source or "").split("\n"), 0
-                for kind, symbol, start, end in syntax_units(source or "", most) or []:
-                    unit = "\n".join(lines[start - 1 : end])
-                    for first, last in split_oversize(unit, most) if len(unit) > most else [(0, end - start)]:
-                        body = "\n".join(lines[start - 1 + first : start + last])
-                        if len(body.strip()) >= least:
-                            rows.append((path, n, kind, symbol, start + first, start + last, body))
-                            n += 1
+                found = python_chunks(source or "", most, least) or (windows(source or "", most, OVERLAP, least) if fall_back else [])
+                rows += [(path, n, *chunk) for n, chunk in enumerate(found)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return df.select(path_col, content_col).mapInArrow(run, "path string, chunk_index long, chunk_type string, symbol string, start_line long, end_line long, content string")
+    return df.select(path_col, content_col).mapInArrow(run, _CHUNK)
+
+
+def chunk_files(files: DataFrame) -> DataFrame:
+    """The chunks of parsed files (repository, language, file_name, relative_path, extension,
+    file_hash, content) of one or more repositories.
+
+    Python is cut along its syntax, or into windows where that gives nothing; other languages are
+    cut into windows by column expressions.
+    """
+    keyed = files.withColumn("_file", F.to_json(F.struct("repository", "relative_path")))
+    # null-safe: a file without a language is not Python
+    python = F.coalesce(F.col("language") == "python", F.lit(False))
+    by_syntax = python_units(keyed.where(python), "_file", fall_back=True)
+    blocks = character_windows(keyed.where(~python), "_file", "content").select(
+        F.col("_file").alias("path"), "chunk_index", F.lit("block").alias("chunk_type"), F.lit("").alias("symbol"), "start_line", "end_line", "content"
+    )
+    chunks = by_syntax.unionByName(blocks).withColumnRenamed("path", "_file")
+    return keyed.drop("content").join(chunks, "_file").select(*[c for c in files.columns if c != "content"], "chunk_index", "chunk_type", "symbol", "start_line", "end_line", "content")

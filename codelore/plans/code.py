@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codelore.operators import chunking, graph, pycode
+from codelore.operators import chunking, graph, othercode, pycode
 from codelore.plans.shared import Registry, table
 from codelore.streaming import events
 
@@ -36,6 +36,40 @@ def py_symbols(spark: SparkSession, d: str) -> DataFrame:
     return found.select("path", "s.name", "s.kind", "s.start_line", "s.end_line")
 
 
+SNIPPETS = [
+    ("web", "app.ts", "typescript", "import { go } from './lib/go';\nexport default class App extends Base {}\nexport async function start() {}\n"),
+    ("web", "Box.java", "java", "import java.util.List;\npublic final class Box {}\ninterface Lid {}\n"),
+    ("web", "run.go", "go", "import \"fmt\"\nfunc (b *Box) Run() {}\n"),
+    ("web", "lib.rs", "rust", "use std::io;\npub fn open() {}\npub enum Kind { A }\n"),
+    ("web", "x.css", "css", "a { }\n"),
+]
+
+
+def _snippets(spark: SparkSession) -> DataFrame:
+    return othercode.analyse(spark.createDataFrame(SNIPPETS, "repository string, path string, language string, content string"))
+
+
+def _expected(names: str, rows: list[tuple]) -> str:
+    return f"select * from (values {', '.join(str(r) for r in rows)}) v({names})"
+
+
+#: The expected rows are stated, as the patterns are not SQL.
+@R.frame("code_imports", _expected("path, module, line", [("app.ts", "./lib/go", 1), ("Box.java", "java.util.List", 1), ("run.go", "fmt", 1), ("lib.rs", "std::io", 1)]))
+def code_imports(spark: SparkSession, d: str) -> DataFrame:
+    return _snippets(spark).select("path", F.explode("imports").alias("i")).select("path", "i.module", F.col("i.line").cast("int").alias("line"))
+
+
+@R.frame(
+    "code_symbols",
+    _expected(
+        "path, kind, name, line",
+        [("app.ts", "class", "App", 1), ("app.ts", "function", "start", 2), ("Box.java", "class", "Box", 1), ("Box.java", "class", "Lid", 2), ("run.go", "function", "Run", 1), ("lib.rs", "function", "open", 1), ("lib.rs", "function", "Kind", 2)],
+    ),
+)
+def code_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return _snippets(spark).select("path", F.explode("symbols").alias("s")).select("path", "s.kind", "s.name", F.col("s.line").cast("int").alias("line"))
+
+
 @R.frame("import_resolve")
 def import_resolve(spark: SparkSession, d: str) -> DataFrame:
     return _edges(spark, "IMPORTS")
@@ -57,8 +91,8 @@ def _edges(spark: SparkSession, *kinds: str) -> DataFrame:
 
 @R.frame("oversize_split")
 def oversize_split(spark: SparkSession, d: str) -> DataFrame:
-    text = "\n".join(f"line {i} of a unit that is too long" for i in range(200))
-    return spark.createDataFrame([(a, b) for a, b in chunking.split_oversize(text)], "first long, last long")
+    sizes = [len(f"line {i} of a unit that is too long\n") for i in range(200)]
+    return spark.createDataFrame([(a, b) for a, b in chunking.split_oversize(sizes)], "first long, last long")
 
 
 @R.frame("c3_mro")

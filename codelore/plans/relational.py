@@ -37,7 +37,7 @@ R.sql(
     "select event_id, user_id, case when json_extract_string(props, '$.k') is not null then 1 else 0 end as known from {events}",
 )
 R.sql("source_projection", "select doc_id as id, concat(source, '/', lang) as title, round(cast(n_chars as double) / cast(1000 as double), 4) as score from {documents}")
-SKIP = """case when text is null or trim(text) = '' then 'blank' when n_chars > 20000 then 'too_large'
+SKIP = """case when text is null or trim(text) = '' then 'empty' when n_chars > 20000 then 'too_large'
   when source in ('src18', 'src19') then 'ignored_directory' when lang not in ('en', 'fr', 'de') then 'unsupported_extension' end"""
 R.sql("file_skip_reason", f"select doc_id, {SKIP} as skip_reason from {{documents}}")
 R.sql("skip_histogram", f"select coalesce(r, 'kept') as reason, count(*) as files from (select {SKIP} as r from {{documents}}) group by coalesce(r, 'kept')")
@@ -226,12 +226,12 @@ R.sql(
     """with c as (select c_custkey, c_mktsegment, c_acctbal, count(*) over () as total from {customer} where c_nationkey = 1)
     select c_custkey, total, total > 120 as truncated from c order by case c_mktsegment when 'BUILDING' then 0 when 'MACHINERY' then 1 else 9 end, c_acctbal desc, c_custkey limit 120""",
 )
-STRUCTURAL = "select id, degree from (select l_partkey as id, count(*) as degree from (select distinct l_suppkey, l_partkey from {lineitem}) group by l_partkey having count(*) >= 3) order by degree desc, id limit 20"
+STRUCTURAL = "select id, degree from (select l_partkey as id, count(*) as degree from (select distinct l_suppkey, l_partkey from {lineitem}) group by l_partkey having count(*) >= 3) order by degree desc, id limit 8"
 R.sql("hotspot_structural", f"select h.id, h.degree from ({STRUCTURAL}) h join {{part}} p on h.id = p.p_partkey where p.p_size <= 25")
-CHURN = "select l_partkey as id, count(distinct l_orderkey) as commits from {lineitem} where l_partkey in (select p_partkey from {part} where p_size <= 25) group by l_partkey having count(distinct l_orderkey) >= 3 order by commits desc, id limit 20"
+CHURN = "select l_partkey as id, count(distinct l_orderkey) as commits from {lineitem} where l_partkey in (select p_partkey from {part} where p_size <= 25) group by l_partkey having count(distinct l_orderkey) >= 3 order by commits desc, id limit 8"
 R.sql("hotspot_churn", f"select id, commits from ({CHURN})")
 LINES = "cast(length(text) - length(replace(text, chr(10), '')) + 1 as bigint)"
-COMPLEX = f"select doc_id, n from (select doc_id, {LINES} as n from {{documents}}) order by case when n > 40 then 0 else 1 end, n desc, doc_id limit 20"
+COMPLEX = f"select doc_id, n from (select doc_id, {LINES} as n from {{documents}}) order by case when n > 40 then 0 else 1 end, n desc, doc_id limit 8"
 R.sql("hotspot_complexity", f"select doc_id, n as line_count from ({COMPLEX}) where n > 0")
 R.sql(
     "hotspots_all",
@@ -239,7 +239,8 @@ R.sql(
     union all select 'complexity', doc_id, n from ({COMPLEX}) c""",
 )
 R.sql("line_count", f"select doc_id, {LINES} as line_count from {{documents}}")
-R.sql("complexity_band", f"select band, count(*) as files from (select case when n > 60 then 'high' when n > 12 then 'medium' else 'low' end as band from (select {LINES} as n from {{documents}})) group by band")
+#: Every line of a document stands for a symbol.
+R.sql("complexity_band", f"select band, count(*) as files from (select case when n > 600 or n > 40 then 'high' when n > 200 or n > 12 then 'medium' else 'low' end as band from (select {LINES} as n from {{documents}})) group by band")
 R.sql(
     "knowledge_rank",
     """with e as (select distinct l_suppkey as s, l_partkey as t from {lineitem}), d as (

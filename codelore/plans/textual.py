@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codelore.functions import paths, text as T
+from codelore.functions import fixed, paths, text as T
 from codelore.operators import chunking, graph, retrieval
 from codelore.plans.shared import Registry, spread, table
 
@@ -39,7 +39,7 @@ def tokenize_stop(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
-@R.frame("tokenize_path", f"select page_id, array_to_string({_duck_tokens("regexp_replace(url, '[.][^./]*$', '')")}, ' ') as tokens from {{pages}}")
+@R.frame("tokenize_path", f"select page_id, array_to_string({_duck_tokens("regexp_replace(url, '[.][A-Za-z0-9]+$', '')")}, ' ') as tokens from {{pages}}")
 def tokenize_path(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.array_join(T.path_tokens(F.col("url")), " ").alias("tokens"))
 
@@ -72,7 +72,7 @@ def term_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 # literal tables
-PATHS = ["main.py", "src/core/app.py", "src/x.py", "tests/test_a.py", "docs/guide.md", "lib/a/b/c.go", "examples/run.py", "scripts/build.sh", "a/b/c.tsx", "test_top.py", "pkg/api/routes.ts", "src//double/y.py", "tools/cli.py", "a/wsgi.py", "deep/er/Server.JS", "noext"]
+PATHS = ["main.py", "src/core/app.py", "src/x.py", "tests/test_a.py", "docs/guide.md", "lib/a/b/c.go", "examples/run.py", "scripts/build.sh", "a/b/c.tsx", "test_top.py", "pkg/api/routes.ts", "src//double/y.py", "tools/cli.py", "a/wsgi.py", "deep/er/Server.JS", "noext", "docs_src/tutorial/a.py", "Pkg/net/dial.go", "a/testing/b.py", "x_test.py", ".hidden", "web/Handlers/h.ts", "notes.md", "trailing."]
 
 
 def _values(names: str, rows: list[tuple]) -> str:
@@ -91,14 +91,19 @@ def _path_query(name: str, expression, duck: str) -> None:
         return _literal(spark, "path", [(p,) for p in PATHS]).select("path", expression(F.col("path")).alias("value"))
 
 
-_path_query("path_role", paths.role, "case when regexp_matches(lower(path), '(^|/)tests?/|(^|/)test_|_test[.]') then 'test' when regexp_matches(lower(path), '(^|/)examples?/|(^|/)demos?/') then 'example' when regexp_matches(lower(path), '(^|/)docs?/|[.]md$') then 'documentation' else 'implementation' end")
-_path_query("path_prior", paths.prior, "least(case when regexp_matches(lower(path), '(^|/)tests?/') then 0.55::double else 1.0 end, case when regexp_matches(lower(path), '(^|/)(docs|examples)') then 0.55::double else 1.0 end, case when regexp_matches(lower(path), '(^|/)(scripts|tools|benchmarks)/') then 0.80::double else 1.0 end, case when regexp_matches(lower(path), '^test_|_test[.]') then 0.60::double else 1.0 end)")
+def _duck_case(pairs, subject: str, otherwise: str) -> str:
+    arms = " ".join(f"when regexp_matches({subject}, '{pattern}') then {value}" for pattern, value in pairs)
+    return f"case {arms} else {otherwise} end"
+
+
+_path_query("path_role", paths.role, _duck_case([(p, f"'{v}'") for p, v in fixed.ROLES], "lower(path)", "'implementation'"))
+_path_query("path_prior", paths.prior, f"least({', '.join(_duck_case([(p, f'{v}::double')], 'lower(path)', '1.0::double') for p, v in fixed.PRIORS)})")
 _SEGMENTS = "list_filter(string_split(path, '/'), lambda p: p <> '')"
-_ROOTS = ", ".join(f"'{r}'" for r in paths.SOURCE_ROOTS)
-_path_query("module_of", paths.module_of, f"case when len({_SEGMENTS}) <= 1 then '(root)' when {_SEGMENTS}[1] in ({_ROOTS}) and len({_SEGMENTS}) > 2 then array_to_string({_SEGMENTS}[1:2], '/') else {_SEGMENTS}[1] end")
-_path_query("entry_label", paths.entry_label, "case when regexp_matches(path, '(?i)(^|/)(main|__main__|app|server|index)[.][a-z]+$') then 'entry point' when regexp_matches(path, '(?i)(^|/)(cli|manage|run)[.][a-z]+$') then 'command line' when regexp_matches(path, '(?i)(^|/)(routes?|urls|views|api)(/|[.])') then 'routes' when regexp_matches(path, '(?i)(^|/)(wsgi|asgi)[.]py$') then 'server gateway' else '' end")
+_ROOTS = ", ".join(f"'{r}'" for r in fixed.SOURCE_ROOTS)
+_path_query("module_of", paths.module_of, f"case when len({_SEGMENTS}) <= 1 then '(root)' when lower({_SEGMENTS}[1]) in ({_ROOTS}) and len({_SEGMENTS}) > 2 then array_to_string({_SEGMENTS}[1:2], '/') else {_SEGMENTS}[1] end")
+_path_query("entry_label", paths.entry_label, _duck_case([(p, f"'{v}'") for p, v in fixed.ENTRIES], "path", f"'{fixed.NO_ENTRY}'"))
 _path_query("language_of", paths.language, "''")
-ORACLES["language_of"] = f"select path, coalesce(e.lang, 'unknown') as value from {_values('path', [(p,) for p in PATHS])} left join {_values('ext, lang', list(paths.LANGUAGES.items())).replace(') v(', ') e(')} on e.ext = lower(regexp_extract(regexp_extract(path, '[^/]*$'), '[.]([^.]*)$', 1))"
+ORACLES["language_of"] = f"select path, coalesce(e.lang, 'unknown') as value from {_values('path', [(p,) for p in PATHS])} left join {_values('ext, lang', list(fixed.LANGUAGES.items())).replace(') v(', ') e(')} on e.ext = lower(regexp_extract(regexp_extract(path, '[^/]*$'), '^.+[.]([^.]+)$', 1))"
 
 
 @R.frame("path_parts", f"select path, regexp_extract(path, '[^/]*$') as base, case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '' end as directory, regexp_replace(regexp_extract(path, '[^/]*$'), '[.][^.]*$', '') as stem from {_values('path', [(p,) for p in PATHS])}")
@@ -107,8 +112,7 @@ def path_parts(spark: SparkSession, d: str) -> DataFrame:
     return _literal(spark, "path", [(x,) for x in PATHS]).select("path", paths.basename(p).alias("base"), paths.directory(p).alias("directory"), paths.stem(p).alias("stem"))
 
 
-NAMES = ["flask", "my repo!", "a", "x..y", "10.0.0.1", "Owner/Project", "ok_name-1", "-lead", "é accent", "a" * 80]
-_LEGAL = "regexp_matches(name, '^[A-Za-z0-9][A-Za-z0-9._-]{1,61}[A-Za-z0-9]$') and not contains(name, '..') and not regexp_matches(name, '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$')"
+NAMES = ["flask", "my repo!", "a", "x..y", "10.0.0.1", "Owner/Project", "ok_name-1", "-lead", "é accent", "a" * 80, " padded ", "!!!", "1000.2.3.4"]
 
 
 @R.frame("collection_name")
@@ -116,33 +120,45 @@ def collection_name(spark: SparkSession, d: str) -> DataFrame:
     return _literal(spark, "name", [(x,) for x in NAMES]).select("name", paths.collection_name(F.col("name")).alias("collection"))
 
 
-ORACLES["collection_name"] = f"select name, case when {_LEGAL} then name else 'repo-' || substr(regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40) || '-' || substr(sha1(name), 1, 8) end as collection from {_values('name', [(x,) for x in NAMES])}"
+_LEGAL = "regexp_matches(n, '^[a-zA-Z0-9][a-zA-Z0-9._-]{1,61}[a-zA-Z0-9]$') and not contains(n, '..') and not regexp_matches(n, '^[0-9]{1,3}([.][0-9]{1,3}){3}$')"
+_SLUG = "substr(regexp_replace(regexp_replace(n, '[^a-zA-Z0-9._-]', '-', 'g'), '^[._-]+|[._-]+$', '', 'g'), 1, 40)"
+ORACLES["collection_name"] = f"select name, case when {_LEGAL} then n else 'repo-' || coalesce(nullif({_SLUG}, ''), 'repo') || '-' || substr(sha1(n), 1, 8) end as collection from (select name, trim(name) as n from {_values('name', [(x,) for x in NAMES])})"
 
-URLS = ["https://github.com/a/b", "https://www.github.com/a/b.git", "https://github.com/a-b/c_d/", "http://github.com/a/b", "https://gitlab.com/a/b", "https://github.com/a", "https://github.com/a/b/c", "https://github.com/a/b?x=1", "https://u:p@github.com/a/b", "https://github.com:8443/a/b", "https://github.com/-a/b", "https://github.com/.a/b", "https://github.com/a/..", "git@github.com:a/b"]
+URLS = [
+    "https://github.com/a/b", "https://www.github.com/a/b.git", "https://github.com/a-b/c_d/", "http://github.com/a/b", "https://gitlab.com/a/b", "https://github.com/a", "https://github.com/a/b/c", "https://github.com/a/b?x=1",
+    "https://u:p@github.com/a/b", "https://github.com:8443/a/b", "https://github.com/-a/b", "https://github.com/.a/b", "https://github.com/a/..", "git@github.com:a/b", " https://GitHub.com/a/b.c ", "https://github.com//a//b//", "https://github.com/a/b#f", "https://github.com/a/b c",
+]
 
 
 @R.frame("url_validate")
 def url_validate(spark: SparkSession, d: str) -> DataFrame:
-    return _literal(spark, "url", [(x,) for x in URLS]).select("url", paths.valid_repository_url(F.col("url")).alias("accepted"))
+    return _literal(spark, "url", [(x,) for x in URLS]).select("url", paths.valid_repository_url(F.col("url")).alias("accepted"), paths.repository_name(F.col("url")).alias("name"))
 
 
-ORACLES["url_validate"] = f"select url, regexp_matches(url, '^https://(www[.])?github[.]com/[A-Za-z0-9_][A-Za-z0-9_.-]*/[A-Za-z0-9_][A-Za-z0-9_.-]*/?$') and not contains(url, '..') as accepted from {_values('url', [(x,) for x in URLS])}"
+ORACLES["url_validate"] = f"select url, regexp_matches(trim(url), '{paths.REPOSITORY_URL}') as accepted, regexp_extract(trim(url), '{paths.REPOSITORY_URL}', 2) as name from {_values('url', [(x,) for x in URLS])}"
 
-THOUGHTS = ["<think>plan</think> answer", "a <THINK>x\ny</THINK> b", "cut <think>never ends", "plain", " <think></think> "]
+THOUGHTS = ["<think>plan</think> answer", "a <THINK>x\ny</THINK> b", "cut <think>never ends", "plain", " <think></think> ", "a </think> b <think>c", "<THINK>open"]
 
 
-@R.frame("strip_reasoning", f"select t, trim(regexp_replace(regexp_replace(t, '(?is)<think>.*?</think>', '', 'g'), '(?is)<think>.*', '')) as answer from {_values('t', [(x,) for x in THOUGHTS])}")
+@R.frame("strip_reasoning")
 def strip_reasoning(spark: SparkSession, d: str) -> DataFrame:
     return _literal(spark, "t", [(x,) for x in THOUGHTS]).select("t", T.strip_reasoning(F.col("t")).alias("answer"))
 
 
+ORACLES["strip_reasoning"] = f"""select t, regexp_replace(case when contains(c, '<think>') and not contains(c, '</think>') then string_split(c, '<think>')[1] else c end, '^\\s+|\\s+$', '', 'g') as answer
+  from (select t, regexp_replace(t, '(?is)<think>.*?</think>\\s*', '', 'g') as c from {_values('t', [(x,) for x in THOUGHTS])})"""
+
+
 @R.frame("relevance_score", f"select id, case when d < 0 then 0.0::double else round(1 / (1 + d::double), 6) end as score from {_values('id, d', [(1, 0), (2, 1), (3, 3), (4, -1)])}")
 def relevance_score(spark: SparkSession, d: str) -> DataFrame:
     return _literal(spark, "id, d", [(1, 0), (2, 1), (3, 3), (4, -1)]).select("id", F.round(T.relevance(F.col("d").cast("double")), 6).alias("score"))
 
 
 #: A token whose shape is a credential; it is made up.
-SAMPLES = ["key AKIA" + "ABCDEFGHIJKLMNOP", "password = 'changeme'", "db_password = 'correct horse battery'", "https://me:pw123456@host/x", "api_key=\"${SECRET}\"", "plain text", "token ghp_" + "a1" * 20, "auth_token: 'abcdefgh1'"]
+SAMPLES = [
+    "key AKIA" + "ABCDEFGHIJKLMNOP", "password = 'changeme'", "db_password = 'correct horse battery'", "https://me:pw123456@host/x", "api_key=\"${SECRET}\"", "plain text", "token ghp_" + "a1" * 20,
+    "auth_token: 'abcdefgh1'", "API_KEY = \"sk-" + "ant-" + "x1" * 12 + "\"", "password = compute(value)", "client-secret: 'os.getenv(1)'", "secret = 'short'",
+]
 
 
 @R.frame("redact_patterns")
@@ -159,20 +175,30 @@ def redact_documents(spark: SparkSession, d: str) -> DataFrame:
 
 QUESTIONS = [
     (1, "Where is `UserService` defined?"), (2, "How does authentication work?"), (3, "What depends on app/core/db.py?"), (4, "Show the history of user_service"), (5, "Which files are the most complex?"),
-    (6, "Explain the architecture"), (7, "What calls parse_file()?"), (8, ""), (9, "hello there"), (10, "Delete the database module"), (11, "what changed in version 2 of flask.app"),
-]
-#: (order, intent, weight, pattern without look-around); the first rule wins ties.
-RULES = [
-    (0, "readonly", 5, "delete|remove|rewrite|refactor"), (1, "history", 3, "history|changed|commit|release"), (2, "dependencies", 3, "depends|imports|calls|uses"), (3, "architecture", 3, "architecture|overview|structure"),
-    (4, "hotspots", 3, "complex|hotspot|risky|churn"), (5, "search", 2, "where|find|locate"), (6, "flow", 2, "flow|start|entry"), (7, "explain", 1, "explain|how|what"), (8, "file", 1, "[.]py|file"),
+    (6, "Explain the architecture"), (7, "What calls parse_file()?"), (8, ""), (9, "hello there"), (10, "Refactor the database module"), (11, "what changed in version 2 of flask.app"), (12, "How does a request flow through the system?"),
+    (13, "Show me everything related to authentication"), (14, "Explain the indexing file and the class AuthService"), (15, "Tell me about the service layer, the caching layer and APIRouter.include_router"), (16, "Create tests for this function"),
+    (17, "why"), (18, "What is in this repository?"), (19, "Where can I find module app.rag.parser or Settings.PY?"), (20, "function called build_context in the main module"),
 ]
-_INTENT = f"""with q as (select * from {_values('id, question', QUESTIONS)}), r as (select * from {_values('o, intent, weight, pattern', RULES).replace(') v(', ') r(')}),
-  hits as (select q.id, r.intent, sum(r.weight) as score, min(r.o) as o from q join r on MATCH(lower(q.question), r.pattern) group by q.id, r.intent),
+
+
+@R.frame("intent_score")
+def intent_score(spark: SparkSession, d: str) -> DataFrame:
+    return _literal(spark, "id, question", QUESTIONS).select("id", T.classify(F.col("question")).alias("c")).select("id", "c.*")
+
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+_ASKED = _values("id, question", QUESTIONS)
+_RULES = _values("o, intent, weight, pattern", [(i, intent, weight, T.rule_pattern(pattern)) for i, (intent, weight, pattern) in enumerate(fixed.RULES)]).replace(") v(", ") r(")
+ORACLES["intent_score"] = f"""with q as (select * from {_ASKED}), r as (select * from {_RULES}),
+  hits as (select q.id, r.intent, sum(r.weight) as score, min(r.o) as o from q join r on regexp_matches(q.question, r.pattern) group by q.id, r.intent),
   best as (select *, row_number() over (partition by id order by score desc, o) as n, sum(score) over (partition by id) as total from hits)
-  select q.id, case when b.id is null then 'explanation' else b.intent end as intent,
-    case when trim(q.question) = '' then cast(0 as double) when b.id is null then cast(0.2 as double) else round(cast(b.score as double) / cast(b.total as double), 3) end as confidence
+  select q.id, case when b.id is null then '{fixed.DEFAULT_INTENT}' else b.intent end as intent,
+    case when trim(q.question) = '' then 0.0::double when b.id is null then {fixed.GUESS}::double else round_even(b.score::double / b.total::double, 3) end as confidence,
+    regexp_matches(q.question, '{_quoted(fixed.PRONOUNS)}') as needs_context
   from q left join best b on b.id = q.id and b.n = 1"""
-R.sql("intent_score", _INTENT.replace("MATCH", "regexp_like"), _INTENT.replace("MATCH", "regexp_matches"))
 
 
 @R.frame("extract_mentions")
@@ -180,22 +206,28 @@ def extract_mentions(spark: SparkSession, d: str) -> DataFrame:
     return _literal(spark, "id, question", QUESTIONS).select("id", F.array_join(T.mentions(F.col("question")), ",").alias("mentions"))
 
 
-_families = ", ".join("regexp_extract_all(question, '{}', 1)".format(p.replace("'", "''")) for p in T.MENTIONS)
+def _duck_family(family: str, pattern: str) -> str:
+    found = f"regexp_extract_all(question, '{_quoted(pattern)}', 1)"
+    common, slots = (", ".join(f"'{w}'" for w in words) for words in (fixed.COMMON_WORDS, fixed.SLOT_WORDS))
+    if family == "qualified":
+        other = f"regexp_extract_all(question, '{_quoted(pattern)}', 2)"
+        found = f"list_transform(range(1, len({found}) + 1), lambda i: case when {found}[i] <> '' then {found}[i] else {other}[i] end)"
+    if family == "symbol":
+        return f"list_filter({found}, lambda x: len(x) >= 3 and lower(x) not in ({common}))"
+    return f"list_filter({found}, lambda x: lower(x) not in ({common}, {slots}))" if family in ("qualified", "bare") else found
+
+
 #: list_distinct does not keep order in DuckDB, so first places are looked up.
-ORACLES["extract_mentions"] = f"""with q as (select id, flatten([{_families}]) as m from {_values('id, question', QUESTIONS)})
-  select id, coalesce(array_to_string(list_transform(list_filter(range(1, len(m) + 1), lambda i: list_position(m, m[i]) = i), lambda i: m[i]), ','), '') as mentions from q"""
+_FIRST = "coalesce(array_to_string(list_transform(list_filter(range(1, len(m) + 1), lambda i: list_position(m, m[i]) = i), lambda i: m[i]), ','), '')"
+ORACLES["extract_mentions"] = f"with q as (select id, flatten([{', '.join(_duck_family(f, p) for f, p in fixed.MENTIONS)}]) as m from {_ASKED}) select id, {_FIRST} as mentions from q"
 
 
-@R.frame(
-    "extract_concepts",
-    f"""with q as (select id, flatten([regexp_extract_all(lower(question), '(?:about|handles?|handled) ([a-z]{{{{4,}}}})', 1), regexp_extract_all(lower(question), 'how does ([a-z]{{{{4,}}}})', 1)]) as c from {_values('id, question', QUESTIONS)})
-    select id, array_to_string(list_filter(c, lambda x: x not in ('this', 'that', 'these', 'with')), ',') as concepts from q""",
-)
+@R.frame("extract_concepts")
 def extract_concepts(spark: SparkSession, d: str) -> DataFrame:
     return _literal(spark, "id, question", QUESTIONS).select("id", F.array_join(T.concepts(F.col("question")), ",").alias("concepts"))
 
 
-ORACLES["extract_concepts"] = ORACLES["extract_concepts"].replace("{{", "{").replace("}}", "}")
+ORACLES["extract_concepts"] = f"with q as (select id, flatten([{', '.join(_duck_family('bare', p) for p in fixed.CONCEPTS)}]) as c from {_ASKED}), l as (select id, list_transform(c, lambda x: lower(x)) as m from q) select id, {_FIRST} as concepts from l"
 
 LOG = ["a1\x1fAnn\x1f1700000000\x1fp1\x1ffirst", "b2\x1fBob\x1f1700000100\x1fp1 p2\x1fmerge", "bad\x1fno time", "c3\x1fCy\x1fx\x1f\x1fno int"]
 

@@ -4,44 +4,44 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from codelore.functions import paths
+from codelore.functions import fixed, paths
 from codelore.functions.text import content_hash
 
-PRUNED = tuple(
-    ".cache .eggs .git .gradle .hg .idea .mypy_cache .next .pytest_cache .ruff_cache .svn .tox .venv .vscode __pycache__ bin build coverage "
-    "dist env htmlcov node_modules obj out site-packages target vendor venv".split()
-)
-MOST_BYTES = 1_000_000
-IGNORED_NAMES = ("package-lock.json", "yarn.lock", "poetry.lock", "pnpm-lock.yaml", "cargo.lock", "license", "changelog.md", "readme.md")
-GENERATED = tuple("_pb2.py .g.cs .lock .map .min.css .min.js".split())
-IGNORED_EXTENSIONS = ("png", "jpg", "gif", "pdf", "zip", "gz", "parquet", "csv", "ico", "woff", "woff2", "so", "dll", "exe", "pyc")
+#: Files of a repository that one task reads.
+FILES_AT_ONCE = 256
 
 
 def pruned(path: Column) -> Column:
     """Whether a relative path lies in a directory that is never descended into."""
     folders = F.slice(F.split(F.lower(path), "/"), F.lit(1), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
-    return F.arrays_overlap(folders, F.array(*[F.lit(p) for p in PRUNED]))
+    return F.arrays_overlap(folders, F.array(*[F.lit(p) for p in fixed.IGNORED_DIRECTORIES]))
 
 
 def skip_reason(path: Column, size: Column, content: Column) -> Column:
     """Why a file is not indexed (the first rule that holds), or null.  ``content`` is binary."""
     name, extension = F.lower(paths.basename(path)), paths.extension(path)
-    generated = name.endswith(GENERATED[0])
-    for suffix in GENERATED[1:]:
+    generated = F.lit(False)
+    for suffix in fixed.GENERATED_SUFFIXES:
         generated = generated | name.endswith(suffix)
+    stem = F.when(extension == "", name).otherwise(F.substring(name, F.lit(1), F.char_length(name) - F.char_length(extension) - 1))
+    # Bytes that are not UTF-8 are dropped from texts, so they do not make a file less empty.
+    printed = F.regexp_replace(content.cast("string"), r"(?U)[\s\x1c-\x1f\ufffd]+", "")
     return (
-        F.when(name.isin(*IGNORED_NAMES), "ignored_filename")
-        .when(generated, "generated")
-        .when(extension.isin(*IGNORED_EXTENSIONS), "ignored_extension")
-        .when(~extension.isin(*paths.LANGUAGES), "unsupported_extension")
-        .when(size > MOST_BYTES, "too_large")
+        F.when(name.isin(*fixed.IGNORED_FILENAMES), "ignored_filename")
+        .when(generated, "generated_file")
+        .when(stem.isin(*fixed.IGNORED_STEMS), "ignored_stem")
+        .when(extension.isin(*fixed.IGNORED_EXTENSIONS), "ignored_extension")
+        .when(~extension.isin(*fixed.SUPPORTED_EXTENSIONS), "unsupported_extension")
+        .when(size > fixed.MOST_BYTES, "too_large")
         .when(content.isNull(), "read_error")
-        .when(F.hex(content).rlike("^(..)*?00"), "binary_content")
-        .when(F.length(F.regexp_replace(F.hex(content), "(?:09|0A|0B|0C|0D|20)", "")) == 0, "blank")
+        .when(F.contains(content, F.unhex(F.lit("00"))), "binary_content")
+        .when(printed == "", "empty")
     )
 
 
@@ -59,17 +59,67 @@ def lenient_text(df: DataFrame, column: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def scan(spark: SparkSession, root: str, repository: str) -> DataFrame:
-    """(repository, path, size, content, skip_reason) of the files below ``root`` that are not pruned.
+class RepositoryFiles(DataSource):
+    """``spark.read.format("repository").load(root)``: (path, size, content) of a checkout's files.
 
-    Listing is the engine's own and distributed; contents are read only where they are used.
+    The engine's own file listing leaves out names that begin with a point or an underscore, such
+    as ``__init__.py``.  Here directories are walked on the driver and ignored ones are never
+    descended into; contents are read by the tasks.  The checkout must be readable where they
+    run.  Content is null if the file is larger than is indexed or cannot be read.
     """
-    base = root.rstrip("/") + "/"
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    relative = F.regexp_replace("path", "^[a-z]+:/*", "/")
-    found = rows.select(F.lit(repository).alias("repository"), relative.alias("path"), F.col("length").alias("size"), "content")
-    inside = found.withColumn("path", F.substring("path", F.lit(len(os.path.abspath(base)) + 2), F.char_length("path")))
-    return inside.where(~pruned(F.col("path"))).withColumn("skip_reason", skip_reason(F.col("path"), F.col("size"), F.col("content")))
+
+    @classmethod
+    def name(cls) -> str:
+        return "repository"
+
+    def schema(self) -> str:
+        return "path string, size long, content binary"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Walk(self.options.get("path"))
+
+
+@dataclass
+class _Part(InputPartition):
+    paths: list[str]
+
+
+class _Walk(DataSourceReader):
+    def __init__(self, root: str) -> None:
+        self.root = root
+
+    def partitions(self) -> list[InputPartition]:
+        parts: list[InputPartition] = []
+        held: list[str] = []
+        if not os.path.isdir(self.root):
+            raise NotADirectoryError(self.root)
+        for folder, folders, names in os.walk(self.root):
+            folders[:] = sorted(f for f in folders if f.lower() not in fixed.IGNORED_DIRECTORIES)
+            for name in sorted(names):
+                held.append(os.path.relpath(os.path.join(folder, name), self.root))
+                if len(held) >= FILES_AT_ONCE:
+                    parts.append(_Part(held))
+                    held = []
+        return [*parts, _Part(held)] if held or not parts else parts
+
+    def read(self, partition):
+        for path in partition.paths:
+            whole, size, content = os.path.join(self.root, path), None, None
+            try:
+                size = os.stat(whole).st_size
+                if size <= fixed.MOST_BYTES:
+                    with open(whole, "rb") as file:
+                        content = file.read()
+            except OSError:
+                pass
+            yield path.replace(os.sep, "/"), size, content
+
+
+def scan(spark: SparkSession, root: str, repository: str) -> DataFrame:
+    """(repository, path, size, content, skip_reason) of the files below ``root`` that are not pruned."""
+    spark.dataSource.register(RepositoryFiles)
+    found = spark.read.format("repository").load(os.path.abspath(root)).select(F.lit(repository).alias("repository"), "path", "size", "content")
+    return found.withColumn("skip_reason", skip_reason(F.col("path"), F.col("size"), F.col("content")))
 
 
 def parsed(files: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 
-from codelore.operators import chunking, pycode
+from codelore.operators import chunking, othercode, pycode
 from codelore.plans import code
 
 
@@ -53,8 +53,47 @@ def test_units_cover_and_split():
     assert units[0] == ("module", "", 1, 2) and units[1] == ("function", "f", 4, 7)
     assert [u[1] for u in units if u[0] == "method"] == [f"C.m{i}" for i in range(40)]
     assert chunking.syntax_units("def (") is None
-    text = "\n".join("y" * 50 for _ in range(120))
-    pieces = chunking.split_oversize(text)
-    covered = {i for a, b in pieces for i in range(a, b + 1)}
-    assert covered == set(range(120)) and all(b - a >= 1 for a, b in pieces)
-    assert chunking.split_oversize("z" * 9000) == [(0, 0)]
+    sizes = [51] * 120
+    pieces = chunking.split_oversize(sizes)
+    assert {i for a, b in pieces for i in range(a, b + 1)} == set(range(120))
+    assert all(b > a for a, b in pieces) and all(c == b - 1 for (_, b), (c, _) in zip(pieces, pieces[1:]))
+    assert pieces[0] == (0, 39)  # the line that reaches the limit ends the piece
+    assert chunking.split_oversize([9000]) == [(0, 0)] and chunking.split_oversize([1500, 600]) == [(0, 1)]
+
+
+def test_class_comments_belong_to_their_method():
+    body = "".join(f"    # says {i}\n    @deco\n    def m{i}(self):\n        return '{'x' * 900}'\n\n" for i in range(3))
+    source = f"class C:\n    a = 1\n{body}    b = 2\n"
+    units = chunking.syntax_units(source)
+    assert [(k, n, s, e) for k, n, s, e in units] == [("class", "C", 1, 3), ("method", "C.m0", 4, 6), ("method", "C.m1", 8, 11), ("method", "C.m2", 13, 16), ("class", "C", 17, 18)]
+
+
+def test_chunk_files(spark):
+    code = "def first():\n    return 'a long enough body'\n"
+    rows = [("r", "python", "a.py", "a.py", ".py", "1", code), ("r", "python", "b.py", "b.py", ".py", "2", "def (: this does not parse at all"), ("r", "go", "c.go", "c.go", ".go", "3", "package main // " + "x" * 3000), ("s", None, "a.py", "a.py", "", "4", "some text without a language"), ("r", "python", "e.py", "e.py", ".py", "5", "")]
+    files = spark.createDataFrame(rows, "repository string, language string, file_name string, relative_path string, extension string, file_hash string, content string")
+    got = {(r.repository, r.relative_path, r.chunk_index): (r.chunk_type, r.symbol, r.start_line, r.end_line) for r in chunking.chunk_files(files).collect()}
+    assert got == {("r", "a.py", 0): ("function", "first", 1, 2), ("r", "b.py", 0): ("block", "", 1, 1), ("r", "c.go", 0): ("block", "", 1, 1), ("r", "c.go", 1): ("block", "", 1, 1), ("s", "a.py", 0): ("block", "", 1, 1)}
+
+
+OTHER = {
+    "javascript": ("import React from 'react';\nimport './side.css';\nconst fs = require('fs')\nexport default class App extends React.Component {}\nexport const go = async () => 1\nfunction stop() {}\n", {"react": 1, "./side.css": 1, "fs": 3}, {("class", "App", 3), ("function", "go", 4), ("function", "stop", 5)}),
+    "java": ("package a;\nimport java.util.List;\npublic final class Box {\n}\n", {"java.util.List": 1}, {("class", "Box", 2)}),
+    "go": ('package m\nimport "fmt"\nfunc (s *S) Run() {\n}\n', {"fmt": 1}, {("function", "Run", 2)}),
+    "rust": ("use std::io;\npub fn run() {}\nstruct S;\n", {"std::io": 1}, {("function", "run", 1), ("function", "S", 2)}),
+    "c": ("#include <stdio.h>\nint main() {}\n", {"stdio.h": 1}, set()),
+    "css": ("a { }", {}, set()),
+}
+
+
+def test_other_languages(spark):
+    rows = [("r", f"f.{language}", language, source) for language, (source, _, _) in OTHER.items()] + [("r", "null", "go", None)]
+    found = {r.path: r for r in othercode.analyse(spark.createDataFrame(rows, "repository string, path string, language string, content string")).collect()}
+    for language, (source, imports, symbols) in OTHER.items():
+        r = found[f"f.{language}"]
+        assert {i.module for i in r.imports} == set(imports), language
+        assert {(s.kind, s.name) for s in r.symbols} == {(k, n) for k, n, _ in symbols}, language
+        assert r.line_count == source.count("\n") + 1
+    react = next(s for s in found["f.javascript"].symbols if s.name == "App")
+    assert react.bases == ["React.Component"] and [i.line for i in found["f.javascript"].imports if i.module == "fs"] == [3]
+    assert found["null"].symbols == [] and found["null"].line_count == 1

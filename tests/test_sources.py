@@ -8,8 +8,8 @@ from codelore.streaming import events
 
 
 def test_scan_and_classify(spark, tmp_path):
-    kept = {"main.py": "print(1)\n", "web/app.ts": "let a = 1\r\n"}
-    skipped = {"yarn.lock": ("x", "ignored_filename"), "a.min.js": ("x", "generated"), "p.png": ("x", "ignored_extension"), "notes.txt": ("x", "unsupported_extension"), "blank.py": (" \n", "blank"), "nul.py": ("a\x00b", "binary_content")}
+    kept = {"main.py": "print(1)\n", "web/app.ts": "let a = 1\r\n", "web/__init__.py": "x = 1\n", "_private.py": "y = 2\n"}
+    skipped = {"yarn.lock": ("x", "ignored_filename"), "a.min.js": ("x", "generated_file"), "p.png": ("x", "ignored_extension"), "notes.txt": ("x", "unsupported_extension"), "blank.py": (" \n\u00a0", "empty"), "README.md": ("x", "ignored_stem"), "license": ("x", "ignored_stem"), "history.py": ("x", "ignored_stem"), ".gitignore": ("x", "ignored_filename"), "nul.py": ("a\x00b", "binary_content")}
     for name, text in [*kept.items(), *((n, t) for n, (t, _) in skipped.items()), ("node_modules/x.py", "1"), ("Build/y.py", "1")]:
         path = tmp_path / name
         os.makedirs(path.parent, exist_ok=True)
@@ -18,7 +18,7 @@ def test_scan_and_classify(spark, tmp_path):
     assert {r.path: r.skip_reason for r in found.select("path", "skip_reason").collect()} == {**{k: None for k in kept}, **{k: r for k, (_, r) in skipped.items()}}
     rows = {r.relative_path: r for r in files.parsed(found).collect()}
     assert rows["web/app.ts"].language == "typescript" and rows["main.py"].extension == ".py"
-    assert {r.reason: r.files for r in files.statistics(found).collect()}["kept"] == 2
+    assert {r.reason: r.files for r in files.statistics(found).collect()}["kept"] == 4
 
 
 def test_git_log(spark):
