@@ -5,6 +5,7 @@ Loops have a fixed, small number of rounds; callers that chain many should check
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 
@@ -63,22 +64,34 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def knowledge_subset(ranked: DataFrame, limit: int = 1500) -> DataFrame:
-    """Nodes kept by rank while their chains of containers fit into ``limit``.
+    """(repository, node): nodes kept by rank while their chains of containers fit into ``limit``.
 
     ``ranked`` has (repository, node, rank, chain), chain being the containers of the node.  A node
     whose chain would overflow is skipped and later ones are still tried, which is sequential, so
-    each repository's candidates go to one task after they are cut to the ``limit`` best ranked
-    (no node beyond can fit before those, as every node needs at least its own place).
+    a repository's nodes are read in rank order by one task.  They stream through it: the task
+    holds at most ``limit`` kept nodes, however many there are, and ties go by node.
     """
-    first = W.partitionBy("repository").orderBy("rank")
-    candidates = ranked.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= 4 * limit).drop("_n")
-
-    def pick(pdf):
-        kept: dict[str, None] = {}
-        for row in pdf.sort_values("rank").itertuples():
-            need = [x for x in [*row.chain, row.node] if x not in kept]
-            if len(kept) + len(need) <= limit:
-                kept.update(dict.fromkeys(need))
-        return pdf.iloc[:0][["repository", "node"]].reindex(range(len(kept))).assign(repository=pdf["repository"].iloc[0], node=list(kept))
-
-    return candidates.groupBy("repository").applyInPandas(pick, "repository string, node string")
+    dealt = ranked.select("repository", "rank", "node", "chain").repartition("repository").sortWithinPartitions("repository", "rank", "node")
+    kind = dealt.schema["repository"].dataType.simpleString()
+
+    def pick(batches):
+        here, kept = None, {}
+
+        def done():
+            if kept:
+                yield pa.RecordBatch.from_pydict({"repository": [here[0]] * len(kept), "node": list(kept)}, pa.schema([("repository", repository_type), ("node", pa.string())]))
+
+        repository_type = pa.string()
+        for b in batches:
+            repository_type = b.schema.field(0).type
+            for repository, node, chain in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if here != (repository,):
+                    yield from done()
+                    here, kept = (repository,), {}
+                if len(kept) < limit:
+                    need = dict.fromkeys(x for x in [*(chain or []), node] if x not in kept)
+                    if len(kept) + len(need) <= limit:
+                        kept.update(need)
+        yield from done()
+
+    return dealt.mapInArrow(pick, f"repository {kind}, node string")

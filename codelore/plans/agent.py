@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from codelore.plans.shared import Registry
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from codelore.functions import fixed, paths
+from codelore.operators import navigation
+from codelore.plans.shared import Registry, table
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -27,11 +31,65 @@ R.sql(
     select importer, target, path from hits where n = 1""",
 )
 
-_STATES = "(values (1, 'readonly', 'a.py', 3), (2, 'architecture', 'a.py', 0), (3, 'history', 'b.py', 0), (4, 'flow', '', 5), (5, 'search', 'c.py', 0), (6, 'search', '', 0), (7, 'hotspots', '', 2)) v(id, intent, code_path, nodes)"
-#: Where the explorer goes after an answer: refusals stay, then views, computed nodes, code.
-R.sql(
-    "navigation_target",
-    f"""select id, case when intent = 'readonly' then 'none' when intent in ('architecture', 'structure') then 'overview' when intent = 'history' then 'timeline'
-      when nodes > 0 then 'nodes' when code_path <> '' and intent in ('search', 'file', 'explain') then 'code' else 'none' end as view,
-      case when intent <> 'readonly' and nodes = 0 and intent in ('search', 'file', 'explain') then code_path else '' end as path from {_STATES}""",
+def _context(id: int, intent: str, nodes=(), seed=None, related=(), code=()) -> tuple:
+    return id, intent, "demo", list(nodes), seed, list(related), list(code)
+
+
+_FILE = ("demo::file::api/a.py", "file", "api/a.py", "a.py", "mention", "", "api")
+_METHOD = ("demo::method::C.run", "method", "C.run", "run", "explorer", "core/c.py", "core")
+_MODULE = ("demo::module::core", "module", "core", "core", "mention", None, None)
+_FOUND = ("demo::file::z.py", "file", "z.py", "z.py", "retrieval", "", "(root)")
+CONTEXTS = [
+    _context(1, "readonly_request", seed=_FILE), _context(2, "architecture_analysis"), _context(3, "structure_analysis"), _context(4, "git_history_analysis"), _context(5, "git_history_analysis", seed=_METHOD),
+    _context(6, "flow_analysis", nodes=["n1", "n2", "n3"]), _context(7, "hotspot_analysis", nodes=["n1"]), _context(8, "dependency_analysis", seed=_FILE, related=["r1", "r2"]), _context(9, "concept_analysis", seed=_METHOD, related=["r1"]),
+    _context(10, "code_explanation", seed=_MODULE), _context(11, "repository_search", seed=_FOUND, code=[("lib/x.py", "X")]), _context(12, "code_explanation", seed=_FOUND, code=[("lib/x.py", "X")]), _context(13, "file_analysis"), _context(14, "file_analysis", code=[("", "")]),
+    _context(15, "file_analysis", seed=_METHOD, related=[f"r{i}" for i in range(30)]),
+]
+
+#: Available, target, module, file, symbol, node, how many are related, focus, label, reason.
+TARGETS = [
+    (1, False, "", "", "", "", "", 0, "", "", "read-only refusal has no exploration target"),
+    (2, True, "architecture", "", "", "", "", 0, "expand", "Explore the architecture", ""),
+    (3, True, "repository", "", "", "", "", 0, "expand", "Explore demo", ""),
+    (4, True, "timeline", "", "", "", "", 0, "timeline", "Open the timeline", ""),
+    (5, True, "timeline", "core", "core/c.py", "", "demo::method::C.run", 0, "timeline", "See run on the timeline", ""),
+    (6, True, "graph_neighborhood", "", "", "", "n1", 2, "flow", "Explore this flow", ""),
+    (7, True, "graph_neighborhood", "", "", "", "n1", 0, "neighborhood", "Explore these files", ""),
+    (8, True, "file", "api", "api/a.py", "", "demo::file::api/a.py", 2, "neighborhood", "Explore what connects to a.py", ""),
+    (9, True, "graph_neighborhood", "core", "core/c.py", "run", "demo::method::C.run", 1, "neighborhood", "Explore what connects to run", ""),
+    (10, True, "module", "core", "", "", "demo::module::core", 0, "expand", "Explore core", ""),
+    (11, True, "file", "", "lib/x.py", "X", "demo::file::lib/x.py", 0, "center", "Explore x.py", ""),
+    (12, False, "", "", "", "", "", 0, "", "", "no structural subject and intent is not locational"),
+    (13, False, "", "", "", "", "", 0, "", "", "no retrieved code to point at"),
+    (14, False, "", "", "", "", "", 0, "", "", "top chunk has no path"),
+    (15, True, "symbol", "core", "core/c.py", "run", "demo::method::C.run", 20, "center", "Explore run", ""),
+]
+_COLUMNS = "id, available, target_type, module, file, symbol, node_id, related, focus_mode, label, reason"
+
+
+def _stated(row: tuple) -> str:
+    return "(" + ", ".join(str(x).lower() if isinstance(x, bool) else f"{x}::bigint" if isinstance(x, int) else f"'{x}'" for x in row) + ")"
+
+
+#: The expected targets are stated: the decision is a table of cases.
+@R.frame("navigation_target", f"select * from (values {', '.join(map(_stated, TARGETS))}) v({_COLUMNS})")
+def navigation_target(spark: SparkSession, d: str) -> DataFrame:
+    decided = navigation.decide(spark.createDataFrame(CONTEXTS, navigation.CONTEXT))
+    return decided.withColumn("related", F.size("related_node_ids").cast("long")).select(*_COLUMNS.split(", "))
+
+
+_GRADE = " ".join(f"when regexp_matches(url, '{pattern}') then {i}" for i, (pattern, _) in enumerate(fixed.ENTRIES))
+
+
+#: The page whose path looks most like an entry: the first pattern that any matches, then depth.
+@R.frame(
+    "entry_guess",
+    f"select page_id, url from (select page_id, url, row_number() over (order by case {_GRADE} else {len(fixed.ENTRIES)} end, length(url) - length(replace(url, '/', '')), length(url), url, page_id) as r from {{pages}}) where r = 1",
 )
+def entry_guess(spark: SparkSession, d: str) -> DataFrame:
+    url = F.col("url")
+    grade = F.coalesce(paths.entry_grade(url), F.lit(len(fixed.ENTRIES)))
+    slashes = F.char_length(url) - F.char_length(F.replace(url, F.lit("/"), F.lit("")))
+    # One aggregation with partial minima; no sort of the table.
+    best = table(spark, d, "pages").agg(F.min(F.struct(grade.alias("grade"), slashes.alias("depth"), F.char_length(url).alias("length"), "url", "page_id")).alias("b"))
+    return best.where("b is not null").select("b.page_id", "b.url")

@@ -254,7 +254,6 @@ R.sql(
     where lower(p_name) like '%ring%' order by grade, p_size, length(p_name), p_partkey limit 10""",
 )
 R.sql("find_rank", "select p_partkey, p_name from {part} where lower(p_name) like '%a%' order by case when lower(p_name) = 'a' then 0 when lower(p_name) like 'a%' then 1 else 2 end, length(p_name), p_partkey limit 30")
-R.sql("entry_guess", "select page_id, url from (select page_id, url, row_number() over (order by length(url) - length(replace(url, '/', '')), length(url), url, page_id) as r from {pages}) where r = 1")
 R.sql("union_distinct", "select n_name as name from {nation} union select r_name from {region} union select p_brand from {part}")
 R.sql("concept_search", "select distinct p_partkey, p_name from {part} where lower(p_name) like '%ring%' or lower(p_name) like '%steel%' or lower(p_name) like '%blue%'")
 R.sql(

@@ -85,6 +85,10 @@ def test_graph_invariants(spark):
     assert {(r.source, r.target) for r in graph.induced(edges, nodes).collect()} == {(1, 3), (3, 4)}
     ranked = spark.createDataFrame([("r", "a", 1, ["f1"]), ("r", "b", 2, ["f2", "m"]), ("r", "c", 3, ["f1"])], "repository string, node string, rank int, chain array<string>")
     assert {r.node for r in graph.knowledge_subset(ranked, 3).collect()} == {"a", "f1", "c"}
+    # However many do not fit, a later one that does is found; repositories do not share a limit.
+    many = [("r", f"x{i}", i, [f"f{i}"]) for i in range(60)] + [("r", "last", 99, None), ("s", "y", 1, ["g"])]
+    rows = graph.knowledge_subset(spark.createDataFrame(many, ranked.schema), 3).collect()
+    assert {(r.repository, r.node) for r in rows} == {("r", "x0"), ("r", "f0"), ("r", "last"), ("s", "y"), ("s", "g")}
 
 
 def test_character_windows(spark):
