@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from codelore.functions import fixed, paths
-from codelore.functions.text import content_hash
+from codelore.functions.text import content_hash, line_count, redact, redaction_labels
 
 #: Files of a repository that one task reads.
 FILES_AT_ONCE = 256
+#: Bytes of a file that are shown.
+MOST_SHOWN = 400_000
 
 
 def pruned(path: Column) -> Column:
@@ -135,3 +137,22 @@ def statistics(files: DataFrame, examples: int = 5) -> DataFrame:
     """(reason, files, examples): how many files each reason skips, with a few of their paths."""
     reason = F.coalesce("skip_reason", F.lit("kept"))
     return files.groupBy(reason.alias("reason")).agg(F.count("*").alias("files"), F.min("path").alias("first"), F.slice(F.array_sort(F.collect_set(F.substring("path", 1, 200))), 1, examples).alias("examples"))
+
+
+def file_content(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """(relative_path, language, content, line_count, truncated, redacted, findings) of one file.
+
+    The file is read as it is now, up to ``MOST_SHOWN`` bytes, and credentials are masked.  A path
+    that leads out of the checkout, by links too, is refused.
+    """
+    base = os.path.realpath(root)
+    target = os.path.realpath(os.path.join(base, path))
+    if os.path.commonpath([base, target]) != base:
+        raise PermissionError("the path leads out of the repository")
+    if not os.path.isfile(target):
+        raise FileNotFoundError(path)
+    with open(target, "rb") as file:
+        text = file.read(MOST_SHOWN).decode("utf-8", "replace")
+    rows = spark.createDataFrame([(path, text, os.path.getsize(target) > MOST_SHOWN)], "relative_path string, raw string, truncated boolean")
+    masked, findings = redact(F.col("raw")), redaction_labels(F.col("raw"))
+    return rows.select("relative_path", paths.language(F.col("relative_path")).alias("language"), masked.alias("content"), line_count(masked).alias("line_count"), "truncated", (F.size(findings) > 0).alias("redacted"), findings.alias("findings"))

@@ -1,5 +1,7 @@
 import os
+import subprocess
 
+import pytest
 from pyspark.sql import functions as F
 
 from codelore.operators import chunking, graph
@@ -29,6 +31,37 @@ def test_git_log(spark):
     assert gitlog.commit_files(headers, bulk=1).collect() == []
 
 
+def test_refs_and_log_of_a_checkout(spark, tmp_path):
+    def git(*arguments, when="1700000000"):
+        env = {**os.environ, "GIT_AUTHOR_DATE": f"{when} +0000", "GIT_COMMITTER_DATE": f"{when} +0000", "GIT_CONFIG_GLOBAL": "/dev/null"}
+        subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=Ann", "-c", "user.email=a@b.c", *arguments], check=True, capture_output=True, env=env)
+
+    git("init", "-b", "main")
+    (tmp_path / "src" / "pkg").mkdir(parents=True)
+    (tmp_path / "src" / "pkg" / "__init__.py").write_text("token_secret = 'abcdefgh123'\n")
+    git("add", ".")
+    git("commit", "-m", "first")
+    git("tag", "-a", "v1", "-m", "one")
+    git("branch", "work")
+    for ref in ("origin/HEAD", "origin/main", "origin/feature/x"):
+        git("update-ref", f"refs/remotes/{ref}", "HEAD")
+    (tmp_path / "b.txt").write_text("x")
+    git("add", ".")
+    git("commit", "-m", "second", when="1700000500")
+    for source in (gitlog.GitLogSource, gitlog.GitRefsSource):
+        spark.dataSource.register(source)
+    refs = {(r.kind, r.name): r.created_at for r in gitlog.parse_refs(spark.read.format("gitrefs").load(str(tmp_path))).collect()}
+    assert refs == {("branch", "main"): 1700000500, ("branch", "work"): 1700000000, ("branch", "feature/x"): 1700000000, ("tag", "v1"): 1700000000}
+    headers = gitlog.parse_headers(spark.read.format("gitlog").load(str(tmp_path)), "raw")
+    assert {(r.path, r.module, r.change_type) for r in gitlog.commit_files(headers).collect()} == {("src/pkg/__init__.py", "src/pkg", "A"), ("b.txt", "(root)", "A")}
+    row = files.file_content(spark, str(tmp_path), "src/pkg/__init__.py").first()
+    assert (row.content, row.line_count, row.truncated, row.findings) == ("token_secret = '[REDACTED]'\n", 2, False, ["assignment:token_secret"])
+    os.symlink("/etc/hostname", tmp_path / "link")
+    for bad, error in (("../x", PermissionError), ("link", PermissionError), ("none.py", FileNotFoundError)):
+        with pytest.raises(error):
+            files.file_content(spark, str(tmp_path), bad)
+
+
 def test_store(spark, tmp_path):
     old = spark.createDataFrame([("1", "r", "a.py", "h1"), ("2", "r", "b.py", "h2")], "id string, repository string, relative_path string, file_hash string")
     new = spark.createDataFrame([("2", "r", "b.py", "h3"), ("3", "s", "c.py", "h4")], old.schema)
