@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codelore.functions import fixed, paths, text as T
-from codelore.operators import chunking, graph, retrieval
+from codelore.operators import chunking, graph, render, retrieval
 from codelore.plans.shared import Registry, spread, table
 
 R = Registry()
@@ -397,6 +397,23 @@ def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
     return chunking.character_windows(_documents(spark, d)).select("doc_id", "chunk_index", "start_line", "end_line", F.md5("content").alias("digest"))
 
 
+_DOC_PATH = "source || '/' || doc_id::varchar || '.' || lang"
+
+
+@R.frame(
+    "render_excerpts",
+    f"""with d as (select doc_id, {_DOC_PATH} as path, {_NL.format('text')} + 1 as n, text from {{documents}})
+    select doc_id, md5('[1] ' || path || ':1-' || n::varchar || '  kind: block  role: ' || {_duck_case([(p, f"'{v}'") for p, v in fixed.ROLES], 'lower(path)', "'implementation'")} || chr(10) || '```' || chr(10)
+      || case when length(text) > 2400 then regexp_replace(substr(text, 1, 2400), '\\s+$', '') || chr(10) || '… (excerpt truncated)' else text end || chr(10) || '```') as digest from d""",
+)
+def render_excerpts(spark: SparkSession, d: str) -> DataFrame:
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang")
+    chunk = F.struct(
+        path.alias("relative_path"), F.lit(1).alias("start_line"), T.line_count(F.col("text")).alias("end_line"), F.lit("").alias("symbol"), F.lit("block").alias("chunk_type"), F.lit(False).alias("graph_linked"), F.col("text").alias("content")
+    )
+    return table(spark, d, "documents").select("doc_id", F.md5(render.excerpts(F.array(chunk))).alias("digest"))
+
+
 # graph walks
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem")
