@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,6 +16,12 @@ from pyspark.sql import DataFrame
 from codelore.operators.chunking import parse
 
 MOST_CALLS = 40
+_FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+#: Wrappers of an annotation that leave the class it names as it is.
+WRAPPERS = ("Optional", "ClassVar", "Final")
+#: Outside bases without members of their own, and those that make a protocol.
+PROTOCOLS = ("typing.Protocol", "typing_extensions.Protocol")
+TRANSPARENT = ("typing.Generic", *PROTOCOLS, "abc.ABC")
 
 
 def _chain(node: ast.AST) -> list[str] | None:
@@ -40,70 +47,202 @@ def _calls(body: list[ast.stmt]) -> list[tuple[str, int]]:
     return sorted(found, key=lambda x: x[1])[:MOST_CALLS]
 
 
-def _locals(function: ast.AST) -> dict[str, str]:
-    """Names assigned once from a call: local variables with the called chain."""
-    types: dict[str, set[str]] = {}
-    for node in ast.walk(function):
-        if isinstance(node, ast.Assign) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name):
-            names = _chain(node.value.func) if isinstance(node.value, ast.Call) else None
-            types.setdefault(node.targets[0].id, set()).add(".".join(names) if names else "")
-    return {k: next(iter(v)) for k, v in types.items() if len(v) == 1 and "" not in v}
+def _type(node: ast.AST | None) -> str | None:
+    """The one class that an annotation names, or that a value is made by; None otherwise."""
+    match node:
+        case ast.Call():
+            return ".".join(names) if (names := _chain(node.func)) else None
+        case ast.Constant(value=str(text)):
+            try:
+                return _type(ast.parse(text, mode="eval").body)
+            except (SyntaxError, ValueError):
+                return None
+        case ast.Subscript(value=wrapper, slice=inner):
+            return _type(inner) if (names := _chain(wrapper)) and names[-1] in WRAPPERS else None
+        case ast.BinOp(op=ast.BitOr(), left=left, right=ast.Constant(value=None)) | ast.BinOp(op=ast.BitOr(), left=ast.Constant(value=None), right=left):
+            return _type(left)
+        case ast.Name() | ast.Attribute():
+            return ".".join(names) if (names := _chain(node)) else None
+    return None
+
+
+class _Names:
+    """Types that are stated for names; a name with one stated type and no other binding has it."""
+
+    def __init__(self) -> None:
+        self.types: dict[str, set[str | None]] = {}
 
+    def bind(self, name: str | None, kind: str | None = None) -> None:
+        if name:
+            self.types.setdefault(name, set()).add(kind)
 
-def analyse_source(source: str) -> tuple[list[dict], list[dict], bool]:
-    """(symbols, imports, failed) of one file; nested definitions belong to the outer one."""
+    def value(self, name: str, value: ast.AST) -> None:
+        """``name = value``; None says nothing about the type, and only a call states one."""
+        if isinstance(value, ast.Constant) and value.value is None:
+            self.types.setdefault(name, set())
+        else:
+            self.bind(name, _type(value) if isinstance(value, ast.Call) else None)
+
+    def agreed(self) -> dict[str, str]:
+        return {name: next(iter(kinds)) for name, kinds in self.types.items() if len(kinds) == 1 and None not in kinds}
+
+
+def _attribute_of(target: ast.AST, owner: str) -> str | None:
+    match target:
+        case ast.Attribute(value=ast.Name(id=name), attr=attribute) if owner and name == owner:
+            return attribute
+    return None
+
+
+def _scan(function: ast.FunctionDef | ast.AsyncFunctionDef, owner: str, attributes: _Names) -> tuple[dict[str, str], list[str]]:
+    """(types of local names, all names bound in the function); types of ``owner``'s attributes go
+    to ``attributes``.  Names of nested functions count as the function's own.
+    """
+    local, shared, placed = _Names(), set(), set()
+
+    def arguments(given: ast.arguments) -> None:
+        for argument in [*given.posonlyargs, *given.args, *given.kwonlyargs]:
+            local.bind(argument.arg, _type(argument.annotation))
+        for argument in (given.vararg, given.kwarg):
+            local.bind(argument.arg if argument else None)
+
+    arguments(function.args)
+    for node in (n for statement in function.body for n in ast.walk(statement)):
+        match node:
+            case ast.Assign(targets=targets, value=value):
+                for target in targets:
+                    if isinstance(target, ast.Name):
+                        placed.add(target)
+                        local.value(target.id, value)
+                    elif attribute := _attribute_of(target, owner):
+                        attributes.value(attribute, value)
+            case ast.AnnAssign(target=target, annotation=annotation):
+                if isinstance(target, ast.Name):
+                    placed.add(target)
+                    local.bind(target.id, _type(annotation))
+                elif attribute := _attribute_of(target, owner):
+                    attributes.bind(attribute, _type(annotation))
+            case ast.AugAssign(target=target) if attribute := _attribute_of(target, owner):
+                attributes.bind(attribute)
+            case ast.Global(names=names):
+                shared.update(names)
+            case ast.FunctionDef() | ast.AsyncFunctionDef():
+                local.bind(node.name)
+                arguments(node.args)
+            case ast.Lambda():
+                arguments(node.args)
+            case ast.ClassDef(name=name) | ast.ExceptHandler(name=name) | ast.MatchAs(name=name) | ast.MatchStar(name=name) | ast.MatchMapping(rest=name):
+                local.bind(name)
+            case ast.Name(id=name, ctx=ast.Store() | ast.Del()) if node not in placed:
+                local.bind(name)
+    kinds = {name: kind for name, kind in local.agreed().items() if name not in shared}
+    return kinds, sorted(local.types.keys() - shared)
+
+
+class Analysis(NamedTuple):
+    """A file's symbols and imports, whether it does not parse, the names assigned at its top
+    level, and what ``__all__`` lists (None without one; nothing if it is computed).
+    """
+
+    symbols: list[dict]
+    imports: list[dict]
+    failed: bool
+    assigned: list[str]
+    exports: list[str] | None
+
+
+def _top_names(body: list[ast.stmt]) -> tuple[list[str], list[str] | None]:
+    """Names that statements outside of definitions bind, and the exports."""
+    assigned: set[str] = set()
+    exports: list[str] | None = None
+    computed = False
+    queue: list[ast.AST] = list(body)
+    for node in queue:
+        if isinstance(node, (ast.ClassDef, ast.Lambda, *_FUNCTIONS)):
+            continue
+        targets = node.targets if isinstance(node, ast.Assign) else [node.target] if isinstance(node, (ast.AnnAssign, ast.AugAssign)) else []
+        if any(isinstance(t, ast.Name) and t.id == "__all__" for t in targets) and node.value is not None:
+            if isinstance(node.value, (ast.List, ast.Tuple)) and all(isinstance(e, ast.Constant) and isinstance(e.value, str) for e in node.value.elts):
+                listed = [e.value for e in node.value.elts]
+                exports = [*exports, *listed] if isinstance(node, ast.AugAssign) and exports is not None else listed
+            else:
+                computed = True
+        if isinstance(node, ast.Name) and not isinstance(node.ctx, ast.Load):
+            assigned.add(node.id)
+        elif isinstance(node, ast.ExceptHandler) and node.name:
+            assigned.add(node.name)
+        queue.extend(ast.iter_child_nodes(node))
+    return sorted(assigned), [] if computed else exports
+
+
+def analyse_source(source: str) -> Analysis:
+    """What one file defines; nested functions belong to the outer one."""
     tree = parse(source)
     if tree is None:
-        return [], [], True
+        return Analysis([], [], True, [], None)
     symbols, imports = [], []
 
-    def symbol(node, kind: str, name: str, parent: str) -> None:
-        bases = [".".join(c) for b in getattr(node, "bases", []) if (c := _chain(b.value if isinstance(b, ast.Subscript) else b))]
-        body = [] if kind == "class" else node.body
-        symbols.append({"name": name, "kind": kind, "parent": parent, "start_line": node.lineno, "end_line": node.end_lineno, "bases": bases, "calls": [{"chain": c, "line": n} for c, n in _calls(body)], "locals": _locals(node) if body else {}})
-
-    def walk(body: list[ast.stmt], parent: str) -> None:
+    def walk(body: list[ast.stmt], parent: str, attributes: _Names) -> None:
         for node in body:
+            name = f"{parent}.{node.name}" if parent and hasattr(node, "name") else getattr(node, "name", "")
             if isinstance(node, ast.ClassDef):
-                name = f"{parent}.{node.name}" if parent else node.name
-                symbol(node, "class", name, parent)
-                walk(node.body, name)
-            elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                symbol(node, "method" if parent else "function", f"{parent}.{node.name}" if parent else node.name, parent)
-
-    walk(tree.body, "")
+                bases = [".".join(c) for b in node.bases if (c := _chain(b.value if isinstance(b, ast.Subscript) else b))]
+                symbol = {"name": name, "kind": "class", "parent": parent, "start_line": node.lineno, "end_line": node.end_lineno, "bases": bases, "calls": [], "locals": {}, "bound": [], "owner": "", "of_class": False}
+                symbols.append(symbol)
+                own = _Names()
+                walk(node.body, name, own)
+                symbol["locals"] = own.agreed()
+            elif isinstance(node, _FUNCTIONS):
+                marks = {".".join(c) for d in node.decorator_list if (c := _chain(d))}
+                first = [*node.args.posonlyargs, *node.args.args]
+                owner = first[0].arg if parent and first and "staticmethod" not in marks else ""
+                kinds, bound = _scan(node, owner, attributes)
+                symbols.append(
+                    {"name": name, "kind": "method" if parent else "function", "parent": parent, "start_line": node.lineno, "end_line": node.end_lineno, "bases": [], "calls": [{"chain": c, "line": n} for c, n in _calls(node.body)],
+                     "locals": kinds, "bound": bound, "owner": owner, "of_class": bool(parent) and "classmethod" in marks}
+                )
+            elif parent and isinstance(node, ast.AnnAssign) and isinstance(node.target, ast.Name):
+                attributes.bind(node.target.id, _type(node.annotation))
+            elif parent and isinstance(node, ast.Assign):
+                for target in node.targets:
+                    if isinstance(target, ast.Name):
+                        attributes.value(target.id, node.value)
+
+    walk(tree.body, "", _Names())
     for node in ast.walk(tree):
         if isinstance(node, ast.Import):
             imports += [{"module": a.name, "name": "", "alias": a.asname or a.name.split(".")[0], "level": 0, "line": node.lineno} for a in node.names]
         elif isinstance(node, ast.ImportFrom):
             imports += [{"module": node.module or "", "name": a.name, "alias": a.asname or a.name, "level": node.level, "line": node.lineno} for a in node.names]
-    return symbols, imports, False
+    return Analysis(symbols, imports, False, *_top_names(tree.body))
 
 
-SYMBOL = "struct<name:string,kind:string,parent:string,start_line:long,end_line:long,bases:array<string>,calls:array<struct<chain:string,line:long>>,locals:map<string,string>>"
+SYMBOL = "struct<name:string,kind:string,parent:string,start_line:long,end_line:long,bases:array<string>,calls:array<struct<chain:string,line:long>>,locals:map<string,string>,bound:array<string>,owner:string,of_class:boolean>"
 IMPORT = "struct<module:string,name:string,alias:string,level:long,line:long>"
-_SYMBOL = pa.struct([("name", pa.string()), ("kind", pa.string()), ("parent", pa.string()), ("start_line", pa.int64()), ("end_line", pa.int64()), ("bases", pa.list_(pa.string())), ("calls", pa.list_(pa.struct([("chain", pa.string()), ("line", pa.int64())]))), ("locals", pa.map_(pa.string(), pa.string()))])
+_SYMBOL = pa.struct([("name", pa.string()), ("kind", pa.string()), ("parent", pa.string()), ("start_line", pa.int64()), ("end_line", pa.int64()), ("bases", pa.list_(pa.string())), ("calls", pa.list_(pa.struct([("chain", pa.string()), ("line", pa.int64())]))), ("locals", pa.map_(pa.string(), pa.string())), ("bound", pa.list_(pa.string())), ("owner", pa.string()), ("of_class", pa.bool_())])
 _IMPORT = pa.struct([("module", pa.string()), ("name", pa.string()), ("alias", pa.string()), ("level", pa.int64()), ("line", pa.int64())])
 
 
 def analyse(files: DataFrame) -> DataFrame:
-    """(repository, path, symbols, imports, failed) of Python files (repository, path, content)."""
-    schema = pa.schema([("repository", pa.string()), ("path", pa.string()), ("symbols", pa.list_(_SYMBOL)), ("imports", pa.list_(_IMPORT)), ("failed", pa.bool_())])
+    """(repository, path, symbols, imports, failed, assigned, exports) of Python files (repository,
+    path, content).
+    """
+    names = pa.list_(pa.string())
+    schema = pa.schema([("repository", pa.string()), ("path", pa.string()), ("symbols", pa.list_(_SYMBOL)), ("imports", pa.list_(_IMPORT)), ("failed", pa.bool_()), ("assigned", names), ("exports", names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [analyse_source(c or "") for c in b.column(2).to_pylist()]
-            symbols = [[{**s, "locals": list(s["locals"].items())} for s in x] for x, _, _ in found]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1).cast(pa.string()), pa.array(symbols, schema.field(2).type), pa.array([i for _, i, _ in found], schema.field(3).type), pa.array([f for _, _, f in found])], schema=schema)
+            symbols = [[{**s, "locals": list(s["locals"].items())} for s in x.symbols] for x in found]
+            columns = [symbols, *([x[i] for x in found] for i in range(1, 5))]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1).cast(pa.string()), *(pa.array(c, schema.field(i + 2).type) for i, c in enumerate(columns))], schema=schema)
 
-    return files.select("repository", "path", "content").mapInArrow(run, f"repository string, path string, symbols array<{SYMBOL}>, imports array<{IMPORT}>, failed boolean")
+    return files.select("repository", "path", "content").mapInArrow(run, f"repository string, path string, symbols array<{SYMBOL}>, imports array<{IMPORT}>, failed boolean, assigned array<string>, exports array<string>")
 
 
 class Repository:
     """The symbol table of one repository and the resolution of names in it."""
 
-    OPAQUE = {"Generic", "Protocol", "ABC", "object"}
-
     def __init__(self, files: list[dict]):
         self.files = {f["path"]: f for f in files}
         self.dotted: dict[str, list[str]] = {}
@@ -115,6 +254,8 @@ class Repository:
                 self.dotted.setdefault(".".join(parts[i:]), []).append(path)
             self.files[path]["dotted"] = name
         self.symbols = {(p, s["name"]): s for p, f in self.files.items() for s in f["symbols"]}
+        self._orders: dict[tuple[str, str], list[tuple[str, str]]] = {}
+        self._own_names: dict[str, set[str]] = {}
         self.bindings = {p: self._bind(p) for p in self.files}
 
     def module(self, dotted: str, importer: str, level: int = 0) -> str | None:
@@ -133,37 +274,86 @@ class Repository:
         found = self.dotted.get(dotted, []) if "." in dotted else []
         return found[0] if len(found) == 1 else None
 
-    def _bind(self, path: str) -> dict[str, tuple[str, str]]:
-        """Names of a file: alias to ('module', path), ('symbol', path, name) or external."""
-        out: dict[str, tuple] = {s["name"]: ("symbol", path, s["name"]) for s in self.files[path]["symbols"] if "." not in s["name"]}
+    def _explicit(self, path: str) -> set[str]:
+        """Names that a file binds itself, without those of ``import *``."""
+        if path in self._own_names:
+            return self._own_names[path]
+        f = self.files[path]
+        self._own_names[path] = {s["name"] for s in f["symbols"] if "." not in s["name"]} | set(f.get("assigned") or ()) | {i["alias"] for i in f["imports"] if i["name"] != "*"}
+        return self._own_names[path]
+
+    def _bind(self, path: str) -> dict[str, tuple | None]:
+        """Names of a file: ('symbol', path, name), ('module', path, ''), ('package', dotted, ''),
+        ('external', dotted, ''); None for a name that is assigned, or bound in several ways.
+        """
+        out: dict[str, set[tuple]] = {}
+        add = lambda name, *value: out.setdefault(name, set()).add(value)
+        for s in self.files[path]["symbols"]:
+            if "." not in s["name"]:
+                add(s["name"], "symbol", path, s["name"])
+        for name in self.files[path].get("assigned") or ():
+            add(name, "assigned", path, name)
         for i in self.files[path]["imports"]:
-            if i["name"]:
-                sub = self.module(f"{i['module']}.{i['name']}" if i["module"] else i["name"], path, i["level"])
-                home = self.module(i["module"], path, i["level"])
-                if home and (home, i["name"]) in self.symbols:
-                    out[i["alias"]] = ("symbol", home, i["name"])
-                elif sub:
-                    out[i["alias"]] = ("module", sub, "")
+            module, name, alias = i["module"], i["name"], i["alias"]
+            if name == "*":
+                continue
+            if name:
+                dotted = f"{module}.{name}" if module else name
+                home, sub = self.module(module, path, i["level"]), self.module(dotted, path, i["level"])
+                if sub and not (home and name in self._explicit(home)):
+                    add(alias, "module", sub, "")
                 elif home:
-                    out[i["alias"]] = ("symbol", home, i["name"])
-            elif home := self.module(i["module"], path):
-                out[i["alias"]] = ("module", home, "") if i["alias"] != i["module"].split(".")[0] or "." not in i["module"] else ("package", i["module"], "")
-        return out
+                    add(alias, "symbol", home, name)
+                else:
+                    add(alias, "external", dotted, "")
+                continue
+            whole, head = self.module(module, path), self.module(module.split(".")[0], path)
+            if alias != module.split(".")[0]:  # import a.b as c
+                add(alias, *(("module", whole, "") if whole else ("external", module, "")))
+            elif "." not in module or head:
+                add(alias, *(("module", head, "") if head else ("external", module, "")))
+            else:
+                add(alias, *(("package", module.split(".")[0], "") if whole else ("external", module.split(".")[0], "")))
+        return {name: next(iter(values)) if len(values) == 1 and not any(v[0] == "assigned" for v in values) else None for name, values in out.items()}
+
+    def _read(self, path: str, i: dict) -> str | None:
+        """The file that an import statement of one name reads."""
+        home = self.module(i["module"], path, i["level"])
+        if i["name"] in ("", "*"):
+            return home
+        sub = self.module(f"{i['module']}.{i['name']}" if i["module"] else i["name"], path, i["level"])
+        return sub if sub and not (home and i["name"] in self._explicit(home)) else home
+
+    def _starred(self, path: str, name: str) -> Iterator[str]:
+        """Files whose ``import *`` in ``path`` gives it ``name``, the last one first."""
+        for i in reversed(self.files[path]["imports"]):
+            if i["name"] == "*" and (home := self.module(i["module"], path, i["level"])):
+                exports = self.files[home].get("exports")
+                if name in exports if exports is not None else not name.startswith("_"):
+                    yield home
 
     def lookup(self, path: str, name: str, seen: frozenset = frozenset()) -> tuple[str, str] | None:
-        """The defining (path, symbol) of a name in a file, through re-exports."""
-        if (path, name) in self.symbols:
-            return path, name
-        bound = self.bindings.get(path, {}).get(name)
-        if bound and bound[0] == "symbol" and (bound[1], bound[2]) not in seen and (bound[1], bound[2]) != (path, name):
-            return self.lookup(bound[1], bound[2], seen | {(path, name)})
-        return None
+        """The defining (path, symbol) of a name in a file, through re-exports and ``import *``."""
+        if (path, name) in seen:
+            return None
+        seen = seen | {(path, name)}
+        if name in self.bindings.get(path, {}):
+            bound = self.bindings[path][name]
+            if bound is None or bound[0] != "symbol":
+                return None
+            return (path, name) if (bound[1], bound[2]) == (path, name) else self.lookup(bound[1], bound[2], seen)
+        if path not in self.files:
+            return None
+        return next((at for home in self._starred(path, name) if (at := self.lookup(home, name, seen))), None)
 
     def resolve_chain(self, path: str, chain: list[str]) -> tuple[str, str] | None:
         """The symbol of a dotted chain that starts at a name bound in the file."""
         head, *rest = chain
         bound = self.bindings[path].get(head)
         if bound is None:
+            at = None if head in self.bindings[path] else self.lookup(path, head)
+            return self._member(at, rest) if at and rest else at
+        if bound[0] == "external":
             return None
         if bound[0] == "package":
             for n in range(len(chain) - 1, 0, -1):
@@ -176,34 +366,65 @@ class Repository:
         return self._member(at, rest) if at and rest else at
 
     def _inside(self, path: str, names: list[str]) -> tuple[str, str] | None:
-        at = self.lookup(path, names[0]) if names else None
-        return self._member(at, names[1:]) if at and names[1:] else at
+        """What dotted names mean inside a module: its own names first, then a submodule's."""
+        if not names:
+            return None
+        bound = self.bindings.get(path, {}).get(names[0])
+        if bound and bound[0] == "module":
+            return self._inside(bound[1], names[1:])
+        if at := self.lookup(path, names[0]):
+            return self._member(at, names[1:]) if names[1:] else at
+        if names[0] not in self.bindings.get(path, {}) and path.rsplit("/", 1)[-1] == "__init__.py":
+            dotted = f"{self.files[path]['dotted']}.{names[0]}"
+            if sub := next((p for p in self.dotted.get(dotted, []) if self.files[p]["dotted"] == dotted), None):
+                return self._inside(sub, names[1:])
+        return None
+
+    def _base(self, cls: tuple[str, str], base: str) -> tuple[str, str] | None:
+        """The class that a base names; ('', dotted) if it is outside, None if that adds no member."""
+        found = self.resolve_chain(cls[0], base.split("."))
+        if found and found != cls and self.symbols[found]["kind"] == "class":
+            return found
+        dotted = self._outside(cls[0], base)
+        return None if dotted in TRANSPARENT or (base == "object" and base not in self.bindings[cls[0]]) else ("", dotted)
+
+    def _outside(self, path: str, name: str) -> str:
+        """A dotted name with the module that its head was imported from."""
+        head, _, rest = name.partition(".")
+        bound = self.bindings[path].get(head)
+        return f"{bound[1]}.{rest}".rstrip(".") if bound and bound[0] == "external" else name
+
+    def _is_protocol(self, cls: tuple[str, str]) -> bool:
+        return any(self._outside(cls[0], base) in PROTOCOLS for base in self.symbols[cls]["bases"])
 
-    def mro(self, cls: tuple[str, str], seen: frozenset = frozenset()) -> list[tuple[str, str] | None]:
-        """C3 order of a class; None stands for a base outside the repository."""
-        if cls in seen or cls not in self.symbols:
+    def mro(self, cls: tuple[str, str], seen: frozenset = frozenset()) -> list[tuple[str, str]] | None:
+        """C3 order of a class; None if there is none.  ('', dotted) stands for an outside base."""
+        if cls not in self.symbols:
             return [cls]
-        parents: list[tuple[str, str] | None] = []
-        for base in self.symbols[cls]["bases"]:
-            found = self.resolve_chain(cls[0], base.split("."))
-            if found or base.split(".")[-1] not in self.OPAQUE:
-                parents.append(found)
-        queues = [self.mro(p, seen | {cls}) if p else [None] for p in parents] + [parents[:]]
-        out: list[tuple[str, str] | None] = [cls]
+        if cls in self._orders:
+            return self._orders[cls]
+        if cls in seen:
+            return None
+        parents = [p for base in self.symbols[cls]["bases"] if (p := self._base(cls, base))]
+        above = [self.mro(p, seen | {cls}) for p in parents]
+        if any(q is None for q in above):
+            return None
+        queues, out = [*above, parents], [cls]
         while queues := [q for q in queues if q]:
             head = next((q[0] for q in queues if not any(q[0] in r[1:] for r in queues)), None)
-            if head is None and not any(q[0] is None for q in queues):
-                break  # inconsistent bases
+            if head is None:
+                return None
             out.append(head)
-            queues = [[x for x in q if x != head] for q in queues]
+            queues = [q[1:] if q[0] == head else q for q in queues]
+        self._orders[cls] = out
         return out
 
     def _member(self, cls: tuple[str, str], names: list[str], skip_self: bool = False) -> tuple[str, str] | None:
         if len(names) != 1:
             return None
-        for c in self.mro(cls)[int(skip_self) :]:
-            if c is None:
-                return None  # an unknown base may define it
+        for c in (self.mro(cls) or [])[int(skip_self) :]:
+            if c not in self.symbols:
+                return None  # an outside base may define it
             if (c[0], f"{c[1]}.{names[0]}") in self.symbols:
                 return c[0], f"{c[1]}.{names[0]}"
         return None
@@ -213,15 +434,15 @@ class Repository:
         out = []
         for path, f in self.files.items():
             for i in f["imports"]:
-                bound = self.bindings[path].get(i["alias"])
-                home = bound[1] if bound and bound[0] in ("module", "symbol") else self.module(i["module"], path, i["level"])
+                home = self._read(path, i)
                 if home and home != path:
                     out.append(("IMPORTS", path, home, "", i["line"]))
             for s in f["symbols"]:
                 source = f"{path}::{s['name']}"
                 for base in s["bases"]:
-                    if at := self.resolve_chain(path, base.split(".")):
-                        protocol = "Protocol" in {b.split(".")[-1] for b in self.symbols[at]["bases"]} and "Protocol" not in {b.split(".")[-1] for b in s["bases"]}
+                    at = self._base((path, s["name"]), base)
+                    if at in self.symbols:
+                        protocol = self._is_protocol(at) and not self._is_protocol((path, s["name"]))
                         out.append(("IMPLEMENTS" if protocol else "INHERITS", source, f"{at[0]}::{at[1]}", "", s["start_line"]))
                 for call in s["calls"]:
                     at, via = self._call(path, s, call["chain"].split("."))
@@ -229,19 +450,44 @@ class Repository:
                         out.append(("CALLS", source, f"{at[0]}::{at[1]}", via, call["line"]))
         return out
 
+    def _attribute_type(self, cls: tuple[str, str], name: str) -> tuple[str, str] | None:
+        """The class of an attribute whose type the class, or the first base with one, states."""
+        for c in self.mro(cls) or []:
+            if c not in self.symbols:
+                return None
+            if stated := self.symbols[c]["locals"].get(name):
+                return self._class(c[0], stated)
+        return None
+
+    def _class(self, path: str, chain: str) -> tuple[str, str] | None:
+        at = self.resolve_chain(path, chain.split("."))
+        return at if at and self.symbols[at]["kind"] == "class" else None
+
+    def _of_instance(self, cls: tuple[str, str] | None, names: list[str]) -> tuple[str, str] | None:
+        """The member that a chain of attributes of an instance ends in."""
+        for i, name in enumerate(names):
+            if cls is None:
+                return None
+            if (at := self._member(cls, [name])) is not None:
+                return at if i == len(names) - 1 else None
+            cls = self._attribute_type(cls, name)
+        return None
+
     def _call(self, path: str, symbol: dict, chain: list[str]) -> tuple[tuple[str, str] | None, str]:
         own = (path, symbol["parent"])
-        if chain[0] == "self" and symbol["parent"]:
-            return self._member(own, chain[1:]), "self"
-        if chain[0] == "super()" and symbol["parent"]:
-            return self._member(own, chain[1:], skip_self=True), "super"
-        if len(chain) == 2 and chain[0] in symbol["locals"]:
-            cls = self.resolve_chain(path, symbol["locals"][chain[0]].split("."))
-            return (self._member(cls, chain[1:]) if cls and self.symbols[cls]["kind"] == "class" else None), "local-instance"
+        head, rest = chain[0], chain[1:]
+        if head == "super()" and symbol["parent"]:
+            return self._member(own, rest, skip_self=True), "super"
+        if symbol["owner"] and head == symbol["owner"]:
+            return (self._member(own, rest) if symbol["of_class"] else self._of_instance(own, rest)), "self"
+        if head in symbol["locals"]:
+            return self._of_instance(self._class(path, symbol["locals"][head]), rest or ["__call__"]), "local-instance"
+        if head in symbol["bound"]:
+            return None, ""  # a name of the function's own hides the file's
         at = self.resolve_chain(path, chain)
         if at and self.symbols[at]["kind"] == "class":
             return at, "constructor"
-        return at, "attribute" if chain[1:] else "name"
+        return at, "attribute" if rest else "name"
 
 
 def resolve(analysed: DataFrame) -> DataFrame:

@@ -99,10 +99,9 @@ def oversize_split(spark: SparkSession, d: str) -> DataFrame:
 def c3_mro(spark: SparkSession, d: str) -> DataFrame:
     files = []
     for repository, path, content in FILES:
-        symbols, imports, _ = pycode.analyse_source(content)
-        files.append({"repository": repository, "path": path, "symbols": symbols, "imports": imports})
+        files.append({"repository": repository, "path": path, **pycode.analyse_source(content)._asdict()})
     order = pycode.Repository(files).mro(("shop/models.py", "Order"))
-    return spark.createDataFrame([(i, f"{c[0]}::{c[1]}" if c else None) for i, c in enumerate(order)], "position long, cls string")
+    return spark.createDataFrame([(i, f"{c[0]}::{c[1]}") for i, c in enumerate(order or [])], "position long, cls string")
 
 
 @R.frame("knowledge_subset")

@@ -47,6 +47,45 @@ def test_opaque_base_blocks_lookup():
     assert calls == {("m.py::B.g", "m.py::A.f")}
 
 
+def calls(**sources):
+    files = [{"repository": "r", "path": p.replace("__", "/") + ".py" if p != "init" else "pkg/__init__.py", **pycode.analyse_source(c)._asdict()} for p, c in sources.items()]
+    return {(s, t, v) for k, s, t, v, _ in pycode.Repository(files).edges() if k == "CALLS"}
+
+
+HELP = "class Repo:\n    def save(self): ...\n\n\ndef save(): ...\n\n\ndef _hidden(): ...\n"
+
+
+def test_stated_types_resolve_and_hidden_names_do_not():
+    source = (
+        "from m import Repo, save\n\n\nclass S:\n    backup: Repo\n\n    def __init__(self):\n        self.repo = Repo()\n        self.any = pick()\n\n"
+        "    def run(this):\n        this.repo.save()\n        this.backup.save()\n        this.any.save()\n\n    @classmethod\n    def make(cls):\n        cls.run()\n\n"
+        "\ndef typed(x: 'Repo | None', y, save):\n    x.save()\n    y.save()\n    save()\n\n\ndef twice(x: Repo):\n    x = other()\n    x.save()\n"
+    )
+    got = calls(m=HELP, s=source)
+    assert got == {("s.py::S.__init__", "m.py::Repo", "constructor"), ("s.py::S.run", "m.py::Repo.save", "self"), ("s.py::S.make", "s.py::S.run", "self"), ("s.py::typed", "m.py::Repo.save", "local-instance")}
+
+
+def test_star_imports_and_ambiguous_names():
+    assert calls(m=HELP, s="from m import *\n\n\ndef f():\n    save()\n    _hidden()\n") == {("s.py::f", "m.py::save", "name")}
+    assert calls(m="__all__ = ['Repo']\n" + HELP, s="from m import *\n\n\ndef f():\n    save()\n    Repo()\n") == {("s.py::f", "m.py::Repo", "constructor")}
+    assert calls(m="__all__ = list(x)\n" + HELP, s="from m import *\n\n\ndef f():\n    save()\n") == set()
+    assert calls(m=HELP, s="from m import save\nsave = wrap(save)\n\n\ndef f():\n    save()\n") == set()
+    assert calls(m=HELP, init="", pkg__sub="def go(): ...\n", s="import pkg\n\n\ndef f():\n    pkg.sub.go()\n") == {("s.py::f", "pkg/sub.py::go", "attribute")}
+    assert calls(a="from b import x\n\n\ndef f():\n    x()\n", b="from a import x\n") == set()
+
+
+def test_class_order():
+    def order(source, name):
+        return pycode.Repository([{"repository": "r", "path": "m.py", **pycode.analyse_source(source)._asdict()}]).mro(("m.py", name))
+
+    diamond = "from abc import ABC\nfrom x import E\nclass A(ABC): ...\nclass B(A): ...\nclass C(A, E): ...\nclass D(B, C): ...\n"
+    assert [n for _, n in order(diamond, "D")] == ["D", "B", "C", "A", "x.E"]
+    assert order("class A(B): ...\nclass B(A): ...\n", "A") is None
+    assert order("class A: ...\nclass B(A): ...\nclass C(A, B): ...\n", "C") is None
+    assert [n for _, n in order("from x import P, Q\nclass A(P, Q, object): ...\n", "A")] == ["A", "x.P", "x.Q"]
+    assert [n for _, n in order("from mine import Protocol\nclass A(Protocol): ...\n", "A")] == ["A", "mine.Protocol"]
+
+
 def test_units_cover_and_split():
     source = "import os\nX = 1\n\n# about f\n@deco\ndef f():\n    pass\n\nclass C:\n    a = 1\n" + "".join("    def m%d(self):\n        return '%s'\n" % (i, "x" * 60) for i in range(40))
     units = chunking.syntax_units(source)
