@@ -33,9 +33,15 @@ def identifier_tokens(text: Column) -> Column:
     return F.when(text.rlike(BORDER), F.flatten(F.transform(runs, expand))).otherwise(F.transform(runs, F.lower))
 
 
+#: Text with a camel-case border, or with one of the two letters outside of ASCII that lower-case into it.
+UNEVEN = f"{BORDER}|[\u0130\u212a]"
+
+
 def search_tokens(text: Column) -> Column:
     """Identifier tokens without single characters and stopwords."""
-    return F.filter(identifier_tokens(text), lambda t: (F.char_length(t) > 1) & ~t.isin(*STOPWORDS))
+    kept = lambda t: (F.char_length(t) > 1) & ~t.isin(*STOPWORDS)
+    # Even text is lower-cased whole and cut in one pass over its tokens.
+    return F.when(text.rlike(UNEVEN), F.filter(identifier_tokens(text), kept)).otherwise(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), kept))
 
 
 def path_tokens(path: Column) -> Column:
