@@ -84,3 +84,13 @@ def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{path}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
     assert pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_one_benchmark_item_is_removed(spark, tmp_path):
+    items = [(k, " ".join(f"i{k}w{n}" for n in range(20))) for k in range(2)]
+    first = items[0][1].split()
+    texts = ["plain words", f"before {items[0][1]} after", f"a {' '.join(first[5:13])} b", f"a {' '.join(first[5:12])} b", f"{items[0][1]} {items[1][1]}", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = dict(pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 5, 6]
