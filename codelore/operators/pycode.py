@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 
 from codelore.operators.chunking import parse
 
+#: Distinct names in the readable list of a symbol's calls; edges come from all call sites.
 MOST_CALLS = 40
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 #: Wrappers of an annotation that leave the class it names as it is.
@@ -38,13 +39,14 @@ def _chain(node: ast.AST) -> list[str] | None:
     return None
 
 
-def _calls(body: list[ast.stmt]) -> list[tuple[str, int]]:
+def _calls(body: list[ast.stmt]) -> tuple[list[tuple[str, int]], list[str]]:
+    """(all call sites by line, the first ``MOST_CALLS`` distinct names)."""
     found = []
     for statement in body:
         for node in ast.walk(statement):
             if isinstance(node, ast.Call) and (names := _chain(node.func)):
                 found.append((".".join(names), node.lineno))
-    return sorted(found, key=lambda x: x[1])[:MOST_CALLS]
+    return sorted(found, key=lambda x: x[1]), list(dict.fromkeys(name for name, _ in found))[:MOST_CALLS]
 
 
 def _type(node: ast.AST | None) -> str | None:
@@ -187,7 +189,7 @@ def analyse_source(source: str) -> Analysis:
             name = f"{parent}.{node.name}" if parent and hasattr(node, "name") else getattr(node, "name", "")
             if isinstance(node, ast.ClassDef):
                 bases = [".".join(c) for b in node.bases if (c := _chain(b.value if isinstance(b, ast.Subscript) else b))]
-                symbol = {"name": name, "kind": "class", "parent": parent, "start_line": node.lineno, "end_line": node.end_lineno, "bases": bases, "calls": [], "locals": {}, "bound": [], "owner": "", "of_class": False}
+                symbol = {"name": name, "kind": "class", "parent": parent, "start_line": node.lineno, "end_line": node.end_lineno, "bases": bases, "calls": [], "called": [], "locals": {}, "bound": [], "owner": "", "of_class": False}
                 symbols.append(symbol)
                 own = _Names()
                 walk(node.body, name, own)
@@ -197,8 +199,9 @@ def analyse_source(source: str) -> Analysis:
                 first = [*node.args.posonlyargs, *node.args.args]
                 owner = first[0].arg if parent and first and "staticmethod" not in marks else ""
                 kinds, bound = _scan(node, owner, attributes)
+                sites, called = _calls(node.body)
                 symbols.append(
-                    {"name": name, "kind": "method" if parent else "function", "parent": parent, "start_line": node.lineno, "end_line": node.end_lineno, "bases": [], "calls": [{"chain": c, "line": n} for c, n in _calls(node.body)],
+                    {"name": name, "kind": "method" if parent else "function", "parent": parent, "start_line": node.lineno, "end_line": node.end_lineno, "bases": [], "calls": [{"chain": c, "line": n} for c, n in sites], "called": called,
                      "locals": kinds, "bound": bound, "owner": owner, "of_class": bool(parent) and "classmethod" in marks}
                 )
             elif parent and isinstance(node, ast.AnnAssign) and isinstance(node.target, ast.Name):
@@ -217,9 +220,9 @@ def analyse_source(source: str) -> Analysis:
     return Analysis(symbols, imports, False, *_top_names(tree.body))
 
 
-SYMBOL = "struct<name:string,kind:string,parent:string,start_line:long,end_line:long,bases:array<string>,calls:array<struct<chain:string,line:long>>,locals:map<string,string>,bound:array<string>,owner:string,of_class:boolean>"
+SYMBOL = "struct<name:string,kind:string,parent:string,start_line:long,end_line:long,bases:array<string>,calls:array<struct<chain:string,line:long>>,called:array<string>,locals:map<string,string>,bound:array<string>,owner:string,of_class:boolean>"
 IMPORT = "struct<module:string,name:string,alias:string,level:long,line:long>"
-_SYMBOL = pa.struct([("name", pa.string()), ("kind", pa.string()), ("parent", pa.string()), ("start_line", pa.int64()), ("end_line", pa.int64()), ("bases", pa.list_(pa.string())), ("calls", pa.list_(pa.struct([("chain", pa.string()), ("line", pa.int64())]))), ("locals", pa.map_(pa.string(), pa.string())), ("bound", pa.list_(pa.string())), ("owner", pa.string()), ("of_class", pa.bool_())])
+_SYMBOL = pa.struct([("name", pa.string()), ("kind", pa.string()), ("parent", pa.string()), ("start_line", pa.int64()), ("end_line", pa.int64()), ("bases", pa.list_(pa.string())), ("calls", pa.list_(pa.struct([("chain", pa.string()), ("line", pa.int64())]))), ("called", pa.list_(pa.string())), ("locals", pa.map_(pa.string(), pa.string())), ("bound", pa.list_(pa.string())), ("owner", pa.string()), ("of_class", pa.bool_())])
 _IMPORT = pa.struct([("module", pa.string()), ("name", pa.string()), ("alias", pa.string()), ("level", pa.int64()), ("line", pa.int64())])
 
 

@@ -136,3 +136,12 @@ def test_other_languages(spark):
     react = next(s for s in found["f.javascript"].symbols if s.name == "App")
     assert react.bases == ["React.Component"] and [i.line for i in found["f.javascript"].imports if i.module == "fs"] == [3]
     assert found["null"].symbols == [] and found["null"].line_count == 1
+
+
+def test_all_call_sites_give_edges(spark):
+    lines = ["def early(): ...", "def late(): ...", "", "def f():"] + ["    early()"] * 60 + ["    late()"] + [f"    other{i}()" for i in range(50)]
+    rows = spark.createDataFrame([("r", "m.py", "\n".join(lines) + "\n")], "repository string, path string, content string")
+    got = {r.target: (r.first_line, r.lines, r["count"]) for r in pycode.resolve(pycode.analyse(rows)).where("kind = 'CALLS'").collect()}
+    assert got == {"m.py::early": (5, list(range(5, 25)), 60), "m.py::late": (65, [65], 1)}
+    symbol = next(s for s in pycode.analyse_source("\n".join(lines)).symbols if s["name"] == "f")
+    assert symbol["called"] == ["early", "late", *[f"other{i}" for i in range(38)]]
