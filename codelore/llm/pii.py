@@ -6,12 +6,13 @@ no personal data itself; how strongly is measured on the corpus.  With n_t docum
 t, n_et distinct contexts (texts within ``REACH`` words of the entity) holding both, and N
 documents, the information that t gives away about e is
 
-    PMI(e; t) = log2(p(e | t) / p(e)),  p(e | t) = n_et / n_t,  p(e) = n_e / N
+    PMI(e; t) = log2(p(e | t) / p(e)),  p(e | t) = (n_et + p(e)) / (n_t + 1),  p(e) = n_e / N
 
-out of IC(e) = -log2 p(e).  A term is disclosing if PMI >= ``SHARE`` * IC in at least
-``LEAST_CONTEXTS`` distinct contexts (copies of a context count once).  In documents that hold
-the entity, disclosing terms become ``term`` spans: removed if they occur nowhere else
-(p(e | t) = 1), otherwise generalised to a placeholder.
+out of IC(e) = -log2 p(e).  p(e | t) is smoothed by one more text in which e is as likely as
+anywhere, so a term may qualify from its first context, but the fewer texts hold it, the rarer
+its entity must be.  A term is disclosing if PMI >= ``SHARE`` * IC.  In documents that hold the
+entity, disclosing terms become ``term`` spans: removed if they occur nowhere else (n_et = n_t),
+otherwise generalised to a placeholder.
 
 Counting: contexts are small and keyed by entity; document counts of terms are kept only for
 terms that can qualify.  Those are sent to the counting tasks as a bitmap of fixed size
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from codelore.llm.common import batch, fresh, materialise, row_batches, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
-REACH, LEAST_CONTEXTS, SHARE = 8, 3, 0.9
+REACH, SHARE = 8, 0.9
 BITMAP_BITS = 1 << 24
 BROADCAST_BYTES = 4 << 20
 _HELD_COUNTS = 200_000
@@ -166,7 +167,7 @@ def _document_counts(df: DataFrame, text_col: str, bitmap: bytes) -> DataFrame:
     return rows.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def disclosing_terms(df: DataFrame, text_col: str = "text", reach: int = REACH, least: int = LEAST_CONTEXTS, share: float = SHARE, bits: int = BITMAP_BITS) -> tuple[DataFrame, DataFrame]:
+def disclosing_terms(df: DataFrame, text_col: str = "text", reach: int = REACH, share: float = SHARE, bits: int = BITMAP_BITS) -> tuple[DataFrame, DataFrame]:
     """((key, entity) of the texts with entities, (entity, term, action) that disclose).
 
     Both are materialised.
@@ -174,7 +175,7 @@ def disclosing_terms(df: DataFrame, text_col: str = "text", reach: int = REACH,
     found = materialise(_occurrences(df, text_col, reach))
     seen = found.select("entity", "context", "terms").distinct()
     # Counts are summed from partial ones, so a very frequent entity or term is no hot task.
-    together = materialise(seen.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= least))
+    together = materialise(seen.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et")))
     holders = found.select("entity", "key").distinct()
     empty = together.limit(1).count() == 0
     if empty:
@@ -183,10 +184,10 @@ def disclosing_terms(df: DataFrame, text_col: str = "text", reach: int = REACH,
     per_term = _document_counts(df, text_col, _bitmap(together.select("term").distinct(), bits))
     per_entity = seen.groupBy("entity").agg(F.count("*").alias("n_e"))
     joined = together.join(per_entity, "entity").join(per_term, "term")
-    information = -F.log2(F.least(F.lit(1.0), F.col("n_e") / F.lit(total)))
-    given = F.least(F.lit(1.0), F.col("n_et") / F.col("n"))
-    pmi = F.log2(given) + information
-    action = F.when(given >= 1.0, "remove").otherwise("generalise")
+    prior = F.least(F.lit(1.0), F.col("n_e") / F.lit(total))
+    information = -F.log2(prior)
+    pmi = F.log2(F.least(F.lit(1.0), (F.col("n_et") + prior) / (F.col("n") + 1))) + information
+    action = F.when(F.col("n_et") >= F.col("n"), "remove").otherwise("generalise")
     return holders, materialise(joined.where((information > 0) & (pmi >= F.lit(share) * information)).select("entity", "term", action.alias("action")))
 
 

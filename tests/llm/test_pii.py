@@ -105,3 +105,20 @@ def test_query_digests_and_empty(spark, tmp_path):
 @pytest.mark.parametrize("text", ["a@b.c@d.e", "x@y", "1.2.3.4.5.6.7.8", "4041894974608795 4041894974608795"])
 def test_neighbouring_matches(text):
     assert P.base_spans(text) == brute(text)
+
+
+def test_terms_of_one_or_two_contexts_are_found(spark):
+    rng = random.Random(3)
+    words = [f"w{''.join(rng.choices('abcdefgh', k=3))}" for _ in range(100)]
+    texts = [" ".join(rng.choices(words, k=30)) for _ in range(1500)]
+    texts[5] += " treasurer Quillfeather wrote from one@corp.example.com"
+    texts[6] += f" inspector Marblethorpe {words[0]} two@corp.example.com"
+    texts[7] += f" {words[1]} inspector Marblethorpe two@corp.example.com"
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, pairs = P.disclosing_terms(df)
+    got = {(r.entity, r.term): r.action for r in pairs.collect()}
+    planted = [("one", "treasurer"), ("one", "quillfeather"), ("two", "inspector"), ("two", "marblethorpe")]
+    assert {k: a for k, a in got.items() if k[1] not in words} == {(f"email:{e}@corp.example.com", t): "remove" for e, t in planted} | {("email:one@corp.example.com", t): "remove" for t in ("wrote", "from")}
+    assert not any(t in words for _, t in got)
+    clean = {r.doc_id: r.text for r in P.sanitise(df).collect()}
+    assert not any(w in clean[d] for d in (5, 6, 7) for w in ("treasurer", "Quillfeather", "inspector", "Marblethorpe"))
