@@ -2,9 +2,9 @@ r"""Personal data and information-theoretic sanitisation (operator 5).
 
 Base spans are e-mail addresses, IPv4 addresses, card numbers and phone numbers found by fixed
 patterns.  Each distinct value is a protected entity.  A term can reveal an entity although it is
-no personal data itself; how strongly is measured on the corpus.  With n_t documents holding term
-t, n_et distinct contexts (texts within ``REACH`` words of the entity) holding both, and N
-documents, the information that t gives away about e is
+no personal data itself; how strongly is measured on the corpus.  All counts are of distinct texts, so copies
+change nothing: with n_t texts that hold term t, n_e that hold entity e, n_et that hold t within
+``REACH`` words of e, and N texts, the information that t gives away about e is
 
     PMI(e; t) = log2(p(e | t) / p(e)),  p(e | t) = (n_et + p(e)) / (n_t + 1),  p(e) = n_e / N
 
@@ -14,10 +14,11 @@ its entity must be.  A term is disclosing if PMI >= ``SHARE`` * IC.  In document
 entity, disclosing terms become ``term`` spans: removed if they occur nowhere else (n_et = n_t),
 otherwise generalised to a placeholder.
 
-Counting: contexts are small and keyed by entity; document counts of terms are kept only for
-terms that can qualify.  Those are sent to the counting tasks as a bitmap of fixed size
-(``BITMAP_BITS``), whose false hits cost a little work and change nothing, because the counts are
-joined exactly afterwards.  The terms of a text are broadcast only while they fit in
+Counting: contexts are small and keyed by entity; texts are counted only for terms that qualify
+if they occur nowhere else (n_t = n_et), as more texts only lower p(e | t).  Copies of a text
+meet by a shuffle after each task has dropped its own.  The terms to count are sent to the
+counting tasks as a bitmap of fixed size (``BITMAP_BITS``), whose false hits cost a little work
+and change nothing, because the counts are joined exactly afterwards.  The disclosing terms of a text are broadcast only while they fit in
 ``BROADCAST_BYTES``; beyond that, texts and terms meet by a shuffle on the text's hash.
 
 Defined results: null and empty texts have no spans; the same text gets the same spans wherever
@@ -27,14 +28,13 @@ span never overlaps a base span; an empty table gives no rows; extra columns pas
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codelore.llm.common import batch, fresh, materialise, row_batches, table
 
@@ -103,31 +103,30 @@ def terms_of(text: str) -> set[str]:
     return {w.lower() for w in _TERM.findall(text)}
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], reach: int = REACH) -> list[tuple[str, str, list[str]]]:
-    """(entity, hash of its context, terms of the context) of every base span."""
+def contexts(text: str, spans: list[tuple[str, int, int]], reach: int = REACH) -> list[tuple[str, list[str]]]:
+    """(entity, terms of its contexts) of every entity of the text."""
     covered = sorted((s, e) for _, s, e in spans)
-    out = []
+    out: dict[str, set[str]] = {}
     for kind, start, end in spans:
         # Enough characters for the words on either side; a longer word is cut out of reach.
         low, high = max(0, start - 40 * reach), min(len(text), end + 40 * reach)
         words = [m for m in _TERM.finditer(text, low, high) if not any(s < m.end() and m.start() < e for s, e in covered if s < high and e > low)]
         near = [m for m in words if m.end() <= start][-reach:] + [m for m in words if m.start() >= end][:reach]
-        found = [m[0].lower() for m in near]
-        out.append((_entity(kind, text[start:end]), hashlib.md5(" ".join(found).encode()).hexdigest(), sorted(set(found))))
-    return out
+        out.setdefault(_entity(kind, text[start:end]), set()).update(m[0].lower() for m in near)
+    return [(entity, sorted(terms)) for entity, terms in out.items()]
 
 
 def _occurrences(df: DataFrame, text_col: str, reach: int) -> DataFrame:
-    """(key, entity, context, terms): the entities of every text that has any."""
+    """(key, entity, terms): the entities of every text that has any."""
     rows = df.where(F.col(text_col).isNotNull()).select(F.sha2(F.col(text_col).cast("string"), 256).alias("key"), F.col(text_col).cast("string").alias("text"))
-    schema = pa.schema([("key", pa.string()), ("entity", pa.string()), ("context", pa.string()), ("terms", pa.list_(pa.string()))])
+    schema = pa.schema([("key", pa.string()), ("entity", pa.string()), ("terms", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = ((key.as_py(), *x) for key, text in zip(b.column(0), b.column(1), strict=True) if (t := text.as_py()) and (spans := base_spans(t)) for x in contexts(t, spans, reach))
             yield from row_batches(found, schema)
 
-    return rows.mapInArrow(run, "key string, entity string, context string, terms array<string>")
+    return rows.mapInArrow(run, "key string, entity string, terms array<string>")
 
 
 def _bitmap(terms: DataFrame, bits: int) -> bytes:
@@ -140,8 +139,8 @@ def _bitmap(terms: DataFrame, bits: int) -> bytes:
     return bytes(out)
 
 
-def _document_counts(df: DataFrame, text_col: str, bitmap: bytes) -> DataFrame:
-    """(term, n): documents that hold each term whose hash is in the bitmap."""
+def _text_counts(df: DataFrame, text_col: str, bitmap: bytes) -> DataFrame:
+    """(term, n): distinct texts that hold each term whose hash is in the bitmap."""
     sent = df.sparkSession.sparkContext.broadcast(bitmap)
     schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
 
@@ -163,7 +162,7 @@ def _document_counts(df: DataFrame, text_col: str, bitmap: bytes) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    rows = df.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"))
+    rows = df.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text")).distinct()
     return rows.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
@@ -173,22 +172,25 @@ def disclosing_terms(df: DataFrame, text_col: str = "text", reach: int = REACH,
     Both are materialised.
     """
     found = materialise(_occurrences(df, text_col, reach))
-    seen = found.select("entity", "context", "terms").distinct()
-    # Counts are summed from partial ones, so a very frequent entity or term is no hot task.
-    together = materialise(seen.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et")))
-    holders = found.select("entity", "key").distinct()
-    empty = together.limit(1).count() == 0
-    if empty:
-        return holders, together.select("entity", "term", F.lit("").alias("action"))
-    total = df.where(F.col(text_col).isNotNull()).count()
-    per_term = _document_counts(df, text_col, _bitmap(together.select("term").distinct(), bits))
-    per_entity = seen.groupBy("entity").agg(F.count("*").alias("n_e"))
-    joined = together.join(per_entity, "entity").join(per_term, "term")
+    holders = materialise(found.select("entity", "key").distinct())
+    total = df.where(F.col(text_col).isNotNull()).select(F.sha2(F.col(text_col).cast("string"), 256).alias("key")).distinct().count()
     prior = F.least(F.lit(1.0), F.col("n_e") / F.lit(total))
     information = -F.log2(prior)
-    pmi = F.log2(F.least(F.lit(1.0), (F.col("n_et") + prior) / (F.col("n") + 1))) + information
+
+    def discloses(n: str) -> Column:
+        pmi = F.log2((F.col("n_et") + prior) / (F.col(n) + 1)) + information
+        return (information > 0) & (pmi >= F.lit(share) * information)
+
+    # Counts are summed from partial ones, so a very frequent entity or term is no hot task.
+    together = found.select("key", "entity", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
+    per_entity = holders.groupBy("entity").agg(F.count("*").alias("n_e"))
+    able = materialise(together.join(per_entity, "entity").where(discloses("n_et")))
+    if able.limit(1).count() == 0:
+        return holders, able.select("entity", "term", F.lit("").alias("action"))
+    per_term = _text_counts(df, text_col, _bitmap(able.select("term").distinct(), bits))
+    joined = able.join(per_term, "term")
     action = F.when(F.col("n_et") >= F.col("n"), "remove").otherwise("generalise")
-    return holders, materialise(joined.where((information > 0) & (pmi >= F.lit(share) * information)).select("entity", "term", action.alias("action")))
+    return holders, materialise(joined.where(discloses("n")).select("entity", "term", action.alias("action")))
 
 
 def _terms_by_text(df: DataFrame, text_col: str, **method) -> DataFrame:

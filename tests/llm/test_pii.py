@@ -122,3 +122,11 @@ def test_terms_of_one_or_two_contexts_are_found(spark):
     assert not any(t in words for _, t in got)
     clean = {r.doc_id: r.text for r in P.sanitise(df).collect()}
     assert not any(w in clean[d] for d in (5, 6, 7) for w in ("treasurer", "Quillfeather", "inspector", "Marblethorpe"))
+
+
+def test_copies_of_texts_change_no_terms(spark):
+    docs = secretive()
+    once = spark.createDataFrame(docs, "doc_id long, text string")
+    often = once.union(once).union(once).union(once).union(once)
+    one, many = ({(r.entity, r.term, r.action) for r in P.disclosing_terms(df)[1].collect()} for df in (once, often))
+    assert one == many and ("email:boss@corp.example.com", "chairperson", "remove") in many
