@@ -6,7 +6,7 @@ family, ``unknown`` for other licence statements, or none.  Its probabilities ar
 temperature fitted on variants that were held out.  A family is reported if its calibrated
 probability reaches ``CONFIDENT`` and the comparison with the family's templates confirms it: at
 least ``SIMILAR`` of the word trigrams of the shorter one are shared.  Otherwise the paragraph is
-``unknown`` if licence classes together outweigh none and it holds a word of ``STATEMENT``.
+``unknown`` if licence classes together outweigh none.
 
 Scoring runs on the JVM.  A licence paragraph is defined to hold a trigger word, so paragraphs
 without one are passed over before scoring; every template has a trigger in more than 40 % of its
@@ -99,13 +99,20 @@ OTHERS = [
     "See the license file for licensing terms.",
     "No license is granted to copy or redistribute this work.",
     "Copyright holders grant no permission to redistribute.",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "This is free and unencumbered software released into the public domain.",
+    "Released under CC BY 2.5.",
+    "Released under CC0 1.0.",
+    "This work is dedicated to the public domain.",
 ]
 TRIGGERS = (
     "license", "licensed", "licenses", "licensing", "licence", "licenced", "apache", "mit", "gnu", "gpl", "lgpl", "bsd", "mozilla", "mpl", "cc", "creative", "commons",
-    "attribution", "copyright", "rights", "reserved", "permission", "permitted", "redistribution", "redistribute", "spdx", "granted", "free", "charge", "software", "terms", "modify", "restriction", "version", "source", "code", "governed",
+    "attribution", "copyright", "rights", "reserved", "permission", "permitted", "redistribution", "redistribute", "spdx", "granted", "free", "charge", "software", "terms", "modify", "restriction", "version", "source", "code", "governed", "cc0", "domain",
 )
-#: Words of which an ``unknown`` licence statement holds at least one.
-STATEMENT = ("license", "licensed", "licenses", "licensing", "licence", "licenced", "copyright", "reserved", "redistribution", "redistribute", "spdx")
+#: An ``unknown`` licence statement needs no word beyond those of any licence paragraph.
+STATEMENT = TRIGGERS
+#: Lines of the corpus that grant rights: no examples of ordinary text.
+_GRANT = re.compile(r"\b(?:licen|copyright|cc0\b|cc by\b|creative commons|public domain|(?:rights|permission)\b.*\b(?:reserved|granted)\b|unencumbered)", re.IGNORECASE)
 _OPENERS = ("", "", "", "Note: ", "This project: ", "The text below is ", "Code and data are ", "Contents of this page are ")
 _SPLIT = re.compile("[^a-z0-9]+")
 
@@ -165,7 +172,7 @@ class Model:
         examples = [(v, k) for k, name in enumerate(TEMPLATES) for t in TEMPLATES[name] for v in _variants(t, rng, 12)]
         examples += [(v, len(TEMPLATES)) for t in OTHERS for v in _variants(t, rng, 12)]
         vocabulary = sorted({g for t, _ in examples for g in ngrams(words_of(t))})
-        ordinary = [t for t in plain if t.strip() and not any(w.startswith(("licen", "copyright")) for w in words_of(t))]
+        ordinary = [t for t in plain if t.strip() and not _GRANT.search(t)]
         examples += [(t, len(self.classes) - 1) for t in ordinary]
         examples += [(" ".join(rng.sample(["the", "of", "this", "is", "under", "in", "a", "and", "or", "to", "work", "use", "you", "file", "version", "public", "free", "general"], 7)), len(self.classes) - 1) for _ in range(200)]
         rng.shuffle(examples)
@@ -265,7 +272,7 @@ def scan(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), tex
     return (
         shown.withColumn("family", F.when(confirmed, F.col("_best")).otherwise(F.lit(UNKNOWN)))
         .withColumn("probability", F.when(confirmed, F.col("_best_p")).otherwise(licence))
-        .where(confirmed | ((licence >= 0.5) & F.arrays_overlap("words", F.array(*[F.lit(w) for w in STATEMENT]))))
+        .where(confirmed | (licence >= 0.5))
         .select("_keep.*", "line", "family", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), "paragraph")
     )
 

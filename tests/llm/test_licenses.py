@@ -72,3 +72,17 @@ def test_repeated_rows_and_empty(spark, model):
     assert [r.family for r in L.scan(df, model).collect()] == ["MIT", "MIT"]
     assert L.scan(df.where("false"), model).collect() == []
     assert L.fit(df.where("false")) is not None
+
+
+GRANTS = [
+    "Permission to use, copy, modify, and/or distribute this software for any purpose is hereby granted.",
+    "This is free and unencumbered software released into the public domain.",
+    "Released under CC BY 2.5.",
+]
+
+
+def test_grants_without_the_word_licence_are_unknown(spark):
+    # Grants among the corpus lines are no examples of ordinary text.
+    model = L.Model(["the house of the and in this that", "ordinary prose about nothing", *GRANTS] * 50)
+    df = spark.createDataFrame(list(enumerate([*GRANTS, "the source of the river", "a free version of events"])), "doc_id long, text string")
+    assert sorted((r.doc_id, r.family) for r in L.scan(df, model).collect()) == [(0, L.UNKNOWN), (1, L.UNKNOWN), (2, L.UNKNOWN)]
