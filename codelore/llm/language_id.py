@@ -7,7 +7,7 @@ documents.  Gates are piecewise linear (clipped), which keeps a position cheap;
 independent, so many are run side by side and memory does not grow with a text.
 
 Training takes at most ``MAX_PER_LANGUAGE`` documents of each language (those of the smallest
-hashes, out of a pool of about twice ``MAX_POOL`` documents) and ``WINDOWS_PER_DOCUMENT`` windows
+hashes) and ``WINDOWS_PER_DOCUMENT`` windows
 of each; prediction reads every byte of every text.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; without labelled
@@ -25,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
-from codelore.llm.common import batch, hash_pool, table
+from codelore.llm.common import batch, table
 
 FOLDS = 5
-MAX_PER_LANGUAGE, MAX_POOL, WINDOWS_PER_DOCUMENT = 400, 10_000, 8
+MAX_PER_LANGUAGE, WINDOWS_PER_DOCUMENT = 400, 8
 #: Bytes in a window, hidden units in a direction, windows run side by side.
 SPAN, HIDDEN, SIDE_BY_SIDE = 64, 8, 2048
 STEPS, TRAIN_BATCH, RATE = 300, 96, 0.02
@@ -222,12 +222,13 @@ def held_out(id_col: str, folds: int = FOLDS):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))), F.lit(folds)) == 0
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = MAX_PER_LANGUAGE, most_pool: int = MAX_POOL) -> Network | None:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = MAX_PER_LANGUAGE) -> Network | None:
     """Train on a bounded sample of the labelled documents outside the held-out fold."""
     labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rank = F.row_number().over(W.partitionBy("_lang").orderBy(F.xxhash64("_id", F.lit("sample")), "_id"))
     slim = labelled.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"))
-    chosen = hash_pool(slim, "_id", most_pool).withColumn("_rank", rank).where(F.col("_rank") <= per_language).select("_id", "_lang").distinct()
+    # Each partition keeps its smallest of a language before the shuffle (window group limit).
+    chosen = slim.withColumn("_rank", rank).where(F.col("_rank") <= per_language).select("_id", "_lang").distinct()
     rows = labelled.join(F.broadcast(chosen), (F.col(id_col).eqNullSafe(F.col("_id"))) & (F.col(lang_col) == F.col("_lang")), "left_semi")
     texts, languages = [], []
     # At most per_language texts of each language come to the driver, a partition at a time.

@@ -66,3 +66,11 @@ def test_positions_past_the_end_do_not_count():
     net = L.train(["the and of with this that " * 30, "der die und das ist nicht " * 30], ["en", "de"], steps=60)
     (_, one), (_, two) = L.predict(net, ["the and of with this", "the and of with this"])
     assert one == two <= 1
+
+
+def test_rare_languages_are_sampled_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(L, "train", lambda texts, languages: languages)
+    docs = spark.range(60_000).selectExpr("id as doc_id", "'some text' as text", "if(id % 3000 = 7, 'rare', 'often') as lang")
+    found = L.fit(docs)
+    rare = docs.where("lang = 'rare'").where(~L.held_out("doc_id")).count()
+    assert rare > 10 and found.count("rare") == rare and found.count("often") == L.MAX_PER_LANGUAGE
