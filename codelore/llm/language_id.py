@@ -1,19 +1,24 @@
 """Language identification by a bidirectional gated recurrent network over bytes (operator 8).
 
-The network reads windows of a text's UTF-8 bytes in both directions, gives every byte position a
-probability for each language, and a document's probabilities are the mean over all its
-positions.  It is trained here, in numpy, by backpropagation through time on windows of labelled
-documents.  Gates are piecewise linear (clipped), which keeps a position cheap; windows are
-independent, so many are run side by side and memory does not grow with a text.
+The network reads a text's UTF-8 bytes in both directions, gives every byte position a probability
+for each language, and a document's probabilities are the mean over all its positions.  It is
+trained here, in numpy, by backpropagation through time on windows of labelled documents.
 
-Training takes at most ``MAX_PER_LANGUAGE`` documents of each language (those of the smallest
-hashes) and ``WINDOWS_PER_DOCUMENT`` windows
-of each; prediction reads every byte of every text.
+A text is read in windows that overlap: a position is labelled from states that have read at
+least ``CONTEXT`` bytes of the text on either side of its window (or the text's end), so a window's
+border is no border for the network.  Windows are run side by side, and memory does not grow with a
+text.  Gates are clipped lines instead of sigmoids: the same gradients by backpropagation, at a
+fraction of the cost of an exponential for each gate, unit and byte.
 
-Defined results: a text that is null or has no letter is ``und`` with score 0; without labelled
-documents every text is; documents whose crc32 of the id mod 5 is 0 (a null id counts as
-the text ``null``) are held out of training; repeated rows get equal results; ties go to the
-language that sorts first; extra columns are ignored.
+Training takes at most ``MAX_PER_LANGUAGE`` documents of each language (those of the smallest
+hashes) of at most ``MAX_LANGUAGES`` languages (the most frequent; ties by name), and
+``WINDOWS_PER_DOCUMENT`` windows of each; prediction reads every byte of every text.
+
+Defined results: a text that is null or has no letter (Unicode category L) is ``und`` with score 0;
+without labelled documents every text is; documents whose crc32 of the id mod 5 is 0 (a null id
+counts as the text ``null``) are held out of training; repeated rows get equal results; ties go to
+the language that sorts first; very long texts are read whole, a bounded piece at a time; an empty
+table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,15 +30,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
-from codelore.llm.common import batch, table
+from codelore.llm.common import batch, fresh, table
 
 FOLDS = 5
-MAX_PER_LANGUAGE, WINDOWS_PER_DOCUMENT = 400, 8
-#: Bytes in a window, hidden units in a direction, windows run side by side.
-SPAN, HIDDEN, SIDE_BY_SIDE = 64, 8, 2048
+MAX_PER_LANGUAGE, MAX_LANGUAGES, WINDOWS_PER_DOCUMENT = 400, 256, 8
+#: Bytes that a window labels, bytes that it reads before and after them, hidden units in a
+#: direction, windows run side by side.
+SPAN, CONTEXT, HIDDEN, SIDE_BY_SIDE = 96, 16, 8, 2048
 STEPS, TRAIN_BATCH, RATE = 300, 96, 0.02
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and marks, number forms and superscripts that ``\\w`` takes in besides.
+_WORDLIKE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is of Unicode category L."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
 
 
 class Network:
@@ -138,12 +150,17 @@ class Network:
         return loss, [d_table, d_recurrent, d_out, d_bias]
 
 
-def windows_of(data: bytes, span: int = SPAN) -> np.ndarray:
-    """(windows, span) bytes of a text; the last window is filled up with zeros."""
+def windows_of(data: bytes, before: bytes = b"", after: bytes = b"", span: int = SPAN, context: int = CONTEXT) -> np.ndarray:
+    """(windows, context + span + context) bytes of a piece of a text.
+
+    ``before`` and ``after`` are the bytes of the text beside the piece; zeros stand beyond its ends.
+    """
     count = -(-len(data) // span)
-    out = np.zeros(count * span, dtype=np.uint8)
-    out[: len(data)] = np.frombuffer(data, dtype=np.uint8)
-    return out.reshape(count, span)
+    out = np.zeros(count * span + 2 * context, dtype=np.uint8)
+    whole = np.frombuffer(before[-context:] + data + after[:context], dtype=np.uint8)
+    start = context - len(before[-context:])
+    out[start : start + len(whole)] = whole[: len(out) - start]
+    return np.lib.stride_tricks.sliding_window_view(out, span + 2 * context)[::span]
 
 
 def train(texts: list[str], languages: list[str], steps: int = STEPS, seed: int = 7) -> Network | None:
@@ -195,19 +212,21 @@ def predict(net: Network, texts: list[str | None]) -> list[tuple[str, float]]:
         windows = np.concatenate([w for _, w in queue])
         for s in range(0, len(windows), SIDE_BY_SIDE):
             part = windows[s : s + SIDE_BY_SIDE]
-            p = net.position_probabilities(part)
-            if (part[:, -1] == 0).any():  # positions past the end of a text do not count
-                p *= (part != 0).T[:, None, :]
+            p = net.position_probabilities(part)[CONTEXT : CONTEXT + SPAN]
+            own = part[:, CONTEXT : CONTEXT + SPAN]
+            if (own[:, -1] == 0).any():  # positions past the end of a text do not count
+                p *= (own != 0).T[:, None, :]
             np.add.at(total, owner[s : s + SIDE_BY_SIDE], p.sum(axis=0).T)
         queue, waiting = [], 0
 
     for i, text in enumerate(texts):
-        if not text or not _LETTER.search(text):
+        if not text or not has_letter(text):
             continue
         data = text.encode("utf-8", "surrogatepass").replace(b"\x00", b" ")
         sizes[i] = len(data)
         for s in range(0, len(data), SPAN * SIDE_BY_SIDE):
-            piece = windows_of(data[s : s + SPAN * SIDE_BY_SIDE])
+            end = s + SPAN * SIDE_BY_SIDE
+            piece = windows_of(data[s:end], data[max(0, s - CONTEXT) : s], data[end : end + CONTEXT])
             queue.append((i, piece))
             waiting += len(piece)
             if waiting >= 2 * SIDE_BY_SIDE:
@@ -222,26 +241,41 @@ def held_out(id_col: str, folds: int = FOLDS):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))), F.lit(folds)) == 0
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = MAX_PER_LANGUAGE) -> Network | None:
+def fit(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    per_language: int = MAX_PER_LANGUAGE,
+    languages: int = MAX_LANGUAGES,
+) -> Network | None:
     """Train on a bounded sample of the labelled documents outside the held-out fold."""
     labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rank = F.row_number().over(W.partitionBy("_lang").orderBy(F.xxhash64("_id", F.lit("sample")), "_id"))
     slim = labelled.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"))
-    # Each partition keeps its smallest of a language before the shuffle (window group limit).
-    chosen = slim.withColumn("_rank", rank).where(F.col("_rank") <= per_language).select("_id", "_lang").distinct()
+    known = slim.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(languages).collect()
+    # A hash below a language's bound puts a document in the pool: about twice as many as wanted,
+    # all of a language with fewer.  Bounds are taken before the shuffle, so no task gets a whole language.
+    span = 1 << 40
+    bound = F.lit(None).cast("long")
+    for lang, n in known:
+        bound = F.when(F.col("_lang") == lang, F.lit(round(min(1.0, 2 * per_language / n) * span))).otherwise(bound)
+    pool = slim.where(F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(span)) < bound)
+    rank = F.row_number().over(W.partitionBy("_lang").orderBy(F.xxhash64("_id", F.lit("sample")), "_id"))
+    chosen = pool.withColumn("_rank", rank).where(F.col("_rank") <= per_language).select("_id", "_lang").distinct()
     rows = labelled.join(F.broadcast(chosen), (F.col(id_col).eqNullSafe(F.col("_id"))) & (F.col(lang_col) == F.col("_lang")), "left_semi")
-    texts, languages = [], []
-    # At most per_language texts of each language come to the driver, a partition at a time.
+    texts, names = [], []
+    # At most per_language texts of each of the languages come to the driver, a partition at a time.
     for text, language in rows.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).orderBy(F.xxhash64(id_col), F.xxhash64(text_col)).toLocalIterator():
-        if _LETTER.search(text):
+        if has_letter(text):
             texts.append(text)
-            languages.append(language)
-    return train(texts, languages)
+            names.append(language)
+    return train(texts, names)
 
 
 def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id with ``held_out``, ``lang_pred`` and ``score`` of every row."""
-    rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("_text"))
+    body = fresh(docs.select(id_col), "_text")
+    rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias(body))
     if net is None:
         return rows.select(id_col, "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     sent = docs.sparkSession.sparkContext.broadcast(net)

@@ -74,3 +74,25 @@ def test_rare_languages_are_sampled_at_any_size(spark, monkeypatch):
     found = L.fit(docs)
     rare = docs.where("lang = 'rare'").where(~L.held_out("doc_id")).count()
     assert rare > 10 and found.count("rare") == rare and found.count("often") == L.MAX_PER_LANGUAGE
+
+
+def test_letters_are_category_l(spark):
+    texts = ["½ ² ", "Ⅷ", "١٢٣", "́", "_ 12", "ʰ", "漢", "ª"]
+    net = L.train(["the and of with this that " * 30, "der die und das ist nicht " * 30], ["en", "de"], steps=5)
+    assert [lang == "und" for lang, _ in L.predict(net, texts)] == [True] * 5 + [False] * 3
+
+
+def test_windows_read_their_neighbours():
+    data = bytes(range(1, 256))
+    w = L.windows_of(data, span=10, context=4)
+    assert w.shape == (26, 18)
+    assert w[0].tolist() == [0] * 4 + list(range(1, 15)) and w[3].tolist() == list(range(27, 45))
+    assert w[-1].tolist() == [247, 248, 249, 250, 251, 252, 253, 254, 255] + [0] * 9
+    piece = L.windows_of(data[50:70], data[:50], data[70:], span=10, context=4)
+    assert piece.tolist() == w[5:7].tolist()
+
+
+def test_languages_beyond_the_bound_are_the_rarest(spark, monkeypatch):
+    monkeypatch.setattr(L, "train", lambda texts, languages: sorted(set(languages)))
+    docs = spark.range(400).selectExpr("id as doc_id", "'some text' as text", "if(id % 10 = 7, 'rare', if(id % 2 = 0, 'a', 'b')) as lang")
+    assert L.fit(docs, languages=2) == ["a", "b"]
