@@ -11,9 +11,10 @@ changing a count: no piece has a word mark after another character, so merges ne
 start of a word; and a character that is part of no longer piece never merges.  Words are
 therefore counted independently and a bounded dictionary remembers recent ones.
 
-Defined results: null and empty texts have 0 tokens; equal rows give equal rows; control
-strings such as ``</s>`` inside a text are ordinary characters; extra columns are ignored
-unless named in ``keep``.
+Defined results: null and empty texts have 0 tokens; repeated rows give repeated rows; control
+strings such as ``</s>`` inside a text are ordinary characters; of equal ranks the leftmost pair
+merges first; very long texts are counted whole, a word at a time; an empty table gives no rows;
+extra columns are ignored unless named in ``keep``, where a name of an output column is an error.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codelore.llm.common import batch, table
+from codelore.llm.common import batch, fresh, table
 
 VOCABULARY = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -231,20 +232,22 @@ def count_tokens(
     Null texts count as empty.  The model file's bytes are broadcast; their size is fixed by
     the vocabulary and checked, not by the corpus.
     """
-    spark = df.sparkSession
+    if taken := {"n_bytes", "n_tokens", "over_limit"} & {c.lower() for c in keep}:
+        raise ValueError(f"output columns among those to keep: {sorted(taken)}")
+    spark, body = df.sparkSession, fresh(df, "_text")
     sent = spark.sparkContext.broadcast(vocabulary_bytes(vocabulary or public_tokenizers.path(VOCABULARY)))
     source = df.select(
         *keep,
-        F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"),
-        F.col(text_col).cast("string").alias("_text"),
+        F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("n_bytes"),
+        F.col(text_col).cast("string").alias(body),
     )
-    fields = [f for f in source.schema.fields if f.name != "_text"]
+    fields = [f for f in source.schema.fields if f.name != body]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_tokens long"
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(sent.value)
         for b in batches:
-            at = b.schema.get_field_index("_text")
+            at = b.schema.get_field_index(body)
             counts = [model.count(t.as_py()) for t in b.column(at)]
             kept = [i for i in range(b.num_columns) if i != at]
             out = pa.schema([b.schema.field(i) for i in kept] + [pa.field("n_tokens", pa.int64())])
