@@ -16,8 +16,10 @@ near-copies left out; prediction and the decision cover every row and whole text
 
 Defined results: null and empty texts have no features and are scored by the intercepts; a
 category with labels of one kind only gets a constant probability (and is decided by it);
-without labels nothing is toxic; contradicting labels of a document count as positive; repeated
-rows get equal results; extra columns pass only if kept.
+without labels nothing is toxic; contradicting labels of a document count as positive; features of
+equal |z| are chosen in the order of their ids, which are the same in every process; very long
+texts are read whole; repeated rows get equal results; empty tables give no rows; extra columns
+pass only if kept.
 """
 
 from __future__ import annotations
@@ -26,9 +28,11 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import fsum
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codelore.llm.common import batch, fresh, hash_pool, table
@@ -71,8 +75,8 @@ class Link:
         words, beginnings, shape = found
         z = self.intercept + float(self.shape @ shape) + float(self.earlier @ before) if before else self.intercept + float(self.shape @ shape)
         if words:
-            z += sum(map(self.words.__getitem__, self.words.keys() & words))
-            z += sum(map(self.beginnings.__getitem__, self.beginnings.keys() & beginnings))
+            # Sets have no order of their own; an exact sum needs none.
+            z += fsum((*map(self.words.__getitem__, self.words.keys() & words), *map(self.beginnings.__getitem__, self.beginnings.keys() & beginnings)))
         return float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
 
 
@@ -86,9 +90,17 @@ def chain_probabilities(chain: list[Link], text: str | None) -> list[float]:
 _BEGINNING = 0x5BD1E995
 
 
+def _word_id(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1
+
+
+def _beginning_id(beginning: str) -> int:
+    return _word_id(beginning) ^ _BEGINNING
+
+
 def _ids(words: set[str], beginnings: set[str]) -> np.ndarray:
-    """64-bit ids of a text's features; they hold within this process only."""
-    return np.fromiter((*map(hash, words), *(hash(b) ^ _BEGINNING for b in beginnings)), dtype=np.int64, count=len(words) + len(beginnings))
+    """Ids of a text's features, the same and in the same order in every process."""
+    return np.sort(np.fromiter((*map(_word_id, words), *map(_beginning_id, beginnings)), dtype=np.int64, count=len(words) + len(beginnings)))
 
 
 class _Rows:
@@ -121,8 +133,8 @@ class _Rows:
         by_word, by_beginning = {}, {}
         for text in self.texts:
             words, beginnings, _ = features(text)
-            by_word.update({w: x for w in words if (x := wanted.get(hash(w))) is not None})
-            by_beginning.update({b: x for b in beginnings if (x := wanted.get(hash(b) ^ _BEGINNING)) is not None})
+            by_word.update({w: x for w in words if (x := wanted.get(_word_id(w))) is not None})
+            by_beginning.update({b: x for b in beginnings if (x := wanted.get(_beginning_id(b))) is not None})
         return by_word, by_beginning
 
 

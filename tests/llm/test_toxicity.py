@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 
@@ -68,3 +71,63 @@ def test_long_text_counts_whole():
     chain = X.fit_chain(texts, {"toxic": [bool(i % 2) for i in range(80)]})
     assert X.chain_probabilities(chain, "plain words only " * 50_000 + "vilezz")[0] >= chain[0].threshold
     assert X.chain_probabilities(chain, "plain words only " * 50_000)[0] < chain[0].threshold
+
+
+def dense_fit(x, shape, y, use, steps=200, decay=3e-4):
+    """The linear model on a dense matrix with named steps, as the method states it."""
+    n, pos, neg = len(y), y[use].sum(), (~y[use]).sum()
+    a, b = x[use & y].sum(0), x[use & ~y].sum(0)
+    odds = np.log((a + 0.5) / (pos - a + 0.5)) - np.log((b + 0.5) / (neg - b + 0.5))
+    z = np.abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (pos - a + 0.5) + 1 / (b + 0.5) + 1 / (neg - b + 0.5))
+    z[a + b < X.LEAST_DOCUMENTS] = 0
+    cols = np.flatnonzero(z >= X.LEAST_Z)
+    share = np.where(y, min(10.0, neg / pos), 1.0) * use
+    share = share / share.sum()
+    full = np.concatenate([x[:, cols], shape, np.ones((n, 1))], axis=1)
+    w = np.zeros(full.shape[1])
+    penalty = np.full(len(w), decay)
+    penalty[-1] = 0
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for t in range(1, steps + 1):
+        p = 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
+        g = full.T @ (share * (p - y)) + penalty * w
+        m, v = m + 0.1 * (g - m), v + 0.01 * (g * g - v)
+        w = w - 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    return 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
+
+
+def test_chain_equals_brute_force():
+    rows = corpus(150, seed=9)
+    random.Random(3).shuffle(rows)  # every fold has every label
+    texts = [t for _, t, _, _ in rows]
+    assert X._without_near_copies(texts) == list(range(len(texts)))
+    found = [X.features(t) for t in texts]
+    names = sorted({("w", w) for f in found for w in f[0]} | {("b", b) for f in found for b in f[1]})
+    counts = {k: sum((k[1] in f[0]) if k[0] == "w" else (k[1] in f[1]) for f in found) for k in names}
+    names = [k for k in names if counts[k] >= X.LEAST_DOCUMENTS]
+    x = np.array([[(k[1] in f[0]) if k[0] == "w" else (k[1] in f[1]) for k in names] for f in found], dtype=float)
+    shape = np.array([f[2] for f in found])
+    labels = {"low_quality": np.array([not q for _, _, q, _ in rows]), "toxic": np.array([bool(t) for *_, t in rows])}
+    chain = X.fit_chain(texts, {k: v.tolist() for k, v in labels.items()})
+    fold, every = np.arange(len(texts)) % X.FOLDS, np.ones(len(texts), dtype=bool)
+    train = shape
+    for k, (name, y) in enumerate(labels.items()):
+        out_of_fold = np.zeros(len(y))
+        for f in range(X.FOLDS):
+            out_of_fold[fold == f] = dense_fit(x, train, y, fold != f)[fold == f]
+        assert abs(chain[k].threshold - X.best_threshold(out_of_fold, y)) < 1e-6
+        if k == 0:  # the first link has no earlier one: its training inputs are those of prediction
+            expected = dense_fit(x, train, y, every)
+            got = [X.chain_probabilities(chain, t)[0] for t in texts]
+            assert np.allclose(got, expected, atol=1e-6)
+        else:  # trained with out-of-fold probabilities, applied with those of the fitted links
+            on_training = dense_fit(x, train, y, every)
+            got = [chain[k].probability(f, [float(p)]) for f, p in zip(found, train[:, -1], strict=True)]
+            assert np.allclose(got, on_training, atol=1e-6)
+        train = np.concatenate([train, out_of_fold[:, None]], axis=1)
+
+
+def test_the_same_in_every_process():
+    code = "from tests.llm.test_toxicity import corpus, X\nrows = corpus(120)\nc = X.fit_chain([t for _, t, _, _ in rows], {'q': [not q for _, _, q, _ in rows], 't': [bool(t) for *_, t in rows]})\nprint([(x.threshold, x.intercept, sorted(x.words.items())[:50]) for x in c], [X.chain_probabilities(c, t) for _, t, _, _ in rows[:20]])"
+    out = {subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONHASHSEED": seed, "OMP_NUM_THREADS": "1"}, capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__)))).stdout for seed in "123"}
+    assert len(out) == 1
