@@ -2,39 +2,51 @@
 
 Every Arrow batch of documents is one training shard.  Its words become identifiers of the
 benchmark's vocabulary (0: any other word, and the gap between documents), and its suffixes are
-sorted into a suffix array.  Suffixes that cannot begin a match, because their first words are
-not the first words of any test window, are left out before sorting; that loses nothing.  Every
-test suffix is binary-searched in the array: the range of suffixes that begin with its window
-gives all places where the window occurs, and comparing onward from each place gives the
-verbatim match there.  Shards are searched independently, so nothing is gathered.
+sorted into a suffix array, as deep as a test suffix reaches or up to the first word that no test
+text has.  Suffixes whose first two words stand side by side in no test text are left out before
+sorting: nothing of two or more words matches there.
+
+Every suffix of every test text is binary-searched in the array.  The places that begin with its
+window are a range of the array; each is compared onward to the end of its verbatim match.  Shorter
+matches are found beside the places where test suffixes fall: the longest match of a training
+suffix with any test suffix is that with the nearest one before or after it.  Shards are searched
+independently, so nothing is gathered.
 
 The test side is sent to every shard.  It is read in blocks whose size in words is bounded
-(``MAX_TEST_WORDS``); a larger benchmark takes several passes whose matches are merged per
-document by a shuffle.
+(``MAX_TEST_WORDS``); a larger benchmark takes a pass for each block, one after another, whose
+matches are written to the shared folder before the next block is read, and merged by row.
 
 Defined results: A-Z are lower-cased, words are runs of ASCII letters and digits and of any
 non-ASCII characters; a window is 8 consecutive words of an item, or a shorter item whole; items
 without words, null texts and null item ids match nothing; equal item ids count once; null and
-empty documents have no words; repeated rows give repeated rows; extra columns pass only if kept.
+empty documents have no words; the longest match has at least two words or is a whole item of one,
+else its length is 0; of equally long ones the first in the document counts, with one of the
+items that match there; repeated rows give repeated rows; very long texts are searched whole; empty
+tables give no rows or no matches; extra columns pass only if kept, where a name of an output
+column is an error.
 """
 
 from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codelore.llm.common import batch, fresh, table
+from codelore.llm.common import batch, fresh, materialise, table
 
 WINDOW = 8
 #: Items with windows in a document from which it counts as contaminated.
 LEAST_ITEMS = 2
 #: Words of test text in one block, and so in one broadcast.
 MAX_TEST_WORDS = 2_000_000
+#: Words in the shortest match that is reported besides windows.
+LEAST_MATCH = 2
 #: Places that are compared onward at once.
 _PLACES = 1 << 15
 
@@ -56,43 +68,40 @@ class TestBlock(NamedTuple):
 
 
 class TestSuffixes:
-    """Sorted windows of a block of items, and where each occurs in the items."""
+    """Every suffix of a block of items, the windows among them, and where each occurs."""
 
     def __init__(self, block: TestBlock, window: int):
         self.window = window
         split = [t.split() for t in block.texts]
         self.vocabulary = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
         lengths = np.array([len(ws) for ws in split], dtype=np.int64)
-        gap = max(window, 1)
+        gap = max(window, 2)
+        starts = np.cumsum(lengths + gap) - (lengths + gap)
         flat = np.zeros(int(lengths.sum()) + gap * (len(split) + 1), dtype=np.uint32)
-        item_of, offset_of, start = [], [], 0
-        for i, ws in enumerate(split):
+        for start, ws in zip(starts.tolist(), split, strict=True):
             flat[start : start + len(ws)] = [self.vocabulary[w] for w in ws]
-            count = len(ws) - window + 1 if len(ws) >= window else int(bool(ws))
-            item_of += [i] * count
-            offset_of += range(start, start + count)
-            start += len(ws) + gap
-        self.flat = flat
-        self.item_of, self.at = np.array(item_of, dtype=np.int64), np.array(offset_of, dtype=np.int64)
-        self.size = np.minimum(lengths, window)[self.item_of] if len(item_of) else np.zeros(0, dtype=np.int64)
-        self.item_end = (self.at - self._offset(item_of, offset_of)) + lengths[self.item_of] if len(item_of) else self.at
-        # Unigrams and bigrams that begin a window: what a training suffix must begin with.
-        self.first = np.zeros(len(self.vocabulary) + 1, dtype=bool)
+        self.flat, self.longest = flat, int(lengths.max(initial=0))
+        # All suffixes, in the order of their first words.
+        every = np.flatnonzero(flat)
+        self.keys = _keys(flat, every, window)
+        order = np.argsort(self.keys, kind="stable")
+        self.suffixes, self.keys = every[order], self.keys[order]
+        item_at = np.repeat(np.arange(len(split)), lengths)
+        self.suffix_item = item_at[order]
+        # Windows: eight words of an item, or an item of fewer.
+        ends = (starts + lengths)[item_at]
+        whole = (every == starts[item_at]) & (lengths[item_at] < window)
+        of = np.flatnonzero((ends - every >= window) | whole)
+        self.at, self.item_of, self.item_end = every[of], item_at[of], ends[of]
+        self.size = np.minimum(lengths, window)[self.item_of]
+        # Words that are a window, and pairs of words that a training suffix must begin with.
         self.single = np.zeros(len(self.vocabulary) + 1, dtype=bool)
-        self.first[flat[self.at]] = True
         self.single[flat[self.at[self.size == 1]]] = True
         self.bits = 22
         self.pairs = np.zeros(1 << self.bits, dtype=bool)
-        two = self.at[self.size > 1]
+        two = every[flat[every + 1] > 0]
         self.pairs[self.pair(flat[two], flat[two + 1])] = True
 
-    @staticmethod
-    def _offset(item_of: list[int], offset_of: list[int]) -> np.ndarray:
-        begin: dict[int, int] = {}
-        for i, o in zip(item_of, offset_of, strict=True):
-            begin.setdefault(i, o)
-        return np.array([o - begin[i] for i, o in zip(item_of, offset_of, strict=True)], dtype=np.int64)
-
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         mixed = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -108,7 +117,7 @@ class Shard:
     """The suffix array of one shard's words, as far as suffixes can match."""
 
     def __init__(self, texts: list[bytes | None], test: TestSuffixes):
-        get, gap = test.vocabulary.get, max(test.window, 1)
+        get, gap = test.vocabulary.get, max(test.window, 2)
         ids = array("I")
         lengths = []
         blank = array("I", [0] * gap)
@@ -120,15 +129,58 @@ class Shard:
         self.lengths = np.array(lengths, dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths + gap)])[:-1] if lengths else np.zeros(0, dtype=np.int64)
         self.words = np.frombuffer(ids, dtype=np.uint32) if lengths else np.zeros(0, dtype=np.uint32)
-        here = np.flatnonzero(test.first[self.words]) if len(ids) else np.zeros(0, dtype=np.int64)
-        here = here[self.words[here] > 0]
-        following = self.words[here + 1]
-        here = here[test.pairs[test.pair(self.words[here], following)] | test.single[self.words[here]]]
-        # Words past the window are looked at place by place, so the array is sorted to that depth.
         self.test = test
+        here = np.flatnonzero(self.words)
+        here = here[test.pairs[test.pair(self.words[here], self.words[here + 1])] | test.single[self.words[here]]]
         keys = _keys(self.words, here, test.window)
         order = np.argsort(keys, kind="stable")
         self.suffixes, self.sorted = here[order], keys[order]
+        self._deepen()
+
+    def _deepen(self) -> None:
+        """Order suffixes of equal first words by the words after, as far as a test suffix reaches."""
+        width, depth = self.test.window, self.test.window
+        same = np.flatnonzero(self.sorted[1:] == self.sorted[:-1])
+        tied = np.unique(np.concatenate([same, same + 1]))
+        group = np.cumsum(np.concatenate([[True], self.sorted[1:] != self.sorted[:-1]]))[tied] if len(tied) else tied
+        while len(tied) and depth < self.test.longest:
+            # Beyond a word that no test text has, no test suffix reaches.
+            open_ = (self.words[self.suffixes[tied][:, None] + np.arange(depth - width, depth)] > 0).all(axis=1)
+            tied, group = tied[open_], group[open_]
+            if not len(tied):
+                return
+            keys = _keys(self.words, self.suffixes[tied] + depth, width)
+            order = np.lexsort((keys, group))
+            # Members of a group are equal so far: they change places among themselves.
+            self.suffixes[tied] = self.suffixes[tied][order]
+            keys, group = keys[order], group[order]
+            again = (keys[1:] == keys[:-1]) & (group[1:] == group[:-1])
+            member = np.concatenate([again, [False]]) | np.concatenate([[False], again])
+            group = np.cumsum(np.concatenate([[True], ~again]))[member]
+            tied = tied[member]
+            depth += width
+
+    def nearest(self) -> tuple[np.ndarray, np.ndarray]:
+        """(words, test suffix) of every training suffix: its longest match within a window's
+        length, which is that with the test suffix just before or just after it.
+        """
+        t = self.test
+        if not len(self.suffixes) or not len(t.suffixes):
+            return np.zeros(len(self.suffixes), dtype=np.int64), np.zeros(len(self.suffixes), dtype=np.int64)
+        falls = np.searchsorted(self.sorted, t.keys, "left")  # of every test suffix
+        after = np.searchsorted(falls, np.arange(len(self.suffixes)), "right")
+        sides = [np.clip(after - 1, 0, len(t.suffixes) - 1), np.clip(after, 0, len(t.suffixes) - 1)]
+        lengths = []
+        for side in sides:
+            going = np.ones(len(self.suffixes), dtype=bool)
+            length = np.zeros(len(self.suffixes), dtype=np.int64)
+            for k in range(t.window):
+                word = self.words[self.suffixes + k]
+                going &= (word > 0) & (word == t.flat[t.suffixes[side] + k])
+                length += going
+            lengths.append(length)
+        first = lengths[0] >= lengths[1]
+        return np.where(first, lengths[0], lengths[1]), np.where(first, sides[0], sides[1])
 
     def matches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, test window, words matched) of every occurrence of every test window."""
@@ -171,29 +223,36 @@ class Shard:
         t, n = self.test, len(self.lengths)
         place, window, length = self.matches()
         out = [(int(x), [], [], 0, None, None) for x in self.lengths]
-        if not len(place):
-            return out
-        doc = np.searchsorted(self.starts, place, "right") - 1
-        mark = np.zeros(len(self.words) + 1, dtype=np.int32)
-        np.add.at(mark, place, 1)
-        np.add.at(mark, place + t.size[window], -1)
-        hit = np.cumsum(mark)[:-1] > 0
-        edge = np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))
-        begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        span_doc = np.searchsorted(self.starts, begin, "right") - 1
-        pairs = np.unique(np.stack([doc, t.item_of[window]]), axis=1)
-        best = np.lexsort((window, place, -length, doc))
-        best = best[np.concatenate([[True], doc[best][1:] != doc[best][:-1]])]
         spans: dict[int, list] = {}
-        for d, x, y in zip(span_doc.tolist(), begin.tolist(), stop.tolist(), strict=True):
-            at = int(self.starts[d])
-            spans.setdefault(d, []).append({"start": x - at, "end": y - at})
         items: dict[int, list] = {}
-        for d, i in pairs.T.tolist():
-            items.setdefault(d, []).append(i)
-        for k in best.tolist():
-            d = int(doc[k])
-            out[d] = (int(self.lengths[d]), spans[d], items[d], int(length[k]), int(t.item_of[window[k]]), int(place[k] - self.starts[d]))
+        if len(place):
+            doc = np.searchsorted(self.starts, place, "right") - 1
+            mark = np.zeros(len(self.words) + 1, dtype=np.int32)
+            np.add.at(mark, place, 1)
+            np.add.at(mark, place + t.size[window], -1)
+            hit = np.cumsum(mark)[:-1] > 0
+            edge = np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))
+            begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            span_doc = np.searchsorted(self.starts, begin, "right") - 1
+            pairs = np.unique(np.stack([doc, t.item_of[window]]), axis=1)
+            for d, x, y in zip(span_doc.tolist(), begin.tolist(), stop.tolist(), strict=True):
+                at = int(self.starts[d])
+                spans.setdefault(d, []).append({"start": x - at, "end": y - at})
+            for d, i in pairs.T.tolist():
+                items.setdefault(d, []).append(i)
+        # Longest matches: those of windows, and shorter ones beside test suffixes.
+        short, beside = self.nearest()
+        known = np.flatnonzero((short >= LEAST_MATCH) & (short < t.window))
+        where = np.concatenate([place, self.suffixes[known]])
+        size = np.concatenate([length, short[known]])
+        item = np.concatenate([t.item_of[window], t.suffix_item[beside[known]]])
+        if len(where):
+            of = np.searchsorted(self.starts, where, "right") - 1
+            best = np.lexsort((item, where, -size, of))
+            best = best[np.concatenate([[True], of[best][1:] != of[best][:-1]])]
+            for k in best.tolist():
+                d = int(of[k])
+                out[d] = (int(self.lengths[d]), spans.get(d, []), items.get(d, []), int(size[k]), int(item[k]), int(where[k] - self.starts[d]))
         return out
 
 
@@ -239,18 +298,17 @@ def find_matches(
     ``items`` (ids with occurring windows), and the longest verbatim match ``longest`` in words
     with its ``longest_item`` and its word place ``longest_at``.
     """
+    if taken := {"n_words", "n_hit", "hits", "items", "longest", "longest_item", "longest_at"} & {c.lower() for c in keep}:
+        raise ValueError(f"output columns among those to keep: {sorted(taken)}")
     spark = docs.sparkSession
-    blocks = list(test_blocks(benchmark, item_col, item_text_col, max_test_words))
     item_type = benchmark.schema[item_col].dataType.simpleString()
     body, row = fresh(docs, "_body"), fresh(docs, "_row")
-    several = len(blocks) > 1
-    rows = docs.select(*([F.monotonically_increasing_id().alias(row)] * several), *keep, F.col(text_col).cast("string").cast("binary").alias(body))
-    fields = rows.schema.fields[:-1]
+    text = F.col(text_col).cast("string").cast("binary").alias(body)
     found = f"n_words long, hits array<struct<start:long,end:long>>, items array<{item_type}>, longest long, longest_item {item_type}, longest_at long"
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [found])
 
-    def searched(block: TestBlock) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)
+    def searched(rows: DataFrame, sent) -> DataFrame:
+        """The columns of ``rows`` but the last, the text, and what one block finds in it."""
+        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + [found])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             test = _suffixes(sent, window)
@@ -265,15 +323,21 @@ def find_matches(
 
         return rows.mapInArrow(run, schema)
 
-    passes = [searched(block) for block in blocks]
-    if several:
-        every = passes[0]
-        for more in passes[1:]:
-            every = every.unionByName(more)
+    blocks = test_blocks(benchmark, item_col, item_text_col, max_test_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        result = searched(docs.select(*keep, text), spark.sparkContext.broadcast(first))
+    else:
+        # Rows get numbers that hold over all passes; one block at a time is in memory.
+        numbered = materialise(docs.select(F.monotonically_increasing_id().alias(row), *keep, text))
+        passes = []
+        for k, block in enumerate(chain((first, second), blocks)):
+            sent = spark.sparkContext.broadcast(block)
+            more = searched(numbered.select(row, body), sent)
+            passes.append(materialise(more if k == 0 else more.where("longest > 0")))
+            sent.destroy()
         best = F.max_by(F.struct("longest", "longest_item", "longest_at"), F.struct("longest", -F.col("longest_at"))).alias("best")
-        merged = every.groupBy(row).agg(
-            *[F.first(k).alias(k) for k in keep], F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"), best
-        )
+        merged = reduce(DataFrame.unionByName, passes).groupBy(row).agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"), best)
         joined = F.aggregate(
             F.array_sort("hits"),
             F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
@@ -282,9 +346,8 @@ def find_matches(
                 F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))),
             ).otherwise(F.concat(acc, F.array(x))),
         )
-        result = merged.withColumn("hits", joined).select(*keep, "n_words", "hits", "items", "best.*")
-    else:
-        result = passes[0]
+        own = merged.select(F.col(row), "n_words", joined.alias("hits"), "items", F.col("best.longest"), F.col("best.longest_item"), F.col("best.longest_at"))
+        result = numbered.drop(body).join(own, row).drop(row)
     covered = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
     return result.select(*keep, "n_words", covered.alias("n_hit"), "hits", F.array_distinct("items").alias("items"), "longest", "longest_item", "longest_at")
 

@@ -60,6 +60,49 @@ def test_equals_brute_force(spark, most):
         assert as_query(D.find_matches(d, b, max_test_words=most)) == sorted(brute(docs, items), key=str)
 
 
+def brute_longest(docs, items):
+    """The longest common run of words of every document and any item, and its first place."""
+    tests = [words(t) for i, t in items if i is not None and words(t)]
+    out = []
+    for doc, text in docs:
+        w, best = words(text), (0, None)
+        for t in tests:
+            for i in range(len(w)):
+                for j in range(len(t)):
+                    n = 0
+                    while i + n < len(w) and j + n < len(t) and w[i + n] == t[j + n]:
+                        n += 1
+                    if (n >= 2 or n == len(t) == 1) and (n, -i) > (best[0], -(best[1] or 0)):
+                        best = (n, i)
+        out.append((str(doc), *best))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("most,vocabulary", [(10**6, 6), (10**6, 60), (40, 25)])
+def test_longest_matches_equal_brute_force(spark, most, vocabulary):
+    docs, items, d, b = tables(spark, vocabulary=vocabulary, seed=vocabulary)
+    rows = D.find_matches(d, b, max_test_words=most).collect()
+    assert sorted(((str(r.doc_id), r.longest, r.longest_at) for r in rows), key=str) == brute_longest(docs, items)
+    texts, held = dict((str(i), words(t)) for i, t in docs), {}
+    for i, t in items:
+        held.setdefault(i, []).append(" ".join(words(t)))
+    for r in rows:
+        if r.longest:
+            run = " ".join(texts[str(r.doc_id)][r.longest_at : r.longest_at + r.longest])
+            assert any(f" {run} " in f" {t} " for t in held[r.longest_item])
+
+
+def test_suffixes_are_in_order_as_deep_as_tests_reach():
+    item = " ".join(f"k{i % 3}" for i in range(60))
+    test = D.TestSuffixes(D.TestBlock([1], [item.encode()]), 8)
+    shard = D.Shard([(item + " zz " + item[:70]).encode(), item.encode(), None, b"k1 k2"], test)
+    def deep(p):
+        out = shard.words[p : p + 60].tolist()
+        return out[: out.index(0) + 1] if 0 in out else out
+    found = [deep(p) for p in shard.suffixes.tolist()]
+    assert found == sorted(found) and len(found) > 100
+
+
 def test_longest_match_and_location(spark):
     item = " ".join(f"k{i}" for i in range(30))
     docs = spark.createDataFrame([(1, "a b " + " ".join(f"k{i}" for i in range(5, 25)) + " c"), (2, item)], "doc_id long, text string")
@@ -81,5 +124,8 @@ def test_decontaminate_keeps_clean_rows_and_columns(spark):
 def test_empty_tables(spark):
     _, _, d, b = tables(spark)
     assert D.find_matches(d.where("false"), b).collect() == []
+    for name in ("items", "N_Hit"):
+        with pytest.raises(ValueError):
+            D.find_matches(d.withColumn(name, d.doc_id), b, keep=("doc_id", name))
     none = D.find_matches(d, b.where("false")).collect()
     assert len(none) == d.count() and all(r.n_hit == 0 and list(r["items"]) == [] for r in none)
