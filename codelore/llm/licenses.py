@@ -18,10 +18,10 @@ Templates are the public texts of licences and their names in ordinary statement
 ordinary text are at most ``MAX_PLAIN_LINES`` lines of at most ``MAX_PLAIN_DOCUMENTS`` documents,
 those of the smallest hashes; lines that a first model takes for licences are no examples.
 
-Scoring runs on the JVM.  A line's score can exceed that of none by at most the sum over its
-features of the largest margin of any class; margins are rounded up to a few levels, and lines that
-cannot reach ``WEAK`` even so are passed over before the exact score is computed.  That loses
-nothing.  Weights and templates are constants of the model, whose sizes do not depend on the corpus.
+Scoring runs on the JVM, within each row: a line's n-grams are hashed, those that the model knows
+are looked up in a constant of the plan, and their weights are added.  Nothing but the lines that
+may belong to a licence paragraph is shuffled or written.  Weights and templates are constants of
+the model, whose sizes do not depend on the corpus.
 
 Defined results: one row per licence paragraph with its first line and number of lines; null and
 empty texts have none; repeated rows are reported each; line numbers start at 0; of equally
@@ -39,7 +39,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from codelore.llm.common import fresh, hash_pool, materialise, table
+from codelore.llm.common import hash_pool, materialise, table
 
 #: ``WEAK`` is the probability from which a line may belong to the licence lines beside it.
 CONFIDENT, SIMILAR, LICENCE, WEAK = 0.6, 0.6, 0.5, 0.2
@@ -278,7 +278,8 @@ class Model:
         weights = _train(x, y, none + 1)
         some = np.abs(weights[:-1]).max(axis=1) > 1e-2
         self.features = [g for g, s in zip(index, some.tolist(), strict=True) if s]
-        self.weights, self.bias = weights[:-1][some], weights[-1]
+        # As the plan states them.
+        self.weights, self.bias = weights[:-1][some].round(4), weights[-1].round(4)
 
     def _calibrated(self, examples: list[tuple[str, int, int]], index: dict, folds: int) -> float:
         unknown, scores, right = len(self.templates), [], []
@@ -301,13 +302,6 @@ class Model:
         z = (self.bias + sum((self.weights[at[g]] for g in ngrams(words_of(text)) if g in at), np.zeros(len(self.classes)))) / self.temperature
         return _softmax(z[None])[0]
 
-    def levels(self) -> list[tuple[float, list[int]]]:
-        """(bound, features): hashes of the features whose largest margin over none is within it."""
-        margin = (self.weights[:, :-1] - self.weights[:, -1:]).max(axis=1)
-        steps = np.array([-4, -2, -1, -0.5, -0.25, 0, 0.25, 0.5, 0.75, 1, 1.5, 2, 3, 4, 6, 8, 12, 16, 32, 64, 128], dtype=float)
-        of = steps[np.searchsorted(steps, margin)]
-        return [(float(b), sorted(_hash(*g) for g, x in zip(self.features, of.tolist(), strict=True) if x == b)) for b in sorted(set(of.tolist()) - {0.0})]
-
 
 def _constant(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A small table that is part of the plan."""
@@ -324,36 +318,52 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: i
     return Model([line for (line,) in sample.toLocalIterator()])
 
 
-def _grams(words: str):
-    n = F.size(words)
-    pairs = F.zip_with(F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1), lambda a, b: F.xxhash64(a, b))
-    return F.concat(F.transform(words, lambda w: F.xxhash64(w)), pairs)
+#: Buckets of the constant that holds the weights.
+_BUCKETS = 128
+
+
+def _let(value, use):
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _shares(paragraph: str, model: Model):
+    """The probabilities of the model's classes for a paragraph, as an array."""
+    hashes = [_hash(*g) for g in model.features]
+    bias = F.array(*[F.lit(float(b)) for b in model.bias])
+    held: list[list[dict]] = [[] for _ in range(_BUCKETS)]
+    for h, w in zip(hashes, model.weights.tolist(), strict=True):
+        held[h % _BUCKETS].append({"h": h, "w": w})
+    constant = F.from_json(F.lit(json.dumps(held)), "array<array<struct<h:bigint,w:array<double>>>>")
+
+    def weights(h):
+        return F.get(F.filter(F.get(constant, F.pmod(h, F.lit(_BUCKETS)).cast("int")), lambda e: e["h"] == h), F.lit(0))["w"]
 
+    def known(words):
+        """Hashes of the paragraph's n-grams that the model has."""
+        of = lambda grams: F.filter(grams, lambda h: h.isin(hashes) if hashes else F.lit(False))
+        pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+        return F.array_distinct(F.concat(of(F.transform(words, lambda w: F.xxhash64(w))), of(F.slice(pairs, F.lit(1), F.size(words) - 1))))
 
-def _judged(units: DataFrame, model: Model, on: list[str]) -> DataFrame:
-    """``units`` (keys ``on`` and a ``paragraph``) with ``family``, ``probability``, ``similarity``,
-    ``licence`` (the probability of all licence classes) and ``confirmed``.
+    def shares(scores):
+        # Scores are bounded by the weights, so their exponentials need no shift.
+        risen = F.transform(scores, lambda z: F.exp(z / F.lit(float(model.temperature))))
+        return _let(risen, lambda e: _let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total)))
+
+    words = F.split(F.lower(paragraph), "[^a-z0-9]+")
+    return _let(words, lambda ws: F.aggregate(known(ws), bias, lambda a, h: F.zip_with(a, weights(h), lambda x, y: x + y), shares))
+
+
+def _judged(units: DataFrame, model: Model) -> DataFrame:
+    """``units`` (with ``paragraph`` and its ``_p``) with ``family``, ``probability``,
+    ``similarity``, ``licence`` (the probability of all licence classes) and ``confirmed``.
     """
-    spark, classes = units.sparkSession, range(len(model.classes))
-    known = ",".join(str(h) for _, hs in model.levels() for h in hs) or "null"
-    zero = {_hash(*g) for g in model.features} - {h for _, hs in model.levels() for h in hs}
-    known += "".join(f",{h}" for h in sorted(zero))
-    weights = _constant(spark, [{"feature": _hash(*g)} | {f"w{k}": float(v) for k, v in enumerate(w)} for g, w in zip(model.features, model.weights, strict=True)], "feature:bigint," + ",".join(f"w{k}:double" for k in classes))
-    worded = units.withColumn("_words", F.split(F.lower("paragraph"), "[^a-z0-9]+"))
-    found = worded.withColumn("_grams", _grams("_words")).withColumn("_grams", F.expr(f"array_distinct(filter(_grams, h -> h in ({known})))"))
-    scored = found.select(*on, F.explode("_grams").alias("feature")).join(F.broadcast(weights), "feature").groupBy(*on).agg(*[F.sum(f"w{k}").alias(f"w{k}") for k in classes])
-    logits = F.array(*[(F.coalesce(f"w{k}", F.lit(0.0)) + F.lit(float(model.bias[k]))) / F.lit(model.temperature) for k in classes])
-    shares = (
-        worded.join(scored, on, "left")
-        .withColumn("_z", logits)
-        .withColumn("_z", F.transform("_z", lambda z: F.exp(z - F.array_max("_z"))))
-        .withColumn("_p", F.transform("_z", lambda z: z / F.aggregate("_z", F.lit(0.0), lambda a, x: a + x)))
-    )
     of_families = F.slice("_p", 1, len(model.templates))
     best = F.array_max(of_families)
-    named = shares.withColumn("_best", F.element_at(F.array(*[F.lit(c) for c in model.templates]), F.array_position(of_families, best).cast("int"))).withColumn("_best_p", best)
-    held = _constant(spark, [{"_best": f, "grams": g} for f, ts in model.templates.items() for g in {tuple(trigrams(words_of(t))) for t in ts}], "_best:string,grams:array<bigint>").groupBy("_best").agg(F.collect_list("grams").alias("_templates"))
-    kept = F.filter("_words", lambda w: w != "")
+    named = units.withColumn("_best", F.element_at(F.array(*[F.lit(c) for c in model.templates]), F.array_position(of_families, best).cast("int"))).withColumn("_best_p", best)
+    held = _constant(units.sparkSession, [{"_best": f, "grams": g} for f, ts in model.templates.items() for g in sorted({tuple(trigrams(words_of(t))) for t in ts})], "_best:string,grams:array<bigint>")
+    held = held.groupBy("_best").agg(F.collect_list("grams").alias("_templates"))
+    kept = F.filter(F.split(F.lower("paragraph"), "[^a-z0-9]+"), lambda w: w != "")
     compared = named.withColumn("_kept", kept).withColumn(
         "_trigrams",
         F.when(F.size("_kept") == 0, F.expr("cast(array() as array<bigint>)"))
@@ -368,22 +378,10 @@ def _judged(units: DataFrame, model: Model, on: list[str]) -> DataFrame:
         shown.withColumn("confirmed", confirmed)
         .withColumn("family", F.when(confirmed, F.col("_best")).otherwise(F.lit(UNKNOWN)))
         .withColumn("probability", F.when(confirmed, F.col("_best_p")).otherwise(F.col("licence")))
-        .select(*units.columns, "family", "probability", "similarity", "licence", "confirmed")
+        .select(*[c for c in units.columns if c != "_p"], "family", "probability", "similarity", "licence", "confirmed")
     )
 
 
-def _possible(model: Model):
-    """Whether the bound on a line's score allows a licence; reads the column ``_grams``."""
-    levels = model.levels()
-    cases = " ".join(f"when h in ({','.join(map(str, hs))}) then {b!r}D" for b, hs in levels)
-    known = ",".join(str(h) for _, hs in levels for h in hs)
-    start = float(model.bias[:-1].max() - model.bias[-1])
-    # A probability of ``WEAK`` for all licence classes together needs their best this near to none.
-    least = model.temperature * float(np.log(WEAK / (1 - WEAK)) - np.log(len(model.classes) - 1))
-    bound = f"aggregate(array_distinct(filter(_grams, h -> h in ({known}))), {start!r}D, (a, h) -> a + case {cases} end)"
-    return F.expr(f"{bound} >= {least - 1e-9!r}D") if levels else F.lit(start >= least)
-
-
 def scan(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """A row per licence paragraph: ``keep`` columns, ``line``, ``n_lines``, ``family``,
     ``probability``, ``similarity`` to the family's nearest template, and the ``paragraph``.
@@ -394,10 +392,9 @@ def scan(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), tex
     # Rows are numbered before their lines are taken apart.
     rows = docs.select(F.monotonically_increasing_id().alias(row), F.struct(*keep).alias("_keep"), F.col(text_col).cast("string").alias("_text"))
     lines = rows.select(row, "_keep", F.posexplode(F.split("_text", "\n")).alias("line", "paragraph"))
-    worded = lines.withColumn("_words", F.split(F.lower("paragraph"), "[^a-z0-9]+")).withColumn("_grams", _grams("_words"))
-    candidates = materialise(worded.where(_possible(model)).select(row, "_keep", "line", "paragraph"))
-    judged = _judged(candidates, model, [row, "line"])
-    licences = materialise(judged.where(F.col("confirmed") | (F.col("licence") >= WEAK)))
+    # A confirmed family has more than ``WEAK`` as well.
+    candidates = materialise(lines.withColumn("_p", _shares("paragraph", model)).where(F.element_at("_p", -1) <= 1 - WEAK))
+    licences = materialise(_judged(candidates, model))
     # Adjacent licence lines without an end of sentence between them are one paragraph.
     order = W.partitionBy(row).orderBy("line")
     before = lambda c: F.lag(c).over(order)
@@ -406,7 +403,7 @@ def scan(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), tex
     runs = licences.withColumn("_new", apart.cast("int")).withColumn("_run", F.sum("_new").over(order)).groupBy(row, "_run").agg(F.first("_keep").alias("_keep"), F.sort_array(F.collect_list(own)).alias("_lines"), F.max(F.col("confirmed") | (F.col("licence") >= LICENCE)).alias("_sure")).where("_sure")
     single = runs.where(F.size("_lines") == 1).select("_keep", F.lit(1).alias("n_lines"), F.col("_lines")[0].alias("x")).select("_keep", "n_lines", "x.*")
     joined = materialise(runs.where(F.size("_lines") > 1).select(row, "_run", "_keep", F.col("_lines")[0]["line"].alias("line"), F.size("_lines").alias("n_lines"), F.array_join(F.col("_lines.paragraph"), "\n").alias("paragraph")))
-    again = _judged(joined, model, [row, "_run"])
+    again = _judged(joined.withColumn("_p", _shares("paragraph", model)), model)
     columns = ["_keep", "line", "n_lines", "family", "probability", "similarity", "paragraph"]
     every = single.select(*columns).unionByName(again.select(*columns))
     return every.select("_keep.*", "line", "n_lines", "family", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), "paragraph")

@@ -31,7 +31,7 @@ def brute(model, text):
     runs, last = [], None
     for i, line in enumerate(text.split("\n") if text is not None else []):
         family, licence, sure = judge(model, line)
-        if not sure and licence < L.WEAK:
+        if licence < L.WEAK:
             continue
         end = last and re.search(L._ENDS, last[1])
         if last is None or i - last[0] > 1 or end or (sure and last[3] and family != last[2]):
@@ -55,15 +55,6 @@ def test_scan_equals_brute_force(spark, model):
     assert scanned(spark, texts, model) == sorted((d, *x) for d, t in enumerate(texts) for x in brute(model, t))
 
 
-def test_the_bound_loses_nothing(spark, model):
-    texts = [t for ts in model.templates.values() for t in ts] + L.others() + PLAIN + ["", "license", "free", "the of license and under terms"]
-    df = spark.createDataFrame(list(enumerate(texts)), "i long, paragraph string")
-    worded = df.withColumn("_words", L.F.split(L.F.lower("paragraph"), "[^a-z0-9]+")).withColumn("_grams", L._grams("_words"))
-    passed = {r.i for r in worded.where(L._possible(model)).collect()}
-    licences = {i for i, t in enumerate(texts) if (x := judge(model, t))[2] or x[1] >= L.WEAK}
-    assert licences <= passed and len(passed) < len(texts)
-
-
 WRAPPED = {
     "MIT": L.TEXTS["MIT"][0],
     "BSD-3-Clause": L.TEXTS["BSD-3-Clause"][2],
