@@ -180,3 +180,17 @@ DEFINITIONS = {
     "go": {"imports": (r"(?:^|\n)\s*(?:import\s+)?(?:[\w.]+\s+)?\"([\w./-]+)\"",), "function": r"(?:^|\n)func\s+(?:\([^)]*\)\s*)?(\w+)"},
     "rust": {"imports": (r"(?:^|\n)\s*use\s+([\w:]+)",), "function": r"(?:^|\n)\s*(?:pub\s+)?(?:fn|struct|enum|trait)\s+(\w+)"},
 }
+
+# Graph (fixed values)
+NODE_LEVELS = {"repository": 0, "module": 1, "directory": 2, "file": 3, "class": 4, "function": 4, "method": 5, "external": 1}
+UNKNOWN_LEVEL = 9
+SYMBOL_KINDS = ("class", "function", "method")
+CONTAINER_KINDS = ("module", "directory", "file")
+RELATIONS = ("IMPORTS", "DEPENDS_ON", "CALLS", "INHERITS", "IMPLEMENTS")
+WALKED = ("IMPORTS", "DEPENDS_ON")
+KNOWLEDGE_KINDS = ("file", "class", "function", "method")
+KNOWLEDGE_DATA = ("language", "line_count", "relative_path", "start_line", "end_line")
+STEM_SUFFIXES = (".py", ".ts", ".js", ".tsx", ".go", ".rs", ".java")
+
+# Filters (fixed values)
+FILTERABLE = ("language", "extension", "chunk_type", "file_name", "relative_path", "symbol")

@@ -9,6 +9,7 @@ MODULES: list[str] = [
     "codelore.plans.textual",
     "codelore.plans.code",
     "codelore.plans.agent",
+    "codelore.plans.graphs",
 ]
 
 

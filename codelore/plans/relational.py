@@ -19,23 +19,11 @@ R.sql("filter_eq_in", "select doc_id, lang, source from {documents} where lang =
 R.sql("filter_twin", "select doc_id, lang, source from {documents} where coalesce(lang, '') = 'fr' and coalesce(source, '') in ('src4', 'src5')")
 R.sql("all_chunks", "select doc_id, lang, source, n_chars from {documents}")
 R.sql("collection_counts", "select source, count(*) as chunks from {documents} group by source")
-R.sql("edges_of_kinds", "select event_id, user_id, event_type from {events} where event_type in (select min(event_type) from {events} union all select max(event_type) from {events})")
-R.sql("time_range", "select event_id, user_id from {events} where ts > timestamp '2024-01-05 00:00:00' and ts <= timestamp '2024-01-20 00:00:00'")
-R.sql("search_substring", "select p_partkey, p_name from {part} where lower(p_name) like '%ring%' order by length(p_name), p_partkey limit 25")
-R.sql("search_exact", "select c_custkey, c_name from {customer} where lower(c_name) = lower('CUSTOMER#000000042') order by length(c_name), c_custkey limit 10")
-R.sql("prefix_lookup", "select c_custkey, c_name from {customer} where c_name like 'Customer#00000001%' order by c_name, c_custkey limit 1")
-R.sql("lookup_by_ids", "select p.p_partkey, p.p_name, p.p_brand from {part} p join (values (1), (7), (42), (999999999)) v(id) on p.p_partkey = v.id")
-R.sql("node_set_order", "select v.pos, p.p_partkey, p.p_name from {part} p join (values (0, 42), (1, 7), (2, 1), (3, 15)) v(pos, id) on p.p_partkey = v.id")
 R.sql(
     "json_extract",
     "select event_id, cast(get_json_object(props, '$.k') as bigint) as k from {events}",
     "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from {events}",
 )
-R.sql(
-    "project_nonnull",
-    "select event_id, user_id, case when get_json_object(props, '$.k') is not null then 1 else 0 end as known from {events}",
-    "select event_id, user_id, case when json_extract_string(props, '$.k') is not null then 1 else 0 end as known from {events}",
-)
 R.sql("source_projection", "select doc_id as id, concat(source, '/', lang) as title, round(cast(n_chars as double) / cast(1000 as double), 4) as score from {documents}")
 SKIP = """case when text is null or trim(text) = '' then 'empty' when n_chars > 20000 then 'too_large'
   when source in ('src18', 'src19') then 'ignored_directory' when lang not in ('en', 'fr', 'de') then 'unsupported_extension' end"""
@@ -79,108 +67,11 @@ R.sql(
 R.sql("bulk_commit_filter", "select l_orderkey, count(*) as files from (select l_orderkey, count(*) over (partition by l_orderkey) as n from {lineitem}) where n <= 6 group by l_orderkey")
 
 # joins
-for key, part in (("join_inner_topk", 7), ("path_history", 42)):
-    R.sql(
-        key,
-        f"""select o_orderkey, o_custkey, o_orderstatus from (
-          select distinct o.o_orderkey, o.o_custkey, o.o_orderstatus, o.o_orderdate from {{orders}} o join {{lineitem}} l on o.o_orderkey = l.l_orderkey where l.l_partkey = {part})
-        order by o_orderdate desc, o_orderkey limit 20""",
-    )
-R.sql("join_left_count", "select o.o_orderkey, o.o_custkey, count(l.l_partkey) as files from {orders} o left join {lineitem} l on o.o_orderkey = l.l_orderkey and l.l_quantity > 25 group by o.o_orderkey, o.o_custkey")
-R.sql(
-    "commit_timeline",
-    """with newest as (
-      select o.o_orderkey, o.o_custkey, o.o_orderdate, count(l.l_partkey) as files from {orders} o left join {lineitem} l on o.o_orderkey = l.l_orderkey
-      group by o.o_orderkey, o.o_custkey, o.o_orderdate order by o.o_orderdate desc, o.o_orderkey limit 60)
-    select o_orderkey, o_custkey, files, cast(row_number() over (order by o_orderdate, o_orderkey desc) as bigint) as shown from newest""",
-)
-R.sql("resolve_edges", "select c.c_custkey, n.n_name, r.r_name from {customer} c join {nation} n on c.c_nationkey = n.n_nationkey join {region} r on n.n_regionkey = r.r_regionkey")
-R.sql("parent_join", "select n.n_nationkey, n.n_name, r.r_name as parent from {nation} n left join {region} r on n.n_regionkey = r.r_regionkey")
-R.sql(
-    "induced_subgraph",
-    """with e as (select distinct l_suppkey as s, l_partkey as t from {lineitem})
-    select e.s, e.t from e where e.s in (select s_suppkey from {supplier} where s_acctbal > 0) and e.t in (select p_partkey from {part} where p_size <= 10)""",
-)
 R.sql("semi_join", "select d.doc_id, d.lang from {documents} d where exists (select 1 from {labels} l where l.doc_id = d.doc_id)")
 R.sql("left_default", "select d.doc_id, coalesce(l.q, -1) as quality from {documents} d left join (select doc_id, max(quality) as q from {labels} group by doc_id) l on d.doc_id = l.doc_id")
 R.sql("join_indexed_flag", "select d.doc_id, l.doc_id is not null as indexed from {documents} d left join (select distinct doc_id from {labels}) l on d.doc_id = l.doc_id")
-RELEASES = "select o_custkey, o_orderkey, o_orderdate from {orders} where o_orderpriority like '1-%'"
-R.sql(
-    "release_marker",
-    f"""with r as ({RELEASES}), last as (select o_custkey, max(o_orderkey) as release from r group by o_custkey)
-    select o.o_orderkey, coalesce(cast(last.release as string), '') as release from {{orders}} o left join last on o.o_orderkey = last.release and o.o_custkey = last.o_custkey""",
-)
-R.sql("last_releases", f"select o_orderkey, cast(row_number() over (order by o_orderdate, o_orderkey) as bigint) as shown from (select * from ({RELEASES}) order by o_orderdate desc, o_orderkey desc limit 40)")
-R.sql("neighbors_out", "select distinct l_suppkey as source_id, l_partkey as target_id from {lineitem} where l_suppkey = 1")
-R.sql("neighbors_in", "select distinct l_suppkey as source_id, l_partkey as target_id from {lineitem} where l_partkey = 1")
-R.sql(
-    "dependencies_both",
-    """with e as (select distinct l_suppkey as s, l_partkey as t from {lineitem})
-    select 'out' as direction, p.p_partkey as id, p.p_name as name from e join {part} p on e.t = p.p_partkey where e.s = 1
-    union all select 'in', s.s_suppkey, s.s_name from e join {supplier} s on e.s = s.s_suppkey where e.t = 1""",
-)
-R.sql(
-    "commit_detail",
-    """select l.l_partkey, count(*) as lines, p.p_partkey is not null as indexed, coalesce(max(p.p_name), '') as name
-    from {lineitem} l left join (select * from {part} where p_size > 25) p on l.l_partkey = p.p_partkey
-    where l.l_orderkey = (select min(o_orderkey) from {orders}) group by l.l_partkey, p.p_partkey is not null""",
-)
 
 # aggregations
-R.sql(
-    "counts_by_kind",
-    """select kind, count(*) as n from (
-      select 'region' as kind from {region} union all select 'nation' from {nation} union all select 'customer' from {customer} union all select 'supplier' from {supplier} union all select 'part' from {part})
-    group by kind""",
-)
-R.sql(
-    "timeline_buckets",
-    "select event_type, date_format(ts, 'yyyy-MM-dd') as bucket, count(distinct user_id) as commits, count(*) as changes, unix_micros(cast(min(ts) as timestamp)) as first_at, unix_micros(cast(max(ts) as timestamp)) as last_at from {events} group by event_type, date_format(ts, 'yyyy-MM-dd')",
-    "select event_type, strftime(ts, '%Y-%m-%d') as bucket, count(distinct user_id) as commits, count(*) as changes, epoch_us(min(ts)) as first_at, epoch_us(max(ts)) as last_at from {events} group by all",
-)
-R.sql(
-    "timeline_lanes",
-    """with b as (select event_type, date_format(ts, 'yyyy-MM-dd') as bucket, count(distinct user_id) as commits from {events} group by event_type, date_format(ts, 'yyyy-MM-dd'))
-    select event_type, sum(commits) as total, count(*) as periods, concat_ws(',', transform(array_sort(collect_list(struct(bucket, commits))), x -> concat(x.bucket, ':', cast(x.commits as string)))) as lane from b group by event_type""",
-    """with b as (select event_type, strftime(ts, '%Y-%m-%d') as bucket, count(distinct user_id) as commits from {events} group by all)
-    select event_type, sum(commits)::bigint as total, count(*) as periods, string_agg(bucket || ':' || commits::varchar, ',' order by bucket) as lane from b group by event_type""",
-)
-R.sql(
-    "first_seen",
-    "select l.l_partkey, unix_micros(cast(min(o.o_orderdate) as timestamp)) as first_at from {lineitem} l join {orders} o on l.l_orderkey = o.o_orderkey group by l.l_partkey",
-    "select l.l_partkey, epoch_us(min(o.o_orderdate)) as first_at from {lineitem} l join {orders} o on l.l_orderkey = o.o_orderkey group by l.l_partkey",
-)
-R.sql("churn_counts", "select l_partkey, count(distinct l_orderkey) as commits from {lineitem} group by l_partkey")
-R.sql("in_degree", "select l_partkey as id, count(*) as degree from (select distinct l_suppkey, l_partkey from {lineitem}) group by l_partkey")
-R.sql(
-    "degree",
-    """with e as (select distinct concat('s', cast(l_suppkey as string)) as s, concat('p', cast(l_partkey as string)) as t from {lineitem})
-    select id, count(*) as degree from (select s as id from e union all select t from e) group by id""",
-)
-R.sql(
-    "commit_range",
-    "select unix_micros(cast(min(o_orderdate) as timestamp)) as first_at, unix_micros(cast(max(o_orderdate) as timestamp)) as last_at, count(*) as commits from {orders}",
-    "select epoch_us(min(o_orderdate)) as first_at, epoch_us(max(o_orderdate)) as last_at, count(*) as commits from {orders}",
-)
-CHANGES = """select l.l_partkey, p.p_brand as module, count(distinct o.o_orderkey) as commits, max(o.o_orderdate) as last_at
-  from {lineitem} l join {orders} o on l.l_orderkey = o.o_orderkey join {part} p on l.l_partkey = p.p_partkey
-  where o.o_orderdate > timestamp '1996-01-01 00:00:00' and o.o_orderdate <= timestamp '1997-01-01 00:00:00'
-  group by l.l_partkey, p.p_brand order by commits desc, last_at desc, l.l_partkey limit 400"""
-R.sql("changes_between", f"select l_partkey, module, commits from ({CHANGES})")
-R.sql("changes_by_module", f"select coalesce(module, '(root)') as module, cast(sum(commits) as bigint) as commits, count(*) as files from ({CHANGES}) group by coalesce(module, '(root)')")
-R.sql(
-    "module_rollup",
-    """with f as (select n.n_name as module, c.c_mktsegment as language, count(*) as files, sum(c.c_acctbal) as lines from {customer} c join {nation} n on c.c_nationkey = n.n_nationkey group by n.n_name, c.c_mktsegment),
-    ranked as (select *, row_number() over (partition by module order by files desc, language) as r from f)
-    select module, cast(sum(files) as bigint) as files, round(sum(lines), 2) as lines, max(case when r = 1 then language end) as primary_language, count(*) as languages from ranked group by module""",
-)
-R.sql(
-    "overview",
-    """with m as (select n.n_regionkey as k, count(*) as files, round(sum(c.c_acctbal), 2) as total from {customer} c join {nation} n on c.c_nationkey = n.n_nationkey group by n.n_regionkey),
-    s as (select n.n_regionkey as k, count(*) as externals from {supplier} s join {nation} n on s.s_nationkey = n.n_nationkey group by n.n_regionkey)
-    select r.r_name as module, coalesce(m.files, 0) as files, coalesce(m.total, 0.0) as total, coalesce(s.externals, 0) as externals from {region} r left join m on m.k = r.r_regionkey left join s on s.k = r.r_regionkey""",
-)
-ORACLES["overview"] = ORACLES["overview"].replace("coalesce(m.total, 0.0)", "coalesce(m.total, 0.0::double)")
 HREFS = "select page_id, h as href from (select page_id, explode(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as h from {pages})"
 DUCK_HREFS = "select page_id, h as href from (select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as h from {pages})"
 R.sql("external_uses", f"select href, count(*) as uses from ({HREFS}) group by href having count(*) >= 2", f"select href, count(*) as uses from ({DUCK_HREFS}) group by href having count(*) >= 2")
@@ -220,12 +111,6 @@ R.sql(
 R.sql("chunk_index", "select doc_id, cast(row_number() over (partition by source order by doc_id) - 1 as bigint) as chunk_index from {documents}")
 
 # ordered results
-R.sql("children", "select n_regionkey as parent, n_nationkey as id, n_name as name, cast(row_number() over (partition by n_regionkey order by n_name) as bigint) as pos from {nation}")
-R.sql(
-    "expand_topk",
-    """with c as (select c_custkey, c_mktsegment, c_acctbal, count(*) over () as total from {customer} where c_nationkey = 1)
-    select c_custkey, total, total > 120 as truncated from c order by case c_mktsegment when 'BUILDING' then 0 when 'MACHINERY' then 1 else 9 end, c_acctbal desc, c_custkey limit 120""",
-)
 STRUCTURAL = "select id, degree from (select l_partkey as id, count(*) as degree from (select distinct l_suppkey, l_partkey from {lineitem}) group by l_partkey having count(*) >= 3) order by degree desc, id limit 8"
 R.sql("hotspot_structural", f"select h.id, h.degree from ({STRUCTURAL}) h join {{part}} p on h.id = p.p_partkey where p.p_size <= 25")
 CHURN = "select l_partkey as id, count(distinct l_orderkey) as commits from {lineitem} where l_partkey in (select p_partkey from {part} where p_size <= 25) group by l_partkey having count(distinct l_orderkey) >= 3 order by commits desc, id limit 8"
@@ -241,33 +126,13 @@ R.sql(
 R.sql("line_count", f"select doc_id, {LINES} as line_count from {{documents}}")
 #: Every line of a document stands for a symbol.
 R.sql("complexity_band", f"select band, count(*) as files from (select case when n > 600 or n > 40 then 'high' when n > 200 or n > 12 then 'medium' else 'low' end as band from (select {LINES} as n from {{documents}})) group by band")
-R.sql(
-    "knowledge_rank",
-    """with e as (select distinct l_suppkey as s, l_partkey as t from {lineitem}), d as (
-      select concat('s', cast(s_suppkey as string)) as id, 0 as kind, s_suppkey as k from {supplier} union all select concat('p', cast(p_partkey as string)), 1, p_partkey from {part}),
-    g as (select concat('s', cast(s as string)) as id, count(*) as n from e group by s union all select concat('p', cast(t as string)), count(*) from e group by t)
-    select d.id, coalesce(g.n, 0) as degree from d left join g on d.id = g.id order by case when g.n is null then 1 else 0 end, coalesce(g.n, 0) desc, d.kind, d.k limit 1500""",
-)
 R.sql(
     "resolve_rank",
     """select p_partkey, p_name, case when lower(p_name) = 'ring' then 0 when lower(p_name) like 'ring%' then 2 else 3 end as grade from {part}
     where lower(p_name) like '%ring%' order by grade, p_size, length(p_name), p_partkey limit 10""",
 )
-R.sql("find_rank", "select p_partkey, p_name from {part} where lower(p_name) like '%a%' order by case when lower(p_name) = 'a' then 0 when lower(p_name) like 'a%' then 1 else 2 end, length(p_name), p_partkey limit 30")
 R.sql("union_distinct", "select n_name as name from {nation} union select r_name from {region} union select p_brand from {part}")
 R.sql("concept_search", "select distinct p_partkey, p_name from {part} where lower(p_name) like '%ring%' or lower(p_name) like '%steel%' or lower(p_name) like '%blue%'")
-R.sql(
-    "node_detail",
-    """select p.p_partkey, p.p_name, count(distinct l.l_suppkey) as importers, count(distinct l.l_orderkey) as commits, max(o.o_orderkey) as last_commit
-    from {part} p left join {lineitem} l on p.p_partkey = l.l_partkey left join {orders} o on l.l_orderkey = o.o_orderkey group by p.p_partkey, p.p_name""",
-)
-R.sql("paths_existing_at", "select distinct l.l_partkey from {lineitem} l join {orders} o on l.l_orderkey = o.o_orderkey where o.o_orderdate <= timestamp '1996-06-01 00:00:00'")
-R.sql(
-    "snapshot_at",
-    """with seen as (select l.l_partkey as id, min(o.o_orderdate) as first_at from {lineitem} l join {orders} o on l.l_orderkey = o.o_orderkey group by l.l_partkey)
-    select p.p_brand as module, count(*) as files, cast(sum(p.p_size) as bigint) as lines from {part} p left join seen on p.p_partkey = seen.id
-    where coalesce(seen.first_at, timestamp '1970-01-01 00:00:00') <= timestamp '1996-06-01 00:00:00' group by p.p_brand""",
-)
 R.sql("seed_priority", "select id, min(priority) as priority from (values ('a', 1), ('b', 2), ('a', 3), ('c', 4), ('d', 4)) v(id, priority) group by id order by priority, id limit 6")
 R.sql(
     "highlight",
@@ -285,14 +150,6 @@ R.sql(
     """select concat('tpch::region::', cast(n_regionkey as string), '|CONTAINS|tpch::nation::', cast(n_nationkey as string)) as id from {nation}
     union all select concat('tpch::nation::', cast(c_nationkey as string), '|CONTAINS|tpch::customer::', cast(c_custkey as string)) from {customer}""",
 )
-R.sql(
-    "ancestors",
-    """with recursive n as (
-      select concat('c', cast(c_custkey as string)) as id, concat('n', cast(c_nationkey as string)) as parent from {customer}
-      union all select concat('n', cast(n_nationkey as string)), concat('r', cast(n_regionkey as string)) from {nation}),
-    up(id, ancestor, depth) as (select id, parent, 1 from n union all select up.id, n.parent, up.depth + 1 from up join n on up.ancestor = n.id where up.depth < 12)
-    select id, ancestor, depth from up""",
-)
 R.sql(
     "node_id_roundtrip",
     "select p_partkey, split(id, '::', 3)[1] as kind, split(id, '::', 3)[2] as key from (select p_partkey, concat('repo::part::', p_name) as id from {part})",

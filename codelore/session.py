@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import shutil
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC keeps time buckets stable; adaptive execution sizes and splits partitions at run time.
 SETTINGS = {
@@ -29,3 +33,27 @@ def local_session(name: str, cores: int | str = "*", shuffle_partitions: int = 8
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for what an iterative plan writes between its rounds.
+
+    Read from the session: a checkpoint folder that is set, or ``spark.checkpoint.dir``.  Only a
+    local session without either gets a temporary folder, removed at exit.
+    """
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="codelore-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder: its plan ends there, and lost executors lose nothing."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
