@@ -37,7 +37,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
-from codelore.llm.common import batch, fresh, partitions, row_batches, table
+from codelore.llm.common import batch, fresh, in_batches, partitions, row_batches, table
 from codelore.llm.token_counts import vocabulary_bytes
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -187,7 +187,7 @@ def _mapped(df: DataFrame, column: str, outputs: list[tuple[str, str, pa.DataTyp
             out = pa.schema([b.schema.field(i) for i in kept] + [pa.field(n, t) for n, _, t in outputs])
             yield batch(out, [b.column(i) for i in kept] + make(b.column(at)))
 
-    return df.mapInArrow(run, schema)
+    return in_batches(df, run, schema)
 
 
 def encode(
@@ -248,8 +248,8 @@ def _encode_dealt(rows: DataFrame, body: str, keep: tuple[str, ...], sent, patte
 
     base = f"_row long, _keep {kept_type}, k long, start long, n long, part string"
     spread = partitions(rows.sparkSession)
-    chunks = numbered.mapInArrow(cut, f"{base}, last boolean").repartition(spread, "_row", "k")
-    starts = chunks.mapInArrow(pretokenise, f"{base}, head array<long>, tail array<long>")
+    chunks = in_batches(numbered, cut, f"{base}, last boolean").repartition(spread, "_row", "k")
+    starts = in_batches(chunks, pretokenise, f"{base}, head array<long>, tail array<long>")
     in_order = W.partitionBy("_row").orderBy("k")
     stitch = F.array_min(F.array_intersect("head", F.lag("tail").over(in_order)))
     cuts = starts.withColumn("cut", F.when(F.col("k") == 0, F.lit(0)).otherwise(stitch))

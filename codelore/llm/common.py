@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Rows of texts sent to a Python worker at once, where the session does not say.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: Rows handed to a downstream Arrow consumer at once.
 OUT_ROWS = 2048
 
@@ -68,6 +70,19 @@ def row_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = OUT_ROWS)
         yield batch(schema, list(zip(*held, strict=True)))
 
 
+def in_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` over batches of bounded size.
+
+    The engine's default of 10,000 rows in a batch is made for short rows; with texts a batch of it
+    takes hundreds of megabytes in the executor and its Python worker.  Where the session has that
+    default, batches get ``BATCH_ROWS`` rows; a session's own setting is kept.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING) == "10000":
+        conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have in any letter case."""
     taken, name = {c.lower() for c in df.columns}, stem

@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codelore.llm.common import batch, fresh, materialise, table
+from codelore.llm.common import batch, fresh, in_batches, materialise, table
 
 WINDOW = 8
 #: Items with windows in a document from which it counts as contaminated.
@@ -321,7 +321,7 @@ def find_matches(
                 named = [(n, hits, [names[i] for i in items], most, None if item is None else names[item], at) for n, hits, items, most, item, at in each]
                 yield batch(out, [b.column(i) for i in range(last)] + [list(c) for c in zip(*named, strict=True)] if named else [b.column(i) for i in range(last)] + [[]] * 6)
 
-        return rows.mapInArrow(run, schema)
+        return in_batches(rows, run, schema)
 
     blocks = test_blocks(benchmark, item_col, item_text_col, max_test_words)
     first, second = next(blocks), next(blocks, None)

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
-from codelore.llm.common import batch, fresh, table
+from codelore.llm.common import batch, fresh, in_batches, table
 
 FOLDS = 5
 MAX_PER_LANGUAGE, MAX_LANGUAGES, WINDOWS_PER_DOCUMENT = 400, 256, 8
@@ -286,7 +286,7 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
             out = pa.schema([b.schema.field(0), b.schema.field(1), ("lang_pred", pa.string()), ("score", pa.float64())])
             yield batch(out, [b.column(0), b.column(1), [x for x, _ in found], [s for _, s in found]])
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return in_batches(rows, run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from codelore.llm.common import batch, fresh, materialise, row_batches, table
+from codelore.llm.common import batch, fresh, in_batches, materialise, row_batches, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 REACH, SHARE = 8, 0.9
@@ -126,7 +126,7 @@ def _occurrences(df: DataFrame, text_col: str, reach: int) -> DataFrame:
             found = ((key.as_py(), *x) for key, text in zip(b.column(0), b.column(1), strict=True) if (t := text.as_py()) and (spans := base_spans(t)) for x in contexts(t, spans, reach))
             yield from row_batches(found, schema)
 
-    return rows.mapInArrow(run, "key string, entity string, terms array<string>")
+    return in_batches(rows, run, "key string, entity string, terms array<string>")
 
 
 def _bitmap(terms: DataFrame, bits: int) -> bytes:
@@ -163,7 +163,7 @@ def _text_counts(df: DataFrame, text_col: str, bitmap: bytes) -> DataFrame:
         yield from flush()
 
     rows = df.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text")).distinct()
-    return rows.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return in_batches(rows, run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def disclosing_terms(df: DataFrame, text_col: str = "text", reach: int = REACH, share: float = SHARE, bits: int = BITMAP_BITS) -> tuple[DataFrame, DataFrame]:
@@ -227,7 +227,7 @@ def find_spans(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str
             out = pa.schema([b.schema.field(i) for i in range(n)] + [("spans", pa.list_(span))])
             yield batch(out, [b.column(i) for i in range(n)] + [spans])
 
-    return rows.mapInArrow(run, schema)
+    return in_batches(rows, run, schema)
 
 
 def all_spans(text: str | None, terms: list[dict] | None) -> list[dict]:
@@ -281,7 +281,7 @@ def sanitise(df: DataFrame, text_col: str = "text", broadcast_bytes: int = BROAD
             yield batch(out, [b.column(i) for i in range(n)] + [clean])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{text}` string"])
-    return rows.mapInArrow(run, schema).select(*[F.col(n).alias(c) for c, n in zip(df.columns, names, strict=True)])
+    return in_batches(rows, run, schema).select(*[F.col(n).alias(c) for c, n in zip(df.columns, names, strict=True)])
 
 
 def _joined(spans):

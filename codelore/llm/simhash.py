@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
-from codelore.llm.common import batch, fresh, materialise, partitions, table
+from codelore.llm.common import batch, fresh, in_batches, materialise, partitions, table
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
 #: Members of a key beyond which they are dealt into blocks of about this size.
@@ -75,7 +75,7 @@ def fingerprints(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
             out = pa.schema([b.schema.field(i) for i in range(last)] + [pa.field(name, pa.int64())])
             yield batch(out, [b.column(i) for i in range(last)] + [pa.array(values)])
 
-    return rows.mapInArrow(run, schema)
+    return in_batches(rows, run, schema)
 
 
 def hexadecimal(fp: str | Column) -> Column:
@@ -204,7 +204,7 @@ def links(fps: DataFrame, block: int = BLOCK, most: int = MOST_BITS) -> DataFram
         if held is not None:
             yield from edges(held)
 
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    return in_batches(dealt, run, "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codelore.llm.common import batch, fresh, table
+from codelore.llm.common import batch, fresh, in_batches, table
 
 VOCABULARY = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -253,7 +253,7 @@ def count_tokens(
             out = pa.schema([b.schema.field(i) for i in kept] + [pa.field("n_tokens", pa.int64())])
             yield batch(out, [b.column(i) for i in kept] + [counts])
 
-    return source.mapInArrow(counted, schema).withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
+    return in_batches(source, counted, schema).withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

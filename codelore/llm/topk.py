@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
-from codelore.llm.common import batch, materialise, partitions, table
+from codelore.llm.common import batch, in_batches, materialise, partitions, table
 
 K, SCALE, QUERY_STEP = 20, 64, 20
 #: Vectors in a shard, queries in a block, and list entries read before the first look at the
@@ -218,7 +218,7 @@ def top_k(
                         scores = np.array([min(max(s, -(1 << 63)), (1 << 63) - 1) for s in scores.tolist()], dtype=np.int64)
                     yield batch(_ANSWER, [pa.array(np.repeat([q for q, _, _ in parts], [len(i) for _, i, _ in parts])), pa.array(np.concatenate([i for _, i, _ in parts])), pa.array(scores), above or pa.nulls(len(scores), pa.string())])
 
-    answers = units.mapInArrow(search, "query_id long, vec_id long, score long, above string")
+    answers = in_batches(units, search, "query_id long, vec_id long, score long, above string")
     # Of longer numbers the longer text is the greater, or the smaller if negative.
     digits = F.coalesce(F.length("above"), F.lit(0)) * F.when(F.col("score") < 0, -1).otherwise(1)
     text = F.when(F.col("score") >= 0, F.col("above"))

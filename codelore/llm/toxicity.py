@@ -35,7 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codelore.llm.common import batch, fresh, hash_pool, table
+from codelore.llm.common import batch, fresh, hash_pool, in_batches, table
 
 #: (category, condition on the label columns), in the order of the chain.
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
@@ -268,7 +268,7 @@ def score(docs: DataFrame, chain: list[Link], keep: tuple[str, ...] = ("doc_id",
             out = pa.schema([b.schema.field(i) for i in range(last)] + [pa.field(n, pa.float64()) for n in names])
             yield batch(out, [b.column(i) for i in range(last)] + [[x[k] for x in p] for k in range(len(names))])
 
-    scored = rows.mapInArrow(run, schema)
+    scored = in_batches(rows, run, schema)
     return scored.withColumns({f"{prefix}{link.name}": F.col(n) >= F.lit(link.threshold) for link, n in zip(chain, names, strict=True)})
 
 
