@@ -107,6 +107,19 @@ def split_oversize(sizes: list[int], most: int = SIZE, shared: int = 2) -> list[
     return pieces
 
 
+def oversize(units: DataFrame, most: int = SIZE, shared: int = 2) -> DataFrame:
+    """(unit, piece, first, last): the pieces of units (unit, sizes), sizes being those of its lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(unit, i, *piece) for unit, sizes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, piece in enumerate(split_oversize(sizes or [], most, shared) if sizes else [])]
+            names = ("unit", "piece", "first", "last")
+            kinds = (b.schema.field(0).type, pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(kinds)], names=names)
+
+    return units.select("unit", "sizes").mapInArrow(run, f"unit {units.schema['unit'].dataType.simpleString()}, piece long, first long, last long")
+
+
 def python_chunks(source: str, most: int = SIZE, least: int = LEAST) -> list[tuple[str, str, int, int, str]]:
     """(type, symbol, start line, end line, content) of a Python file's chunks.
 

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from codelore.operators.chunking import parse
 
@@ -189,7 +189,7 @@ def analyse_source(source: str) -> Analysis:
             name = f"{parent}.{node.name}" if parent and hasattr(node, "name") else getattr(node, "name", "")
             if isinstance(node, ast.ClassDef):
                 bases = [".".join(c) for b in node.bases if (c := _chain(b.value if isinstance(b, ast.Subscript) else b))]
-                symbol = {"name": name, "kind": "class", "parent": parent, "start_line": node.lineno, "end_line": node.end_lineno, "bases": bases, "calls": [], "called": [], "locals": {}, "bound": [], "owner": "", "of_class": False}
+                symbol = {"name": name, "kind": "class", "parent": parent, "start_line": node.lineno, "end_line": node.end_lineno, "bases": bases, "calls": [], "called": [], "locals": {}, "bound": [], "owner": "", "of_class": False, "is_async": False}
                 symbols.append(symbol)
                 own = _Names()
                 walk(node.body, name, own)
@@ -202,7 +202,7 @@ def analyse_source(source: str) -> Analysis:
                 sites, called = _calls(node.body)
                 symbols.append(
                     {"name": name, "kind": "method" if parent else "function", "parent": parent, "start_line": node.lineno, "end_line": node.end_lineno, "bases": [], "calls": [{"chain": c, "line": n} for c, n in sites], "called": called,
-                     "locals": kinds, "bound": bound, "owner": owner, "of_class": bool(parent) and "classmethod" in marks}
+                     "locals": kinds, "bound": bound, "owner": owner, "of_class": bool(parent) and "classmethod" in marks, "is_async": isinstance(node, ast.AsyncFunctionDef)}
                 )
             elif parent and isinstance(node, ast.AnnAssign) and isinstance(node.target, ast.Name):
                 attributes.bind(node.target.id, _type(node.annotation))
@@ -220,9 +220,9 @@ def analyse_source(source: str) -> Analysis:
     return Analysis(symbols, imports, False, *_top_names(tree.body))
 
 
-SYMBOL = "struct<name:string,kind:string,parent:string,start_line:long,end_line:long,bases:array<string>,calls:array<struct<chain:string,line:long>>,called:array<string>,locals:map<string,string>,bound:array<string>,owner:string,of_class:boolean>"
+SYMBOL = "struct<name:string,kind:string,parent:string,start_line:long,end_line:long,bases:array<string>,calls:array<struct<chain:string,line:long>>,called:array<string>,locals:map<string,string>,bound:array<string>,owner:string,of_class:boolean,is_async:boolean>"
 IMPORT = "struct<module:string,name:string,alias:string,level:long,line:long>"
-_SYMBOL = pa.struct([("name", pa.string()), ("kind", pa.string()), ("parent", pa.string()), ("start_line", pa.int64()), ("end_line", pa.int64()), ("bases", pa.list_(pa.string())), ("calls", pa.list_(pa.struct([("chain", pa.string()), ("line", pa.int64())]))), ("called", pa.list_(pa.string())), ("locals", pa.map_(pa.string(), pa.string())), ("bound", pa.list_(pa.string())), ("owner", pa.string()), ("of_class", pa.bool_())])
+_SYMBOL = pa.struct([("name", pa.string()), ("kind", pa.string()), ("parent", pa.string()), ("start_line", pa.int64()), ("end_line", pa.int64()), ("bases", pa.list_(pa.string())), ("calls", pa.list_(pa.struct([("chain", pa.string()), ("line", pa.int64())]))), ("called", pa.list_(pa.string())), ("locals", pa.map_(pa.string(), pa.string())), ("bound", pa.list_(pa.string())), ("owner", pa.string()), ("of_class", pa.bool_()), ("is_async", pa.bool_())])
 _IMPORT = pa.struct([("module", pa.string()), ("name", pa.string()), ("alias", pa.string()), ("level", pa.int64()), ("line", pa.int64())])
 
 
@@ -432,14 +432,19 @@ class Repository:
                 return c[0], f"{c[1]}.{names[0]}"
         return None
 
-    def edges(self) -> list[tuple[str, str, str, str, int]]:
-        """(kind, source, target, via, line) of imports, inheritance and calls."""
+    def edges(self, only: set[str] | None = None) -> list[tuple[str, str, str, str, int]]:
+        """(kind, source, target, via, line) of imports, inheritance and calls of the files in ``only``.
+
+        An import's ``via`` is the name that the statement reads, or its module.
+        """
         out = []
         for path, f in self.files.items():
-            for i in f["imports"]:
+            if only is not None and path not in only:
+                continue
+            for i in sorted(f["imports"], key=lambda i: i["line"]):
                 home = self._read(path, i)
                 if home and home != path:
-                    out.append(("IMPORTS", path, home, "", i["line"]))
+                    out.append(("IMPORTS", path, home, i["name"] or i["module"], i["line"]))
             for s in f["symbols"]:
                 source = f"{path}::{s['name']}"
                 for base in s["bases"]:
@@ -453,6 +458,24 @@ class Repository:
                         out.append(("CALLS", source, f"{at[0]}::{at[1]}", via, call["line"]))
         return out
 
+    def outside(self, only: set[str] | None = None) -> list[tuple[str, str, str, int]]:
+        """(kind, path, package, line) of statements that read no other file of the repository:
+        ``EXTERNAL`` with the top-level package, or ``UNRESOLVED`` if they are relative.
+        """
+        out = []
+        for path, f in self.files.items():
+            if only is not None and path not in only:
+                continue
+            statements: dict[tuple, list[dict]] = {}
+            for n, i in enumerate(f["imports"]):
+                # ``import a, b`` is a statement for each; names of one ``from`` share theirs.
+                statements.setdefault((i["line"], i["module"], i["level"], n if not i["name"] else -1), []).append(i)
+            for (line, module, level, _), names in statements.items():
+                if not any((home := self._read(path, i)) and home != path for i in names):
+                    external = level == 0 and module
+                    out.append(("EXTERNAL" if external else "UNRESOLVED", path, module.split(".")[0] if external else "", line))
+        return out
+
     def _attribute_type(self, cls: tuple[str, str], name: str) -> tuple[str, str] | None:
         """The class of an attribute whose type the class, or the first base with one, states."""
         for c in self.mro(cls) or []:
@@ -493,22 +516,69 @@ class Repository:
         return at, "attribute" if rest else "name"
 
 
-def resolve(analysed: DataFrame) -> DataFrame:
-    """(repository, kind, source, target, via, first_line, lines, count): merged edges.
+#: Files of a repository whose names are resolved by one task.
+FILES_AT_ONCE = 500
+
 
-    ``analysed`` is the result of :func:`analyse`.
+def resolve(analysed: DataFrame, at_once: int = FILES_AT_ONCE) -> DataFrame:
+    """(repository, kind, source, target, via, names, first_line, lines, count): merged edges, and
+    ``EXTERNAL`` and ``UNRESOLVED`` imports (source: file, target: package).
+
+    ``analysed`` is the result of :func:`analyse`.  A repository's files are dealt into buckets.  A
+    bucket's task knows what every file of the repository defines and imports, and the call sites of
+    its own files only, so a large repository is shared by many tasks.
     """
-    schema = pa.schema([("repository", pa.string()), ("kind", pa.string()), ("source", pa.string()), ("target", pa.string()), ("via", pa.string()), ("first_line", pa.int64()), ("lines", pa.list_(pa.int64())), ("count", pa.int64())])
+    schema = pa.schema([("repository", pa.string()), ("kind", pa.string()), ("source", pa.string()), ("target", pa.string()), ("via", pa.string()), ("names", pa.list_(pa.string())), ("first_line", pa.int64()), ("lines", pa.list_(pa.int64())), ("count", pa.int64())])
 
     def run(data: pa.Table) -> pa.Table:
-        files = [{**f, "symbols": [{**s, "locals": dict(s["locals"])} for s in f["symbols"]]} for f in data.to_pylist()]
+        rows = data.drop_columns(["bucket", "buckets"]).to_pylist()
+        own = {f["path"] for f in rows if f["own"]}
+        files = [{**f, "symbols": [{**s, "locals": dict(s["locals"])} for s in f["symbols"]]} for f in rows]
+        whole = Repository(files)
         merged: dict[tuple[str, str, str], list[tuple[int, str]]] = {}
-        for kind, source, target, via, line in Repository(files).edges():
+        for kind, source, target, via, line in whole.edges(own):
             merged.setdefault((kind, source, target), []).append((line, via))
-        rows = []
+        for kind, source, target, line in whole.outside(own):
+            merged.setdefault((kind, source, target), []).append((line, ""))
+        out = []
         for (kind, source, target), found in sorted(merged.items()):
-            found.sort()
-            rows.append({"repository": files[0]["repository"], "kind": kind, "source": source, "target": target, "via": found[0][1], "first_line": found[0][0], "lines": [n for n, _ in found[:20]], "count": len(found)})
-        return pa.Table.from_pylist(rows, schema=schema)
+            if kind == "IMPORTS":  # names in the order of their statements
+                names, via = list(dict.fromkeys(v for _, v in found))[:8], ""
+                found.sort(key=lambda x: x[0])
+            else:
+                found.sort()
+                names, via = [], found[0][1]
+            out.append({"repository": files[0]["repository"], "kind": kind, "source": source, "target": target, "via": via, "names": names, "first_line": found[0][0], "lines": [n for n, _ in found[:20]], "count": len(found)})
+        return pa.Table.from_pylist(out, schema=schema)
+
+    return _bucketed(analysed, at_once).applyInArrow(run, "repository string, kind string, source string, target string, via string, names array<string>, first_line long, lines array<long>, count long")
+
 
-    return analysed.groupBy("repository").applyInArrow(run, "repository string, kind string, source string, target string, via string, first_line long, lines array<long>, count long")
+def orders(analysed: DataFrame, at_once: int = FILES_AT_ONCE) -> DataFrame:
+    """(repository, cls, position, base): the resolution order of every class (path::name), itself
+    first; classes without an order, because their bases disagree, have no rows.
+    """
+    schema = pa.schema([("repository", pa.string()), ("cls", pa.string()), ("position", pa.int64()), ("base", pa.string())])
+
+    def run(data: pa.Table) -> pa.Table:
+        rows = data.drop_columns(["bucket", "buckets"]).to_pylist()
+        whole = Repository([{**f, "symbols": [{**s, "locals": dict(s["locals"])} for s in f["symbols"]]} for f in rows])
+        out = []
+        for f in rows:
+            for s in f["symbols"] if f["own"] else ():
+                if s["kind"] == "class":
+                    for i, (path, name) in enumerate(whole.mro((f["path"], s["name"])) or []):
+                        out.append({"repository": f["repository"], "cls": f"{f['path']}::{s['name']}", "position": i, "base": f"{path}::{name}"})
+        return pa.Table.from_pylist(out, schema=schema)
+
+    return _bucketed(analysed, at_once).applyInArrow(run, "repository string, cls string, position long, base string")
+
+
+def _bucketed(analysed: DataFrame, at_once: int):
+    """Analysed files grouped by repository and bucket, with ``own`` for the bucket's own files."""
+    sizes = analysed.groupBy("repository").agg(F.ceil(F.count("*") / F.lit(at_once)).cast("int").alias("buckets"))
+    dealt = analysed.join(sizes, "repository").withColumn("bucket", F.pmod(F.xxhash64("path"), F.col("buckets")).cast("int"))
+    own = dealt.withColumn("own", F.lit(True))
+    uncalled = F.transform("symbols", lambda s: s.withField("calls", F.array().cast("array<struct<chain:string,line:bigint>>")).withField("called", F.array().cast("array<string>")))
+    known = dealt.withColumn("symbols", uncalled).withColumn("own", F.lit(False)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1))).where("other <> bucket").withColumn("bucket", F.col("other")).drop("other")
+    return own.unionByName(known).groupBy("repository", "bucket")

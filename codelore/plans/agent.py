@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codelore.functions import fixed, paths
 from codelore.operators import navigation
 from codelore.plans.shared import Registry, table
 
@@ -18,19 +17,6 @@ R.sql(
     "select conv_id, string_agg(role, ',' order by first_turn) as roles from (select conv_id, role, min(turn) as first_turn from {conversations} group by conv_id, role) group by conv_id",
 )
 
-_FILES = "(values ('web/app.ts'), ('web/lib/util.ts'), ('web/lib/index.js'), ('web/view.tsx'), ('web/lib/util.js')) f(path)"
-_IMPORTS = "(values ('web/app.ts', './lib/util'), ('web/app.ts', './lib'), ('web/app.ts', './view'), ('web/app.ts', './missing'), ('web/lib/util.ts', '../view'), ('web/lib/util.ts', '../app.ts')) i(importer, target)"
-_SUFFIXES = "(values (0, ''), (1, '.ts'), (2, '.tsx'), (3, '.js'), (4, '.jsx'), (5, '/index.ts'), (6, '/index.js')) s(rank, suffix)"
-#: A relative import is resolved to the first suffix that names a file.
-R.sql(
-    "relative_resolve",
-    f"""with base as (select importer, target, case when target like '../%' then regexp_replace(regexp_replace(importer, '/[^/]*$', ''), '/[^/]*$', '') else regexp_replace(importer, '/[^/]*$', '') end as folder,
-      case when target like '../%' then substring(target, 4) else substring(target, 3) end as rest from {_IMPORTS}),
-    candidates as (select importer, target, rank, concat(folder, '/', rest, suffix) as path from base cross join {_SUFFIXES}),
-    hits as (select c.importer, c.target, c.path, row_number() over (partition by c.importer, c.target order by c.rank) as n from candidates c join {_FILES} on f.path = c.path)
-    select importer, target, path from hits where n = 1""",
-)
-
 def _context(id: int, intent: str, nodes=(), seed=None, related=(), code=()) -> tuple:
     return id, intent, "demo", list(nodes), seed, list(related), list(code)
 
@@ -76,20 +62,3 @@ def _stated(row: tuple) -> str:
 def navigation_target(spark: SparkSession, d: str) -> DataFrame:
     decided = navigation.decide(spark.createDataFrame(CONTEXTS, navigation.CONTEXT))
     return decided.withColumn("related", F.size("related_node_ids").cast("long")).select(*_COLUMNS.split(", "))
-
-
-_GRADE = " ".join(f"when regexp_matches(url, '{pattern}') then {i}" for i, (pattern, _) in enumerate(fixed.ENTRIES))
-
-
-#: The page whose path looks most like an entry: the first pattern that any matches, then depth.
-@R.frame(
-    "entry_guess",
-    f"select page_id, url from (select page_id, url, row_number() over (order by case {_GRADE} else {len(fixed.ENTRIES)} end, length(url) - length(replace(url, '/', '')), length(url), url, page_id) as r from {{pages}}) where r = 1",
-)
-def entry_guess(spark: SparkSession, d: str) -> DataFrame:
-    url = F.col("url")
-    grade = F.coalesce(paths.entry_grade(url), F.lit(len(fixed.ENTRIES)))
-    slashes = F.char_length(url) - F.char_length(F.replace(url, F.lit("/"), F.lit("")))
-    # One aggregation with partial minima; no sort of the table.
-    best = table(spark, d, "pages").agg(F.min(F.struct(grade.alias("grade"), slashes.alias("depth"), F.char_length(url).alias("length"), "url", "page_id")).alias("b"))
-    return best.where("b is not null").select("b.page_id", "b.url")

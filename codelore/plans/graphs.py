@@ -16,7 +16,7 @@ QUERIES, ORACLES = R.queries, R.oracles
 
 
 class Repositories:
-    """The stand-in tables, each made when it is read."""
+    """The stand-in tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -24,7 +24,7 @@ class Repositories:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in stand_in.PARTS:
             raise AttributeError(name)
-        return stand_in.frame(self.spark, self.sf_dir, name)
+        return stand_in.stored(self.spark, self.sf_dir, name)
 
     def asked(self, sql: str) -> DataFrame:
         return self.spark.sql(sql)

@@ -10,6 +10,8 @@ MODULES: list[str] = [
     "codelore.plans.code",
     "codelore.plans.agent",
     "codelore.plans.graphs",
+    "codelore.plans.subjects",
+    "codelore.plans.built",
 ]
 
 

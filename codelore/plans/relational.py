@@ -74,26 +74,13 @@ R.sql("join_indexed_flag", "select d.doc_id, l.doc_id is not null as indexed fro
 # aggregations
 HREFS = "select page_id, h as href from (select page_id, explode(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as h from {pages})"
 DUCK_HREFS = "select page_id, h as href from (select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as h from {pages})"
-R.sql("external_uses", f"select href, count(*) as uses from ({HREFS}) group by href having count(*) >= 2", f"select href, count(*) as uses from ({DUCK_HREFS}) group by href having count(*) >= 2")
 R.sql("regex_imports", f"select page_id, count(*) as imports, count(distinct href) as targets from ({HREFS}) group by page_id", f"select page_id, count(*) as imports, count(distinct href) as targets from ({DUCK_HREFS}) group by page_id")
 R.sql("import_edges", f"select distinct page_id, href from ({HREFS}) where href like '/%'", f"select distinct page_id, href from ({DUCK_HREFS}) where href like '/%'")
-R.sql(
-    "import_merge",
-    f"select page_id, concat_ws(',', slice(array_sort(collect_set(href)), 1, 8)) as names, count(*) as statements from ({HREFS}) group by page_id",
-    f"select page_id, array_to_string(list_sort(list_distinct(list(href)))[1:8], ',') as names, count(*) as statements from ({DUCK_HREFS}) group by page_id",
-)
-R.sql(
-    "call_merge",
-    "select l_suppkey, l_partkey, count(*) as calls, min(l_linenumber) as first_line, concat_ws(',', slice(array_sort(collect_list(l_linenumber)), 1, 20)) as lines from {lineitem} group by l_suppkey, l_partkey",
-    "select l_suppkey, l_partkey, count(*) as calls, min(l_linenumber) as first_line, array_to_string(list_sort(list(l_linenumber))[1:20], ',') as lines from {lineitem} group by l_suppkey, l_partkey",
-)
-R.sql("module_depends", "select distinct n.n_name as source_module, p.p_brand as target_module from {lineitem} l join {supplier} s on l.l_suppkey = s.s_suppkey join {nation} n on s.s_nationkey = n.n_nationkey join {part} p on l.l_partkey = p.p_partkey")
 R.sql("dedupe_max", "select sha2(text, 256) as h, max(n_chars) as best, min(doc_id) as doc_id, count(*) as copies from {documents} group by sha2(text, 256)", "select sha256(text) as h, max(n_chars) as best, min(doc_id) as doc_id, count(*) as copies from {documents} group by sha256(text)")
 R.sql(
     "edge_dedupe",
     "select l_suppkey, l_partkey, l_orderkey from (select *, row_number() over (partition by l_suppkey, l_partkey order by l_orderkey, l_linenumber) as r from {lineitem}) where r = 1",
 )
-R.sql("namespace_ambiguity", "select p_name, count(distinct p_brand) as brands, count(distinct p_brand) > 1 as ambiguous from {part} group by p_name")
 R.sql("community_sizes", "select label, count(*) as size, min(vec_id) as hub from {embeddings} group by label")
 
 # windows
@@ -111,50 +98,17 @@ R.sql(
 R.sql("chunk_index", "select doc_id, cast(row_number() over (partition by source order by doc_id) - 1 as bigint) as chunk_index from {documents}")
 
 # ordered results
-STRUCTURAL = "select id, degree from (select l_partkey as id, count(*) as degree from (select distinct l_suppkey, l_partkey from {lineitem}) group by l_partkey having count(*) >= 3) order by degree desc, id limit 8"
-R.sql("hotspot_structural", f"select h.id, h.degree from ({STRUCTURAL}) h join {{part}} p on h.id = p.p_partkey where p.p_size <= 25")
-CHURN = "select l_partkey as id, count(distinct l_orderkey) as commits from {lineitem} where l_partkey in (select p_partkey from {part} where p_size <= 25) group by l_partkey having count(distinct l_orderkey) >= 3 order by commits desc, id limit 8"
-R.sql("hotspot_churn", f"select id, commits from ({CHURN})")
 LINES = "cast(length(text) - length(replace(text, chr(10), '')) + 1 as bigint)"
-COMPLEX = f"select doc_id, n from (select doc_id, {LINES} as n from {{documents}}) order by case when n > 40 then 0 else 1 end, n desc, doc_id limit 8"
-R.sql("hotspot_complexity", f"select doc_id, n as line_count from ({COMPLEX}) where n > 0")
-R.sql(
-    "hotspots_all",
-    f"""select 'structural' as category, id, degree as value from ({STRUCTURAL}) a union all select 'churn', id, commits from ({CHURN}) b
-    union all select 'complexity', doc_id, n from ({COMPLEX}) c""",
-)
 R.sql("line_count", f"select doc_id, {LINES} as line_count from {{documents}}")
 #: Every line of a document stands for a symbol.
 R.sql("complexity_band", f"select band, count(*) as files from (select case when n > 600 or n > 40 then 'high' when n > 200 or n > 12 then 'medium' else 'low' end as band from (select {LINES} as n from {{documents}})) group by band")
-R.sql(
-    "resolve_rank",
-    """select p_partkey, p_name, case when lower(p_name) = 'ring' then 0 when lower(p_name) like 'ring%' then 2 else 3 end as grade from {part}
-    where lower(p_name) like '%ring%' order by grade, p_size, length(p_name), p_partkey limit 10""",
-)
 R.sql("union_distinct", "select n_name as name from {nation} union select r_name from {region} union select p_brand from {part}")
 R.sql("concept_search", "select distinct p_partkey, p_name from {part} where lower(p_name) like '%ring%' or lower(p_name) like '%steel%' or lower(p_name) like '%blue%'")
-R.sql("seed_priority", "select id, min(priority) as priority from (values ('a', 1), ('b', 2), ('a', 3), ('c', 4), ('d', 4)) v(id, priority) group by id order by priority, id limit 6")
 R.sql(
     "highlight",
     """with v as (select 'p' as source, p_partkey as id, 0 as priority from {part} where p_size = 1 union all select 's', s_suppkey, 1 from {supplier} where s_acctbal < 0)
     select source, id, best as priority from (select source, id, min(priority) as best from v group by source, id) order by best, source, id limit 60""",
 )
-R.sql(
-    "hierarchy_nodes",
-    """select concat('tpch::region::', cast(r_regionkey as string)) as id, 'region' as kind, r_name as name, cast(null as string) as parent_id, 0 as level from {region}
-    union all select concat('tpch::nation::', cast(n_nationkey as string)), 'nation', n_name, concat('tpch::region::', cast(n_regionkey as string)), 1 from {nation}
-    union all select concat('tpch::customer::', cast(c_custkey as string)), 'customer', c_name, concat('tpch::nation::', cast(c_nationkey as string)), 2 from {customer}""",
-)
-R.sql(
-    "contains_edges",
-    """select concat('tpch::region::', cast(n_regionkey as string), '|CONTAINS|tpch::nation::', cast(n_nationkey as string)) as id from {nation}
-    union all select concat('tpch::nation::', cast(c_nationkey as string), '|CONTAINS|tpch::customer::', cast(c_custkey as string)) from {customer}""",
-)
-R.sql(
-    "node_id_roundtrip",
-    "select p_partkey, split(id, '::', 3)[1] as kind, split(id, '::', 3)[2] as key from (select p_partkey, concat('repo::part::', p_name) as id from {part})",
-    "select p_partkey, split_part(id, '::', 2) as kind, split_part(id, '::', 3) as key from (select p_partkey, concat('repo::part::', p_name) as id from {part})",
-)
 R.sql("coerce_scalar", "select d.doc_id, coalesce(cast(l.q as string), '') as quality from {documents} d left join (select doc_id, max(quality) as q from {labels} group by doc_id) l on d.doc_id = l.doc_id")
 R.sql("date_stamp", "select event_id, coalesce(date_format(ts, 'yyyy-MM-dd'), 'unknown') as day from {events}", "select event_id, coalesce(strftime(ts, '%Y-%m-%d'), 'unknown') as day from {events}")
 R.sql(

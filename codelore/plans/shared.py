@@ -37,7 +37,7 @@ def query_of(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def oracle_of(sql: str) -> str:
-    return re.sub(r"\{(\w+)\}", r"\1", sql)
+    return re.sub(rf"\{{({'|'.join(TABLES)})\}}", r"\1", sql)
 
 
 class Registry:

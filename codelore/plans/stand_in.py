@@ -8,10 +8,12 @@ the operators that read them have their own code on either side.
 from __future__ import annotations
 
 import re
+from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession
 
 from codelore.plans.shared import TABLES, table
+from codelore.session import checkpoint_dir
 
 #: Files: a few entry points, tests and documents, the rest under their brand and type.
 FILES = """select p_partkey as k, case when p_partkey % 5 = 0 then 'beta' else 'alpha' end as repository,
@@ -70,6 +72,7 @@ NEEDS = {
     "files": (), "symbols": ("files",), "nodes": ("files", "symbols"), "imports": ("files",), "calls": ("files", "symbols"), "edges": ("files", "symbols", "nodes", "imports", "calls"),
     "commits": (), "commit_files": ("files", "commits"), "refs": ("commits",),
 }
+_STORED: set[tuple[str, str]] = set()
 SECONDS = {"spark": r"unix_seconds(cast(\1 as timestamp))", "duck": r"cast(epoch(\1) as bigint)"}
 
 
@@ -77,8 +80,17 @@ def _ctes(names: tuple[str, ...], dialect: str) -> str:
     return ", ".join(f"{n} as ({re.sub(r'<seconds[(](.*?)[)]>', SECONDS[dialect], PARTS[n])})" for n in names)
 
 
+def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the tables, written once per application to the shared folder and read from there."""
+    folder = f"{checkpoint_dir(spark)}/stand-in-{spark.sparkContext.applicationId}-{md5(sf_dir.encode()).hexdigest()[:12]}"
+    if (folder, name) not in _STORED:
+        frame(spark, sf_dir, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+        _STORED.add((folder, name))
+    return spark.read.parquet(f"{folder}/{name}")
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the tables as a DataFrame."""
+    """One of the tables as a plan over the driver's tables."""
     text = _ctes((*NEEDS[name], name), "spark")
     used = [t for t in TABLES if f"{{{t}}}" in text]
     return spark.sql(f"with {text} select * from {name}", **{t: table(spark, sf_dir, t) for t in used})

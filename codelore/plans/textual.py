@@ -161,16 +161,26 @@ SAMPLES = [
 ]
 
 
-@R.frame("redact_patterns")
+#: What each sample becomes, and the labels of what was found in it.
+MASKED = [
+    ("key [REDACTED]", "aws_access_key"), ("password = 'changeme'", ""), ("db_password = '[REDACTED]'", "assignment:db_password"), ("[REDACTED]/x", "connection_string"), ("api_key=\"${SECRET}\"", ""), ("plain text", ""), ("token [REDACTED]", "github_token"),
+    ("auth_token: '[REDACTED]'", "assignment:auth_token"), ("API_KEY = \"[REDACTED]\"", "assignment:API_KEY,openai_key"), ("password = compute(value)", ""), ("client-secret: 'os.getenv(1)'", ""), ("secret = 'short'", ""),
+]
+
+
+@R.frame("redact_patterns", f"select * from {_values('t, masked, labels', [(t, *m) for t, m in zip(SAMPLES, MASKED, strict=True)])}")
 def redact_patterns(spark: SparkSession, d: str) -> DataFrame:
     rows = _literal(spark, "t", [(x,) for x in SAMPLES])
     return rows.select("t", T.redact(F.col("t")).alias("masked"), F.array_join(T.redaction_labels(F.col("t")), ",").alias("labels"))
 
 
-@R.frame("redact_documents")
+@R.frame("redact_documents", f"select doc_id, md5(text || chr(10) || v.masked) as digest, v.labels from {{documents}} join {_values('i, masked, labels', [(i, *m) for i, m in enumerate(MASKED)])} on v.i = doc_id % {len(MASKED)}")
 def redact_documents(spark: SparkSession, d: str) -> DataFrame:
-    rows = _documents(spark, d).select("doc_id", T.redaction_labels(F.col("text")).alias("labels"))
-    return rows.where(F.size("labels") > 0).select("doc_id", F.array_join("labels", ",").alias("labels"))
+    """Every document, which holds no credential itself, with one of the samples at its end."""
+    samples = F.array(*[F.lit(x) for x in SAMPLES])
+    whole = F.concat("text", F.lit("\n"), F.get(samples, (F.col("doc_id") % len(SAMPLES)).cast("int")))
+    rows = _documents(spark, d).select("doc_id", whole.alias("text"))
+    return rows.select("doc_id", F.md5(T.redact(F.col("text"))).alias("digest"), F.array_join(T.redaction_labels(F.col("text")), ",").alias("labels"))
 
 
 QUESTIONS = [
@@ -423,32 +433,6 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
 _E = "e as (select distinct 's' || l_suppkey::varchar as source, 'p' || l_partkey::varchar as target from {lineitem}), u as (select source as a, target as b from e union all select target, source from e)"
 
 
-def _duck_flow() -> str:
-    text = f"with {_E}, l0 as (select 's1' as node)"
-    for k in (1, 2, 3):
-        seen = " union all ".join(f"select node from l{i}" for i in range(k))
-        text += f", l{k} as (select distinct b as node from u join l{k - 1} on a = node where b not in ({seen}) order by node limit 6)"
-    return text + " " + " union all ".join(f"select node, {i} as depth from l{i}" for i in range(4))
-
-
-@R.frame("flow_layers", _duck_flow())
-def flow_layers(spark: SparkSession, d: str) -> DataFrame:
-    e = _edges(spark, d)
-    both = e.unionByName(e.select(F.col("target").alias("source"), F.col("source").alias("target")))
-    return graph.flow_layers(both, spark.createDataFrame([("s1",)], "node string"))
-
-
-@R.frame(
-    "neighborhood_hops",
-    f"""with {_E}, w as (select source as a, target as b, 'out' as way from e union all select target, source, 'in' from e), l0 as (select 's1' as node),
-    l1 as (select distinct b as node from (select b, row_number() over (partition by a, way order by b) as n from w join l0 on a = node) where n <= 6 and b not in (select node from l0)),
-    l2 as (select distinct b as node from (select b, row_number() over (partition by a, way order by b) as n from w join l1 on a = node) where n <= 6 and b not in (select node from l0 union all select node from l1))
-    select node, distance from (select node, 0 as distance from l0 union all select node, 1 from l1 union all select node, 2 from l2) order by distance, node limit 24""",
-)
-def neighborhood_hops(spark: SparkSession, d: str) -> DataFrame:
-    return graph.neighbourhood(_edges(spark, d), spark.createDataFrame([("s1",)], "node string"))
-
-
 def _duck_labels(rounds: int) -> str:
     text = f"with {_E}, r0 as (select distinct a as node, a as label from u)"
     for k in range(1, rounds + 1):
