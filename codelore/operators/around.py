@@ -34,11 +34,11 @@ def resolve(nodes: DataFrame, asked: DataFrame) -> DataFrame:
     symbols before others; shorter names.
     """
     terms = asked.select("repository", F.trim("term").alias("term")).where("term <> ''").distinct()
-    exact = reads.by_name(nodes, terms)
+    exact = materialise(reads.by_name(nodes, terms))  # few rows, read by each fallback
     bare = terms.where(~F.contains("term", F.lit("."))).join(exact.select("repository", "term"), ["repository", "term"], "left_anti")
     suffixed = bare.select("repository", F.col("term").alias("_term"), F.explode(F.array(*[F.concat("term", F.lit(s)) for s in fixed.STEM_SUFFIXES])).alias("term"))
     stemmed = reads.by_name(nodes, suffixed).join(suffixed, ["repository", "term"]).drop("term").withColumnRenamed("_term", "term")
-    named = exact.unionByName(stemmed).drop("pos")
+    named = materialise(exact.unionByName(stemmed).drop("pos"))
     rest = terms.join(named.select("repository", "term"), ["repository", "term"], "left_anti")
     found = named.unionByName(reads.search(nodes, rest, most=MOST_SEARCHED).drop("pos"))
     name, low = F.lower("name"), F.lower("term")

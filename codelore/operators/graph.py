@@ -1,63 +1,49 @@
-"""Graph queries over edge DataFrames (source, target): bounded loops of joins, never collected.
+"""Graph algorithms over edge DataFrames (source, target) that need rounds or an order.
 
-Loops have a fixed, small number of rounds; callers that chain many should checkpoint.
+What a round makes is written to the session's shared folder before the next one reads it, so a
+plan does not grow with the number of rounds.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import DataFrame, functions as F
 
+from codelore.session import materialise
 
-def flow_layers(edges: DataFrame, starts: DataFrame, depth: int = 3, width: int = 6) -> DataFrame:
-    """(node, depth): breadth-first layers from ``starts`` (node), at most ``width`` new nodes each.
-
-    The nodes of a layer are those of the smallest ids; nodes of earlier layers are not repeated.
-    """
-    seen = starts.select("node", F.lit(0).alias("depth"))
-    layer = seen
-    for level in range(1, depth + 1):
-        reached = layer.join(edges, layer.node == edges.source).select(F.col("target").alias("node")).distinct()
-        new = reached.join(seen.select("node"), "node", "left_anti")
-        layer = new.orderBy("node").limit(width).select("node", F.lit(level).alias("depth"))
-        seen = seen.unionByName(layer)
-    return seen
+MOST_ROUNDS = 20
 
 
-def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 2, fanout: int = 6, budget: int = 24) -> DataFrame:
-    """(node, distance): nodes within ``hops`` of the seeds in either direction.
+def label_propagation(edges: DataFrame, rounds: int = MOST_ROUNDS) -> DataFrame:
+    """(node, label): communities by synchronous label propagation.
 
-    Each node brings at most ``fanout`` neighbours per direction (smallest ids), and the nearest
-    ``budget`` nodes stay, ties by id.
-    """
-    both = edges.select(F.col("source").alias("here"), F.col("target").alias("there"), F.lit("out").alias("way")).unionByName(
-        edges.select(F.col("target").alias("here"), F.col("source").alias("there"), F.lit("in").alias("way"))
-    )
-    reached = seeds.select("node", F.lit(0).alias("distance"))
-    layer = reached
-    cap = W.partitionBy("here", "way").orderBy("there")
-    for hop in range(1, hops + 1):
-        steps = both.join(layer.select(F.col("node").alias("here")), "here")
-        few = steps.withColumn("n", F.row_number().over(cap)).where(F.col("n") <= fanout).select(F.col("there").alias("node")).distinct()
-        layer = few.join(reached.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("distance"))
-        reached = reached.unionByName(layer)
-    return reached.orderBy("distance", "node").limit(budget)
-
-
-def label_propagation(edges: DataFrame, rounds: int = 3) -> DataFrame:
-    """(node, label) after synchronous rounds: the most frequent neighbour label, smallest on ties.
-
-    Edges count in both directions and with their multiplicity.
+    Each round, every node takes the most frequent label of its neighbours; its own if that is one
+    of them, else the smallest.  Edges count in both directions and with their multiplicity.  Rounds
+    end when no label changes, or after ``rounds``; keeping one's own label on ties makes that soon.
     """
+    # Equal edges become one with a weight, and stay where the join with the labels reads them.
     both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
-    labels = both.select(F.col("source").alias("node")).distinct().withColumn("label", F.col("node"))
+    weighed = materialise(both.groupBy("source", "target").agg(F.count("*").alias("w")).repartition("target"))
+    labels = materialise(weighed.select(F.col("source").alias("node")).distinct().withColumn("label", F.col("node")))
     for _ in range(rounds):
-        votes = both.join(labels, both.target == labels.node).groupBy("source", "label").agg(F.count("*").alias("n"))
-        # The largest count, then the smallest label, by one aggregation instead of a sort.
-        labels = votes.groupBy(F.col("source").alias("node")).agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("best")).select("node", "best.label")
+        votes = weighed.join(labels, weighed.target == labels.node).groupBy("source", "label").agg(F.sum("w").alias("n"))
+        own = labels.select(F.col("node").alias("source"), F.col("label").alias("own"))
+        best = F.min(F.struct((-F.col("n")).alias("n"), (F.col("label") != F.col("own")).alias("new"), "label")).alias("best")
+        now = materialise(votes.join(own, "source").groupBy("source").agg(best, F.first("own").alias("own")).select(F.col("source").alias("node"), "best.label", "own"))
+        changed = now.where("label <> own").limit(1).count()
+        labels = now.select("node", "label")
+        if not changed:
+            break
     return labels
 
 
+def communities(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(label, size, hub): each community with its node of the most edges; ties by node."""
+    ends = edges.select(F.explode(F.array("source", "target")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    of = labels.join(ends, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    return of.groupBy("label").agg(F.count("*").alias("size"), F.min(F.struct((-F.col("degree")).alias("d"), "node")).alias("b")).select("label", "size", F.col("b.node").alias("hub"))
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among ``nodes`` (node)."""
     return edges.join(nodes, edges.source == nodes.node, "left_semi").join(nodes, edges.target == nodes.node, "left_semi")

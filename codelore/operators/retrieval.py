@@ -1,21 +1,42 @@
-"""Hybrid retrieval: BM25, exact vector neighbours, fusion, reranking and evaluation.
+"""Hybrid retrieval: a stored BM25 index, exact vector neighbours, fusion, reranking, evaluation.
 
-Inputs and outputs are DataFrames.  Query sets are joined on terms or dealt into blocks against
-the corpus; nothing is gathered on the driver.
+Inputs and outputs are DataFrames, and many questions are answered by one plan.  The corpus is
+tokenised once, when its index is built; a search reads the postings of its terms.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from typing import NamedTuple
 
-from codelore.functions.text import relevance
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
+
+from codelore.functions import paths
+from codelore.functions.text import overlap_ratio, path_tokens, relevance, search_tokens
+from codelore.session import materialise
 
 K1, B = 1.5, 0.75
-#: Queries of a vector search that are sent to all tasks at once.
-QUERY_BLOCK = 1024
+#: Candidates of a channel, and how many times as many are read before filters.
+POOL, OVERFETCH = 25, 4
+#: Vectors in a shard, and queries that are compared with it at once.
+SHARD, QUERY_BLOCK = 8192, 512
 #: Weights of the linear reranker: vector, keyword, symbol, path, chunk type, path prior.
 WEIGHTS = {"vector": 1.0, "keyword": 0.9, "symbol": 0.6, "path": 0.45, "type": 0.35, "prior": 0.5}
 TYPE_PRIORS = {"method": 1.0, "function": 1.0, "class": 0.95, "block": 0.7, "module": 0.55}
+OTHER_PRIOR = 0.75
+
+Ranker = Callable[[DataFrame], DataFrame]
+
+
+class Index(NamedTuple):
+    """Postings (term, id, tf, length), terms (term, df, tf) and one row of totals (n, mean)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    totals: DataFrame
 
 
 def term_counts(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
@@ -24,67 +45,113 @@ def term_counts(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     return listed.select(id_col, F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, tokens, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text", k: int | None = 5) -> DataFrame:
-    """(query, id, score) of the ``k`` best documents by Okapi BM25; repeated query terms add up.
+def build_index(docs: DataFrame, path: str, tokens: Callable[[Column], Column] = search_tokens, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """Write the index of ``docs`` below ``path`` and open it.
 
-    The corpus is tokenised once for its size and mean length and once for the postings of query
-    terms, which are kept by a join with the queries' distinct terms before they are counted.
-    Ties go to the smaller id.
+    The tokens are written once and counted from there.  Postings are dealt and sorted by term, so
+    a search for some terms reads the row groups that hold them.
     """
-    sized = docs.select(F.col(id_col), tokens(F.col(text_col)).alias("tokens"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))
-    asked = queries.select(F.col(query_id).alias("query"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-    terms = asked.select("term").distinct()
-    postings = (
-        sized.select(id_col, F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-        .join(terms, "term", "left_semi")
-        .groupBy(id_col, "length", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    # Reading the same columns as the scores below do lets both share one shuffle of the postings.
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences")).where("occurrences > 0")
-    weighed = asked.join(frequency, "term").crossJoin(F.broadcast(stats))  # one row of totals
+    spark = docs.sparkSession
+    listed = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("tokens"))
+    listed.write.mode("overwrite").parquet(f"{path}/tokens")
+    stored = spark.read.parquet(f"{path}/tokens")
+    counted = stored.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
+    counted.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).write.mode("overwrite").parquet(f"{path}/terms")
+    stored.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean")).write.mode("overwrite").parquet(f"{path}/totals")
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "totals")))
+
+
+def bm25(index: Index, queries: DataFrame, tokens: Callable[[Column], Column] = search_tokens, k: int | None = 5) -> DataFrame:
+    """(query, id, score, rank) of the ``k`` best documents for each (query, text) by Okapi BM25.
+
+    Repeated query terms add up; ties go to the smaller id.
+    """
+    asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
+    known = asked.join(index.terms.select("term", "df"), "term").crossJoin(F.broadcast(index.totals))  # one row of totals
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = known.select("query", "term", (F.col("times") * idf * (K1 + 1)).alias("weight"), "mean")
     norm = K1 * (1 - B + B * F.col("length") / F.col("mean"))
-    scored = weighed.join(postings, "term").groupBy("query", id_col).agg(F.round(F.sum(F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)), 6).alias("score"))
+    parts = index.postings.join(weighed, "term").select("query", "id", (F.col("weight") * F.col("tf") / (F.col("tf") + norm)).alias("part"))
+    scored = parts.groupBy("query", "id").agg(F.round(F.sum("part"), 6).alias("score"))
     if k is None:
         return scored
-    best = W.partitionBy("query").orderBy(F.desc("score"), id_col)
+    best = W.partitionBy("query").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def _l2(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    return ((vectors - query) ** 2).sum(axis=1)
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+def _cosine(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    return vectors @ query / np.sqrt((vectors * vectors).sum(axis=1) * (query @ query))
 
 
-def cosine_similarity(a: Column, b: Column) -> Column:
-    return _dot(a, b) / F.sqrt(_dot(a, a) * _dot(b, b))
+MEASURES = {"l2": (_l2, True), "cosine": (_cosine, False)}
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, measure, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", ascending: bool = True) -> DataFrame:
-    """(query, id, value) of the ``k`` best vectors for each stated query.
+def _packed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """A row per key group: ids and components of its vectors as binaries."""
+    columns = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
-    ``queries`` has (query, q); every query is compared with all vectors.  Queries are counted and
-    sent to the vectors in blocks of about ``QUERY_BLOCK``, so a broadcast has a bounded size.  The
-    per-query limit is applied inside each partition first, so little is shuffled.
-    """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    narrow = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    def pack(data: pa.Table) -> pa.Table:
+        out = {k: data.column(k).slice(0, 1) for k in keys}
+        ids = np.asarray(data.column("id"), dtype="<i8")
+        flat = np.concatenate([np.asarray(c.flatten(), dtype="<f8") for c in data.column("v").chunks])
+        return pa.table(out | {"ids": pa.array([ids.tobytes()]), "body": pa.array([flat.tobytes()])})
+
+    return df.select(*keys, "id", "v").groupBy(*keys).applyInArrow(pack, f"{columns}, ids binary, body binary")
 
-    def compared(block: int) -> DataFrame:
-        part = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block)
-        pairs = narrow.join(F.broadcast(part), F.col("id") != F.col("query"))
-        return pairs.select("query", "id", F.round(measure(F.col("v"), F.col("q")), 6).alias("value"))
 
-    scored = compared(0)
-    for block in range(1, blocks):
-        scored = scored.unionByName(compared(block))
+def nearest(vectors: DataFrame, queries: DataFrame, measure: str = "l2", k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query, id, value, rank) of the ``k`` best vectors for each (query, q); not the query itself.
+
+    ``measure`` is squared L2 distance (least first) or cosine similarity (largest first), in
+    double precision.  Vectors are dealt into shards; a shard is sent once, followed by the queries
+    in a stream of blocks, and answers with its ``k`` best for each.  Vectors of another length than
+    the query's are no candidates, nor are null ones.
+    """
+    compare, ascending = MEASURES[measure]
+    slim = lambda df, i, v: df.where(F.col(i).isNotNull() & F.col(v).isNotNull()).select(F.col(i).cast("long").alias("id"), F.col(v).cast("array<double>").alias("v")).withColumn("dims", F.size("v")).where("dims > 0")
+    held, asked = slim(vectors, id_col, vector_col), slim(queries, "query", "q").distinct()
+    held, asked = materialise(held), materialise(asked)
+    shards, blocks = max(1, -(-held.count() // shard)), max(1, -(-asked.count() // block))
+    deal = lambda df, name, n: _packed(df.withColumn(name, F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")), ["dims", name])
+    one = deal(held, "shard", shards).select("dims", "shard", F.lit(-1).alias("block"), "ids", "body")
+    many = materialise(deal(asked, "block", blocks)).select("dims", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", "ids", "body")
+    units = one.unionByName(many).repartition(min(shards, 4 * int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "dims", "shard").sortWithinPartitions("dims", "shard", "block")
+    schema = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("value", pa.float64())])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (tuple(b.column(i)[r] for i in range(5)) for b in batches for r in range(b.num_rows))
+        for (dims, _), unit in groupby(rows, key=lambda r: (r[0].as_py(), r[1].as_py())):
+            own = None
+            for _, _, at, ids, body in unit:
+                numbers = np.frombuffer(ids.as_py(), "<i8")
+                values = np.frombuffer(body.as_py(), "<f8").reshape(-1, dims)
+                if at.as_py() < 0:
+                    order = np.argsort(numbers, kind="stable")
+                    own = numbers[order], values[order]
+                    continue
+                if own is None:
+                    continue
+                found = []
+                for query, q in zip(numbers.tolist(), values, strict=True):
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        value = np.round(compare(own[1], q), 6) + 0.0
+                    ranked = np.argsort(value if ascending else -value, kind="stable")[: k + 1]  # ties by id
+                    ranked = ranked[own[0][ranked] != query][:k]
+                    found.append((np.full(len(ranked), query), own[0][ranked], value[ranked]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=schema)
+
+    answers = units.mapInArrow(search, "query long, id long, value double")
     best = W.partitionBy("query").orderBy(F.col("value").asc() if ascending else F.col("value").desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return answers.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def min_max(df: DataFrame, value: str, *pool: str, name: str = "scaled") -> DataFrame:
@@ -101,11 +168,48 @@ def fuse(dense: DataFrame, sparse: DataFrame, keys: list[str], dense_weight: flo
     return joined.withColumn("score", F.round(dense_weight * F.col("vector_score") + sparse_weight * F.col("keyword_score"), 6))
 
 
+def hybrid(index: Index, vectors: DataFrame, questions: DataFrame, k: int = 5, tokens: Callable[[Column], Column] = search_tokens, condition: Column | None = None, chunks: DataFrame | None = None, **columns: str) -> DataFrame:
+    """(query, id, vector_score, keyword_score, score) of the candidates of both channels.
+
+    ``questions`` has (query, text, q).  Each channel has its ``max(POOL, k)`` best; scores are scaled
+    to 0..1 within a question's channel.  A ``condition`` on ``chunks`` (id, ...) narrows the vectors
+    before their search, and the keyword channel after four times as many were read, so it may have
+    fewer.  Keyword statistics are always those of the whole corpus.
+    """
+    pool = max(POOL, k)
+    fits = None if condition is None else chunks.where(condition).select("id")
+    own = columns.get("id_col", "vec_id")
+    reachable = vectors if fits is None else vectors.join(fits.withColumnRenamed("id", own), own, "left_semi")
+    near = nearest(reachable, questions.select("query", "q"), "l2", pool, **columns)
+    dense = min_max(near.withColumn("raw", relevance(F.col("value"))), "raw", "query", name="vector_score").select("query", "id", F.round("vector_score", 6).alias("vector_score"))
+    found = bm25(index, questions.select("query", "text"), tokens, pool if fits is None else OVERFETCH * pool)
+    if fits is not None:
+        kept = found.join(fits, "id", "left_semi").drop("rank")
+        found = kept.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= pool)
+    sparse = min_max(found, "score", "query", name="keyword_score").select("query", "id", F.round("keyword_score", 6).alias("keyword_score"))
+    return fuse(dense, sparse, ["query", "id"])
+
+
+def features(candidates: DataFrame, chunks: DataFrame, questions: DataFrame, tokens: Callable[[Column], Column] = search_tokens) -> DataFrame:
+    """Candidates with what the linear reranker reads: ``symbol_overlap``, ``path_overlap``,
+    ``chunk_type`` and ``path_prior``.  ``chunks`` has (id, relative_path, symbol, chunk_type).
+    """
+    asked = questions.select("query", tokens(F.col("text")).alias("_terms"))
+    of = candidates.join(chunks.select("id", "relative_path", "symbol", "chunk_type"), "id").join(asked, "query")
+    return of.withColumns(
+        {
+            "symbol_overlap": overlap_ratio(F.col("_terms"), search_tokens(F.coalesce("symbol", F.lit("")))),
+            "path_overlap": overlap_ratio(F.col("_terms"), path_tokens(F.col("relative_path"))),
+            "path_prior": paths.prior(F.col("relative_path")),
+        }
+    ).drop("_terms")
+
+
 def rerank(candidates: DataFrame) -> DataFrame:
-    """Linear reranking of columns vector_score, keyword_score, symbol_overlap, path_overlap,
-    chunk_type and path_prior.
+    """``rerank_score`` from vector_score, keyword_score, symbol_overlap, path_overlap, chunk_type
+    and path_prior: the linear reranker.
     """
-    kind = F.lit(0.75)
+    kind = F.lit(OTHER_PRIOR)
     for name, prior in TYPE_PRIORS.items():
         kind = F.when(F.col("chunk_type") == name, F.lit(prior)).otherwise(kind)
     w = WEIGHTS
@@ -116,14 +220,23 @@ def rerank(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("rerank_score", F.round(total, 6))
 
 
-def context_rank(candidates: DataFrame, seeds: DataFrame, neighbours: DataFrame, key: str = "path", budget: int = 8) -> DataFrame:
-    """The best ``budget`` rows after boosting seed paths by 1.6 and neighbouring ones by 1.25."""
-    marked = candidates.join(seeds.select(key).distinct().withColumn("_seed", F.lit(True)), key, "left").join(neighbours.select(key).distinct().withColumn("_near", F.lit(True)), key, "left")
-    boost = F.when(F.col("_seed"), 1.6).when(F.col("_near"), 1.25).otherwise(1.0)
-    return marked.withColumn("context_score", F.round(F.col("score") * boost, 6)).drop("_seed", "_near").orderBy(F.desc("context_score"), key).limit(budget)
+def fusion_only(candidates: DataFrame) -> DataFrame:
+    """``rerank_score`` from the two channels alone: the control of the reranker."""
+    return candidates.withColumn("rerank_score", F.round(F.col("vector_score") + F.col("keyword_score"), 6))
+
 
+def search(index: Index, vectors: DataFrame, chunks: DataFrame, questions: DataFrame, k: int = 5, ranker: Ranker = rerank, **more) -> DataFrame:
+    """(query, rank, id, ...) of the ``k`` best chunks for each question, ranked by any ``ranker``.
 
-def evaluation(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, query: str = "query", item: str = "doc_id") -> DataFrame:
+    A ranker takes candidates with their features and adds ``rerank_score``.
+    """
+    candidates = hybrid(index, vectors, questions, k, chunks=chunks, **more)
+    scored = ranker(features(candidates, chunks, questions))
+    best = W.partitionBy("query").orderBy(F.desc("rerank_score"), "id")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def evaluation(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, query: str = "query", item: str = "id") -> DataFrame:
     """hit@5, hit@50, mean reciprocal rank (a miss counts 0) and the median rank that was found."""
     first = ranked.join(relevant, item, "left_semi").groupBy(query).agg(F.min("rank").alias("found"))
     every = queries.select(query).distinct().join(first, query, "left")
@@ -134,5 +247,3 @@ def evaluation(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, query
         F.percentile("found", 0.5).alias("median_rank"),
     )
 
-
-__all__ = ["bm25", "context_rank", "cosine_similarity", "evaluation", "fuse", "min_max", "nearest", "relevance", "rerank", "squared_distance", "term_counts"]

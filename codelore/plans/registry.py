@@ -12,6 +12,7 @@ MODULES: list[str] = [
     "codelore.plans.graphs",
     "codelore.plans.subjects",
     "codelore.plans.built",
+    "codelore.plans.searches",
 ]
 
 

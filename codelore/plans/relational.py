@@ -76,12 +76,10 @@ HREFS = "select page_id, h as href from (select page_id, explode(regexp_extract_
 DUCK_HREFS = "select page_id, h as href from (select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as h from {pages})"
 R.sql("regex_imports", f"select page_id, count(*) as imports, count(distinct href) as targets from ({HREFS}) group by page_id", f"select page_id, count(*) as imports, count(distinct href) as targets from ({DUCK_HREFS}) group by page_id")
 R.sql("import_edges", f"select distinct page_id, href from ({HREFS}) where href like '/%'", f"select distinct page_id, href from ({DUCK_HREFS}) where href like '/%'")
-R.sql("dedupe_max", "select sha2(text, 256) as h, max(n_chars) as best, min(doc_id) as doc_id, count(*) as copies from {documents} group by sha2(text, 256)", "select sha256(text) as h, max(n_chars) as best, min(doc_id) as doc_id, count(*) as copies from {documents} group by sha256(text)")
 R.sql(
     "edge_dedupe",
     "select l_suppkey, l_partkey, l_orderkey from (select *, row_number() over (partition by l_suppkey, l_partkey order by l_orderkey, l_linenumber) as r from {lineitem}) where r = 1",
 )
-R.sql("community_sizes", "select label, count(*) as size, min(vec_id) as hub from {embeddings} group by label")
 
 # windows
 R.sql(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codelore.functions import fixed, paths, text as T
-from codelore.operators import chunking, graph, render, retrieval
+from codelore.operators import chunking, graph, render
 from codelore.plans.shared import Registry, spread, table
 
 R = Registry()
@@ -58,19 +58,6 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("h"))
 
 
-@R.frame(
-    "term_overlap",
-    f"""with q as (select list_distinct({_duck_tokens('text')}) as q from {{benchmark}} where item_id = (select min(item_id) from {{benchmark}})),
-    t as (select doc_id, {_duck_tokens('text')} as t from {{documents}})
-    select doc_id, round(case when len(q) = 0 or len(t) = 0 then 0.0::double else len(list_intersect(q, t))::double / len(q) end, 6) as overlap from t, q""",
-)
-def term_overlap(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "benchmark")
-    one = items.agg(F.min_by("text", "item_id").alias("question")).select(T.search_tokens(F.col("question")).alias("q"))
-    docs = _documents(spark, d).select("doc_id", T.search_tokens(F.col("text")).alias("t"))
-    return docs.crossJoin(F.broadcast(one)).select("doc_id", F.round(T.overlap_ratio(F.col("q"), F.col("t")), 6).alias("overlap"))  # one row
-
-
 # literal tables
 PATHS = ["main.py", "src/core/app.py", "src/x.py", "tests/test_a.py", "docs/guide.md", "lib/a/b/c.go", "examples/run.py", "scripts/build.sh", "a/b/c.tsx", "test_top.py", "pkg/api/routes.ts", "src//double/y.py", "tools/cli.py", "a/wsgi.py", "deep/er/Server.JS", "noext", "docs_src/tutorial/a.py", "Pkg/net/dial.go", "a/testing/b.py", "x_test.py", ".hidden", "web/Handlers/h.ts", "notes.md", "trailing."]
 
@@ -262,136 +249,6 @@ def name_status(spark: SparkSession, d: str) -> DataFrame:
     return parse_name_status(_literal(spark, "line", [(x,) for x in STATUS]), "line")
 
 
-# retrieval
-DUCK_BM25 = f"""with d as (select doc_id, {_duck_tokens('text')} as t from {{documents}}), q as (select item_id as query, unnest({_duck_tokens('text')}) as term from {{benchmark}}),
-  s as (select count(*) as n, avg(len(t)) as mean from d), p as (select doc_id, len(t) as length, term, count(*) as tf from (select doc_id, t, unnest(t) as term from d) group by all),
-  f as (select term, count(*) as df from p group by term),
-  scored as (select query, doc_id, round(sum(ln((n + 1.0) / (df + 0.5)) * tf * 2.5::double / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 6) as score from q join f using (term) join p using (term), s group by query, doc_id)"""
-
-
-def _bm25(spark: SparkSession, d: str, k: int | None) -> DataFrame:
-    return retrieval.bm25(_documents(spark, d), table(spark, d, "benchmark"), T.search_tokens, k=k)
-
-
-@R.frame("bm25_topk", DUCK_BM25 + " select query, doc_id, score, rank from (select *, cast(row_number() over (partition by query order by score desc, doc_id) as integer) as rank from scored) where rank <= 5")
-def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _bm25(spark, d, 5)
-
-
-@R.frame("bm25_stats", f"with d as (select doc_id, {_duck_tokens('text')} as t from {{documents}}) select term, count(*) as df, sum(tf)::bigint as tf from (select doc_id, term, count(*) as tf from (select doc_id, unnest(t) as term from d) group by all) group by term")
-def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
-    counts = retrieval.term_counts(_documents(spark, d), "doc_id", T.search_tokens(F.col("text")))
-    return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
-
-
-@R.frame(
-    "retrieval_eval",
-    DUCK_BM25
-    + """, ranked as (select query, doc_id, row_number() over (partition by query order by score desc, doc_id) as rank from scored), good as (select distinct doc_id from {labels} where quality = 1),
-    first as (select query, min(rank) as found from ranked join good using (doc_id) where rank <= 50 group by query), every as (select distinct item_id as query from {benchmark})
-    select sum(case when found <= 5 then 1 else 0 end)::bigint as hit_5, sum(case when found <= 50 then 1 else 0 end)::bigint as hit_50, round(avg(coalesce(1.0::double / found, 0)), 6) as mrr, quantile_cont(found, 0.5) as median_rank
-    from every left join first using (query)""",
-)
-def retrieval_eval(spark: SparkSession, d: str) -> DataFrame:
-    good = table(spark, d, "labels").where("quality = 1").select("doc_id").distinct()
-    return retrieval.evaluation(_bm25(spark, d, 50), good, table(spark, d, "benchmark").select(F.col("item_id").alias("query")))
-
-
-@R.frame(
-    "rank_of_first",
-    DUCK_BM25 + ", ranked as (select query, doc_id, row_number() over (partition by query order by score desc, doc_id) as rank from scored) select query, min(rank) as found from ranked where rank <= 50 and doc_id in (select doc_id from {labels} where quality = 1) group by query",
-)
-def rank_of_first(spark: SparkSession, d: str) -> DataFrame:
-    good = table(spark, d, "labels").where("quality = 1").select("doc_id").distinct()
-    return _bm25(spark, d, 50).join(good, "doc_id", "left_semi").groupBy("query").agg(F.min("rank").cast("long").alias("found"))
-
-
-_ONE = "(select vec_id as query, embedding as q from {embeddings} where vec_id = (select min(vec_id) from {embeddings}))"
-_L2 = "list_sum(list_transform(range(1, len(embedding) + 1), lambda i: (embedding[i]::double - q[i]::double) * (embedding[i]::double - q[i]::double)))"
-_COS = "list_dot_product(embedding::double[], q::double[]) / sqrt(list_dot_product(embedding::double[], embedding::double[]) * list_dot_product(q::double[], q::double[]))"
-
-
-def _first_vector(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").agg(F.min("vec_id").alias("query"), F.min_by("embedding", "vec_id").alias("q"))
-
-
-for _name, _measure, _duck, _up in (("knn_l2", retrieval.squared_distance, _L2, True), ("knn_cosine", retrieval.cosine_similarity, _COS, False)):
-
-    @R.frame(
-        _name,
-        f"""select query, id, value, rank from (select *, cast(row_number() over (partition by query order by value {'' if _up else 'desc'}, id) as integer) as rank
-        from (select query, vec_id as id, round({_duck}, 6) as value from {{embeddings}}, {_ONE} where vec_id <> query)) where rank <= 10""",
-    )
-    def _nearest(spark: SparkSession, d: str, measure=_measure, up=_up) -> DataFrame:
-        return retrieval.nearest(table(spark, d, "embeddings"), _first_vector(spark, d), measure, ascending=up)
-
-
-def _distances(spark: SparkSession, d: str) -> DataFrame:
-    vectors = table(spark, d, "embeddings").crossJoin(F.broadcast(_first_vector(spark, d)))  # one row
-    return vectors.select("vec_id", "label", F.round(retrieval.squared_distance(F.col("embedding"), F.col("q")), 6).alias("distance"))
-
-
-@R.frame(
-    "minmax_normalise",
-    f"""with d as (select vec_id, label, round({_L2}, 6) as distance from {{embeddings}}, {_ONE}), r as (select *, min(distance) over (partition by label) as lo, max(distance) over (partition by label) as hi from d)
-    select vec_id, label, distance, round(case when hi - lo < 1e-12 then case when hi > 0 then 1.0::double else 0.0 end else (distance - lo) / (hi - lo) end, 6) as scaled from r""",
-)
-def minmax_normalise(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.min_max(_distances(spark, d), "distance", "label").withColumn("scaled", F.round("scaled", 6))
-
-
-#: Dense and sparse channels for the first benchmark item; documents and vectors share ids.
-_CHANNELS = f"""dense as (select vec_id as doc_id, round(1 / (1 + distance), 6) as vector_score from (select vec_id, round({_L2}, 6) as distance from {{embeddings}}, {_ONE}) order by vector_score desc, doc_id limit 25),
-  sparse as (select doc_id, score as keyword_score from scored where query = (select min(item_id) from {{benchmark}}) order by keyword_score desc, doc_id limit 25),
-  fused as (select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(vector_score, 0.0::double) as vector_score, coalesce(keyword_score, 0.0::double) as keyword_score from dense a full outer join sparse b on a.doc_id = b.doc_id)"""
-
-
-def _fused(spark: SparkSession, d: str) -> DataFrame:
-    dense = _distances(spark, d).select(F.col("vec_id").alias("doc_id"), F.round(T.relevance(F.col("distance")), 6).alias("vector_score")).orderBy(F.desc("vector_score"), "doc_id").limit(25)
-    first = table(spark, d, "benchmark").agg(F.min_by(F.struct("item_id", "text"), "item_id").alias("x")).select("x.*")
-    sparse = retrieval.bm25(_documents(spark, d), first, T.search_tokens, k=25).select("doc_id", F.col("score").alias("keyword_score"))
-    return retrieval.fuse(dense, sparse, ["doc_id"])
-
-
-@R.frame("hybrid_fuse", f"{DUCK_BM25}, {_CHANNELS} select doc_id, vector_score, keyword_score, round(vector_score + keyword_score, 6) as score from fused")
-def hybrid_fuse(spark: SparkSession, d: str) -> DataFrame:
-    return _fused(spark, d)
-
-
-@R.frame("fusion_control", f"{DUCK_BM25}, {_CHANNELS} select doc_id, round(vector_score + keyword_score, 6) as score from fused order by score desc, doc_id limit 10")
-def fusion_control(spark: SparkSession, d: str) -> DataFrame:
-    return _fused(spark, d).select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(10)
-
-
-_KIND = "case lang when 'en' then 'function' when 'fr' then 'class' when 'de' then 'block' else 'other' end"
-
-
-@R.frame(
-    "rerank_topk",
-    f"""{DUCK_BM25}, {_CHANNELS} select doc_id, round(vector_score + 0.9::double * keyword_score + 0.35::double * (case {_KIND} when 'function' then 1.0::double when 'class' then 0.95 when 'block' then 0.7 else 0.75 end) + 0.5::double, 6) as rerank_score
-    from fused join {{documents}} using (doc_id) order by rerank_score desc, doc_id limit 10""",
-)
-def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.expr(_KIND).alias("chunk_type"))
-    zero = F.lit(0.0)
-    rows = _fused(spark, d).join(docs, "doc_id").withColumns({"symbol_overlap": zero, "path_overlap": zero, "path_prior": F.lit(1.0)})
-    return retrieval.rerank(rows).select("doc_id", "rerank_score").orderBy(F.desc("rerank_score"), "doc_id").limit(10)
-
-
-@R.frame(
-    "context_rank",
-    f"""{DUCK_BM25}, {_CHANNELS} select doc_id, round(round(vector_score + keyword_score, 6) * case when source = 'src1' then 1.6::double when source in ('src0', 'src2') then 1.25 else 1.0 end, 6) as context_score
-    from fused join {{documents}} using (doc_id) order by context_score desc, doc_id limit 8""",
-)
-def context_rank(spark: SparkSession, d: str) -> DataFrame:
-    rows = _fused(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
-    seeds = spark.createDataFrame([("src1",)], "source string")
-    near = spark.createDataFrame([("src0",), ("src2",)], "source string")
-    boosted = rows.join(F.broadcast(seeds.withColumn("_s", F.lit(True))), "source", "left").join(F.broadcast(near.withColumn("_n", F.lit(True))), "source", "left")
-    factor = F.when(F.col("_s"), 1.6).when(F.col("_n"), 1.25).otherwise(1.0)
-    return boosted.select("doc_id", F.round(F.col("score") * factor, 6).alias("context_score")).orderBy(F.desc("context_score"), "doc_id").limit(8)
-
-
 # chunks
 _STRIP = "regexp_replace(regexp_replace({}, '^[ \\t\\n\\r\\v\\f]+', ''), '[ \\t\\n\\r\\v\\f]+$', '')"
 _NL = "(length({0}) - length(replace({0}, chr(10), '')))"
@@ -436,10 +293,21 @@ _E = "e as (select distinct 's' || l_suppkey::varchar as source, 'p' || l_partke
 def _duck_labels(rounds: int) -> str:
     text = f"with {_E}, r0 as (select distinct a as node, a as label from u)"
     for k in range(1, rounds + 1):
-        text += f", r{k} as (select node, label from (select node, label, row_number() over (partition by node order by n desc, label) as i from (select a as node, label, count(*) as n from u join r{k - 1} on b = node group by a, label)) where i = 1)"
-    return text + f" select node, label from r{rounds}"
+        votes = f"select a as node, label, count(*) as n from u join r{k - 1} on b = node group by a, label"
+        text += f", r{k} as (select node, label from (select v.node, v.label, row_number() over (partition by v.node order by v.n desc, v.label <> o.label, v.label) as i from ({votes}) v join r{k - 1} o on o.node = v.node) where i = 1)"
+    return text
 
 
-@R.frame("label_propagation", _duck_labels(3))
+@R.frame("label_propagation", _duck_labels(4) + " select node, label from r4")
 def label_propagation(spark: SparkSession, d: str) -> DataFrame:
-    return graph.label_propagation(_edges(spark, d), 3)
+    return graph.label_propagation(_edges(spark, d), 4)
+
+
+@R.frame(
+    "community_sizes",
+    _duck_labels(2) + """, g as (select a as node, count(*) as degree from u group by a)
+    select label, count(*) as size, arg_min(node, (-degree, node)) as hub from r2 join g using (node) group by label""",
+)
+def community_sizes(spark: SparkSession, d: str) -> DataFrame:
+    edges = _edges(spark, d)
+    return graph.communities(graph.label_propagation(edges, 2), edges)
