@@ -159,3 +159,13 @@ def classify(question: Column) -> Column:
         F.when(text == "", F.lit(0.0)).when(none, F.lit(fixed.GUESS)).otherwise(F.bround(judged["best"]["score"] / judged["total"], 3)).alias("confidence"),
         text.rlike(fixed.PRONOUNS).alias("needs_context"),
     )
+
+
+def json_field(text: Column, name: str) -> Column:
+    """A field of a JSON object as text; null for text that is no JSON."""
+    return F.get_json_object(text, f"$.{name}")
+
+
+def coerced(value: Column) -> Column:
+    """A value as text; the missing one is empty."""
+    return F.coalesce(value.cast("string"), F.lit(""))

@@ -19,16 +19,16 @@ def _has(text: Column) -> Column:
 
 
 def _if(condition: Column, *parts: Column | str) -> Column:
-    return F.when(condition, _said(*parts)).otherwise("")
+    return F.when(condition, said(*parts)).otherwise("")
 
 
-def _said(*parts: Column | str) -> Column:
+def said(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts])
 
 
 def _cut(text: Column, most: int, mark: str) -> Column:
     short = F.regexp_replace(F.substring(text, 1, most), r"\s+$", "")
-    return F.when(F.char_length(text) > most, _said(short, mark)).otherwise(text)
+    return F.when(F.char_length(text) > most, said(short, mark)).otherwise(text)
 
 
 def _day(seconds: Column) -> Column:
@@ -44,7 +44,7 @@ def excerpts(code: Column) -> Column:
 
     def one(c: Column, i: Column) -> Column:
         placed = (F.coalesce(c["start_line"], F.lit(0)) > 0) & (F.coalesce(c["end_line"], F.lit(0)) > 0)
-        return _said(
+        return said(
             "[", i + 1, "] ", c["relative_path"], _if(placed, ":", c["start_line"], "-", c["end_line"]), _if(_has(c["symbol"]), "  symbol: ", c["symbol"]), _if(_has(c["chunk_type"]), "  kind: ", c["chunk_type"]),
             "  role: ", paths.role(F.coalesce(c["relative_path"], F.lit(""))), _if(F.coalesce(c["graph_linked"], F.lit(False)), "  (also reached via the repository graph)"),
             "\n```\n", _cut(F.coalesce(c["content"], F.lit("")), MOST_EXCERPT, "\n… (excerpt truncated)"), "\n```",
@@ -58,14 +58,14 @@ def conversation(turns: Column) -> Column:
 
     def one(t: Column) -> Column:
         answer = F.replace(F.regexp_replace(F.coalesce(t["answer"], F.lit("")), r"^\s+|\s+$", ""), F.lit("\n"), F.lit(" "))
-        return _said("User: ", t["question"], _if(_has(t["answer"]), "\nAssistant: ", _cut(answer, MOST_ANSWER, " …")))
+        return said("User: ", t["question"], _if(_has(t["answer"]), "\nAssistant: ", _cut(answer, MOST_ANSWER, " …")))
 
     return F.array_join(F.transform(turns, one), "\n")
 
 
 def document(blocks: list[tuple[str, Column]]) -> Column:
     """The blocks that are not blank, each under its heading, between rules."""
-    shown = [F.when(_has(F.trim(text)), _said(title, "\n", text)) for title, text in blocks]
+    shown = [F.when(_has(F.trim(text)), said(title, "\n", text)) for title, text in blocks]
     return F.array_join(F.array_compact(F.array(*shown)), BLOCK_RULE)
 
 
@@ -73,22 +73,22 @@ def dependencies(node: Column, uses: Column, used_by: Column) -> Column:
     """A node (kind, name, key) with what it depends on and what depends on it (name, key)."""
 
     def side(title: str, arrow: str, nodes: Column) -> Column:
-        lines = F.transform(F.slice(nodes, 1, MOST_NEIGHBOURS), lambda n: _said("  ", arrow, " ", n["name"], "  [", n["key"], "]"))
-        return F.when(F.size(nodes) > 0, _said(title, " (", F.size(nodes), "):\n", F.array_join(lines, "\n"))).otherwise(f"{title}: nothing inside this repository.")
+        lines = F.transform(F.slice(nodes, 1, MOST_NEIGHBOURS), lambda n: said("  ", arrow, " ", n["name"], "  [", n["key"], "]"))
+        return F.when(F.size(nodes) > 0, said(title, " (", F.size(nodes), "):\n", F.array_join(lines, "\n"))).otherwise(f"{title}: nothing inside this repository.")
 
-    return _said(node["kind"], " ", node["name"], " (", node["key"], ")\n\n", side("Depends on", "->", uses), "\n\n", side("Used by", "<-", used_by))
+    return said(node["kind"], " ", node["name"], " (", node["key"], ")\n\n", side("Depends on", "->", uses), "\n\n", side("Used by", "<-", used_by))
 
 
 def hotspot_reason(category: Column, kind: Column, name: Column, path: Column, value: Column) -> Column:
     """Why a node is a hotspot, from the count that made it one; size has its own sentence."""
     noun = F.when(kind == "module", "modules").otherwise("files")
-    return F.when(category == "structural", _said(value, " ", noun, " in this repository import ", name, ", so a change to it can affect all of them.")).when(
-        category == "churn", _said(path, " was changed in ", value, " commits within the indexed history window — the most frequently modified indexed file.")
+    return F.when(category == "structural", said(value, " ", noun, " in this repository import ", name, ", so a change to it can affect all of them.")).when(
+        category == "churn", said(path, " was changed in ", value, " commits within the indexed history window — the most frequently modified indexed file.")
     )
 
 
 def size_reason(path: Column, lines: Column, classes: Column, functions: Column, band: Column) -> Column:
-    return _said(path, " is ", lines, " lines with ", classes, " classes and ", functions, " functions (complexity band: ", F.coalesce(band, F.lit("unknown")), ").")
+    return said(path, " is ", lines, " lines with ", classes, " classes and ", functions, " functions (complexity band: ", F.coalesce(band, F.lit("unknown")), ").")
 
 
 def architecture(repository: Column, counts: Column, modules: Column, window: Column, edges: Column, externals: Column) -> Column:
@@ -101,10 +101,10 @@ def architecture(repository: Column, counts: Column, modules: Column, window: Co
     n = lambda *kinds: sum((F.coalesce(F.element_at(counts, k), F.lit(0)) for k in kinds[1:]), F.coalesce(F.element_at(counts, kinds[0]), F.lit(0)))
     # Structs sort by their first fields: the negated size, then the name.
     largest = F.array_sort(F.transform(modules, lambda m: F.struct((-m["file_count"]).alias("o"), m["name"].alias("name"), m["line_count"].alias("lines"), m["primary_language"].alias("language"))))
-    listed = F.transform(largest, lambda m: _said("  - ", m["name"], ": ", -m["o"], " files, ", m["lines"], " lines, mainly ", F.when(_has(m["language"]), m["language"]).otherwise("mixed")))
+    listed = F.transform(largest, lambda m: said("  - ", m["name"], ": ", -m["o"], " files, ", m["lines"], " lines, mainly ", F.when(_has(m["language"]), m["language"]).otherwise("mixed")))
     most_used = F.slice(F.array_sort(F.transform(externals, lambda e: F.struct((-e["uses"]).alias("o"), e["name"].alias("name")))), 1, MOST_PACKAGES)
-    arrows = F.transform(F.array_sort(edges), lambda e: _said("  - ", e["source"], " -> ", e["target"]))
-    return _said(
+    arrows = F.transform(F.array_sort(edges), lambda e: said("  - ", e["source"], " -> ", e["target"]))
+    return said(
         "Repository: ", repository, "\nIndexed: ", n("file"), " files, ", n("class"), " classes, ", n("function", "method"), " functions/methods.\n\nModules (largest first):\n", F.array_join(listed, "\n"),
         _if(
             F.coalesce(window["first_at"], F.lit(0)) != 0,
@@ -112,5 +112,5 @@ def architecture(repository: Column, counts: Column, modules: Column, window: Co
             ". Earlier history was not walked, so these are not module creation dates.)",
         ),
         _if(F.size(edges) > 0, "\n\nModule dependencies (source imports target):\n", F.array_join(arrows, "\n")),
-        _if(F.size(externals) > 0, "\n\nMost used external packages: ", F.array_join(F.transform(most_used, lambda e: _said(e["name"], " (", -e["o"], ")")), ", ")),
+        _if(F.size(externals) > 0, "\n\nMost used external packages: ", F.array_join(F.transform(most_used, lambda e: said(e["name"], " (", -e["o"], ")")), ", ")),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES: list[str] = [
-    "codelore.plans.relational",
+    "codelore.plans.stored",
     "codelore.plans.textual",
     "codelore.plans.code",
     "codelore.plans.agent",
@@ -13,6 +13,7 @@ MODULES: list[str] = [
     "codelore.plans.subjects",
     "codelore.plans.built",
     "codelore.plans.searches",
+    "codelore.plans.answers",
 ]
 
 

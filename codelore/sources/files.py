@@ -139,6 +139,16 @@ def statistics(files: DataFrame, examples: int = 5) -> DataFrame:
     return files.groupBy(reason.alias("reason")).agg(F.count("*").alias("files"), F.min("path").alias("first"), F.slice(F.array_sort(F.collect_set(F.substring("path", 1, 200))), 1, examples).alias("examples"))
 
 
+def extensions(files: DataFrame) -> DataFrame:
+    """(extension, files, kept): files by extension, and those that are kept."""
+    return files.groupBy(paths.extension(F.col("path")).alias("extension")).agg(F.count("*").alias("files"), F.count(F.when(F.col("skip_reason").isNull(), 1)).alias("kept"))
+
+
+def languages(files: DataFrame) -> DataFrame:
+    """(language, files): kept files by language."""
+    return files.where(F.col("skip_reason").isNull()).groupBy(paths.language(F.col("path")).alias("language")).agg(F.count("*").alias("files"))
+
+
 def file_content(spark: SparkSession, root: str, path: str) -> DataFrame:
     """(relative_path, language, content, line_count, truncated, redacted, findings) of one file.
 

@@ -67,10 +67,6 @@ def test_store(spark, tmp_path):
     new = spark.createDataFrame([("2", "r", "b.py", "h3"), ("3", "s", "c.py", "h4")], old.schema)
     merged = store.upsert(old, new)
     assert {(r.id, r.file_hash) for r in merged.collect()} == {("1", "h1"), ("2", "h3"), ("3", "h4")}
-    path = f"{tmp_path}/chunks"
-    store.replace_repository(merged, path)
-    store.replace_repository(new.where("repository = 's'"), path)
-    assert {(r.repository, r.chunks) for r in store.repositories(spark, path).collect()} == {("r", 2), ("s", 1)}
     assert old.where(store.where(relative_path=["a.py", "zz"])).count() == 1
     for bad in ({"nope": 1}, {"symbol": []}):
         try:
