@@ -53,20 +53,57 @@ def last_turns(turns: DataFrame, keep: int = 8) -> DataFrame:
     return listed.select("conv_id", F.slice("all", -F.least(F.size("all"), F.lit(keep)), F.lit(keep)).alias("turns"))
 
 
-def conversation_state(turns: DataFrame, keep: int = 8) -> DataFrame:
-    """(conv_id, n_turns, last_turn, held) of a stream of turns, one row per key and micro-batch.
+def conversation_state(turns: DataFrame, keep: int = 8, forget_after: str | None = None) -> DataFrame:
+    """(conv_id, n_turns, last_turn, held, focus) of a stream of turns, one row per key and micro-batch.
 
-    The state of a key is its last ``keep`` turns and a count, so it stays bounded.
+    The state of a key is its last ``keep`` turns, a count, and the last focus that was not null, which
+    so carries over turns that name nothing.  It stays bounded, and with ``forget_after`` (as in ``30
+    minutes``, by the clock) a key that is silent so long is dropped.
     """
     import pandas as pd
 
+    names = turns.columns
+    focus = F.col("focus") if "focus" in names else F.lit(None).cast("string").alias("focus")
+    silent = None if forget_after is None else pd.Timedelta(forget_after) // pd.Timedelta(milliseconds=1)
+
     def update(key, frames, state):
-        count, held = state.get if state.exists else (0, [])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        count, held, about = state.get if state.exists else (0, [], None)
         held = list(held)
         for frame in frames:
             count += len(frame)
+            frame = frame.sort_values("turn")
             held = sorted([*held, *frame["turn"].tolist()])[-keep:]
-        state.update((count, held))
-        yield pd.DataFrame({"conv_id": [key[0]], "n_turns": [count], "last_turn": [held[-1]], "held": [len(held)]})
+            named = frame["focus"].dropna()
+            about = named.iloc[-1] if len(named) else about
+        state.update((count, held, about))
+        if silent is not None:
+            state.setTimeoutDuration(int(silent))
+        yield pd.DataFrame({"conv_id": [key[0]], "n_turns": [count], "last_turn": [held[-1]], "held": [len(held)], "focus": pd.Series([about], dtype="object")})
+
+    out = "conv_id long, n_turns long, last_turn long, held long, focus string"
+    return turns.select("conv_id", "turn", focus).groupBy("conv_id").applyInPandasWithState(update, out, "count long, held array<long>, focus string", "update", "NoTimeout" if silent is None else "ProcessingTimeTimeout")
+
+
+#: Node ids in one event.
+MOST_NODES = 60
+
+
+def broadcast(source: DataFrame, subscribers: Callable[[], list[tuple[str | None, Callable[[dict], None]]]], checkpoint: str):
+    """Give each event (repository, node_ids, focus, note) of a stream to the subscribers of its
+    repository; a subscriber of None gets all.  Nothing is kept.
+
+    Events are for people who watch: a micro-batch of them is small, and is read by the driver.
+    """
+
+    def send(batch: DataFrame, _: int) -> None:
+        few = batch.select("repository", F.slice(F.coalesce("node_ids", F.array().cast("array<string>")), 1, MOST_NODES).alias("node_ids"), "focus", F.coalesce("note", F.lit("")).alias("note"))
+        for row in few.toLocalIterator():
+            event = row.asDict()
+            for repository, tell in subscribers():
+                if repository in (None, event["repository"]):
+                    tell(event)
 
-    return turns.select("conv_id", "turn").groupBy("conv_id").applyInPandasWithState(update, "conv_id long, n_turns long, last_turn long, held long", "count long, held array<long>", "update", "NoTimeout")
+    return source.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -106,10 +106,6 @@ def test_streams(spark, tmp_path):
 
 def test_graph_invariants(spark):
     edges = spark.createDataFrame([(1, 2), (1, 3), (3, 4), (4, 5), (5, 6)], "source long, target long")
-    start = spark.createDataFrame([(1,)], "node long")
-    assert {(r.node, r.depth) for r in graph.flow_layers(edges, start, 3, 6).collect()} == {(1, 0), (2, 1), (3, 1), (4, 2), (5, 3)}
-    near = graph.neighbourhood(edges, spark.createDataFrame([(4,)], "node long"), 1)
-    assert {(r.node, r.distance) for r in near.collect()} == {(4, 0), (3, 1), (5, 1)}
     nodes = spark.createDataFrame([(1,), (3,), (4,)], "node long")
     assert {(r.source, r.target) for r in graph.induced(edges, nodes).collect()} == {(1, 3), (3, 4)}
     ranked = spark.createDataFrame([("r", "a", 1, ["f1"]), ("r", "b", 2, ["f2", "m"]), ("r", "c", 3, ["f1"])], "repository string, node string, rank int, chain array<string>")
