@@ -108,8 +108,10 @@ def _packed(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, "id", "v").groupBy(*keys).applyInArrow(pack, f"{columns}, ids binary, body binary")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, measure: str = "l2", k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, block: int = QUERY_BLOCK) -> DataFrame:
-    """(query, id, value, rank) of the ``k`` best vectors for each (query, q); not the query itself.
+def nearest(vectors: DataFrame, queries: DataFrame, measure: str = "l2", k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, block: int = QUERY_BLOCK, among: bool = True) -> DataFrame:
+    """(query, id, value, rank) of the ``k`` best vectors for each (query, q).
+
+    Queries are ``among`` the vectors, and no candidates for themselves, or come from elsewhere.
 
     ``measure`` is squared L2 distance (least first) or cosine similarity (largest first), in
     double precision.  Vectors are dealt into shards; a shard is sent once, followed by the queries
@@ -145,7 +147,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, measure: str = "l2", k: int
                     with np.errstate(invalid="ignore", divide="ignore"):
                         value = np.round(compare(own[1], q), 6) + 0.0
                     ranked = np.argsort(value if ascending else -value, kind="stable")[: k + 1]  # ties by id
-                    ranked = ranked[own[0][ranked] != query][:k]
+                    ranked = ranked[own[0][ranked] != query][:k] if among else ranked[:k]
                     found.append((np.full(len(ranked), query), own[0][ranked], value[ranked]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=schema)
 
@@ -180,7 +182,7 @@ def hybrid(index: Index, vectors: DataFrame, questions: DataFrame, k: int = 5, t
     fits = None if condition is None else chunks.where(condition).select("id")
     own = columns.get("id_col", "vec_id")
     reachable = vectors if fits is None else vectors.join(fits.withColumnRenamed("id", own), own, "left_semi")
-    near = nearest(reachable, questions.select("query", "q"), "l2", pool, **columns)
+    near = nearest(reachable, questions.select("query", "q"), "l2", pool, among=False, **columns)
     dense = min_max(near.withColumn("raw", relevance(F.col("value"))), "raw", "query", name="vector_score").select("query", "id", F.round("vector_score", 6).alias("vector_score"))
     found = bm25(index, questions.select("query", "text"), tokens, pool if fits is None else OVERFETCH * pool)
     if fits is not None:
@@ -217,7 +219,7 @@ def rerank(candidates: DataFrame) -> DataFrame:
         w["vector"] * F.col("vector_score") + w["keyword"] * F.col("keyword_score") + w["symbol"] * F.col("symbol_overlap")
         + w["path"] * F.col("path_overlap") + w["type"] * kind + w["prior"] * F.col("path_prior")
     )
-    return candidates.withColumn("rerank_score", F.round(total, 6))
+    return candidates.withColumn("rerank_score", F.round(total, 9))
 
 
 def fusion_only(candidates: DataFrame) -> DataFrame:

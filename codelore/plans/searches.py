@@ -134,7 +134,7 @@ def minmax_normalise(spark: SparkSession, d: str) -> DataFrame:
 # fusion and reranking
 def _channels(reach: str = "true", sparse: str = "select query, id, score from ranked where rank <= 25") -> str:
     return f"""near as (select * from (select *, row_number() over (partition by query order by value, id) as r from (
-    select a.vec_id as query, b.vec_id as id, round({_L2.format('b.embedding', 'a.embedding')}, 6) as value from {{embeddings}} a join {{embeddings}} b on a.vec_id <> b.vec_id and ({reach}) where a.vec_id in (select item_id from {{benchmark}}))) where r <= 25),
+    select a.vec_id as query, b.vec_id as id, round({_L2.format('b.embedding', 'a.embedding')}, 6) as value from {{embeddings}} a join {{embeddings}} b on ({reach}) where a.vec_id in (select item_id from {{benchmark}}))) where r <= 25),
   close as (select query, id, 1 / (1 + value) as raw from near), dense as (select query, id, round({_SCALED.format('raw')}, 6) as vector_score from (select *, min(raw) over (partition by query) as lo, max(raw) over (partition by query) as hi from close)),
   pool as ({sparse}), sparse as (select query, id, round({_SCALED.format('score')}, 6) as keyword_score from (select *, min(score) over (partition by query) as lo, max(score) over (partition by query) as hi from pool)),
   fused as (select coalesce(a.query, b.query) as query, coalesce(a.id, b.id) as id, coalesce(vector_score, 0.0::double) as vector_score, coalesce(keyword_score, 0.0::double) as keyword_score from dense a full outer join sparse b on a.query = b.query and a.id = b.id)"""
@@ -165,7 +165,7 @@ _OVERLAP = "case when len(terms) = 0 or len({0}) = 0 then 0.0::double else len(l
 _CHUNKS = f"""c as (select doc_id as id, relative_path, {_duck_tokens("array_to_string(string_split(text, ' ')[1:2], ' ')")} as symbol, {_duck_tokens("regexp_replace(relative_path, '[.][A-Za-z0-9]+$', '')")} as path_terms,
     case {_KIND} when 'function' then 1.0::double when 'class' then 0.95 when 'block' then 0.7 else 0.75 end as kind from (select *, {_DUCK_PATH} as relative_path from {{documents}})),
   asked as (select item_id as query, list_distinct({_duck_tokens('text')}) as terms from {{benchmark}}),
-  judged as (select f.query, f.id, round(vector_score + 0.9 * keyword_score + 0.6 * {_OVERLAP.format('symbol')} + 0.45 * {_OVERLAP.format('path_terms')} + 0.35 * kind + 0.5 * {_PRIOR}, 6) as rerank_score, round(vector_score + keyword_score, 6) as plain
+  judged as (select f.query, f.id, round(vector_score + 0.9 * keyword_score + 0.6 * {_OVERLAP.format('symbol')} + 0.45 * {_OVERLAP.format('path_terms')} + 0.35 * kind + 0.5 * {_PRIOR}, 9) as rerank_score, round(vector_score + keyword_score, 6) as plain
     from fused f join c on c.id = f.id join asked a on a.query = f.query)"""
 
 for _name, _ranker, _score in (("rerank_topk", retrieval.rerank, "rerank_score"), ("fusion_control", retrieval.fusion_only, "plain")):
