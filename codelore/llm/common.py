@@ -2,41 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from codelore.session import checkpoint_dir, materialise
+
 #: Rows of texts sent to a Python worker at once, where the session does not say.
 BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: Rows handed to a downstream Arrow consumer at once.
 OUT_ROWS = 2048
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for materialised intermediates.
-
-    Read from the session (``spark.checkpoint.dir`` or a checkpoint directory that the caller
-    set).  Only a local session without either gets a temporary folder; a cluster session
-    without one is an error, as executors do not share local folders.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return sc.getCheckpointDir()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="codelore-checkpoint-")
-    sc.setCheckpointDir(named)
-    return sc.getCheckpointDir()
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, so a lost executor does not replay the plan."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["batch", "checkpoint_dir", "fresh", "hash_pool", "in_batches", "materialise", "partitions", "row_batches", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -14,7 +14,9 @@ from counts of exact segments (taken before the variants are made); their member
 into blocks, and each pair of blocks is its own group on its own task.
 
 Components come from alternating large-star and small-star steps on the forest edges, with a
-reliable checkpoint after each round.
+reliable checkpoint after each round.  The root of a large component is one key of these joins:
+their sides are dealt by the joins themselves, so adaptive execution splits such a key over tasks,
+and the minima of a key are combined before they are shuffled.
 
 Defined results: words are split by ASCII white space after lower-casing A-Z; a text without
 words (null, empty, blank) has fingerprint zero and links like any other; a text of fewer words
