@@ -114,21 +114,51 @@ def nearest(vectors: DataFrame, queries: DataFrame, measure: str = "l2", k: int
     Queries are ``among`` the vectors, and no candidates for themselves, or come from elsewhere.
 
     ``measure`` is squared L2 distance (least first) or cosine similarity (largest first), in
-    double precision.  Vectors are dealt into shards; a shard is sent once, followed by the queries
-    in a stream of blocks, and answers with its ``k`` best for each.  Vectors of another length than
-    the query's are no candidates, nor are null ones.
+    double precision.  Vectors of another length than the query's are no candidates, nor are null ones.
+
+    Up to ``block`` queries are sent to the vectors, which are scanned where they lie.  More are
+    streamed in blocks past shards of vectors, each of which is sent once.  Either way a part of the
+    vectors answers with its ``k`` best for each query.
     """
     compare, ascending = MEASURES[measure]
     slim = lambda df, i, v: df.where(F.col(i).isNotNull() & F.col(v).isNotNull()).select(F.col(i).cast("long").alias("id"), F.col(v).cast("array<double>").alias("v")).withColumn("dims", F.size("v")).where("dims > 0")
     held, asked = slim(vectors, id_col, vector_col), slim(queries, "query", "q").distinct()
+    best = W.partitionBy("query").orderBy(F.col("value").asc() if ascending else F.col("value").desc(), "id")
+    schema = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("value", pa.float64())])
+
+    def closest(ids: np.ndarray, values: np.ndarray, query: int, q: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The ``k`` best of vectors that are sorted by their ids."""
+        with np.errstate(invalid="ignore", divide="ignore"):
+            value = np.round(compare(values, q), 6) + 0.0
+        ranked = np.argsort(value if ascending else -value, kind="stable")[: k + 1]  # ties by id
+        ranked = ranked[ids[ranked] != query][:k] if among else ranked[:k]
+        return np.full(len(ranked), query), ids[ranked], value[ranked]
+
+    few = asked.select("id", "v").limit(block + 1).collect()
+    if len(few) <= block:
+        sent = held.sparkSession.sparkContext.broadcast([(r.id, np.array(r.v)) for r in few])
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids, flat, sizes = np.asarray(b.column(0)), np.asarray(b.column(1).flatten()), np.asarray(b.column(1).value_lengths())
+                starts = np.cumsum(sizes) - sizes
+                for dims in np.unique(sizes):
+                    rows = np.flatnonzero(sizes == dims)
+                    rows = rows[np.argsort(ids[rows], kind="stable")]
+                    values = flat[starts[rows][:, None] + np.arange(dims)]
+                    found = [closest(ids[rows], values, query, q) for query, q in sent.value if len(q) == dims]
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=schema)
+
+        near = held.select("id", "v").mapInArrow(scan, "query long, id long, value double")
+        return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
     held, asked = materialise(held), materialise(asked)
     shards, blocks = max(1, -(-held.count() // shard)), max(1, -(-asked.count() // block))
     deal = lambda df, name, n: _packed(df.withColumn(name, F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")), ["dims", name])
     one = deal(held, "shard", shards).select("dims", "shard", F.lit(-1).alias("block"), "ids", "body")
     many = materialise(deal(asked, "block", blocks)).select("dims", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", "ids", "body")
     units = one.unionByName(many).repartition(min(shards, 4 * int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "dims", "shard").sortWithinPartitions("dims", "shard", "block")
-    schema = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("value", pa.float64())])
-
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (tuple(b.column(i)[r] for i in range(5)) for b in batches for r in range(b.num_rows))
         for (dims, _), unit in groupby(rows, key=lambda r: (r[0].as_py(), r[1].as_py())):
@@ -142,17 +172,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, measure: str = "l2", k: int
                     continue
                 if own is None:
                     continue
-                found = []
-                for query, q in zip(numbers.tolist(), values, strict=True):
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        value = np.round(compare(own[1], q), 6) + 0.0
-                    ranked = np.argsort(value if ascending else -value, kind="stable")[: k + 1]  # ties by id
-                    ranked = ranked[own[0][ranked] != query][:k] if among else ranked[:k]
-                    found.append((np.full(len(ranked), query), own[0][ranked], value[ranked]))
+                found = [closest(*own, query, q) for query, q in zip(numbers.tolist(), values, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=schema)
 
     answers = units.mapInArrow(search, "query long, id long, value double")
-    best = W.partitionBy("query").orderBy(F.col("value").asc() if ascending else F.col("value").desc(), "id")
     return answers.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 

@@ -94,14 +94,15 @@ def rank_of_first(spark: SparkSession, d: str) -> DataFrame:
 
 @R.frame(
     "term_overlap",
-    f"""with q as (select item_id as query, list_distinct({_duck_tokens('text')}) as q from {{benchmark}}), t as (select doc_id, {_duck_tokens('text')} as t from {{documents}} where doc_id % 100 = 0)
-    select query, doc_id, round(case when len(q) = 0 or len(t) = 0 then 0.0::double else len(list_intersect(q, t))::double / len(q) end, 6) as overlap from t, q""",
+    f"""with q as (select item_id as query, list_distinct({_duck_tokens('text')}) as q from {{benchmark}}), t as (select doc_id, doc_id % (select count(*) from {{benchmark}}) as query, {_duck_tokens('text')} as t from {{documents}})
+    select query, doc_id, round(case when len(q) = 0 or len(t) = 0 then 0.0::double else len(list_intersect(q, t))::double / len(q) end, 6) as overlap from t join q using (query)""",
 )
 def term_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Every document of the stated set, by 100, against every item."""
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), T.search_tokens(F.col("text")).alias("q"))
-    docs = table(spark, d, "documents").where("doc_id % 100 = 0").select("doc_id", T.search_tokens(F.col("text")).alias("t"))
-    return docs.join(asked, F.lit(True)).select("query", "doc_id", F.round(T.overlap_ratio(F.col("q"), F.col("t")), 6).alias("overlap"))
+    """Every document against one of the items in turn."""
+    items = table(spark, d, "benchmark")
+    asked = items.select(F.col("item_id").alias("query"), T.search_tokens(F.col("text")).alias("q"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", (F.col("doc_id") % items.count()).alias("query"), T.search_tokens(F.col("text")).alias("t"))
+    return docs.join(asked, "query").select("query", "doc_id", F.round(T.overlap_ratio(F.col("q"), F.col("t")), 6).alias("overlap"))
 
 
 # vector search: every vector whose number is divisible by 100, against all
