@@ -8,10 +8,10 @@ from __future__ import annotations
 
 # Files (fixed values)
 LANGUAGES = {
-    "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go", "rs": "rust",
-    "cpp": "cpp", "c": "c", "cs": "csharp", "kt": "kotlin", "sql": "sql", "html": "html", "css": "css", "md": "markdown",
+    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".go": "go", ".rs": "rust",
+    ".cpp": "cpp", ".c": "c", ".cs": "csharp", ".kt": "kotlin", ".sql": "sql", ".html": "html", ".css": "css", ".md": "markdown",
 }
-SUPPORTED_EXTENSIONS = ("py", "js", "ts", "tsx", "jsx", "java", "go", "rs", "cpp", "c", "cs", "kt", "sql", "html", "css")
+SUPPORTED_EXTENSIONS = (".py", ".js", ".ts", ".tsx", ".jsx", ".java", ".go", ".rs", ".cpp", ".c", ".cs", ".kt", ".sql", ".html", ".css")
 IGNORED_DIRECTORIES = (
     ".git", ".github", ".gitlab", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox", ".vscode", ".idea", "__pycache__", "node_modules", "bower_components", "vendor", "dist",
     "build", "out", "target", ".venv", "venv", "env", ".env", ".next", ".nuxt", ".turbo", ".cache", "coverage", "htmlcov", "site-packages",
@@ -24,12 +24,12 @@ IGNORED_STEMS = (
     "readme", "license", "licence", "copying", "changelog", "changes", "history", "contributing", "code_of_conduct", "security", "notice", "authors", "maintainers", "codeowners",
 )
 IGNORED_EXTENSIONS = (
-    "png", "jpg", "jpeg", "gif", "ico", "svg", "bmp", "webp", "tiff",
-    "pdf", "zip", "tar", "gz", "bz2", "xz", "7z", "rar",
-    "pyc", "pyo", "pyd", "so", "dll", "dylib", "exe", "bin", "o", "a", "obj", "class", "jar", "war", "wasm",
-    "mp3", "mp4", "avi", "mov", "webm", "wav", "ogg",
-    "woff", "woff2", "ttf", "eot", "otf",
-    "lock", "db", "sqlite", "sqlite3", "parquet", "npy", "pkl", "map",
+    ".png", ".jpg", ".jpeg", ".gif", ".ico", ".svg", ".bmp", ".webp", ".tiff",
+    ".pdf", ".zip", ".tar", ".gz", ".bz2", ".xz", ".7z", ".rar",
+    ".pyc", ".pyo", ".pyd", ".so", ".dll", ".dylib", ".exe", ".bin", ".o", ".a", ".obj", ".class", ".jar", ".war", ".wasm",
+    ".mp3", ".mp4", ".avi", ".mov", ".webm", ".wav", ".ogg",
+    ".woff", ".woff2", ".ttf", ".eot", ".otf",
+    ".lock", ".db", ".sqlite", ".sqlite3", ".parquet", ".npy", ".pkl", ".map",
 )
 GENERATED_SUFFIXES = (".min.js", ".min.css", ".bundle.js", ".bundle.css", ".js.map", ".css.map", "_pb2.py", "_pb2_grpc.py", ".generated.py", ".g.dart")
 MOST_BYTES = 1_000_000

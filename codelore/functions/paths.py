@@ -37,7 +37,7 @@ def extension(path: Column) -> Column:
 
 
 def language(path: Column) -> Column:
-    e = extension(path)
+    e = F.concat(F.lit("."), extension(path))
     return _case([(e == x, name) for x, name in fixed.LANGUAGES.items()], "unknown")
 
 

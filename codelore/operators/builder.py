@@ -189,12 +189,14 @@ def other_imports(files: DataFrame, imports: DataFrame) -> DataFrame:
 # everything
 
 
-def build(files: DataFrame) -> Graph:
-    """Nodes, edges and counts of all repositories in ``files``."""
+def build(files: DataFrame, definitions: dict | None = None) -> Graph:
+    """Nodes, edges and counts of all repositories in ``files``; ``definitions`` as in
+    :func:`codelore.operators.othercode.analyse`.
+    """
     files = files.where("relative_path <> ''")
     python = F.coalesce(F.col("language") == "python", F.lit(False))
     parsed = materialise(pycode.analyse(files.where(python).select("repository", F.col("relative_path").alias("path"), "content")))
-    others = materialise(othercode.analyse(files.where(~python).select("repository", F.col("relative_path").alias("path"), "language", "content")))
+    others = materialise(othercode.analyse(files.where(~python).select("repository", F.col("relative_path").alias("path"), "language", "content"), definitions))
 
     symbol = lambda df, *more: df.select("repository", "path", F.explode("symbols").alias("s")).select("repository", F.col("path").alias("relative_path"), "s.kind", "s.name", *more)
     own = symbol(parsed, F.col("s.parent").alias("owner"), "s.start_line", "s.end_line", "s.is_async", "s.bases")

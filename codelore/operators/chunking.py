@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
@@ -167,19 +167,28 @@ def python_units(df: DataFrame, path_col: str = "path", content_col: str = "cont
     return df.select(path_col, content_col).mapInArrow(run, _CHUNK)
 
 
-def chunk_files(files: DataFrame) -> DataFrame:
+def _by_syntax(files: DataFrame) -> DataFrame:
+    return python_units(files, "path", fall_back=True)
+
+
+#: How languages are cut: files (path, content) to chunks; other languages are cut into windows.
+STRATEGIES: dict[str, Callable[[DataFrame], DataFrame]] = {"python": _by_syntax}
+
+
+def chunk_files(files: DataFrame, strategies: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
     """The chunks of parsed files (repository, language, file_name, relative_path, extension,
     file_hash, content) of one or more repositories.
 
     Python is cut along its syntax, or into windows where that gives nothing; other languages are
-    cut into windows by column expressions.
+    cut into windows by column expressions, unless ``strategies`` has another way for them.
     """
+    ways = STRATEGIES if strategies is None else strategies
     keyed = files.withColumn("_file", F.to_json(F.struct("repository", "relative_path")))
-    # null-safe: a file without a language is not Python
-    python = F.coalesce(F.col("language") == "python", F.lit(False))
-    by_syntax = python_units(keyed.where(python), "_file", fall_back=True)
-    blocks = character_windows(keyed.where(~python), "_file", "content").select(
-        F.col("_file").alias("path"), "chunk_index", F.lit("block").alias("chunk_type"), F.lit("").alias("symbol"), "start_line", "end_line", "content"
-    )
-    chunks = by_syntax.unionByName(blocks).withColumnRenamed("path", "_file")
-    return keyed.drop("content").join(chunks, "_file").select(*[c for c in files.columns if c != "content"], "chunk_index", "chunk_type", "symbol", "start_line", "end_line", "content")
+    columns = ["path", "chunk_index", "chunk_type", "symbol", "start_line", "end_line", "content"]
+    # null-safe: a file without a language has no strategy of its own
+    own = F.coalesce(F.col("language").isin(*ways), F.lit(False)) if ways else F.lit(False)
+    blocks = character_windows(keyed.where(~own), "_file", "content")
+    chunks = blocks.select(F.col("_file").alias("path"), "chunk_index", F.lit("block").alias("chunk_type"), F.lit("").alias("symbol"), "start_line", "end_line", "content")
+    for language, cut in ways.items():
+        chunks = chunks.unionByName(cut(keyed.where(F.col("language") == language).select(F.col("_file").alias("path"), "content")).select(*columns))
+    return keyed.drop("content").join(chunks.withColumnRenamed("path", "_file"), "_file").select(*[c for c in files.columns if c != "content"], *columns[1:])

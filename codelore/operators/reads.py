@@ -106,6 +106,21 @@ def find_ranked(nodes: DataFrame, asked: DataFrame, most: int = 8) -> DataFrame:
     return numbered(found.drop("pos"), "pos", ["repository", "term"], grade, F.col("kind") != "file", F.length("name"), "key", "id", most=most)
 
 
+def search_merged(shown: DataFrame, nodes: DataFrame, asked: DataFrame, local: int = 12, remote: int = 20, most: int = 16) -> DataFrame:
+    """(repository, term, pos, node columns): nodes on the screen first, then those of the whole graph.
+
+    Of the shown ones, exact names come before beginnings, names that hold the term, and paths that
+    do; terms of fewer than two characters find nothing.
+    """
+    long = asked.where(F.length(F.trim("term")) >= 2)
+    name, term = F.lower("name"), F.lower("term")
+    grade = F.when(name == term, 0).when(F.startswith(name, term), 1).when(F.contains(name, term), 2).otherwise(3)
+    near = numbered(search(shown, long, most=1 << 30).drop("pos"), "n", ["repository", "term"], grade, F.length("name"), "key", "id", most=local).withColumn("o", F.lit(0))
+    far = search(nodes, long, most=remote).withColumnRenamed("pos", "n").withColumn("o", F.lit(1))
+    once = numbered(near.unionByName(far), "_n", ["repository", "term", "id"], "o", "n", most=1)
+    return numbered(once, "pos", ["repository", "term"], "o", "n", most=most).drop("_n", "o", "n")
+
+
 # adjacency
 
 

@@ -69,6 +69,19 @@ def document(blocks: list[tuple[str, Column]]) -> Column:
     return F.array_join(F.array_compact(F.array(*shown)), BLOCK_RULE)
 
 
+# The titles by which a prompt's rules name its blocks.
+BLOCKS = ("CURRENT EXPLORER CONTEXT", "CONVERSATION SO FAR", "REPOSITORY GRAPH (from static analysis)", "REPOSITORY FACTS (computed over the whole repository)", "REPOSITORY HISTORY (from git)", "RELEVANT CODE")
+
+
+def prompt(explorer: Column, turns: Column, graph: Column, facts: Column, history: Column, code: Column) -> Column:
+    """The context of an answer as one text: what is selected, what was said, the graph, facts (an
+    array), history, and code, each under its title; blocks without content are left out.
+    """
+    stated = F.array_join(F.filter(F.coalesce(facts, F.array().cast("array<string>")), lambda f: _has(F.trim(f))), "\n\n")
+    texts = (explorer, conversation(turns), graph, stated, history, excerpts(code))
+    return document(list(zip(BLOCKS, texts, strict=True)))
+
+
 def dependencies(node: Column, uses: Column, used_by: Column) -> Column:
     """A node (kind, name, key) with what it depends on and what depends on it (name, key)."""
 

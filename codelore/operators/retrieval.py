@@ -261,6 +261,11 @@ def search(index: Index, vectors: DataFrame, chunks: DataFrame, questions: DataF
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def median_latency(timed: DataFrame, ms_col: str = "ms") -> DataFrame:
+    """One row: the median of the milliseconds that questions took, to one place."""
+    return timed.agg(F.bround(F.percentile(ms_col, 0.5), 1).alias("median_ms"))
+
+
 def evaluation(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, query: str = "query", item: str = "id") -> DataFrame:
     """hit@5, hit@50, mean reciprocal rank (a miss counts 0) and the median rank that was found."""
     first = ranked.join(relevant, item, "left_semi").groupBy(query).agg(F.min("rank").alias("found"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codelore.functions import text as T
-from codelore.operators import agent, around, context, facts, insights, reads
+from codelore.operators import agent, around, context, facts, insights, reads, render, retrieval
 from codelore.plans import graphs, subjects
 from codelore.plans.graphs import SOME, Repositories
 from codelore.plans.shared import Registry, table
@@ -267,3 +267,23 @@ def truncate_text(spark: SparkSession, d: str) -> DataFrame:
 @R.frame("top_k_by_intent", "select * from (values " + ", ".join(f"('{i}', {max(5, context.WANTED.get(i, 5))})" for i in INTENTS) + ") v(intent, k)")
 def top_k_by_intent(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(i,) for i in INTENTS], "intent string").select("intent", context.wanted(F.col("intent")).alias("k"))
+
+
+@R.frame(
+    "render_prompt",
+    """with t as (select conv_id, string_agg('User: ' || coalesce(text, '') , chr(10) order by turn) as said from {conversations} where role <> 'assistant' group by conv_id)
+    select conv_id, md5('CURRENT EXPLORER CONTEXT' || chr(10) || 'conversation ' || conv_id || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'CONVERSATION SO FAR' || chr(10) || said || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+      || 'REPOSITORY FACTS (computed over the whole repository)' || chr(10) || 'first' || chr(10) || chr(10) || 'second' || case when conv_id % 2 = 0 then chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'REPOSITORY HISTORY (from git)' || chr(10) || 'yesterday' else '' end) as digest from t""",
+)
+def render_prompt(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "conversations").where("role <> 'assistant'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("question"), F.lit("").alias("answer")))).alias("turns"))
+    code = F.array().cast("array<struct<relative_path:string,start_line:int,end_line:int,symbol:string,chunk_type:string,graph_linked:boolean,content:string>>")
+    text = render.prompt(
+        F.concat(F.lit("conversation "), F.col("conv_id").cast("string")), F.col("turns"), F.lit(None).cast("string"), F.array(F.lit("first"), F.lit(" "), F.lit("second")), F.when(F.col("conv_id") % 2 == 0, "yesterday"), code
+    )
+    return asked.select("conv_id", F.md5(text).alias("digest"))
+
+
+@R.frame("median_latency", "select round_even(quantile_cont(value, 0.5), 1) as median_ms from {events}")
+def median_latency(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.median_latency(table(spark, d, "events"), "value")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codelore.functions import paths
-from codelore.operators import builder
+from codelore.operators import builder, chunking
 from codelore.plans import graphs
 from codelore.plans.graphs import Repositories
 from codelore.plans.shared import Registry, table
@@ -178,3 +178,16 @@ def import_index(spark: SparkSession, d: str) -> DataFrame:
     files = spark.createDataFrame([("r", p) for p in _THERE], "repository string, relative_path string")
     return builder.import_index(files).select("module", "path")
 
+
+
+#: Chunks of the mixed repository: Python along its syntax, other files whole, as they are short.
+CHUNKS = [
+    ("src/shop/__init__.py", 0, "module", "", 1, 1), ("src/shop/models.py", 0, "module", "", 1, 3), ("src/shop/models.py", 1, "class", "Order", 6, 8), ("src/shop/models.py", 2, "function", "make", 11, 12),
+    ("src/shop/base.py", 0, "class", "Base", 4, 6), ("tests/test_shop.py", 0, "module", "", 1, 3), ("tests/test_shop.py", 1, "function", "test_make", 6, 7),
+    ("web/app.ts", 0, "block", "", 1, 5), ("web/lib/go.ts", 0, "block", "", 1, 4), ("web/view.tsx", 0, "block", "", 1, 2), ("main.go", 0, "block", "", 1, 2),
+]
+
+
+@R.frame("chunk_files", _stated("relative_path, chunk_index, chunk_type, symbol, start_line, end_line", CHUNKS))
+def chunk_files(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk_files(mixed(spark)).select("relative_path", "chunk_index", "chunk_type", "symbol", "start_line", "end_line")

@@ -98,6 +98,18 @@ def find_rank(g: Repositories) -> DataFrame:
     return reads.find_ranked(g.nodes, g.asked(TERMS)).select("repository", "term", "pos", "id")
 
 
+@query(
+    "search_merged",
+    "nodes",
+    """select repository, term, id, cast(row_number() over (partition by repository, term order by o, n) as integer) as pos from (select *, row_number() over (partition by repository, term, id order by o, n) as again from (
+      select repository, term, id, 0 as o, n from near where n <= 12 union all select repository, term, id, 1, n from (select *, row_number() over (partition by repository, term order by length(name), key, id) as n from found) where n <= 20)) where again = 1 qualify pos <= 16""",
+    found=_FOUND,
+    near="select *, row_number() over (partition by repository, term order by case when lower(name) = lower(term) then 0 when starts_with(lower(name), lower(term)) then 1 when contains(lower(name), lower(term)) then 2 else 3 end, length(name), key, id) as n from found where kind in ('module', 'file')",
+)
+def search_merged(g: Repositories) -> DataFrame:
+    return reads.search_merged(reads.of_kinds(g.nodes, ["module", "file"]), g.nodes, g.asked(TERMS)).select("repository", "term", "id", "pos")
+
+
 NAMED = "select repository, term from (values ('alpha', 'MAIN.py'), ('beta', 'Class10'), ('alpha', 'app'), ('beta', 'nobody')) v(repository, term)"
 
 

@@ -101,7 +101,7 @@ def extension_histogram(spark: SparkSession, d: str) -> DataFrame:
     return files.extensions(_files(spark, d))
 
 
-_LANGUAGES = " ".join(f"when '{e}' then '{name}'" for e, name in fixed.LANGUAGES.items())
+_LANGUAGES = " ".join(f"when '{e[1:]}' then '{name}'" for e, name in fixed.LANGUAGES.items())
 
 
 @R.frame("language_histogram", f"select case {_EXTENSION} {_LANGUAGES} else 'unknown' end as language, count(*) as files from {{documents}} where {_REASON} is null group by 1")

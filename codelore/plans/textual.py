@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codelore.functions import fixed, paths, text as T
 from codelore.operators import chunking, graph, render
-from codelore.plans.shared import Registry, spread, table
+from codelore.plans import stand_in
+from codelore.plans.shared import Registry, oracle_of, spread, table
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -71,11 +72,19 @@ def _literal(spark: SparkSession, names: str, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, ", ".join(f"{n.strip()} {k}" for n, k in zip(names.split(","), kinds, strict=True)))
 
 
+#: The literal paths and those of all stand-in files.
+DUCK_PATHS = f"with {stand_in.duck('files')}, p as (select path from {_values('path', [(p,) for p in PATHS])} union select path from files)"
+
+
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    return _literal(spark, "path", [(p,) for p in PATHS]).union(stand_in.stored(spark, d, "files").select("path")).distinct()
+
+
 def _path_query(name: str, expression, duck: str) -> None:
-    """A path function over the literal paths; ``duck`` is its DuckDB form."""
-    @R.frame(name, f"select path, {duck} as value from {_values('path', [(p,) for p in PATHS])}")
+    """A path function over the paths; ``duck`` is its DuckDB form."""
+    @R.frame(name, f"{DUCK_PATHS} select path, {duck} as value from p")
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return _literal(spark, "path", [(p,) for p in PATHS]).select("path", expression(F.col("path")).alias("value"))
+        return _paths(spark, d).select("path", expression(F.col("path")).alias("value"))
 
 
 def _duck_case(pairs, subject: str, otherwise: str) -> str:
@@ -90,13 +99,13 @@ _ROOTS = ", ".join(f"'{r}'" for r in fixed.SOURCE_ROOTS)
 _path_query("module_of", paths.module_of, f"case when len({_SEGMENTS}) <= 1 then '(root)' when lower({_SEGMENTS}[1]) in ({_ROOTS}) and len({_SEGMENTS}) > 2 then array_to_string({_SEGMENTS}[1:2], '/') else {_SEGMENTS}[1] end")
 _path_query("entry_label", paths.entry_label, _duck_case([(p, f"'{v}'") for p, v in fixed.ENTRIES], "path", f"'{fixed.NO_ENTRY}'"))
 _path_query("language_of", paths.language, "''")
-ORACLES["language_of"] = f"select path, coalesce(e.lang, 'unknown') as value from {_values('path', [(p,) for p in PATHS])} left join {_values('ext, lang', list(fixed.LANGUAGES.items())).replace(') v(', ') e(')} on e.ext = lower(regexp_extract(regexp_extract(path, '[^/]*$'), '^.+[.]([^.]+)$', 1))"
+ORACLES["language_of"] = f"{oracle_of(DUCK_PATHS)} select path, coalesce(e.lang, 'unknown') as value from p left join {_values('ext, lang', list(fixed.LANGUAGES.items())).replace(') v(', ') e(')} on e.ext = '.' || lower(regexp_extract(regexp_extract(path, '[^/]*$'), '^.+[.]([^.]+)$', 1))"
 
 
-@R.frame("path_parts", f"select path, regexp_extract(path, '[^/]*$') as base, case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '' end as directory, regexp_replace(regexp_extract(path, '[^/]*$'), '[.][^.]*$', '') as stem from {_values('path', [(p,) for p in PATHS])}")
+@R.frame("path_parts", f"{DUCK_PATHS} select path, regexp_extract(path, '[^/]*$') as base, case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '' end as directory, regexp_replace(regexp_extract(path, '[^/]*$'), '[.][^.]*$', '') as stem from p")
 def path_parts(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("path")
-    return _literal(spark, "path", [(x,) for x in PATHS]).select("path", paths.basename(p).alias("base"), paths.directory(p).alias("directory"), paths.stem(p).alias("stem"))
+    return _paths(spark, d).select("path", paths.basename(p).alias("base"), paths.directory(p).alias("directory"), paths.stem(p).alias("stem"))
 
 
 NAMES = ["flask", "my repo!", "a", "x..y", "10.0.0.1", "Owner/Project", "ok_name-1", "-lead", "é accent", "a" * 80, " padded ", "!!!", "1000.2.3.4"]
@@ -136,9 +145,11 @@ ORACLES["strip_reasoning"] = f"""select t, regexp_replace(case when contains(c,
   from (select t, regexp_replace(t, '(?is)<think>.*?</think>\\s*', '', 'g') as c from {_values('t', [(x,) for x in THOUGHTS])})"""
 
 
-@R.frame("relevance_score", f"select id, case when d < 0 then 0.0::double else round(1 / (1 + d::double), 6) end as score from {_values('id, d', [(1, 0), (2, 1), (3, 3), (4, -1)])}")
+@R.frame("relevance_score", "select event_id, case when event_id % 11 = 0 or value < 20 then 0.0::double else round(1 / (1 + value - 20), 6) end as score from {events}")
 def relevance_score(spark: SparkSession, d: str) -> DataFrame:
-    return _literal(spark, "id, d", [(1, 0), (2, 1), (3, 3), (4, -1)]).select("id", F.round(T.relevance(F.col("d").cast("double")), 6).alias("score"))
+    """Some distances are negative, and every eleventh is missing."""
+    distance = F.when(F.col("event_id") % 11 != 0, F.col("value") - 20)
+    return table(spark, d, "events").select("event_id", F.round(T.relevance(distance), 6).alias("score"))
 
 
 #: A token whose shape is a credential; it is made up.

@@ -28,6 +28,7 @@ def pruned(path: Column) -> Column:
 def skip_reason(path: Column, size: Column, content: Column) -> Column:
     """Why a file is not indexed (the first rule that holds), or null.  ``content`` is binary."""
     name, extension = F.lower(paths.basename(path)), paths.extension(path)
+    dotted = F.concat(F.lit("."), extension)
     generated = F.lit(False)
     for suffix in fixed.GENERATED_SUFFIXES:
         generated = generated | name.endswith(suffix)
@@ -38,8 +39,8 @@ def skip_reason(path: Column, size: Column, content: Column) -> Column:
         F.when(name.isin(*fixed.IGNORED_FILENAMES), "ignored_filename")
         .when(generated, "generated_file")
         .when(stem.isin(*fixed.IGNORED_STEMS), "ignored_stem")
-        .when(extension.isin(*fixed.IGNORED_EXTENSIONS), "ignored_extension")
-        .when(~extension.isin(*fixed.SUPPORTED_EXTENSIONS), "unsupported_extension")
+        .when(dotted.isin(*fixed.IGNORED_EXTENSIONS), "ignored_extension")
+        .when(~dotted.isin(*fixed.SUPPORTED_EXTENSIONS), "unsupported_extension")
         .when(size > fixed.MOST_BYTES, "too_large")
         .when(content.isNull(), "read_error")
         .when(F.contains(content, F.unhex(F.lit("00"))), "binary_content")
