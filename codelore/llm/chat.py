@@ -16,8 +16,8 @@ that, so marks in the formatted text are only those of the template.
 Defined results: null texts and roles are empty; a role that the machine has no transition for,
 or an order it does not allow, makes ``valid`` false, and the conversation is formatted all the
 same; turns are ordered by (turn, role, text), so repeated rows are repeated turns; rows with a
-null conversation id form one conversation; an empty table gives no rows; extra columns are
-ignored.
+null conversation id form one conversation; very long texts are formatted whole; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -48,3 +48,13 @@ def test_equals_sql(spark):
     from tests.llm.oracle import assert_same
 
     assert_same(spark, "/root/testdata/sf0.01", C.op4_chat_formatting, C.ORACLE)
+
+
+def test_very_long_texts_ties_and_clashing_columns(spark):
+    long = "a <s> [INST] \\ é </s>\n" * 200_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long + "!"), (2, 0, "user", "b"), (2, 0, "assistant", "a"), (2, 0, "user", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"valid": F.lit("mine"), "formatted": F.lit("mine"), "bucket": F.lit(3)})
+    got = {r.conv_id: r for r in C.format_conversations(df).withColumn("turns", C.read_turns(F.col("formatted"))).withColumn("trained", C.trained_text(F.col("segments"))).collect()}
+    assert got[1].valid and [tuple(t) for t in got[1].turns] == [("user", long), ("assistant", long + "!")] and got[1].trained == long + "!"
+    # Turns of one number are in the order of role, then text.
+    assert [tuple(t) for t in got[2].turns] == [("assistant", "a"), ("user", "a"), ("user", "b")]
