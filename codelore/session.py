@@ -53,7 +53,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder: its plan ends there, and lost executors lose nothing."""
+#: Rows of narrow tables in a file, where their number is known.
+ROWS_IN_FILE = 20_000
+
+
+def materialise(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder: its plan ends there, and lost executors lose nothing.
+
+    ``rows`` is a number that ``df`` does not much exceed.  A small table is then written in a few
+    files, not in one for each partition of its plan; a large one keeps its partitions.
+    """
     checkpoint_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_IN_FILE)))
     return df.checkpoint(eager=True)
