@@ -172,7 +172,8 @@ def disclosing_terms(df: DataFrame, text_col: str = "text", reach: int = REACH,
     Both are materialised.
     """
     found = materialise(_occurrences(df, text_col, reach))
-    holders = materialise(found.select("entity", "key").distinct())
+    entities = found.count()
+    holders = materialise(found.select("entity", "key").distinct(), entities)
     total = df.where(F.col(text_col).isNotNull()).select(F.sha2(F.col(text_col).cast("string"), 256).alias("key")).distinct().count()
     prior = F.least(F.lit(1.0), F.col("n_e") / F.lit(total))
     information = -F.log2(prior)
@@ -184,20 +185,20 @@ def disclosing_terms(df: DataFrame, text_col: str = "text", reach: int = REACH,
     # Counts are summed from partial ones, so a very frequent entity or term is no hot task.
     together = found.select("key", "entity", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     per_entity = holders.groupBy("entity").agg(F.count("*").alias("n_e"))
-    able = materialise(together.join(per_entity, "entity").where(discloses("n_et")))
+    able = materialise(together.join(per_entity, "entity").where(discloses("n_et")), 2 * reach * entities)
     if able.limit(1).count() == 0:
         return holders, able.select("entity", "term", F.lit("").alias("action"))
     per_term = _text_counts(df, text_col, _bitmap(able.select("term").distinct(), bits))
     joined = able.join(per_term, "term")
     action = F.when(F.col("n_et") >= F.col("n"), "remove").otherwise("generalise")
-    return holders, materialise(joined.where(discloses("n")).select("entity", "term", action.alias("action")))
+    return holders, materialise(joined.where(discloses("n")).select("entity", "term", action.alias("action")), 2 * reach * entities)
 
 
 def _terms_by_text(df: DataFrame, text_col: str, **method) -> DataFrame:
     """(key, terms): the disclosing terms of each text, by the text's hash."""
     holders, pairs = disclosing_terms(df, text_col, **method)
     each = holders.join(pairs, "entity").groupBy("key", "term").agg(F.min("action").alias("action"))  # generalise wins
-    return materialise(each.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("term", "action"))).alias("terms")))
+    return materialise(each.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("term", "action"))).alias("terms")), holders.count())
 
 
 def _with_terms(df: DataFrame, keep: tuple[str, ...], text_col: str, broadcast_bytes: int, **method) -> DataFrame:

@@ -212,7 +212,7 @@ def links(fps: DataFrame, block: int = BLOCK, most: int = MOST_BITS) -> DataFram
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): every node of ``edges`` (u, v) that is not its component's smallest node."""
     current = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    state = None
+    state, n = None, current.count()
     while True:
         # Large star: every larger neighbour of a node links to the node's smallest neighbour.
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -222,7 +222,7 @@ def components(edges: DataFrame) -> DataFrame:
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(small_least, "u")
         small = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        current = materialise(small)
+        current = materialise(small, n)  # a round does not add edges
         now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -235,7 +235,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     ``first`` is the smallest id of the fingerprint, ``component_id`` of its component.
     """
     rows = materialise(fingerprints(df, text_col, (id_col,), shingle=shingle))
-    fps = materialise(rows.groupBy("fp").agg(F.min(id_col).alias("first")))
+    fps = materialise(rows.groupBy("fp").agg(F.min(id_col).alias("first")), rows.count())
     roots = components(links(fps.select("fp"), block))
     labelled = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
