@@ -32,11 +32,14 @@ Ranker = Callable[[DataFrame], DataFrame]
 
 
 class Index(NamedTuple):
-    """Postings (term, id, tf, length), terms (term, df, tf) and one row of totals (n, mean)."""
+    """Postings (term, id, tf, length), terms (term, df, tf), and the number and mean length of the
+    documents, which are read when the index is opened.
+    """
 
     postings: DataFrame
     terms: DataFrame
-    totals: DataFrame
+    n: int
+    mean: float
 
 
 def term_counts(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
@@ -63,7 +66,8 @@ def build_index(docs: DataFrame, path: str, tokens: Callable[[Column], Column] =
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "totals")))
+    n, mean = spark.read.parquet(f"{path}/totals").first()
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), n, mean or 0.0)
 
 
 def bm25(index: Index, queries: DataFrame, tokens: Callable[[Column], Column] = search_tokens, k: int | None = 5) -> DataFrame:
@@ -72,10 +76,10 @@ def bm25(index: Index, queries: DataFrame, tokens: Callable[[Column], Column] =
     Repeated query terms add up; ties go to the smaller id.
     """
     asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-    known = asked.join(index.terms.select("term", "df"), "term").crossJoin(F.broadcast(index.totals))  # one row of totals
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = known.select("query", "term", (F.col("times") * idf * (K1 + 1)).alias("weight"), "mean")
-    norm = K1 * (1 - B + B * F.col("length") / F.col("mean"))
+    known = asked.join(index.terms.select("term", "df"), "term")
+    idf = F.log(1 + (F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = known.select("query", "term", (F.col("times") * idf * (K1 + 1)).alias("weight"))
+    norm = K1 * (1 - B + B * F.col("length") / F.lit(index.mean))
     parts = index.postings.join(weighed, "term").select("query", "id", (F.col("weight") * F.col("tf") / (F.col("tf") + norm)).alias("part"))
     scored = parts.groupBy("query", "id").agg(F.round(F.sum("part"), 6).alias("score"))
     if k is None:

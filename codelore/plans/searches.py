@@ -19,7 +19,7 @@ from codelore.session import checkpoint_dir
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
 
-_BUILT: set[str] = set()
+_BUILT: dict[str, retrieval.Index] = {}
 _PATH = "concat(case when doc_id % 5 = 0 then 'tests/' else '' end, source, '/', cast(doc_id as string), '.', lang)"
 _KIND = "case lang when 'en' then 'function' when 'fr' then 'class' when 'de' then 'block' else 'other' end"
 
@@ -28,9 +28,8 @@ def index(spark: SparkSession, d: str) -> retrieval.Index:
     """The index of ``documents``, built once per application in the shared folder."""
     path = f"{checkpoint_dir(spark)}/index-{spark.sparkContext.applicationId}-{md5(d.encode()).hexdigest()[:12]}"
     if path not in _BUILT:
-        retrieval.build_index(spread(table(spark, d, "documents").select("doc_id", "text")), path)
-        _BUILT.add(path)
-    return retrieval.open_index(spark, path)
+        _BUILT[path] = retrieval.build_index(spread(table(spark, d, "documents").select("doc_id", "text")), path)
+    return _BUILT[path]
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +66,8 @@ def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @R.frame("bm25_totals", f"select count(*) as n, round(avg(len({_duck_tokens('text')})), 6) as mean from {{documents}}")
 def bm25_totals(spark: SparkSession, d: str) -> DataFrame:
-    return index(spark, d).totals.select("n", F.round("mean", 6).alias("mean"))
+    found = index(spark, d)
+    return spark.createDataFrame([(found.n, round(found.mean, 6))], "n long, mean double")
 
 
 _GOOD = "select distinct doc_id as id from {labels} where quality = 1"
