@@ -130,3 +130,47 @@ def test_copies_of_texts_change_no_terms(spark):
     often = once.union(once).union(once).union(once).union(once)
     one, many = ({(r.entity, r.term, r.action) for r in P.disclosing_terms(df)[1].collect()} for df in (once, often))
     assert one == many and ("email:boss@corp.example.com", "chairperson", "remove") in many
+
+
+def brute_terms(texts):
+    """(entity, term, action) that disclose, counted text by text from the definition."""
+    from math import log2
+
+    texts = {t for t in texts if t is not None}
+    word = re.compile(r"[^\W_]{3,}")
+    holds, n_e, n_et = {}, {}, {}
+    for text in texts:
+        for term in {m[0].lower() for m in word.finditer(text)}:
+            holds[term] = holds.get(term, 0) + 1
+        spans = brute(text)
+        free = [m for m in word.finditer(text) if not any(s < m.end() and m.start() < e for _, s, e in spans)]
+        near = {}
+        for kind, start, end in spans:
+            value = text[start:end]
+            entity = f"{kind}:{value.lower() if kind == 'email' else value if kind == 'ip' else re.sub('[^0-9]', '', value)}"
+            before = [m[0].lower() for m in free if m.end() <= start][-P.REACH :]
+            after = [m[0].lower() for m in free if m.start() >= end][: P.REACH]
+            near.setdefault(entity, set()).update(before + after)
+        for entity, terms in near.items():
+            n_e[entity] = n_e.get(entity, 0) + 1
+            for term in terms:
+                n_et[entity, term] = n_et.get((entity, term), 0) + 1
+    out = set()
+    for (entity, term), both in n_et.items():
+        prior, n_t = n_e[entity] / len(texts), holds[term]
+        information = -log2(prior)
+        if information > 0 and log2((both + prior) / (n_t + 1)) + information >= P.SHARE * information:
+            out.add((entity, term, "remove" if both >= n_t else "generalise"))
+    return out
+
+
+def test_terms_equal_brute_force_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rng = random.Random(8)
+    more = [(10_000 + i, " ".join("".join(rng.choices("abcdefghij", k=rng.randint(3, 9))) for _ in range(30)) + (f" call +1 (988) 555-{i % 50:04d} now" if i % 3 else "")) for i in range(1500)]
+    df = docs.unionByName(spark.createDataFrame(more + more[:40], docs.schema))
+    expected = brute_terms([r.text for r in df.collect()])
+    _, pairs = P.disclosing_terms(df)
+    assert {tuple(r) for r in pairs.select("entity", "term", "action").collect()} == expected
+    own = {e for e, *_ in expected} & {f"{k}:{t[s:e].lower()}" for r in docs.collect() if r.text for k, s, e in brute(r.text) for t in [r.text] if k == "email"}
+    assert len(expected) > 100 and own  # e-mail addresses of the documents among them
