@@ -43,11 +43,11 @@ def filter_eq_in(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d).where(store.where(language="en", symbol=None, relative_path=["src1/1.en", "src2/2.en", "src3/3.en", "src4/4.fr"])).select("doc_id")
 
 
-@R.frame("filter_twin", "select doc_id, not coalesce(lang in ('fr', 'de'), false) as other from {documents}")
+@R.frame("filter_twin", "select doc_id, doc_id % 3 = 0 or lang not in ('fr', 'de') as other from {documents}")
 def filter_twin(spark: SparkSession, d: str) -> DataFrame:
     """The same condition over rows at hand, of which every third has no language."""
-    rows = table(spark, d, "documents").select("doc_id", F.col("lang").alias("language"))
-    return rows.select("doc_id", (~store.where(language=("fr", "de"))).alias("other"))
+    rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("language"))
+    return rows.select("doc_id", (~store.fits(language=("fr", "de"))).alias("other"))
 
 
 @R.frame("filter_extra", "select doc_id from {documents} where lang = 'de' and n_chars > 2000")
