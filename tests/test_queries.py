@@ -21,7 +21,5 @@ def test_query_equals_sql(spark, duck, name):
     assert difference(QUERIES[name](spark, SF), duck, ORACLES[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLES.keys()))
-def test_query_without_sql_runs(spark, name):
-    df = QUERIES[name](spark, SF)
-    assert df.columns and df.count() >= 0
+def test_every_query_has_sql():
+    assert QUERIES.keys() == ORACLES.keys()
