@@ -23,6 +23,8 @@ K1, B = 1.5, 0.75
 POOL, OVERFETCH = 25, 4
 #: Vectors in a shard, and queries that are compared with it at once.
 SHARD, QUERY_BLOCK = 8192, 512
+#: Weighed terms of questions that are sent to the postings, and terms that are named to the scan.
+MOST_SENT, MOST_NAMED = 50_000, 500
 #: Weights of the linear reranker: vector, keyword, symbol, path, chunk type, path prior.
 WEIGHTS = {"vector": 1.0, "keyword": 0.9, "symbol": 0.6, "path": 0.45, "type": 0.35, "prior": 0.5}
 TYPE_PRIORS = {"method": 1.0, "function": 1.0, "class": 0.95, "block": 0.7, "module": 0.55}
@@ -73,14 +75,21 @@ def open_index(spark: SparkSession, path: str) -> Index:
 def bm25(index: Index, queries: DataFrame, tokens: Callable[[Column], Column] = search_tokens, k: int | None = 5) -> DataFrame:
     """(query, id, score, rank) of the ``k`` best documents for each (query, text) by Okapi BM25.
 
-    Repeated query terms add up; ties go to the smaller id.
+    Repeated query terms add up; ties go to the smaller id.  The weighed terms of a bounded number of
+    questions are sent to the postings; more are joined with them.
     """
     asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
     known = asked.join(index.terms.select("term", "df"), "term")
     idf = F.log(1 + (F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = known.select("query", "term", (F.col("times") * idf * (K1 + 1)).alias("weight"))
     norm = K1 * (1 - B + B * F.col("length") / F.lit(index.mean))
-    parts = index.postings.join(weighed, "term").select("query", "id", (F.col("weight") * F.col("tf") / (F.col("tf") + norm)).alias("part"))
+    postings = index.postings
+    few = weighed.limit(MOST_SENT + 1).collect()
+    if len(few) <= MOST_SENT:  # a checked size: the postings are read where they lie, and not shuffled
+        weighed = F.broadcast(weighed.sparkSession.createDataFrame(few, weighed.schema))
+        named = {r.term for r in few}
+        postings = postings.where(F.col("term").isin(*named)) if 0 < len(named) <= MOST_NAMED else postings
+    parts = postings.join(weighed, "term").select("query", "id", (F.col("weight") * F.col("tf") / (F.col("tf") + norm)).alias("part"))
     scored = parts.groupBy("query", "id").agg(F.round(F.sum("part"), 6).alias("score"))
     if k is None:
         return scored

@@ -27,10 +27,17 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "In(lang, [de,en])" in physical(docs.where(store.where(language=["en", "de"])).select("doc_id"))
 
 
-def test_a_search_does_not_tokenise_the_corpus(spark):
-    found = retrieval.bm25(searches.index(spark, SF), searches.questions(spark, SF))
+def test_a_search_reads_postings_where_they_lie(spark, monkeypatch):
+    one = searches.questions(spark, SF).orderBy("query").limit(1)
+    found = retrieval.bm25(searches.index(spark, SF), one)
     plan = physical(found)
-    assert "documents.parquet" not in plan and len(re.findall(r"/postings", plan)) >= 1 and count(found, "Generate explode") == 1
+    assert "documents.parquet" not in plan and len(re.findall(r"Location: .*/postings", plan)) == 1 and "In(term, [" in plan
+    assert count(found, "BroadcastHashJoin") == 1 and count(found, "SortMergeJoin") == 0
+    # Questions beyond the size that is sent are joined, with the same result.
+    every = lambda: sorted(map(tuple, retrieval.bm25(searches.index(spark, SF), searches.questions(spark, SF)).collect()))
+    sent = every()
+    monkeypatch.setattr(retrieval, "MOST_SENT", 3)
+    assert every() == sent and sent
 
 
 def test_caps_are_applied_before_the_shuffle(spark):
