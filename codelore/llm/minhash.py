@@ -1,7 +1,9 @@
 """Near-duplicates by exact Jaccard similarity of word shingles, with MinHash candidates.
 
-The pipeline's near-duplicate stage: texts are linked if the sets of their 5-word shingles have a
-Jaccard similarity of 0.8 or more, and one document of each linked component stays.  Candidates
+Texts are linked if the sets of their 5-word shingles have a Jaccard similarity of 0.8 or more, and
+one document of each linked component stays.  The pipeline's near-duplicate stage links texts by
+their SimHash fingerprints as well (operator 6, all its steps): both kinds of links make one graph,
+so neither method loses what only the other one finds.  Candidates of the similarity
 share at least one of ``BANDS`` bands of ``ROWS`` minima; a pair at 0.8 shares none with a
 probability of about 3e-6, one of higher similarity more rarely.  Every candidate is verified
 on the shingles themselves, so nothing below the bound is linked.
@@ -28,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, Window as W
 
+from codelore.llm import simhash
 from codelore.llm.common import batch, fresh, in_batches, materialise, partitions, row_batches
 from codelore.llm.simhash import components
 
@@ -90,20 +93,26 @@ def forest(sets: list[np.ndarray], blocks: list[int], least: float = SIMILAR) ->
             waiting = rest
 
 
-def _signatures(texts: DataFrame, id_col: str, shingle: int) -> DataFrame:
-    """(id, key, node, bands): the hash of each row's text and of its set, and the set's bands."""
+def _signatures(texts: DataFrame, id_col: str, shingle: int, fingerprints: bool = False) -> DataFrame:
+    """(id, key, node, bands, fp): the hash of each row's text and of its set, the set's bands, and
+    the SimHash fingerprint of the text if it is asked for (else null).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, values = [], []
-            for text in b.column(2):
-                held = shingles(text.as_py(), shingle)
+            nodes, values, fps = [], [], []
+            for value in b.column(2):
+                text = value.as_py()
+                held = shingles(text, shingle)
                 nodes.append(xxhash.xxh64_intdigest(held.tobytes(), SEED))
                 values.append(bands(held).view(np.int64) if len(held) else [])
-            out = pa.schema([b.schema.field(0), b.schema.field(1), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
-            yield batch(out, [b.column(0), b.column(1), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), values])
+                if fingerprints:
+                    fps.append(simhash.fingerprint(text))
+            out = pa.schema([b.schema.field(0), b.schema.field(1), ("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("fp", pa.int64())])
+            signed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (nodes, fps)]
+            yield batch(out, [b.column(0), b.column(1), signed[0], values, signed[1] if fingerprints else pa.nulls(len(nodes), pa.int64())])
 
-    return in_batches(texts.select("id", "key", "text"), run, f"id {texts.schema['id'].dataType.simpleString()}, key long, node long, bands array<long>")
+    return in_batches(texts.select("id", "key", "text"), run, f"id {texts.schema['id'].dataType.simpleString()}, key long, node long, bands array<long>, fp long")
 
 
 def links(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR, block: int = BLOCK) -> DataFrame:
@@ -140,13 +149,34 @@ def links(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: flo
     return in_batches(dealt, run, "u long, v long").distinct()
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = SIMILAR, block: int = BLOCK) -> DataFrame:
-    """The rows of ``df`` with one document of each component: the one with the smallest id."""
+def fingerprint_links(rows: DataFrame, bits: int) -> DataFrame:
+    """(u, v): links of the nodes of ``rows`` (node, fp) whose components are those of all nodes
+    with fingerprints that differ by at most ``bits`` bits.
+
+    The smallest node of a fingerprint stands for it, and the fingerprint's other nodes link to it.
+    """
+    pairs = materialise(rows.select("node", "fp").distinct(), rows.count())
+    fps = materialise(pairs.groupBy("fp").agg(F.min("node").alias("first"), F.max("node").alias("last")), pairs.count())
+    ends = [fps.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_node")) for x in ("u", "v")]
+    across = simhash.links(fps.select("fp"), most=bits).join(ends[0], "u").join(ends[1], "v").select("u_node", "v_node")
+    within = pairs.join(fps.where("first <> last"), "fp").where("node <> first").select("first", "node")
+    # Written before texts are compared: in one job with that, an executor took more memory.
+    return materialise(across.union(within).toDF("u", "v"), pairs.count())
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = SIMILAR, block: int = BLOCK, bits: int | None = None) -> DataFrame:
+    """The rows of ``df`` with one document of each component: the one with the smallest id.
+
+    With ``bits``, texts whose SimHash fingerprints differ by at most so many bits are linked too.
+    """
     text = F.col(text_col).cast("string")
     texts = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
-    rows = materialise(_signatures(texts, id_col, shingle))
+    rows = materialise(_signatures(texts, id_col, shingle, bits is not None))
     nodes = materialise(rows.groupBy("node").agg(F.min("key").alias("key"), F.first("bands").alias("bands")), rows.count())
-    roots = components(links(nodes, texts.select("key", "text"), shingle, least, block)).withColumnRenamed("node", "of")
+    linked = links(nodes, texts.select("key", "text"), shingle, least, block)
+    if bits is not None:
+        linked = linked.union(fingerprint_links(rows.select("node", "fp"), bits))
+    roots = components(linked).withColumnRenamed("node", "of")
     labelled = rows.join(roots, rows.node == roots.of, "left").select("id", "key", F.coalesce("root", "node").alias("root"))
     # The smallest id that is not null, and its smallest text hash.
     chosen = labelled.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("x")).select("x.id", "x.key")

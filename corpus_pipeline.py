@@ -17,7 +17,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codelore.llm import byte_bpe, decontaminate, minhash, pii, toxicity
+from codelore.llm import byte_bpe, decontaminate, minhash, pii, simhash, toxicity
 from codelore.llm.common import checkpoint_dir, table
 
 #: Words in a shingle, and the Jaccard similarity from which texts are near-duplicates.
@@ -32,10 +32,11 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of linked texts.
 
-    Texts are linked at a Jaccard similarity of 0.8 of their 5-word shingles, which a SimHash radius
-    of 3 bits mostly misses; the README has figures and says why candidates come from MinHash.
+    Texts are linked by SimHash fingerprints within 3 bits, as operator 6 links them, and at a
+    Jaccard similarity of 0.8 of their 5-word shingles, most of which 3 bits miss; groups are the
+    components of both kinds of links together.  The README has figures of each.
     """
-    return minhash.keep_one(docs, shingle=SHINGLE, least=SIMILAR)
+    return minhash.keep_one(docs, shingle=SHINGLE, least=SIMILAR, bits=simhash.MOST_BITS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from codelore.llm import minhash as M
+from tests.llm import test_simhash
 
 
 def brute_sets(text):
@@ -69,3 +70,50 @@ def test_pipeline_stage_removes_copies_at_the_similarity(spark):
     kept = dict(pipeline.STAGES)["simhash"](spark, df, "")
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["1", "3", "4", "None"]
     assert dict(pipeline.STAGES)["simhash"](spark, df.where("false"), "").collect() == []
+
+
+def brute_kept_by_both(docs, bits=3, least=0.8):
+    """Ids that stay: the smallest of each component of pairs within the bits or at the similarity."""
+    sets = [brute_sets(t) for _, t in docs]
+    fps = [test_simhash.brute_fingerprint(t) for _, t in docs]
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if bin(fps[i] ^ fps[j]).count("1") <= bits or a == b or len(a & b) >= least * len(a | b):
+                root[find(i)] = find(j)
+    groups = {}
+    for i, (d, _) in enumerate(docs):
+        groups.setdefault(find(i), []).append(d)
+    return sorted(min(g) for g in groups.values())
+
+
+def test_pipeline_stage_links_by_fingerprints_and_by_similarity(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(2000)]
+    texts = [rng.choices(words, k=200) for _ in range(40)]
+    for t in list(texts):
+        for changed in (3, 6, 6, 6, 6):
+            copy = list(t)
+            for at in rng.sample(range(len(copy)), changed):
+                copy[at] = rng.choice(words)
+            texts.append(copy)
+    # Of one fingerprint, as one line prevails, but of few shared shingles.
+    line = rng.choices(words, k=7)
+    texts += [line * 200 + rng.choices(words, k=30) for _ in range(4)]
+    docs = [" ".join(t) for t in texts] + [None, "", " \n", "one"]
+    rng.shuffle(docs)
+    docs = list(enumerate(docs))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in dict(pipeline.STAGES)["simhash"](spark, df, "").collect())
+    both, similar, near = brute_kept_by_both(docs), brute_kept_by_both(docs, bits=-1), brute_kept_by_both(docs, least=2)
+    assert kept == both
+    # Each kind of links finds what the other one does not, beyond the line's texts.
+    assert len(both) < len(similar) - 3 and len(both) < len(near)
