@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from codelore.functions import fixed
 from codelore.operators import graph
+from codelore.session import materialise
 
 MOST_CHILDREN, MOST_SET, MOST_ANCESTORS, MOST_FOUND, MOST_NAMED = 120, 60, 12, 25, 10
 
@@ -175,17 +176,21 @@ def ancestors(nodes: DataFrame, asked: DataFrame, most: int = MOST_ANCESTORS) ->
     """(asked, pos, id, kind, name): the chain from the top down to each asked node.
 
     A chain has ``most`` nodes at most, ends where a parent is missing, and meets no node twice.
+    All chains climb by one node a round, whose rows are written before the next one.
     """
     slim = nodes.select("id", "parent_id", "kind", "name")
-    up = slim.sparkSession.sql(
-        f"""with recursive chain(asked, id, parent_id, kind, name, depth, seen) as (
-          select n.id, n.id, n.parent_id, n.kind, n.name, 0, array(n.id) from {{n}} n where n.id in (select id from {{a}})
-          union all select c.asked, n.id, n.parent_id, n.kind, n.name, c.depth + 1, array_append(c.seen, n.id) from chain c join {{n}} n on n.id = c.parent_id
-          where c.depth < {most - 1} and not array_contains(c.seen, n.id))
-        select asked, id, kind, name, depth from chain""",
-        n=slim,
-        a=asked.select("id").distinct(),
-    )
+    step = slim.join(asked.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("asked"), "id", "parent_id", "kind", "name", F.lit(0).alias("depth"), F.array("id").alias("seen"))
+    rounds = [materialise(step)]
+    while len(rounds) < most:
+        below = rounds[-1].select("asked", F.col("parent_id").alias("_up"), "depth", "seen").where("_up is not null")
+        # Each parent is read once, however many chains meet it: those of many chains are few.
+        above = slim.join(below.select(F.col("_up").alias("id")).distinct(), "id", "left_semi")
+        step = below.join(above, F.col("_up") == F.col("id")).where(~F.array_contains("seen", F.col("id")))
+        step = materialise(step.select("asked", "id", "parent_id", "kind", "name", (F.col("depth") + 1).alias("depth"), F.array_append("seen", F.col("id")).alias("seen")))
+        if step.isEmpty():
+            break
+        rounds.append(step)
+    up = reduce(DataFrame.unionByName, [r.drop("parent_id", "seen") for r in rounds])
     return up.select("asked", (F.max("depth").over(W.partitionBy("asked")) - F.col("depth")).alias("pos"), "id", "kind", "name")
 
 
