@@ -291,12 +291,12 @@ def degrees(related: DataFrame) -> DataFrame:
     return related.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
 
 
-def knowledge_rank(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def knowledge_rank(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """Files and symbols with ``degree`` and ``rank`` in their repository: connected first, then by
-    degree, files first, then by key.
+    degree, files first, then by key; the first ``most``.
     """
     every = of_kinds(nodes, fixed.KNOWLEDGE_KINDS).join(degrees(relations(nodes, edges)), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    return numbered(every, "rank", ["repository"], F.col("degree") == 0, F.desc("degree"), F.col("kind") != "file", "key", "id")
+    return numbered(every, "rank", ["repository"], F.col("degree") == 0, F.desc("degree"), F.col("kind") != "file", "key", "id", most=most)
 
 
 def knowledge_data() -> Column:
@@ -306,12 +306,21 @@ def knowledge_data() -> Column:
 
 
 def knowledge(nodes: DataFrame, edges: DataFrame, most: int = 1500) -> DataFrame:
-    """(repository, id): the nodes of each repository's knowledge graph, at most ``most``."""
-    ranked = knowledge_rank(nodes, edges)
-    above = ancestors(nodes, ranked.select("id")).where(F.col("kind").isin(*fixed.KNOWLEDGE_KINDS) & (F.col("id") != F.col("asked")))
-    chains = above.groupBy("asked").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("c")).select(F.col("asked").alias("id"), F.col("c.id").alias("chain"))
-    kept = graph.knowledge_subset(ranked.join(chains, "id", "left").select("repository", F.col("id").alias("node"), "rank", F.coalesce("chain", F.array().cast("array<string>")).alias("chain")), most)
-    return kept.withColumnRenamed("node", "id")
+    """(repository, id): the nodes of each repository's knowledge graph, at most ``most``.
+
+    Ranks are read as far as the graphs need to be full: each rank adds its node unless its chain
+    overflows, so that is soon.  If one is not full and has more ranks, all are read further.
+    """
+    reach = 2 * most
+    while True:
+        ranked = materialise(knowledge_rank(nodes, edges, reach).select("repository", "id", "rank"))
+        above = ancestors(nodes, ranked.select("id")).where(F.col("kind").isin(*fixed.KNOWLEDGE_KINDS) & (F.col("id") != F.col("asked")))
+        chains = above.groupBy("asked").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("c")).select(F.col("asked").alias("id"), F.col("c.id").alias("chain"))
+        kept = materialise(graph.knowledge_subset(ranked.join(chains, "id", "left").select("repository", F.col("id").alias("node"), "rank", F.coalesce("chain", F.array().cast("array<string>")).alias("chain")), most))
+        size = kept.select("repository", F.lit(1).alias("kept"), F.lit(0).alias("rank")).unionByName(ranked.select("repository", F.lit(0).alias("kept"), "rank"))
+        if size.groupBy("repository").agg(F.sum("kept").alias("kept"), F.max("rank").alias("rank")).where((F.col("kept") < most) & (F.col("rank") >= reach)).isEmpty():
+            return kept.withColumnRenamed("node", "id")
+        reach *= 8
 
 
 def knowledge_edges(nodes: DataFrame, edges: DataFrame, kept: DataFrame) -> DataFrame:

@@ -18,3 +18,18 @@ def test_chains_have_no_limit_on_rows(spark):
     finally:
         spark.conf.unset("spark.sql.cteRecursionRowLimit")
     assert sorted((r.asked, r.pos, r.id) for r in found) == sorted((f"f{i}", p, x) for i in range(40) for p, x in ((0, "r"), (1, f"f{i}")))
+
+
+def test_a_knowledge_graph_is_filled_from_any_rank(spark):
+    """Twelve methods need three nodes each; after the first, only a file at a later rank fits."""
+    rows = []
+    for i in range(12):
+        rows += [(f"f{i:02}", "r", "file", "f", f"k{i:02}", None), (f"c{i:02}", "r", "class", "c", f"k{i:02}::c", f"f{i:02}"), (f"m{i:02}", "r", "method", "m", f"k{i:02}::c.m", f"c{i:02}")]
+    nodes = spark.createDataFrame(rows, NODES)
+    edges = spark.createDataFrame([(f"e{i}{j}", "r", "CALLS", f"m{i:02}", f"m{j:02}") for i in range(12) for j in range(i)], "id string, repository string, kind string, source string, target string")
+    try:
+        limited(spark, 20)
+        assert sorted(r.id for r in reads.knowledge(nodes, edges, 4).collect()) == ["c00", "f00", "f01", "m00"]
+        assert reads.knowledge(nodes, edges, 100).count() == 36
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
