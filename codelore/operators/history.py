@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from codelore.session import materialise
+
 MOST_COMMITS, MOST_FILES, MOST_CHANGES, SHOWN_CHANGES, MOST_RELEASES = 60, 200, 400, 60, 40
 
 
@@ -144,11 +146,24 @@ def commit_detail(commits: DataFrame, commit_files: DataFrame, nodes: DataFrame,
 def changes(commit_files: DataFrame, windows: DataFrame, most: int = MOST_CHANGES) -> DataFrame:
     """(repository, request, pos, relative_path, module, commits, last_at) of each asked window.
 
-    ``windows`` has (repository, request, low, high); a change after ``low`` and up to ``high``
+    ``windows`` has (repository, request, low, high), a row for each request; a change after ``low`` and up to ``high``
     counts.  The most changed paths come first.
     """
-    inside = commit_files.join(windows, "repository").where("authored_at > low and authored_at <= high")
-    each = inside.groupBy("repository", "request", "relative_path").agg(F.max_by("module", F.struct("authored_at", "sha")).alias("module"), F.countDistinct("sha").alias("commits"), F.max("authored_at").alias("last_at"))
+    # A repository's times are cut at the bounds of its windows: a change lies in one piece, the
+    # number of bounds before it, and a window is some pieces in a row.  Rows are added up by piece
+    # before they meet the windows, so they are not repeated for each window that they lie in.
+    ends = materialise(windows.where("low < high").select("repository", "request", "low", "high"))
+    bounds = ends.groupBy("repository").agg(F.array_sort(F.array_union(F.collect_set("low"), F.collect_set("high"))).alias("_b"))
+    piece = lambda b, at: F.size(F.filter(b, lambda x: x < at))
+    touched = commit_files.select("repository", "relative_path", "sha", "module", "authored_at")
+    cut = touched.join(F.broadcast(bounds), "repository").withColumn("_piece", piece(F.col("_b"), F.col("authored_at"))).where("_piece > 0 and _piece < size(_b)").drop("_b")
+    # A commit counts once in a window, whatever its times: where its time before is not inside.
+    before = F.coalesce(F.lag("_piece").over(W.partitionBy("repository", "relative_path", "sha").orderBy("authored_at")), F.lit(0)).alias("_before")
+    added = cut.select("*", before).groupBy("repository", "relative_path", "_piece", "_before").agg(F.count("sha").alias("n"), F.max(F.struct("authored_at", "sha", "module")).alias("last"))
+    spans = ends.join(bounds, "repository").select("repository", "request", piece(F.col("_b"), F.col("low")).alias("_low"), piece(F.col("_b"), F.col("high")).alias("_high"))
+    inside = added.join(F.broadcast(spans), "repository").where("_piece > _low and _piece <= _high")
+    each = inside.groupBy("repository", "request", "relative_path").agg(F.max("last").alias("last"), F.sum(F.when(F.col("_before") <= F.col("_low"), F.col("n")).otherwise(0)).alias("commits"))
+    each = each.select("repository", "request", "relative_path", "last.module", "commits", F.col("last.authored_at").alias("last_at"))
     order = W.partitionBy("repository", "request").orderBy(F.desc("commits"), F.desc("last_at"), "relative_path")
     return each.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= most)
 

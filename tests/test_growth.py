@@ -1,6 +1,8 @@
 """Reads whose cost grows with the input and no faster, and that have no limit on rows."""
 
-from codelore.operators import reads
+import re
+
+from codelore.operators import history, reads
 
 NODES = "id string, repository string, kind string, name string, key string, parent_id string"
 
@@ -33,3 +35,23 @@ def test_a_knowledge_graph_is_filled_from_any_rank(spark):
         assert reads.knowledge(nodes, edges, 100).count() == 36
     finally:
         spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
+def test_changes_are_added_up_before_they_meet_windows(spark):
+    """As a scan of each window counts them: windows overlap, touch, are empty; a commit has two
+    times, a sha, a module and a time are missing, and rows are repeated.
+    """
+    rows = [("r", f"s{i % 17}" if i % 11 else None, f"p{i % 5}", None if i % 7 == 0 else f"m{i % 5}", 10 + i % 17) for i in range(90)]
+    rows += [("r", "twice", "p0", "m0", 12), ("r", "twice", "p0", "m0", 20), ("r", "twice", "p0", "m0", 20), ("r", "none", "p1", "m1", None), ("q", "s", "p", "m", 15)]
+    asked = [("r", "all", 0, 100), ("r", "a", 10, 14), ("r", "b", 14, 21), ("r", "c", 12, 19), ("r", "empty", 15, 15), ("r", "turned", 18, 12), ("q", "at", 14, 15), ("q", "from", 15, 20), ("z", "no", 0, 9)]
+    touched = spark.createDataFrame(rows, "repository string, sha string, relative_path string, module string, authored_at long")
+    found = history.changes(touched, spark.createDataFrame(asked, "repository string, request string, low long, high long"))
+    want = {}
+    for repository, request, low, high in asked:
+        inside = [x for x in rows if x[0] == repository and x[4] is not None and low < x[4] <= high]
+        for path in {x[2] for x in inside}:
+            own = [x for x in inside if x[2] == path]
+            want[repository, request, path] = (len({x[1] for x in own} - {None}), max(x[4] for x in own))
+    assert {(r.repository, r.request, r.relative_path): (r.commits, r.last_at) for r in found.collect()} == want
+    # No row is held against the bounds of a window by itself.
+    assert not re.search(r"authored_at#\d+L? > low#", found._jdf.queryExecution().optimizedPlan().toString())
