@@ -72,6 +72,8 @@ NEEDS = {
     "files": (), "symbols": ("files",), "nodes": ("files", "symbols"), "imports": ("files",), "calls": ("files", "symbols"), "edges": ("files", "symbols", "nodes", "imports", "calls"),
     "commits": (), "commit_files": ("files", "commits"), "refs": ("commits",),
 }
+#: Tables that others are made of, which are written before them.
+WRITTEN_FIRST = ("files", "symbols", "nodes", "imports", "calls")
 _STORED: set[tuple[str, str]] = set()
 SECONDS = {"spark": r"unix_seconds(cast(\1 as timestamp))", "duck": r"cast(epoch(\1) as bigint)"}
 
@@ -81,19 +83,32 @@ def _ctes(names: tuple[str, ...], dialect: str) -> str:
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the tables, written once per application to the shared folder and read from there."""
+    """One of the tables, written once per application to the shared folder and read from there.
+
+    The tables that it is made of are written first, so each is made once.  They grow with the input
+    and hold long texts, of which the size of their files tells little: joins with them are merges,
+    as a broadcast would take them whole through the driver.
+    """
     folder = f"{checkpoint_dir(spark)}/stand-in-{spark.sparkContext.applicationId}-{md5(sf_dir.encode()).hexdigest()[:12]}"
     if (folder, name) not in _STORED:
-        frame(spark, sf_dir, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+        planned(spark, sf_dir, name).write.mode("overwrite").parquet(f"{folder}/{name}")
         _STORED.add((folder, name))
     return spark.read.parquet(f"{folder}/{name}")
 
 
-def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the tables as a plan over the driver's tables."""
-    text = _ctes((*NEEDS[name], name), "spark")
-    used = [t for t in TABLES if f"{{{t}}}" in text]
-    return spark.sql(f"with {text} select * from {name}", **{t: table(spark, sf_dir, t) for t in used})
+def planned(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the tables as it is written: over the stored tables that it is made of."""
+    return frame(spark, sf_dir, name, {n: stored(spark, sf_dir, n).hint("merge") for n in NEEDS[name] if n in WRITTEN_FIRST})
+
+
+def frame(spark: SparkSession, sf_dir: str, name: str, made_of: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One of the tables as a plan over the driver's tables, and over those of ``made_of``."""
+    made_of = made_of or {}
+    text = f"with {_ctes(tuple(n for n in (*NEEDS[name], name) if n not in made_of), 'spark')} select * from {name}"
+    if made_of:
+        text = re.sub(rf"\b(from|join) ({'|'.join(made_of)})\b", r"\1 {\2}", text)
+    used = {t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in text}
+    return spark.sql(text, **used, **{n: df for n, df in made_of.items() if f"{{{n}}}" in text})
 
 
 def duck(*names: str) -> str:

@@ -3,6 +3,9 @@
 import re
 
 from codelore.operators import history, reads
+from codelore.plans import stand_in
+
+SF = "/root/testdata/sf0.001"
 
 NODES = "id string, repository string, kind string, name string, key string, parent_id string"
 
@@ -55,3 +58,13 @@ def test_changes_are_added_up_before_they_meet_windows(spark):
     assert {(r.repository, r.request, r.relative_path): (r.commits, r.last_at) for r in found.collect()} == want
     # No row is held against the bounds of a window by itself.
     assert not re.search(r"authored_at#\d+L? > low#", found._jdf.queryExecution().optimizedPlan().toString())
+
+
+def broadcasts(df):
+    return len(re.findall("BroadcastHashJoin", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_tables_that_grow_do_not_pass_the_driver(spark):
+    for name in ("symbols", "imports", "calls", "edges"):
+        assert broadcasts(stand_in.planned(spark, SF, name)) == 0, name
+    assert broadcasts(stand_in.planned(spark, SF, "nodes")) == 1  # nations
