@@ -282,7 +282,8 @@ def node_detail(nodes: DataFrame, edges: DataFrame, commits: DataFrame, commit_f
 
 def relations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Relations between two different files or symbols that are nodes."""
-    ends = of_kinds(nodes, fixed.KNOWLEDGE_KINDS).select(F.col("id").alias("node"))
+    # Ids are long and many, whatever the size of their files is: they are merged, not broadcast.
+    ends = of_kinds(nodes, fixed.KNOWLEDGE_KINDS).select(F.col("id").alias("node")).hint("merge")
     return graph.induced(of_kinds(edges, fixed.RELATIONS).where("source <> target"), ends)
 
 

@@ -3,7 +3,7 @@
 import re
 
 from codelore.operators import history, reads
-from codelore.plans import stand_in
+from codelore.plans import graphs, stand_in
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,3 +68,9 @@ def test_tables_that_grow_do_not_pass_the_driver(spark):
     for name in ("symbols", "imports", "calls", "edges"):
         assert broadcasts(stand_in.planned(spark, SF, name)) == 0, name
     assert broadcasts(stand_in.planned(spark, SF, "nodes")) == 1  # nations
+
+
+def test_ends_of_relations_are_merged(spark):
+    g = graphs.Repositories(spark, SF)
+    for df in (reads.relations(g.nodes, g.edges), reads.degrees(reads.relations(g.nodes, g.edges))):
+        assert broadcasts(df) == 0
