@@ -12,7 +12,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from codelore.functions import paths
 from codelore.functions.text import overlap_ratio, path_tokens, relevance, search_tokens
@@ -21,8 +25,10 @@ from codelore.session import materialise
 K1, B = 1.5, 0.75
 #: Candidates of a channel, and how many times as many are read before filters.
 POOL, OVERFETCH = 25, 4
-#: Vectors in a shard, and queries that are compared with it at once.
+#: Vectors or documents in a shard, and queries that are compared with it at once.
 SHARD, QUERY_BLOCK = 8192, 512
+#: Tokens from which a shard of the index is full, whatever the number of its documents.
+SHARD_TOKENS = 2_000_000
 #: Weighed terms of questions that are sent to the postings, and terms that are named to the scan.
 MOST_SENT, MOST_NAMED = 50_000, 500
 #: Weights of the linear reranker: vector, keyword, symbol, path, chunk type, path prior.
@@ -34,8 +40,11 @@ Ranker = Callable[[DataFrame], DataFrame]
 
 
 class Index(NamedTuple):
-    """Postings (term, id, tf, length), terms (term, df, tf), and the number and mean length of the
-    documents, which are read when the index is opened.
+    """Postings (shard, term, ids, tfs, lengths), terms (term, df, tf), and the number and mean length
+    of the documents, which are read when the index is opened.
+
+    A shard is some documents; a row is what one of its terms has in them: the ids, how often each
+    has the term, and how many tokens each has.
     """
 
     postings: DataFrame
@@ -50,53 +59,151 @@ def term_counts(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     return listed.select(id_col, F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
 
 
+def totals(docs: DataFrame, tokens: Callable[[Column], Column] = search_tokens, text_col: str = "text") -> DataFrame:
+    """(n, mean): the number of documents and their mean number of tokens, without an index."""
+    return docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col(text_col)))).alias("mean"))
+
+
+def _inverted(kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (id, tokens) of a partition as shards of postings.
+
+    The row of no term has in ``n`` the number of the shard's documents, in ``total`` their tokens,
+    and in ``tfs`` how many have a text.
+    """
+    schema = pa.schema([("shard", pa.int64()), ("term", pa.string()), ("n", pa.int64()), ("total", pa.int64()), ("ids", pa.list_(kind)), ("tfs", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32()))])
+
+    def shard(number: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, listed = (pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
+        lengths = np.asarray(listed.value_lengths().fill_null(0), dtype="i8")
+        told = len(listed) - listed.null_count
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([number], [None], [len(listed)], [int(lengths.sum())], [[]], [[told]], [[]]), schema.types, strict=True)], schema=schema)
+        words = listed.flatten().dictionary_encode()
+        names = words.dictionary
+        order = pc.sort_indices(names)  # terms of a shard are written in their order
+        place = np.empty(len(names), "i8")
+        place[np.asarray(order)] = np.arange(len(names))
+        pairs, tfs = np.unique(place[np.asarray(words.indices)] * len(lengths) + np.repeat(np.arange(len(lengths)), lengths), return_counts=True)
+        term, doc = np.divmod(pairs, max(1, len(lengths)))
+        n = np.bincount(term, minlength=len(names))
+        ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+        total = np.bincount(term, tfs, len(names)).astype("i8")
+        lists = [pa.ListArray.from_arrays(ends, v) for v in (ids.take(pa.array(doc)), pa.array(tfs, pa.int32()), pa.array(lengths[doc], pa.int32()))]
+        rows = pa.RecordBatch.from_arrays([pa.array(np.full(len(names), number)), names.take(order), pa.array(n, pa.int64()), pa.array(total), *lists], schema=schema)
+        for at in range(0, len(rows), 10_000):
+            yield rows.slice(at, 10_000)
+
+    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = TaskContext.get().partitionId() << 32, []
+        for b in batches:
+            held.append(b)
+            if sum(map(len, held)) >= SHARD or sum(len(x.column(1).flatten()) for x in held) >= SHARD_TOKENS:
+                yield from shard(number, held)
+                number, held = number + 1, []
+        if held:
+            yield from shard(number, held)
+
+    return invert
+
+
 def build_index(docs: DataFrame, path: str, tokens: Callable[[Column], Column] = search_tokens, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """Write the index of ``docs`` below ``path`` and open it.
+    """Write the index of ``docs``, whose ids are unique, below ``path`` and open it.
 
-    The tokens are written once and counted from there.  Postings are dealt and sorted by term, so
-    a search for some terms reads the row groups that hold them.
+    Documents are counted where they are read, and stay there as shards of the postings, so only
+    the numbers of each term are shuffled.  A shard's terms are sorted, so a search for some terms
+    reads the pages that hold them.
     """
     spark = docs.sparkSession
     listed = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("tokens"))
-    listed.write.mode("overwrite").parquet(f"{path}/tokens")
-    stored = spark.read.parquet(f"{path}/tokens")
-    counted = stored.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
-    counted.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).write.mode("overwrite").parquet(f"{path}/terms")
-    stored.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean")).write.mode("overwrite").parquet(f"{path}/totals")
+    kind = listed.schema["id"].dataType
+    counted = listed.mapInArrow(_inverted(to_arrow_type(kind)), f"shard long, term string, n long, total long, ids array<{kind.simpleString()}>, tfs array<int>, lengths array<int>")
+    counted.write.mode("overwrite").parquet(f"{path}/postings")
+    stored = spark.read.parquet(f"{path}/postings")
+    stored.where("term is not null").groupBy("term").agg(F.sum("n").alias("df"), F.sum("total").alias("tf")).write.mode("overwrite").parquet(f"{path}/terms")
+    told = F.sum(F.element_at("tfs", 1))
+    stored.where("term is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.when(told > 0, F.sum("total") / told).alias("mean")).write.mode("overwrite").parquet(f"{path}/totals")
     return open_index(spark, path)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
     n, mean = spark.read.parquet(f"{path}/totals").first()
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), n, mean or 0.0)
+    return Index(spark.read.parquet(f"{path}/postings").select("shard", "term", "ids", "tfs", "lengths"), spark.read.parquet(f"{path}/terms"), n, mean or 0.0)
 
 
 def bm25(index: Index, queries: DataFrame, tokens: Callable[[Column], Column] = search_tokens, k: int | None = 5) -> DataFrame:
     """(query, id, score, rank) of the ``k`` best documents for each (query, text) by Okapi BM25.
 
     Repeated query terms add up; ties go to the smaller id.  The weighed terms of a bounded number of
-    questions are sent to the postings; more are joined with them.
+    questions are sent to the postings: each shard adds up the scores of its documents and answers
+    with its ``k`` best for each question.  More are joined with the postings.
     """
     asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
     known = asked.join(index.terms.select("term", "df"), "term")
     idf = F.log(1 + (F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = known.select("query", "term", (F.col("times") * idf * (K1 + 1)).alias("weight"))
-    norm = K1 * (1 - B + B * F.col("length") / F.lit(index.mean))
-    postings = index.postings
     few = weighed.limit(MOST_SENT + 1).collect()
-    if len(few) <= MOST_SENT:  # a checked size: the postings are read where they lie, and not shuffled
-        weighed = F.broadcast(weighed.sparkSession.createDataFrame(few, weighed.schema))
-        named = {r.term for r in few}
-        postings = postings.where(F.col("term").isin(*named)) if 0 < len(named) <= MOST_NAMED else postings
-    parts = postings.join(weighed, "term").select("query", "id", (F.col("weight") * F.col("tf") / (F.col("tf") + norm)).alias("part"))
-    scored = parts.groupBy("query", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+    if len(few) <= MOST_SENT:  # a checked size: a posting is read where it lies, and shuffled once at most
+        scored = _scored(index, few, queries.schema["query"].dataType, k)
+    else:
+        norm = K1 * (1 - B + B * F.col("length") / F.lit(index.mean))
+        each = index.postings.join(weighed, "term").select("query", "weight", F.explode(F.arrays_zip("ids", "tfs", "lengths")).alias("p")).select("query", "weight", F.col("p.ids").alias("id"), F.col("p.tfs").alias("tf"), F.col("p.lengths").alias("length"))
+        parts = each.select("query", "id", (F.col("weight") * F.col("tf") / (F.col("tf") + norm)).alias("part"))
+        scored = parts.groupBy("query", "id").agg(F.sum("part").alias("score"))
+    scored = scored.select("query", "id", F.round("score", 6).alias("score"))
     if k is None:
         return scored
     best = W.partitionBy("query").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _scored(index: Index, few: list, kind: DataType, k: int | None) -> DataFrame:
+    """(query, id, score) of each shard's documents for weighed terms, the ``k`` best of a shard."""
+    spark, mean, asked = index.postings.sparkSession, index.mean, sorted({r.query for r in few}, key=lambda q: (q is None, q))
+    place, names, blocks = {q: i for i, q in enumerate(asked)}, {r.term for r in few}, {}
+    for r in few:  # questions are scored in blocks, each term with those that have it
+        at, of = divmod(place[r.query], QUERY_BLOCK)
+        blocks.setdefault(at, {}).setdefault(r.term, []).append((of, r.weight))
+    blocks = {at: {t: tuple(map(np.array, zip(*qs, strict=True))) for t, qs in terms.items()} for at, terms in blocks.items()}
+    sent = spark.sparkContext.broadcast((blocks, asked))
+    id_kind = index.postings.schema["ids"].dataType.elementType
+    schema = pa.schema([("query", to_arrow_type(kind)), ("id", to_arrow_type(id_kind)), ("score", pa.float64())])
+
+    def score(shard: pa.Table) -> pa.Table:
+        blocks, asked = sent.value
+        shard = shard.combine_chunks().sort_by("term")  # sums do not depend on the order of arrival
+        flat = [pa.concat_arrays(shard.column(c).chunks).flatten() for c in ("ids", "tfs", "lengths")]
+        encoded = flat[0].dictionary_encode("encode")
+        ids, doc = encoded.dictionary, np.asarray(encoded.indices)
+        tf, length = (np.asarray(x, dtype="f8") for x in flat[1:])
+        weight = tf / (tf + K1 * (1 - B + B * length / mean))
+        rank = np.empty(len(ids), "i8")
+        rank[np.asarray(pc.sort_indices(ids, null_placement="at_start"))] = np.arange(len(ids))
+        ends = np.cumsum(np.asarray(pa.concat_arrays(shard.column("ids").chunks).value_lengths()))
+        spans = list(zip(shard.column("term").to_pylist(), np.concatenate([[0], ends[:-1]]), ends, strict=True))
+        found = []
+        for at, terms in blocks.items():
+            sums = np.zeros((min(QUERY_BLOCK, len(asked) - at * QUERY_BLOCK), len(ids)))
+            for term, start, end in spans:
+                if term in terms:
+                    of, weights = terms[term]
+                    sums[np.ix_(of, doc[start:end])] += np.outer(weights, weight[start:end])
+            for q, values in enumerate(sums):
+                some = np.flatnonzero(values)
+                if k is not None and len(some) > k:
+                    value = -np.round(values[some], 6)
+                    some = some[value <= np.partition(value, k - 1)[k - 1]]
+                    some = some[np.lexsort((rank[some], -np.round(values[some], 6)))[:k]]
+                if len(some):
+                    found.append((np.full(len(some), at * QUERY_BLOCK + q), some, values[some]))
+        if not found:
+            return schema.empty_table()
+        query, some, values = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table([pa.array(asked, schema.types[0]).take(pa.array(query)), ids.take(pa.array(some)), pa.array(values)], schema=schema)
+
+    postings = index.postings.where(F.col("term").isin(*names)) if 0 < len(names) <= MOST_NAMED else index.postings
+    wanted = F.broadcast(spark.createDataFrame([(t,) for t in sorted(names)], "term string"))
+    return postings.join(wanted, "term", "left_semi").groupBy("shard").applyInArrow(score, f"query {kind.simpleString()}, id {id_kind.simpleString()}, score double")
+
+
 def _l2(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return ((vectors - query) ** 2).sum(axis=1)
 

@@ -1,9 +1,10 @@
 """Reads whose cost grows with the input and no faster, and that have no limit on rows."""
 
+import math
 import re
 
-from codelore.operators import history, reads
-from codelore.plans import graphs, stand_in
+from codelore.operators import history, reads, retrieval
+from codelore.plans import graphs, searches, stand_in
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +75,40 @@ def test_ends_of_relations_are_merged(spark):
     g = graphs.Repositories(spark, SF)
     for df in (reads.relations(g.nodes, g.edges), reads.degrees(reads.relations(g.nodes, g.edges))):
         assert broadcasts(df) == 0
+
+
+def test_scores_are_added_up_within_shards(spark, tmp_path, monkeypatch):
+    """Shards of a few documents answer as one does, and as a count of each document."""
+    words = ["graph", "edge", "node", "walk", "merge"]
+    texts = [(i, " ".join(words[(i * j + j) % 5] for j in range(i % 7))) for i in range(60)] + [(60, None), (61, "graph graph")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "graph walk graph"), (2, "edge"), (3, "unknown"), (None, "node")], "query long, text string")
+    answers = lambda index, k: sorted((tuple(r) for r in retrieval.bm25(index, asked, k=k).collect()), key=repr)
+    whole = retrieval.build_index(docs, str(tmp_path / "whole"))
+    monkeypatch.setattr(retrieval, "SHARD", 4)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        parts = retrieval.build_index(docs, str(tmp_path / "parts"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert parts.postings.select("shard").distinct().count() >= 12 > whole.postings.select("shard").distinct().count()
+    assert sorted(map(tuple, parts.terms.collect())) == sorted(map(tuple, whole.terms.collect())) and parts[2:] == whole[2:]
+    told = [(i, t.split()) for i, t in texts if t is not None]
+    assert parts[2:] == (62, sum(len(t) for _, t in told) / len(told))
+    df = {w: sum(w in t for _, t in told) for w in words}
+    want = []
+    for query, text in ((1, "graph walk graph"), (2, "edge"), (None, "node")):
+        score = lambda t: sum(math.log(1 + (62 - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / parts.mean)) for w in text.split())  # noqa: B023, E731
+        found = sorted((-round(score(t), 6), i) for i, t in told if score(t) > 0)
+        want += [(query, i, -s, n) for n, (s, i) in enumerate(found, 1)]
+    assert answers(parts, 1000) == answers(whole, 1000) == sorted(want, key=repr)
+    assert answers(parts, 5) == answers(whole, 5) == sorted((w for w in want if w[3] <= 5), key=repr)
+    plan = retrieval.bm25(parts, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(shard#" in plan and not re.search(r"hashpartitioning\(query#\d+L?, id#", plan)
+
+
+def test_totals_need_no_index(spark):
+    found = searches.bm25_totals(spark, SF)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" in plan and "hashpartitioning" not in plan and "RoundRobin" not in plan
