@@ -178,7 +178,8 @@ def redact_documents(spark: SparkSession, d: str) -> DataFrame:
     samples = F.array(*[F.lit(x) for x in SAMPLES])
     whole = F.concat("text", F.lit("\n"), F.get(samples, (F.col("doc_id") % len(SAMPLES)).cast("int")))
     rows = _documents(spark, d).select("doc_id", whole.alias("text"))
-    return rows.select("doc_id", F.md5(T.redact(F.col("text"))).alias("digest"), F.array_join(T.redaction_labels(F.col("text")), ",").alias("labels"))
+    found = rows.select("doc_id", T.redacted(F.col("text")).alias("r"))
+    return found.select("doc_id", F.md5("r.text").alias("digest"), F.array_join("r.labels", ",").alias("labels"))
 
 
 QUESTIONS = [

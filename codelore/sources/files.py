@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from codelore.functions import fixed, paths
-from codelore.functions.text import content_hash, line_count, redact, redaction_labels
+from codelore.functions.text import content_hash, line_count, redacted
 
 #: Files of a repository that one task reads.
 FILES_AT_ONCE = 256
@@ -165,5 +165,5 @@ def file_content(spark: SparkSession, root: str, path: str) -> DataFrame:
     with open(target, "rb") as file:
         text = file.read(MOST_SHOWN).decode("utf-8", "replace")
     rows = spark.createDataFrame([(path, text, os.path.getsize(target) > MOST_SHOWN)], "relative_path string, raw string, truncated boolean")
-    masked, findings = redact(F.col("raw")), redaction_labels(F.col("raw"))
-    return rows.select("relative_path", paths.language(F.col("relative_path")).alias("language"), masked.alias("content"), line_count(masked).alias("line_count"), "truncated", (F.size(findings) > 0).alias("redacted"), findings.alias("findings"))
+    masked, findings = F.col("r.text"), F.col("r.labels")
+    return rows.withColumn("r", redacted(F.col("raw"))).select("relative_path", paths.language(F.col("relative_path")).alias("language"), masked.alias("content"), line_count(masked).alias("line_count"), "truncated", (F.size(findings) > 0).alias("redacted"), findings.alias("findings"))

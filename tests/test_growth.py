@@ -3,8 +3,12 @@
 import math
 import re
 
+from pyspark.sql import functions as F
+
+from codelore.functions import fixed, text as T
 from codelore.operators import history, reads, retrieval
-from codelore.plans import graphs, searches, stand_in
+from codelore.plans import graphs, searches, stand_in, textual
+from tests.test_text import brute_redact
 
 SF = "/root/testdata/sf0.001"
 
@@ -112,3 +116,16 @@ def test_totals_need_no_index(spark):
     found = searches.bm25_totals(spark, SF)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "documents.parquet" in plan and "hashpartitioning" not in plan and "RoundRobin" not in plan
+
+
+def test_credentials_are_searched_for_once(spark):
+    """Odd texts as plain Python masks them; a text's shapes are not masked again for each label."""
+    texts = [*textual.SAMPLES, None, "", "KEY://", "Sk-" + "a" * 30, "a://b:c@d ghp_" + "a1" * 9 + " token = 'x'", "PRIVATE_KEY:\n\"abcdefgh\"", "ACCESS-TOKEN = 'ghp_" + "b2" * 9 + "'", "x-----BEGIN PRIVATE KEY-----".replace("x-", "\n-")]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", T.redacted(F.col("t")).alias("r"))
+    for r in rows.collect():
+        if r.t is None:
+            assert r.r.text is None and r.r.labels is None
+        else:
+            assert (r.r.text, ",".join(r.r.labels)) == brute_redact(r.t), r.t
+    plan = textual.redact_documents(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("regexp_replace", plan)) == len(fixed.SECRETS) + 1 and "rlike" not in plan.lower()
