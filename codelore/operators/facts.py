@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from codelore.functions import fixed
 from codelore.operators import history, insights, reads, render
 from codelore.operators.render import said
+from codelore.session import materialise
 
 MOST_LANES, MOST_RELEASES, MOST_PATH_COMMITS, MOST_SHOWN_CHILDREN, MOST_MATCHES, MOST_CONCEPTS, MOST_PER_CONCEPT = 12, 8, 15, 12, 20, 3, 12
 MOST_SYMBOLS, MOST_USES = 25, 15
+#: Questions, and nodes that they ask about, that are sent to the tables.
+MOST_SENT = 10_000
 # What is said of the history's window, and of requests to change code.
 WINDOW_NOTE = "Older commits were not walked, so dates are window-relative, not creation dates."
 TRACE_NOTE = "(This is what the import graph permits, not an observed runtime trace. Dynamic dispatch and runtime registration are not visible to static analysis.)"
@@ -78,7 +81,8 @@ def dependencies(nodes: DataFrame, edges: DataFrame, asked: DataFrame) -> DataFr
 def node_history(nodes: DataFrame, commits: DataFrame, commit_files: DataFrame, asked: DataFrame, most: int = MOST_PATH_COMMITS) -> DataFrame:
     """(id, text): the newest commits that touched each asked node's file."""
     path = F.when(F.col("kind") == "file", F.col("key")).otherwise(F.coalesce("relative_path", F.lit("")))
-    of = reads.lookup(nodes, asked).select("id", "name", "repository", path.alias("relative_path"))
+    of = materialise(reads.lookup(nodes, asked).select("id", "name", "repository", path.alias("relative_path")))
+    of = F.broadcast(of) if of.limit(MOST_SENT + 1).count() <= MOST_SENT else of
     touched = history.commits_of_paths(commits, commit_files, of.select("repository", "relative_path"), most)
     line = said("  ", history.day(F.col("authored_at")), "  ", F.substring("sha", 1, 8), "  ", F.col("author"), ": ", F.col("summary"))
     listed = touched.select("repository", "relative_path", F.col("pos").alias("o"), line.alias("t")).groupBy("repository", "relative_path").agg(_lines("t").alias("t"))
@@ -154,9 +158,11 @@ def by_intent(questions: DataFrame, nodes: DataFrame, edges: DataFrame, commits:
     """(question, ordinal, fact): the facts that each question's intent calls for.
 
     ``questions`` has (question, repository, intent, focus, concepts).  Searches and explanations need
-    no facts beyond the retrieved code.
+    no facts beyond the retrieved code.  A checked number of questions is sent to the graph and its
+    history, which are then read where they lie; more are joined with them.
     """
-    of = lambda intent: questions.where(F.col("intent") == intent)
+    few = questions.limit(MOST_SENT + 1).count() <= MOST_SENT
+    of = lambda intent: (F.broadcast if few else lambda q: q)(questions.where(F.col("intent") == intent))
     whole = lambda intent, texts: of(intent).join(texts, "repository").select("question", F.col("text").alias("fact"))
     focused = lambda asked, texts: asked.join(texts.withColumnRenamed("id", "focus"), "focus").select("question", F.col("text").alias("fact"))
     ids = lambda df: df.where("focus is not null").select(F.col("focus").alias("id"))

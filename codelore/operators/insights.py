@@ -13,6 +13,8 @@ from codelore.session import materialise
 
 MOST_HOTSPOTS, LEAST_DEPENDENTS, LEAST_CHANGES, MOST_EVIDENCE = 8, 3, 3, 5
 FLOW_DEPTH, FLOW_WIDTH = 4, 6
+#: Nodes of a layer that are sent to the imports; more are merged with them.
+MOST_SENT = 10_000
 
 
 def dependents(edges: DataFrame, kinds=("IMPORTS", "DEPENDS_ON")) -> DataFrame:
@@ -23,11 +25,12 @@ def dependents(edges: DataFrame, kinds=("IMPORTS", "DEPENDS_ON")) -> DataFrame:
 def structural(nodes: DataFrame, edges: DataFrame, most: int = MOST_HOTSPOTS) -> DataFrame:
     """Files and modules that many others import, with up to five importers.
 
-    The cut to ``most`` comes before nodes of other kinds are left out.
+    The cut to ``most`` comes before nodes of other kinds are left out.  What is left is a few rows a
+    repository: they are written, and sent to the edges.
     """
     ranked = reads.numbered(dependents(edges).where(F.col("n") >= LEAST_DEPENDENTS), "pos", ["repository"], F.desc("n"), "id", most=most).drop("repository")
-    shown = ranked.join(nodes.where("kind in ('file', 'module')"), "id")
-    into = reads.of_kinds(edges, ("IMPORTS", "DEPENDS_ON")).join(shown.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("target").alias("id"), "source", F.col("id").alias("edge"))
+    shown = materialise(ranked.join(nodes.where("kind in ('file', 'module')"), "id"))
+    into = reads.of_kinds(edges, ("IMPORTS", "DEPENDS_ON")).join(F.broadcast(shown.select(F.col("id").alias("target"))), "target", "left_semi").select(F.col("target").alias("id"), "source", F.col("id").alias("edge"))
     few = reads.numbered(into, "_n", ["id"], "edge", most=MOST_EVIDENCE)
     named = few.join(nodes.select(F.col("id").alias("source"), F.col("name").alias("_name")), "source").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("edge", "_name"))), lambda x: x["_name"]).alias("evidence"))
     out = shown.join(named, "id", "left")
@@ -79,16 +82,18 @@ def flow(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int = FLO
     """(request, depth, pos, id): layers of imports from each start (request, id), at most ``width``
     new nodes each, in the order of their importers and then by id.
 
-    Imports are read once and written; each layer of a few nodes a request is written as well, so a
-    layer is not computed again for the next one.
+    Each layer of a few nodes a request is written, so it is not computed again for the next one.
+    Layers of few nodes are sent to the imports, which are read where they lie; what they reach is
+    then looked up among the nodes.
     """
-    imports = materialise(reads.of_kinds(edges, ["IMPORTS"]).select("source", "target"))
-    known = nodes.select(F.col("id").alias("target"))
-    layer = materialise(starts.select("request", F.lit(0).alias("depth"), F.lit(1).alias("pos"), "id").join(nodes.select("id"), "id", "left_semi"))
+    imports = reads.of_kinds(edges, ["IMPORTS"]).select("source", "target")
+    known = nodes.select("id").hint("merge")
+    layer = materialise(starts.select("request", F.lit(0).alias("depth"), F.lit(1).alias("pos"), "id").join(known, "id", "left_semi"))
     seen = layer
     for level in range(1, depth):
-        reached = layer.withColumnRenamed("id", "source").join(imports, "source").join(known, "target", "left_semi")
-        new = reached.groupBy("request", F.col("target").alias("id")).agg(F.min("pos").alias("by")).join(seen.select("request", "id"), ["request", "id"], "left_anti")
+        few = layer.limit(MOST_SENT + 1).count() <= MOST_SENT
+        reached = (F.broadcast(layer) if few else layer).withColumnRenamed("id", "source").join(imports, "source")
+        new = reached.groupBy("request", F.col("target").alias("id")).agg(F.min("pos").alias("by")).join(known, "id", "left_semi").join(seen.select("request", "id"), ["request", "id"], "left_anti")
         layer = materialise(reads.numbered(new, "pos", ["request"], "by", "id", most=width).select("request", F.lit(level).alias("depth"), "pos", "id"))
         seen = seen.unionByName(layer)
     return seen

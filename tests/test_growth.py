@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from codelore.functions import fixed, text as T
-from codelore.operators import history, reads, retrieval
+from codelore.operators import facts, history, insights, reads, retrieval
 from codelore.plans import graphs, searches, stand_in, textual
 from tests.test_text import brute_redact
 
@@ -129,3 +129,23 @@ def test_credentials_are_searched_for_once(spark):
             assert (r.r.text, ",".join(r.r.labels)) == brute_redact(r.t), r.t
     plan = textual.redact_documents(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall("regexp_replace", plan)) == len(fixed.SECRETS) + 1 and "rlike" not in plan.lower()
+
+
+def test_questions_and_layers_are_sent_to_the_edges(spark, monkeypatch):
+    """Edges are not shuffled for a few asked nodes, whose number Spark does not know; more are joined."""
+    g = graphs.Repositories(spark, SF)
+    starts = insights.guess_entry(g.nodes, g.edges).select(F.col("repository").alias("request"), "id")
+    planned, keep = [], insights.materialise
+    monkeypatch.setattr(insights, "materialise", lambda df: planned.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    sent = sorted(map(tuple, insights.flow(g.nodes, g.edges, starts).collect()))
+    assert len(planned) == 4 and all(re.search(r"BroadcastHashJoin \[source#\d+\], \[source#\d+\]", plan) for plan in planned[1:])
+    monkeypatch.setattr(insights, "MOST_SENT", 0)
+    assert sorted(map(tuple, insights.flow(g.nodes, g.edges, starts).collect())) == sent
+    asked = spark.createDataFrame([(1, "alpha", "dependency_analysis", "alpha::file::app/main.py", [])], "question long, repository string, intent string, focus string, concepts array<string>")
+    said = lambda: facts.by_intent(asked, g.nodes, g.edges, g.commits, g.commit_files, g.refs)
+    few = said()
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    ends = r"\[(source|target)#\d+\], \[(source|target)#\d+\], LeftSemi"
+    assert len(re.findall(f"BroadcastHashJoin {ends}, BuildRight", plan)) >= 2 and not re.findall(rf"SortMergeJoin {ends}", plan.split("dependents")[0])
+    monkeypatch.setattr(facts, "MOST_SENT", 0)
+    assert [r.fact for r in said().collect()] == [r.fact for r in few.collect()]
